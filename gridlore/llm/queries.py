@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from gridlore.llm import mixing
+from gridlore.llm import ann, mixing, topk
 
 QUERIES = {
+    "op1_exact_topk": topk.op1_exact_topk,
+    "op3_ann_multi_index": ann.op3_ann_multi_index,
     "op6_mix_sources": mixing.op6_mix_sources,
 }
 
 ORACLES = {
+    "op1_exact_topk": topk.ORACLE,
     "op6_mix_sources": mixing.ORACLE,
 }
