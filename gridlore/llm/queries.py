@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from gridlore.llm import ann, mixing, topk
+from gridlore.llm import ann, mixing, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
     "op3_ann_multi_index": ann.op3_ann_multi_index,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_url_filter": urlfilter.op7_url_filter,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {
     "op1_exact_topk": topk.ORACLE,
     "op6_mix_sources": mixing.ORACLE,
+    "op7_url_filter": urlfilter.ORACLE,
 }
