@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridlore.llm import ann, mixing, pii, topk, toxicity, urlfilter
+from gridlore.llm import ann, bpe, mixing, pii, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
     "op3_ann_multi_index": ann.op3_ann_multi_index,
+    "op5_bpe": bpe.op5_bpe,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_url_filter": urlfilter.op7_url_filter,
     "op9_pii": pii.op9_pii,
