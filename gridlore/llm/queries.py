@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlore.llm import ann, bpe, mixing, pii, topk, toxicity, urlfilter
+from gridlore.llm import ann, bpe, cover, mixing, pii, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_url_filter": urlfilter.op7_url_filter,
+    "op8_cover_dedup": cover.op8_cover_dedup,
     "op9_pii": pii.op9_pii,
     "op10_toxicity": toxicity.op10_toxicity,
 }
