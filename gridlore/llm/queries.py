@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridlore.llm import ann, bpe, cover, mixing, pii, topk, toxicity, urlfilter
+from gridlore.llm import ann, bpe, cover, mixing, parsing, pii, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
     "op3_ann_multi_index": ann.op3_ann_multi_index,
+    "op4_suffix_dedup": parsing.op4_suffix_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_url_filter": urlfilter.op7_url_filter,
