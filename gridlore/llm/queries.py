@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gridlore.llm import ann, bpe, cover, mixing, parsing, pii, topk, toxicity, urlfilter
+from gridlore.llm import ann, bpe, cover, jaccard, mixing, parsing, pii, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
+    "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_ann_multi_index": ann.op3_ann_multi_index,
     "op4_suffix_dedup": parsing.op4_suffix_dedup,
     "op5_bpe": bpe.op5_bpe,
