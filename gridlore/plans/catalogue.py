@@ -1,10 +1,436 @@
-"""The queries of the engine's own operators, with their SQL."""
+"""The queries of the engine's own operators, with the SQL they are held against. Names begin with the operators' ids."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gridlore.functions import similarity
+from gridlore.functions import text as T
+from gridlore.functions.vocabulary import TARGETS, alias_rows, aliases, quoted, targets, values_sql
+from gridlore.operators import matching, posterior, profile, semantic, sheets
+from gridlore.plans import sqltext as S
+
+LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
+        return fn
+
+    return add
+
+
+def read(spark, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def run_sql(spark, sf_dir: str, sql: str, *tables: str) -> DataFrame:
+    for t in tables:
+        read(spark, sf_dir, t).createOrReplaceTempView(t)
+    return spark.sql(sql)
+
+
+def column_cells(spark, sf_dir: str, table: str, columns: list[str], order: str) -> DataFrame:
+    return profile.to_cells(read(spark, sf_dir, table), F.col(order), columns)
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, places).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+
+
+def rounded_sql(sql: str, doubles: list[str], places: int = 6) -> str:
+    return f"SELECT * REPLACE ({', '.join(f'round({c}::DOUBLE, {places}) AS {c}' for c in doubles)}) FROM ({sql})"
+
+
+def flagship(spark, sf_dir: str) -> DataFrame:
+    """Which target field each lineitem column looks like."""
+    decisions, _ = posterior.analyze(column_cells(spark, sf_dir, "lineitem", LINEITEM, "l_orderkey"))
+    return rounded(decisions.select("col_pos", "col", "best", "p", "second", "p2", "margin", "decision"))
+
+
+def _decision_sql(table: str, columns: list[str], order: str) -> str:
+    return f"""WITH sc AS ({S.posterior_scores(S.cells(table, columns, order), posterior.EXPECTATIONS)}),
+    po AS (SELECT *, exp(5 * score) / sum(exp(5 * score)) OVER (PARTITION BY col_pos) AS pr, row_number() OVER (PARTITION BY col_pos ORDER BY score DESC, field_pos) AS rk FROM sc),
+    d AS (SELECT col_pos, col, max(CASE WHEN rk = 1 THEN field END) AS best, max(CASE WHEN rk = 1 THEN pr END) AS p, max(CASE WHEN rk = 2 THEN field END) AS second, max(CASE WHEN rk = 2 THEN pr END) AS p2 FROM po GROUP BY col_pos, col)
+    SELECT col_pos, col, best, round(p, 6) AS p, second, round(p2, 6) AS p2, round(p - p2, 6) AS margin, CASE WHEN p < 0.5 THEN 'human_review_required' WHEN p - p2 < 0.1 THEN 'ambiguous' ELSE 'auto_map' END AS decision FROM d"""
+
+
+query("by5_by6_decision_lineitem", _decision_sql("lineitem", LINEITEM, "l_orderkey"))(flagship)
+
+
+@query("by5_by6_decision_customer", _decision_sql("customer", CUSTOMER, "c_custkey"))
+def _(spark, sf_dir):
+    decisions, _ = posterior.analyze(column_cells(spark, sf_dir, "customer", CUSTOMER, "c_custkey"))
+    return rounded(decisions.select("col_pos", "col", "best", "p", "second", "p2", "margin", "decision"))
+
+
+@query("by1_by4_scores_part", rounded_sql(S.posterior_scores(S.cells("part", PART, "p_partkey"), posterior.EXPECTATIONS), ["header_evidence", "stat_evidence", "value_evidence", "score"]))
+def _(spark, sf_dir):
+    return rounded(posterior.scores(profile.posterior_profile(column_cells(spark, sf_dir, "part", PART, "p_partkey"))))
+
+
+@query("ag20_tk5_posterior_part", f"""SELECT col_pos, col, field, round(exp(5 * score) / sum(exp(5 * score)) OVER (PARTITION BY col_pos), 6) AS probability,
+  (row_number() OVER (PARTITION BY col_pos ORDER BY score DESC, field_pos))::INTEGER AS rank FROM ({S.posterior_scores(S.cells("part", PART, "p_partkey"), posterior.EXPECTATIONS)})""")
+def _(spark, sf_dir):
+    scored = posterior.scores(profile.posterior_profile(column_cells(spark, sf_dir, "part", PART, "p_partkey")))
+    return rounded(posterior.posterior(scored).select("col_pos", "col", "field", "probability", "rank"))
+
+
+_L5 = ["missing_ratio", "unique_ratio", "numeric_ratio", "string_ratio", "zero_ratio", "negative_ratio", "mean", "median", "std", "min", "max", "q1", "q3", "skewness", "avg_string_length", *[f"p_{n}" for n in S.PATTERNS]]
+_L3 = ["missing_ratio", "unique_ratio", "numeric_ratio", "string_ratio", "min", "max", "mean", "median", "std", "q1", "q3", *[f"{n}_ratio" for n in S.DETECTORS]]
+
+for _t, _cols, _key in (("lineitem", LINEITEM, "l_orderkey"), ("customer", CUSTOMER, "c_custkey"), ("part", PART, "p_partkey")):
+    query(f"ag12_ag14_posterior_profile_{_t}", rounded_sql(S.posterior_profile(S.cells(_t, _cols, _key)), _L5, 5))(
+        lambda spark, sf_dir, t=_t, cols=_cols, key=_key: rounded(profile.posterior_profile(column_cells(spark, sf_dir, t, cols, key)), 5))
+    query(f"ag8_ag11_profile_{_t}", rounded_sql(S.mapping_profile(S.cells(_t, _cols, _key)), _L3, 5))(
+        lambda spark, sf_dir, t=_t, cols=_cols, key=_key: rounded(profile.profile_columns(column_cells(spark, sf_dir, t, cols, key)), 5))
+
+
+_ORDERS = S.cells("orders", ["o_orderstatus", "o_orderpriority", "o_custkey"], "o_orderkey")
+
+
+@query("ag10_tk6_top_values_orders", f"""SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY col_pos ORDER BY cnt DESC, first_row))::INTEGER AS rank FROM (
+  SELECT col_pos, col, trim(value) AS value, count(*) AS cnt, min(row_idx) AS first_row FROM ({_ORDERS}) WHERE NOT {S.missing('value')} GROUP BY col_pos, col, trim(value))) WHERE rank <= 10""")
+def _(spark, sf_dir):
+    return profile.top_values(column_cells(spark, sf_dir, "orders", ["o_orderstatus", "o_orderpriority", "o_custkey"], "o_orderkey"))
+
+
+@query("cx1_top_value_maps_orders", f"""SELECT col, string_agg(value || '=' || cnt, ';' ORDER BY cnt DESC, f) AS top FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY cnt DESC, f) AS rank FROM (
+  SELECT col, trim(value) AS value, count(*) AS cnt, min(row_idx) AS f FROM ({_ORDERS}) GROUP BY col, trim(value))) WHERE rank <= 10 GROUP BY col""")
+def _(spark, sf_dir):
+    maps = profile.as_map(profile.top_values(column_cells(spark, sf_dir, "orders", ["o_orderstatus", "o_orderpriority", "o_custkey"], "o_orderkey")))
+    pairs = F.transform(F.map_entries("top_values"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return maps.select("col", F.array_join(pairs, ";").alias("top"))
+
+
+# texts with the forms that the scalar functions tell apart, made from the rows
+_TEXTS = """SELECT p_partkey AS id, CASE p_partkey % 12 WHEN 0 THEN p_name WHEN 1 THEN upper(p_type) WHEN 2 THEN concat('  ', p_brand, '_', p_type, '-x/y ') WHEN 3 THEN concat('$', CAST(p_size AS STRING), ',000')
+  WHEN 4 THEN concat(CAST(p_size AS STRING), '.5M') WHEN 5 THEN CAST(1690 + p_partkey % 450 AS STRING) WHEN 6 THEN 'N/A' WHEN 7 THEN concat('82', CAST(600 + p_size AS STRING), '-1234') WHEN 8 THEN 'Y(13R)'
+  WHEN 9 THEN concat('3/', CAST(p_size % 28 + 1 AS STRING), '/2020') WHEN 10 THEN concat(CAST(p_size AS STRING), '%') ELSE NULL END AS v FROM part"""
+
+
+@query("fn1_fn8_normalizers", f"""SELECT id, {S.header("coalesce(v, '')")} AS mapping, {S.header("coalesce(v, '')", '/')} AS discovery, {S.collapse("regexp_replace(lower(coalesce(v, '')), '[^a-z0-9]', ' ', 'g')")} AS alias,
+  {S.collapse("lower(coalesce(v, ''))")} AS detector, {S.collapse("lower(coalesce(v, 'nan'))")} AS classifier, CASE WHEN {S.header("coalesce(v, '')", '/')} = '' THEN 'unnamed_' || id ELSE {S.header("coalesce(v, '')", '/')} END AS named, trim(v) AS clean FROM ({_TEXTS})""")
+def _(spark, sf_dir):
+    v = F.col("v")
+    d = T.discovery_header(v)
+    return run_sql(spark, sf_dir, _TEXTS, "part").select("id", T.mapping_header(v, nfkc=False).alias("mapping"), d.alias("discovery"), T.alias_key(v).alias("alias"), T.detector_text(v).alias("detector"), T.classifier_text(v).alias("classifier"), T.named(d, F.col("id")).alias("named"), T.clean_string(v).alias("clean"))
+
+
+@query("fn9_fn18_parsing", f"""SELECT id, round({S.number('v')}, 6) AS x, {S.missing('v')} AS missing, {S.numeric('v')} AS is_num, {S.dates('v')} AS is_date, {', '.join(f"{f('v')} AS is_{n}" for n, f in S.DETECTORS.items())},
+  coalesce(length(t) >= 4 AND regexp_matches(t, '[a-z]') AND regexp_matches(t, '[0-9]'), false) AS is_code, length(t) >= 8 AS is_long_id, (t <> '' AND len(string_split(t, ' ')) >= 3) OR length(t) >= 25 AS is_long_text
+  FROM (SELECT *, {S.collapse("lower(coalesce(v, ''))")} AS t FROM ({_TEXTS}))""")
+def _(spark, sf_dir):
+    v, t = F.col("v"), T.detector_text(F.col("v"))
+    return run_sql(spark, sf_dir, _TEXTS, "part").select("id", F.round(T.parse_numeric(v), 6).alias("x"), T.is_missing(v).alias("missing"), T.is_numeric(v).alias("is_num"), T.is_date(v).alias("is_date"), *[f(v).alias(f"is_{n}") for n, f in T.DETECTORS.items()], T.is_code(t).alias("is_code"), T.is_long_id(t).alias("is_long_id"), T.is_long_text(t).alias("is_long_text"))
+
+
+@query("fn19_fn22_scores", """SELECT event_id, round(greatest(0, least(1, value / 100)), 6) AS clipped, round(1 / (1 + exp(-(value / 50 - 1))), 6) AS sig, round(greatest(0, least(1, 0.6 * (1 / (1 + exp(-(value / 50 - 1)))) + 0.25 * (value / 100) + 0.15 * 0.5)), 6) AS rerank,
+  round(greatest(0, least(1, 0.75 * value / 100 + 0.25 * 0.5)), 6) AS combined FROM events""")
+def _(spark, sf_dir):
+    v = F.col("value")
+    s = T.sigmoid(v / 50 - 1)
+    return read(spark, sf_dir, "events").select("event_id", F.round(T.clip(v / 100), 6).alias("clipped"), F.round(s, 6).alias("sig"), T.rerank_score(s, v / 100, F.lit(0.5)).alias("rerank"), F.round(T.retrieval_score(v / 100, F.lit(0.5)), 6).alias("combined"))
+
+
+@query("fn23_fn24_indel", f"""SELECT n_name, r_name, round({S.indel('n_name', 'r_name')}, 6) AS ratio, round({S.indel("a", "b")}, 6) AS similarity
+  FROM (SELECT *, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS a, regexp_replace(lower(r_name), '[^a-z0-9]', '', 'g') AS b FROM nation, region)""")
+def _(spark, sf_dir):
+    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    return n.crossJoin(F.broadcast(r)).select("n_name", "r_name", F.round(similarity.indel_ratio(F.col("n_name"), F.col("r_name")), 6).alias("ratio"), F.round(similarity.header_similarity(F.col("n_name"), F.col("r_name")), 6).alias("similarity"))
+
+
+@query("fn25_jn4_tk2_cosine_topk", """WITH t AS (SELECT label, min(vec_id) AS id FROM embeddings GROUP BY label), c AS (SELECT t.label AS target, e.embedding AS te FROM t JOIN embeddings e ON e.vec_id = t.id),
+  s AS (SELECT v.vec_id, c.target, list_inner_product(v.embedding::DOUBLE[], c.te::DOUBLE[]) AS score FROM embeddings v, c),
+  r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, target) AS rank FROM s) SELECT vec_id, rank::INTEGER AS rank, target, round(score, 6) AS score FROM r WHERE rank <= 3""")
+def _(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    t = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("te"))  # a row a label: labels are few
+    ts = t.agg(F.collect_list(F.struct("label", "te")).alias("ts"))
+    best = F.slice(F.array_sort(F.transform("ts", lambda x: F.struct((-F.round(T.cosine(F.col("embedding"), x["te"]), 9)).alias("minus"), x["label"].alias("target")))), 1, semantic.TOP_K)
+    return e.crossJoin(F.broadcast(ts)).select("vec_id", F.posexplode(best)).select("vec_id", (F.col("pos") + 1).alias("rank"), "col.target", F.round(-F.col("col.minus"), 6).alias("score"))
+
+
+@query("fn28_target_texts", "SELECT * FROM (VALUES " + values_sql([(t[0], t[1], f"Field: {t[1]}. Description: {t[3]} Aliases: {', '.join(t[5])}.") for t in TARGETS]) + ") AS t(target_pos, target, text)")
+def _(spark, sf_dir):
+    return semantic.target_embeddings(spark).select("target_pos", "target", "text")
+
+
+_ALIASES = "(SELECT * FROM (VALUES " + values_sql(alias_rows()) + ") AS t(source, pos, alias, target))"
+_KEY = S.collapse("regexp_replace(lower(alias), '[^a-z0-9]', ' ', 'g')")
+_VOCAB = f"(SELECT norm, pos, target FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY pos) AS n FROM (SELECT *, CASE WHEN source = 2 THEN {_KEY} ELSE {S.header('alias')} END AS norm FROM {_ALIASES}) WHERE norm <> '') WHERE n = 1)"
+# headers made of the vocabulary's words and of the tables' own, with typing errors
+_HEADERS = """SELECT CAST(p_partkey AS INT) AS col_pos, CASE p_partkey % 6 WHEN 0 THEN p_type WHEN 1 THEN 'Building  Value' WHEN 2 THEN concat('Zip_Code', '') WHEN 3 THEN 'Bulding Replacment Cost' WHEN 4 THEN 'Yr-Built' ELSE concat(p_brand, ' year built') END AS header FROM part"""
+
+
+def headers(spark, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, _HEADERS, "part").withColumn("norm", T.mapping_header(F.col("header"), nfkc=False))
+
+
+@query("st1_vocabulary", f"SELECT * FROM {_VOCAB}")
+def _(spark, sf_dir):
+    return matching.vocabulary(spark).select("norm", "pos", "target")
+
+
+@query("ag18_alias_conflicts", f"SELECT norm, count(DISTINCT target) AS n_targets FROM (SELECT {_KEY} AS norm, target FROM {_ALIASES} UNION ALL SELECT lower(r_name), n_name FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY norm HAVING count(DISTINCT target) > 1")
+def _(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("alias"), F.col("n_name").alias("target"))
+    return matching.alias_conflicts(aliases(spark).select("alias", "target").unionByName(n))
+
+
+_EXACT = f"(SELECT norm, target FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY pos) AS n FROM (SELECT *, {S.header('alias')} AS norm FROM {_ALIASES} WHERE source < 2)) WHERE n = 1)"
+
+
+@query("jn1_wn6_exact_one_to_one", f"""SELECT col_pos, header, CASE WHEN n = 1 THEN target END AS target, CASE WHEN target IS NULL THEN 'unmatched' WHEN n = 1 THEN 'exact' ELSE 'exact_conflict' END AS status FROM (
+  SELECT h.col_pos, h.header, e.target, CASE WHEN e.target IS NOT NULL THEN row_number() OVER (PARTITION BY e.target ORDER BY h.col_pos) END AS n FROM ({_HEADERS}) h LEFT JOIN {_EXACT} e ON {S.header('h.header')} = e.norm)""")
+def _(spark, sf_dir):
+    return matching.exact_one_to_one(headers(spark, sf_dir)).select("col_pos", "header", "target", "status")
+
+
+@query("jn2_alias_match", f"SELECT h.col_pos, h.header, e.target FROM ({_HEADERS}) h LEFT JOIN (SELECT DISTINCT {_KEY} AS norm, target FROM {_ALIASES} WHERE source = 2) e ON {S.header('h.header')} = e.norm")
+def _(spark, sf_dir):
+    return matching.alias_match(headers(spark, sf_dir)).select("col_pos", "header", "target")
+
+
+@query("jn3_fl9_fuzzy_match", f"""WITH h AS (SELECT *, {S.header('header')} AS norm FROM ({_HEADERS})), d AS (SELECT DISTINCT norm AS dn FROM h),
+  s AS (SELECT dn, v.norm, v.pos, v.target, {S.indel('dn', 'v.norm')} AS sim FROM d, {_VOCAB} v), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dn ORDER BY sim DESC, pos) AS n FROM s) WHERE n = 1 AND sim >= 0.75)
+  SELECT h.col_pos, b.norm AS matched_text, b.target, round(b.sim, 6) AS similarity FROM h LEFT JOIN b ON h.norm = b.dn""")
+def _(spark, sf_dir):
+    return rounded(matching.fuzzy_match(headers(spark, sf_dir)).select("col_pos", "matched_text", "target", "similarity"))
+
+
+@query("fl8_st3_remaining_vocabulary", f"SELECT v.norm, v.target FROM {_VOCAB} v WHERE v.target NOT IN (SELECT e.target FROM ({_HEADERS}) h JOIN {_EXACT} e ON {S.header('h.header')} = e.norm)")
+def _(spark, sf_dir):
+    taken = matching.exact_match(headers(spark, sf_dir)).where("target IS NOT NULL")
+    return matching.without(matching.vocabulary(spark), taken).select("norm", "target")
+
+
+@query("wn7_fuzzy_one_to_one")
+def _(spark, sf_dir):
+    own = run_sql(spark, sf_dir, "SELECT p_brand AS workbook, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS col_pos, lower(p_type) AS norm FROM part", "part")
+    return matching.fuzzy_one_to_one(own, ["workbook"], 0.5)
+
+
+@query("ag16_duplicate_headers", f"SELECT normalized, array_to_string(list(col_idx ORDER BY col_idx), ',') AS positions FROM (SELECT p_partkey AS col_idx, {S.header('p_type', '/')} AS normalized FROM part) GROUP BY 1 HAVING count(*) > 1")
+def _(spark, sf_dir):
+    n = sheets.normalized_headers(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("col_idx"), F.col("p_type").alias("value")))
+    return sheets.duplicate_headers(n, []).select("normalized", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+
+
+@query("fn7_ag17_header_summary", f"SELECT p_size, count(*) AS total_headers, count_if(n = '')::BIGINT AS empty_headers, count(DISTINCT CASE WHEN n = '' THEN 'unnamed_' || p_partkey ELSE n END) AS unique_headers FROM (SELECT p_size, p_partkey, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE {S.header('p_type', '/')} END AS n FROM part) GROUP BY p_size")
+def _(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select("p_size", F.col("p_partkey").alias("col_idx"), F.when(F.col("p_partkey") % 9 == 0, " ").otherwise(F.col("p_type")).alias("value"))
+    return sheets.header_summary(sheets.normalized_headers(rows), ["p_size"])
+
+
+_EV = {
+    "Reference": "0.65 * u + 0.35 * s", "Address": "0.55 * s + 0.45 * u", **dict.fromkeys(("City", "State"), "0.65 * s + 0.35 * (1 - u)"), "Zip": "0.75 * zip_ratio + 0.25 * n", **dict.fromkeys(("County", "Country"), "0.65 * s + 0.35 * (1 - u)"),
+    **dict.fromkeys(("Building Value", "Contents", "BI"), "0.60 * n + 0.40 * currency_ratio"), **dict.fromkeys(("Occupancy", "Construction"), "0.60 * s + 0.40 * (1 - u)"), **dict.fromkeys(("Storeys", "Number of Buildings"), "0.35 * n + 0.65 * small"),
+    "Year Built": "year_ratio", "Fire Sprinklers (Y/N)": "sprinkler_ratio", "Other": "0.60 * n + 0.40 * currency_ratio",
+}
+
+
+def _evidence_sql(table: str, columns: list[str], key: str) -> str:
+    base = f"(SELECT *, numeric_ratio AS n, string_ratio AS s, unique_ratio AS u, CASE WHEN numeric_ratio = 0 THEN 0 WHEN min IS NULL THEN numeric_ratio WHEN min >= 0 AND max <= 100 THEN numeric_ratio ELSE 0.25 * numeric_ratio END AS small FROM ({S.mapping_profile(S.cells(table, columns, key))}))"
+    return f"WITH b AS {base} " + " UNION ALL ".join(f"SELECT col_pos, col, {i} AS target_pos, '{t}' AS target, round(({e})::DOUBLE, 5) AS score FROM b" for i, (t, e) in enumerate(_EV.items()))
+
+
+for _t, _cols, _key in (("lineitem", LINEITEM, "l_orderkey"), ("customer", CUSTOMER, "c_custkey")):
+    query(f"ev1_ev14_evidence_{_t}", _evidence_sql(_t, _cols, _key))(
+        lambda spark, sf_dir, t=_t, cols=_cols, key=_key: rounded(matching.field_evidence(profile.profile_columns(column_cells(spark, sf_dir, t, cols, key)), ["col_pos", "col"]).select("col_pos", "col", "target_pos", "target", "score"), 5))
+
+
+@query("tk4_cx2_ranked_evidence", f"SELECT col_pos, target, (row_number() OVER (PARTITION BY col_pos ORDER BY score DESC, target_pos))::INTEGER AS rank FROM ({_evidence_sql('customer', CUSTOMER, 'c_custkey')})")
+def _(spark, sf_dir):
+    e = matching.field_evidence(profile.profile_columns(column_cells(spark, sf_dir, "customer", CUSTOMER, "c_custkey")), ["col_pos", "col"])
+    return matching.ranked_evidence(e.withColumn("score", F.round("score", 5)), ["col_pos"]).select("col_pos", "target", "rank")
+
+
+# candidate rows of five methods, made from the events
+_CANDIDATES = f"""SELECT user_id AS col_pos, element_at(array({quoted([t[1] for t in TARGETS])}), CAST(event_id % 17 AS INT) + 1) AS target, CAST(event_id AS INT) AS seq, value, event_id % 5 AS m FROM events"""
+_CANDIDATES_SQL = _CANDIDATES.replace("element_at(array(", "list_extract(([").replace("]), CAST(event_id % 17 AS INT) + 1)", "]), CAST(event_id % 17 AS INT) + 1)").replace("), CAST(event_id % 17", "]), CAST(event_id % 17")
+
+
+def merged(spark, sf_dir: str) -> DataFrame:
+    rows = run_sql(spark, sf_dir, _CANDIDATES, "events")
+    v = T.clip(F.col("value") / 100)
+    kind = lambda m, c: F.when(F.col("m") == m, c)
+    method = F.element_at(F.array(*map(F.lit, ("exact", "fuzzy", "semantic", "llm", "value_evidence"))), (F.col("m") + 1).cast("int"))
+    rows = rows.select("col_pos", "target", "seq", method.alias("method"), kind(0, F.when(v > 0.5, 1.0)).alias("det"), kind(1, v).alias("fuzzy"), kind(2, v).alias("semantic"), kind(3, v).alias("llm"), kind(4, v).alias("value"), F.array(method).alias("reasons"))
+    return matching.merge_candidates(rows, ["col_pos"])
+
+
+_SCORED = f"""(SELECT *, CASE WHEN det >= 0.97 THEN det WHEN fuzzy >= 0.75 THEN 0.8 * fuzzy + 0.2 * value WHEN semantic > 0 THEN 0.8 * semantic + 0.2 * value WHEN llm > 0 THEN 0.8 * llm + 0.2 * value ELSE least(0.45 * value, 0.49) END AS score FROM (
+  SELECT col_pos, target, max(CASE WHEN m = 0 AND v > 0.5 THEN 1.0::DOUBLE ELSE 0 END) AS det, max(CASE WHEN m = 1 THEN v ELSE 0 END) AS fuzzy, max(CASE WHEN m = 2 THEN v ELSE 0 END) AS semantic, max(CASE WHEN m = 3 THEN v ELSE 0 END) AS llm, max(CASE WHEN m = 4 THEN v ELSE 0 END) AS value,
+  first(method ORDER BY pr DESC, seq) AS method FROM (SELECT *, greatest(0, least(1, value / 100)) AS v, (['exact', 'fuzzy', 'semantic', 'llm', 'value_evidence'])[m + 1] AS method, ([6, 5, 3, 4, 1])[m + 1] AS pr FROM ({_CANDIDATES_SQL})) GROUP BY col_pos, target))"""
+
+
+@query("ag15_op4_fl11_fusion", f"SELECT col_pos, target, method, round(score, 6) AS score, score >= 0.5 AS eligible FROM {_SCORED}")
+def _(spark, sf_dir):
+    return merged(spark, sf_dir).select("col_pos", "target", "method", F.round("score", 6).alias("score"), (F.col("score") >= matching.ELIGIBLE).alias("eligible"))
+
+
+@query("ag21_score_matrix", f"SELECT col_pos, {', '.join(f'''round(max(CASE WHEN target = '{t[1]}' THEN score ELSE 0 END), 6) AS \"t{t[0]}\"''' for t in TARGETS)} FROM {_SCORED} GROUP BY col_pos")
+def _(spark, sf_dir):
+    m = matching.score_matrix(merged(spark, sf_dir), ["col_pos"])
+    return m.select("col_pos", *[F.round(F.col("`" + t[1] + "`"), 6).alias(f"t{t[0]}") for t in TARGETS])
+
+
+@query("jn9_assignment")
+def _(spark, sf_dir):
+    """OP7 and OP8: users' candidates, a group of users to a workbook."""
+    c = merged(spark, sf_dir).withColumn("workbook", F.col("col_pos") % 50)
+    columns = c.select("workbook", "col_pos").distinct()
+    return matching.mapping_result(columns, c, matching.assign(c, ["workbook"]), ["workbook"])
+
+
+@query("map_columns_op1_op6")
+def _(spark, sf_dir):
+    parts = [column_cells(spark, sf_dir, t, cols, key).withColumn("workbook", F.lit(t)) for t, cols, key in (("lineitem", LINEITEM, "l_orderkey"), ("customer", CUSTOMER, "c_custkey"), ("part", PART, "p_partkey"))]
+    return rounded(matching.map_columns(parts[0].unionByName(parts[1]).unionByName(parts[2]), group=["workbook"]))
+
+
+# tables as sheets: a title row for two of them, a header row, then the rows in order
+def _sheet(table: str, title: bool, columns: list[str], labels: list[str], key: str) -> str:
+    at, parts = int(title), []
+    for j, (c, label) in enumerate(zip(columns, labels)):
+        parts.append(f"SELECT 'wb' AS workbook, '{table}' AS sheet, CAST({key} AS BIGINT) + {at + 1} AS row_idx, {j} AS col_idx, CAST({c} AS STRING) AS value FROM {table}")
+        parts.append(f"SELECT 'wb', '{table}', CAST({at} AS BIGINT), {j}, '{label}'")
+        if title:
+            parts.append(f"SELECT 'wb', '{table}', CAST(0 AS BIGINT), {j}, " + ("'Prepared for testing'" if j == 0 else "CAST(NULL AS STRING)"))
+    return " UNION ALL ".join(parts)
+
+
+GRID = " UNION ALL ".join([
+    _sheet("region", False, ["r_regionkey", "r_name"], ["Loc #", "State"], "r_regionkey"),
+    _sheet("nation", True, ["n_nationkey", "n_name", "NULLIF(n_regionkey, 2)", "CASE WHEN n_regionkey > 9 THEN 'x' END"], ["Location ID", "City / Town", "Zip", "Other"], "n_nationkey"),
+    _sheet("supplier", True, ["s_name", "CAST(s_acctbal AS DECIMAL(12, 2))", "1900 + s_suppkey % 120", "s_nationkey"], ["Building", "TIV", "Year Built", "Construction"], "s_suppkey"),
+    _sheet("customer", False, ["c_name", "c_mktsegment", "c_nationkey"], ["AA", "BB", "CC"], "c_custkey"),
+])
+
+
+def grid(spark, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, GRID, "region", "nation", "supplier", "customer")
+
+
+_PROFILE = f"""(WITH g AS ({GRID}), b AS (SELECT sheet, count(*) AS total_cells, count(value) AS non_empty_cells, count_if(value IS NOT NULL AND {S.holds(S.collapse('lower(value)'), 'keyword')}) AS k FROM g GROUP BY sheet),
+  r AS (SELECT sheet, count(*) AS rows, count_if(a > 0) AS nr FROM (SELECT sheet, row_idx, count(value) AS a FROM g GROUP BY ALL) GROUP BY sheet), c AS (SELECT sheet, count(*) AS columns, count_if(a = 0) AS bc FROM (SELECT sheet, col_idx, count(value) AS a FROM g GROUP BY ALL) GROUP BY sheet)
+  SELECT sheet, rows, columns, total_cells, non_empty_cells, nr::BIGINT AS non_empty_rows, non_empty_cells / total_cells::DOUBLE AS data_density, 1 - nr / rows::DOUBLE AS blank_row_ratio, bc / columns::DOUBLE AS blank_col_ratio, coalesce(k / nullif(non_empty_cells, 0)::DOUBLE, 0.0) AS keyword_score, non_empty_cells = 0 AS is_empty FROM b JOIN r USING (sheet) JOIN c USING (sheet))"""
+
+
+@query("ag1_ag7_sheet_profiles", rounded_sql(f"SELECT * FROM {_PROFILE}", ["data_density", "blank_row_ratio", "blank_col_ratio", "keyword_score"]))
+def _(spark, sf_dir):
+    return rounded(sheets.sheet_profile(grid(spark, sf_dir)).drop("workbook"))
+
+
+_t = S.collapse("lower(value)")
+_mean = lambda flag: f"coalesce(avg(CASE WHEN value IS NOT NULL THEN ({flag})::INTEGER END), 0.0)"
+_LD = "regexp_matches(t, '[a-z]') AND regexp_matches(t, '[0-9]')"
+_W3 = "(t <> '' AND len(string_split(t, ' ')) >= 3)"
+_FEATURES = f"""(WITH g AS (SELECT *, {_t} AS t, {S.numeric('value')} AS num, {S.numeric(_t)} AS tnum FROM ({GRID})),
+  r AS (SELECT sheet, row_idx, avg((value IS NOT NULL)::INTEGER) AS non_empty_ratio, {_mean('NOT num')} AS text_ratio, count(DISTINCT t) AS dv, count(value) AS n, {_mean('num')} AS numeric_ratio, {_mean(S.holds('t', 'header', 4))} AS semantic, {_mean(S.dates('value'))} AS date_like_ratio,
+    {_mean('length(t) >= 8')} AS long_identifier_ratio, {_mean(f'tnum OR length(t) >= 8 OR ({_LD}) OR {_W3}')} AS value_pattern_score, {_mean(f'length(t) >= 4 AND {_LD}')} AS cr, {_mean(f'{_W3} OR length(t) >= 25')} AS lr,
+    list(num ORDER BY col_idx) AS pattern, string_agg(value, ' | ' ORDER BY col_idx) AS header_values FROM g GROUP BY sheet, row_idx),
+  w AS (SELECT *, coalesce(avg((n > 0)::INTEGER) OVER (PARTITION BY sheet ORDER BY row_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0.0) AS data_below_score, {', '.join(f'lead(pattern, {k}) OVER o AS p{k}' for k in (1, 2, 3))}, lag(non_empty_ratio) OVER o AS pne, lag(semantic) OVER o AS ps, lag(n) OVER o AS pn FROM r WINDOW o AS (PARTITION BY sheet ORDER BY row_idx)),
+  a AS (SELECT *, list_filter([{', '.join(f'CASE WHEN p{k} IS NOT NULL THEN len(list_filter(list_zip(pattern, p{k}), lambda z_: z_[1] = z_[2])) / len(pattern)::DOUBLE END' for k in (1, 2, 3))}], lambda q_: q_ IS NOT NULL) AS al FROM w),
+  f AS (SELECT * EXCLUDE (al, p1, p2, p3, pattern), CASE WHEN n > 0 THEN coalesce(list_avg(al), 0.0) ELSE 0.0 END AS row_similarity_score, CASE WHEN n > 0 THEN dv / n::DOUBLE ELSE 0.0 END AS unique_ratio, CASE WHEN n > 1 THEN 1 - dv / n::DOUBLE ELSE 0.0 END AS duplicate_ratio,
+    least(1.0, 0.30 * numeric_ratio + 0.25 * long_identifier_ratio + 0.20 * cr + 0.15 * lr + 0.10 * (1 - semantic)) AS data_row_likelihood FROM a),
+  s AS (SELECT *, (0.65 * (0.30 * non_empty_ratio + 0.15 * text_ratio + 0.10 * unique_ratio + 0.15 * data_below_score + 0.10 * (1 - numeric_ratio) + 0.05 * (1 - duplicate_ratio) + 0.05 * (1 - date_like_ratio) + 0.05 * (1 - long_identifier_ratio) + 0.05 * value_pattern_score)
+    + 0.35 * semantic + 0.05 * (1 - row_similarity_score) - 0.20 * data_row_likelihood) * CASE WHEN non_empty_ratio < 0.25 THEN 0.5 WHEN non_empty_ratio < 0.5 THEN 0.8 ELSE 1.0 END AS raw FROM f)
+  SELECT *, round(greatest(0, least(1, raw))::DOUBLE, 9) AS score FROM s WHERE row_idx < 30 AND n > 0)"""
+_SHOWN = ["non_empty_ratio", "text_ratio", "unique_ratio", "numeric_ratio", "semantic", "date_like_ratio", "long_identifier_ratio", "value_pattern_score", "data_below_score", "row_similarity_score", "duplicate_ratio", "data_row_likelihood", "score"]
+
+
+@query("ag19_wn1_wn2_header_features", f"SELECT sheet, row_idx, {', '.join(f'round({c}::DOUBLE, 6) AS {c}' for c in _SHOWN)} FROM {_FEATURES}")
+def _(spark, sf_dir):
+    return rounded(sheets.header_score(sheets.row_features(grid(spark, sf_dir))).select("sheet", "row_idx", *_SHOWN))
+
+
+_DETECT = f"""(WITH x AS (SELECT *, lead(score) OVER (PARTITION BY sheet ORDER BY score DESC, row_idx) AS s2, row_number() OVER (PARTITION BY sheet ORDER BY score DESC, row_idx) AS rk FROM {_FEATURES}),
+  y AS (SELECT *, CASE WHEN semantic < 0.10 AND NOT (non_empty_ratio >= 0.95 AND text_ratio >= 0.90 AND unique_ratio >= 0.90 AND data_below_score >= 0.90 AND value_pattern_score >= 0.75 AND data_row_likelihood < 0.40) THEN 'no_semantics'
+    WHEN (data_row_likelihood >= 0.45 AND row_similarity_score >= 0.85) OR (data_row_likelihood >= 0.50 AND long_identifier_ratio >= 0.20) OR (data_row_likelihood >= 0.45 AND value_pattern_score >= 0.50 AND semantic < 0.30) OR (data_row_likelihood >= 0.40 AND semantic < 0.15) THEN 'data_like' WHEN score < 0.30 THEN 'low_score' END AS why FROM x WHERE rk = 1)
+  SELECT sheet, CASE WHEN why IS NULL THEN row_idx END AS header_row, row_idx AS best_row, score AS header_score, CASE WHEN why IS NOT NULL THEN 'low' WHEN score >= 0.65 AND coalesce(score - s2, 1) >= 0.08 THEN 'high' WHEN score >= 0.45 AND coalesce(score - s2, 1) >= 0.04 THEN 'medium' ELSE 'low' END AS header_confidence,
+    why IS NULL AND row_idx > 0 AND coalesce(pn, 0) > 0 AND coalesce(pne >= 0.25 AND non_empty_ratio >= 0.50 AND semantic >= 0.15 AND ps >= 0.05, false) AS possible_multirow_header, coalesce(why IN ('no_semantics', 'data_like'), false) AS header_rejected_as_data, header_values FROM y)"""
+
+
+@query("fl7_fl16_fl17_wn3_detect_headers", f"SELECT sheet, header_row, best_row, round(header_score, 6) AS header_score, header_confidence, possible_multirow_header, header_rejected_as_data FROM {_DETECT}")
+def _(spark, sf_dir):
+    return rounded(sheets.detect_headers(grid(spark, sf_dir)).drop("workbook", "header_values"))
+
+
+_any = lambda text, key: f"{S.count_terms(text, key)} > 0"
+_H = S.collapse("lower(coalesce(header_values, ''))")
+
+
+@query("fl4_fl5_sheet_roles", f"""WITH z AS (SELECT sheet, data_density, header_row, coalesce({_H}, '') AS h, greatest(len(string_split(coalesce(header_values, ''), ' | ')), 1) AS nh, header_values FROM {_PROFILE} LEFT JOIN {_DETECT} USING (sheet)),
+  q AS (SELECT sheet, CASE WHEN {_any('sheet', 'deny_name')} THEN 'sheet_name_indicates_non_sov_content' WHEN header_row IS NULL THEN 'no_plausible_header_detected'
+    WHEN {_any('sheet', 'secondary_name')} OR contains(h, 'business interruption') OR (contains(h, 'bi value') AND NOT contains(h, 'building value')) THEN 'specialized_or_excluded_exposure_sheet'
+    WHEN {_any('h', 'identity')} AND {S.count_terms('h', 'attribute')} >= 3 AND data_density >= 0.15 THEN 'location_identity_and_property_attributes' WHEN {S.count_terms('h', 'primary')} / nh::DOUBLE >= 0.10 AND data_density >= 0.20 THEN 'partial_sov_structure' ELSE 'insufficient_sov_structure' END AS reason,
+    round({S.count_terms('h', 'primary')} / nh::DOUBLE, 6) AS header_role_score FROM z)
+  SELECT sheet, CASE reason WHEN 'location_identity_and_property_attributes' THEN 'primary' WHEN 'specialized_or_excluded_exposure_sheet' THEN 'secondary' WHEN 'partial_sov_structure' THEN 'secondary' ELSE 'reject' END AS role, reason, header_role_score FROM q""")
+def _(spark, sf_dir):
+    return rounded(sheets.sheet_roles(grid(spark, sf_dir)).select("sheet", "role", "reason", "header_role_score"))
+
+
+@query("src9_wn9_samples", f"SELECT sheet, col_idx, string_agg(v, '|' ORDER BY row_idx) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY sheet, col_idx ORDER BY row_idx) AS n FROM (SELECT *, trim(value) AS v FROM ({GRID})) WHERE v <> '') WHERE n <= 5 GROUP BY sheet, col_idx")
+def _(spark, sf_dir):
+    return sheets.samples(grid(spark, sf_dir)).select("sheet", "col_idx", F.array_join("samples", "|").alias("samples"))
+
+
+@query("cx6_fl1_cells", f"SELECT sheet, col_idx, count(*) AS cells, count(value) AS filled FROM ({GRID}) GROUP BY sheet, col_idx")
+def _(spark, sf_dir):
+    return grid(spark, sf_dir).groupBy("sheet", "col_idx").agg(F.count(F.lit(1)).alias("cells"), F.count("value").alias("filled"))
+
+
+@query("fl2_fl3_keywords", f"SELECT p_partkey, {S.holds('lower(p_type)', 'header', 4)} AS header_word, {S.holds('lower(p_type)', 'keyword')} AS keyword FROM part")
+def _(spark, sf_dir):
+    from gridlore.functions.vocabulary import TERMS
+
+    t = T.detector_text(F.col("p_type"))
+    return read(spark, sf_dir, "part").select("p_partkey", T.contains_term(t, TERMS["header"], 4).alias("header_word"), T.contains_term(t, TERMS["keyword"]).alias("keyword"))
+
+
+_RANKED = "SELECT user_id, event_id, event_type AS target, greatest(0.0, least(1.0, value / 100)) AS combined_score, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events"
+
+
+@query("fl12_ml4_wn4_evaluate", f"""WITH t AS (SELECT user_id, max(CASE WHEN rank = 1 THEN target END) AS top, max(CASE WHEN rank = 1 THEN combined_score END) AS s1, max(CASE WHEN rank = 2 THEN target END) AS second, max(CASE WHEN rank = 2 THEN combined_score END) AS s2 FROM ({_RANKED}) GROUP BY user_id),
+  m AS (SELECT *, round(greatest(0, s1 - coalesce(s2, 0)), 6) AS margin FROM t)
+  SELECT user_id, top, round(s1, 6) AS top_score, second, margin, CASE WHEN s1 < 0.5 THEN 'weak' WHEN s1 >= 0.7 AND margin >= 0.2 THEN 'strong' WHEN margin >= 0.15 THEN 'moderate' ELSE 'ambiguous' END AS category FROM m""")
+def _(spark, sf_dir):
+    ranked = run_sql(spark, sf_dir, _RANKED, "events")
+    return rounded(semantic.evaluate(ranked, ["user_id"]).select("user_id", "top", "top_score", "second", "margin", "category"))
+
+
+@query("ml1_ml3_ml5_op9_semantic_pipeline")
+def _(spark, sf_dir):
+    h = run_sql(spark, sf_dir, "SELECT DISTINCT lower(p_type) AS norm FROM part", "part").withColumn("header", F.col("norm"))
+    out = semantic.semantic_pipeline(h, ["header"])
+    samples = h.select("header", F.array("norm").alias("samples"))
+    return rounded(semantic.decide(semantic.ask(semantic.prompt_context(out, samples, ["header"]), None)).select("header", "top", "top_score", "category", "decided_by", "human_review", "summary"))
+
+
+_ANSWERS = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN concat('{"target_field": "Zip", "confidence": 0.', CAST(event_id % 100 AS STRING), ', "reason": "r"}') WHEN 1 THEN '{"target_field": null, "confidence": 0.9, "reason": "r"}'
+  WHEN 2 THEN '{"target_field": "Nope", "confidence": 0.9, "reason": "r"}' WHEN 3 THEN props WHEN 4 THEN '{"target_field": "City", "confidence": 0.9, "reason": " "}' ELSE NULL END AS response FROM events"""
+
+
+@query("fl13_fl14_cx4_answers", f"""WITH a AS (SELECT event_id, response, json_extract_string(response, '$.target_field') AS target, try_cast(json_extract_string(response, '$.confidence') AS DOUBLE) AS confidence, json_extract_string(response, '$.reason') AS reason FROM ({_ANSWERS}))
+  SELECT event_id, target, confidence, CASE WHEN response IS NULL THEN 'no response' WHEN list_sort(json_keys(response)) <> ['confidence', 'reason', 'target_field'] THEN 'keys' WHEN target NOT IN ({quoted([t[1] for t in TARGETS])}) THEN 'unknown target'
+  WHEN confidence IS NULL OR NOT confidence BETWEEN 0 AND 1 THEN 'confidence' WHEN trim(coalesce(reason, '')) = '' THEN 'reason' END AS problem, target IS NULL OR coalesce(confidence, 0) < 0.5 AS review FROM a""")
+def _(spark, sf_dir):
+    a = run_sql(spark, sf_dir, _ANSWERS, "events").withColumn("a", semantic.checked(F.col("response")))
+    return a.select("event_id", "a.target", "a.confidence", "a.problem", semantic.needs_review(F.col("a.target"), F.col("a.confidence")).alias("review"))
+
+
+@query("jn8_fl10_st2_targets", f"SELECT target, min(seq) AS first_seen, count(*) AS n FROM ({_CANDIDATES_SQL}) GROUP BY target")
+def _(spark, sf_dir):
+    rows = run_sql(spark, sf_dir, _CANDIDATES, "events").join(F.broadcast(targets(spark).select("target")), "target", "left_semi")
+    return rows.groupBy("target").agg(F.min("seq").alias("first_seen"), F.count(F.lit(1)).alias("n"))
