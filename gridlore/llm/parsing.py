@@ -23,6 +23,8 @@ from gridlore.llm.common import Poly, blocked, corpus_size, mix, text_chunks
 
 #: Bytes of a gram; occurrences of a gram above which its windows are compared one by one.
 GRAM, HOT = 64, 2048
+#: Bytes of text of a block: a block's windows of hot grams take some 30 bytes each while they are sorted.
+BLOCK_BYTES = 4 << 20
 
 _GRAM, _FIRST, _SECOND = Poly(21), Poly(22), Poly(23)
 U64 = np.uint64
@@ -57,7 +59,8 @@ def triggers(b: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, n
     new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    return at[first], h[at[first]], starts[first], starts[last]
+    # least hashes are all small: mixed again, they spread evenly over buckets
+    return at[first], mix(h[at[first]]), starts[first], starts[last]
 
 
 class Block:
@@ -182,7 +185,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
     _, n_bytes = corpus_size(docs)
-    texts, n = blocked(docs, n_bytes, "doc_id")
+    texts, n = blocked(docs, n_bytes, "doc_id", block_bytes=BLOCK_BYTES)
 
     def keys(t: pa.Table) -> pa.Table:
         blk = Block(t, length)
