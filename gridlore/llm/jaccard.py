@@ -23,6 +23,8 @@ from gridlore.llm.graph import components
 
 #: Slots of the frequency sketch (a byte each is broadcast, whatever the corpus' size); partial sums of a slice of it.
 SLOTS, SLICES, LEVELS = 1 << 20, 16, 64
+#: Words of a set's bit picture, and slots of the bit map that rows are looked up in before the exact join.
+PICTURE, ROWS_MAP = 32, 1 << 20
 #: Texts that share a prefix shingle: up to FEW, all pairs are tried at once; of more, first a star, then blocks of BLOCK.
 FEW, BLOCK = 24, 128
 
@@ -60,6 +62,13 @@ def ordered(h: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return np.sort((sketch[(h >> U64(44)).astype(np.int64)].astype(U64) << U64(58)) | (h >> U64(6)))
 
 
+def picture(h: np.ndarray) -> np.ndarray:
+    """The set hashed to PICTURE * 64 bits: where two pictures differ, so do the sets."""
+    bits = np.zeros(PICTURE * 64, np.uint8)
+    bits[(mix(h) >> U64(20)).astype(np.int64) % len(bits)] = 1
+    return np.packbits(bits).view("<i8")
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -75,17 +84,17 @@ def first_scan(docs: DataFrame, size: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for b in batches:
-            n, sid = [], []
+            n, sid, bits = [], [], []
             for h in shingles(b.column("text"), size):
                 np.add.at(total, (h >> U64(44)).astype(np.int64), 1)
-                n.append(len(h)), sid.append(set_id(h))
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["rid", "doc_id", "n", "sid", "slice", "counts"])
+                n.append(len(h)), sid.append(set_id(h)), bits.append(picture(h))
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["rid", "doc_id", "n", "sid", "bits", "slice", "counts"])
         none, w = pa.nulls(SLICES, pa.int64()), SLOTS // SLICES
         counts = [zstandard.compress(total[i * w : (i + 1) * w].astype("<i8").tobytes(), 1) for i in range(SLICES)]
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SLICES), pa.int32()), pa.array(counts, pa.binary())], ["rid", "doc_id", "n", "sid", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array(counts, pa.binary())], ["rid", "doc_id", "n", "sid", "bits", "slice", "counts"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(scan, "rid long, doc_id long, n long, sid long, slice int, counts binary")
+    return rows.mapInArrow(scan, "rid long, doc_id long, n long, sid long, bits array<long>, slice int, counts binary")
 
 
 def sketch_of(first: DataFrame) -> np.ndarray:
@@ -252,22 +261,58 @@ def candidates(docs: DataFrame, reps: DataFrame, sketch: np.ndarray, n_bytes: in
 
 
 def probe_cells(cells: DataFrame, members: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links a, b: the probes of cells (*keys, a, set) on tries of members (*keys, b, set)."""
+    """Links a, b: the probes of cells (*keys, a, root, set) on tries of members (*keys, b, root, set). Only links that join
+    what the roots and the cell's links so far don't are returned: they connect all that all links would."""
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = [], []
         if len(left) and len(right):
             trie = Trie(read_sets(right, "b"))
+            root = dict(zip(right["b"].to_pylist(), right["root"].to_pylist())) | dict(zip(left["a"].to_pylist(), left["root"].to_pylist()))
+            up: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while up.get(x, x) != x:
+                    up[x] = up.get(up[x], up[x])
+                    x = up[x]
+                return x
+
+            apart = set(right["root"].to_pylist())
             for k, s in read_sets(left, "a").items():
-                found = [x for x in trie.probe(s, percent) if x != k] if len(s) else []
-                a += [k] * len(found)
-                b += found
+                if not len(s) or all(top(r) == top(root[k]) for r in apart):
+                    continue
+                for x in trie.probe(s, percent):
+                    if top(root[x]) != top(root[k]):
+                        up[top(root[x])] = top(root[k])
+                        a.append(k), b.append(x)
+                if len(a) % 16 == 0:
+                    apart = {top(r) for r in apart}
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    left, right = (d.select(*[F.col(c).alias(f"{side}_{c}") for c in keys], *[F.col(c).alias(c) for c in (side, "set")]) for d, side in ((cells, "a"), (members, "b")))
+    left, right = (d.select(*[F.col(c).alias(f"{side}_{c}") for c in keys], *[F.col(c).alias(c) for c in (side, "root", "set")]) for d, side in ((cells, "a"), (members, "b")))
     return left.groupBy(*[f"a_{c}" for c in keys]).cogroup(right.groupBy(*[f"b_{c}" for c in keys])).applyInArrow(walk, "a long, b long")
 
 
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b that can be linked by their pictures: each bit that differs stands for an element of one set alone, so
+    the overlap is at most half of what the sizes leave."""
+    side = lambda s: classes.select(F.col("sid").alias(s), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    most = F.col("a_n") + F.col("b_n") - differ  # twice the overlap, at most
+    return rows.where((100 + percent) * most >= 2 * percent * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links among pairs a, b. A star's centre with many others is dealt to many tries."""
+    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("salts"))
+    dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
+    members = dealt.join(sets, dealt.b == sets.sid).select(F.col("a").alias("centre"), "salt", "b", F.col("b").alias("root"), "set")
+    centres = dealt.select(F.col("a").alias("centre"), "salt").distinct()
+    centres = centres.join(sets, centres.centre == sets.sid).select("centre", "salt", F.col("sid").alias("a"), F.col("sid").alias("root"), "set")
+    return probe_cells(centres, members, ["centre", "salt"], percent)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """rid, doc_id, n_shingles, class_id, component_id of each row of docs (doc_id, text).
 
@@ -277,63 +322,76 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     table: no rows. docs must be a scan or a materialized table (see common.blocked).
     """
     first = materialize(first_scan(docs, size), "jaccard-sets")
-    known = first.where("slice IS NULL").select("rid", "doc_id", "n", "sid")
+    known = first.where("slice IS NULL").select("rid", "doc_id", "n", "sid", "bits")
     sketch = sketch_of(first)
-    classes = known.where("n > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"))
+    classes = known.where("n > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("bits").alias("bits"))
     classes = materialize(classes, "jaccard-classes")
     _, n_bytes = corpus_size(docs)
     found = materialize(candidates(docs.select("text"), classes, sketch, n_bytes, size, percent), "jaccard-candidates")
-    pairs = found.where("kind = 0").select("a", "b").distinct()
+    pairs = materialize(possible(found.where("kind = 0").select("a", "b").distinct(), classes, percent), "jaccard-pairs")
     needs = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).union(found.where("kind = 1").select(F.col("b").alias("sid"))).distinct()
     needs = materialize(needs.join(classes.select("sid", "rid"), "sid").select("rid", "sid"), "jaccard-needs")
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    slots = needs.select(F.pmod(F.xxhash64("rid"), F.lit(ROWS_MAP)).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
+    wanted = np.zeros(ROWS_MAP, bool)
+    wanted[slots] = True
+    shared = docs.sparkSession.sparkContext.broadcast((sketch, np.packbits(wanted)))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.unpackbits(shared.value[1]).astype(bool)
         for b in batches:
+            b = b.filter(pa.array(own[b.column("slot").to_numpy()]))
             # common shingles first
-            sets = [np.sort(~ordered(h, shared.value)).astype("<u8").tobytes() for h in shingles(b.column("text"), size)]
-            yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array(sets, pa.binary())], ["sid", "set"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = materialize(rows.join(needs, "rid").select("sid", "text").mapInArrow(build, "sid long, set binary"), "jaccard-tries")
-    # a star's centre with many others is dealt to many tries
-    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(512)).alias("salts"))
-    dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
-    members = dealt.join(sets, dealt.b == sets.sid).select("a", "salt", "b", "set")
-    centres = dealt.select(F.col("a").alias("centre"), "salt").distinct()
-    centres = centres.join(sets, centres.centre == sets.sid).select(F.col("centre"), "salt", F.col("sid").alias("a"), "set")
-    links = materialize(probe_cells(centres, members.withColumnRenamed("a", "centre"), ["centre", "salt"], percent), "jaccard-links")
+            sets = [np.sort(~ordered(h, shared.value[0])).astype("<u8").tobytes() for h in shingles(b.column("text"), size)]
+            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(sets, pa.binary())], ["rid", "set"])
+
+    # sets are built where the texts are scanned: the bit map, of fixed size, lets few others through, and texts aren't moved
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("text", F.lit("")).alias("text")).withColumn("slot", F.pmod(F.xxhash64("rid"), F.lit(ROWS_MAP)).cast("int"))
+    sets = materialize(rows.mapInArrow(build, "rid long, set binary").join(needs, "rid").select("sid", "set"), "jaccard-tries")
+    # a text is compared with the least of its partners first; what that joins needs no other comparison
+    first_pairs = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")), "jaccard-first")
+    links = materialize(verified(first_pairs, sets, percent), "jaccard-links")
+    roots = components(links)
+    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    rest = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    rest = materialize(rest.join(first_pairs, ["a", "b"], "left_anti"), "jaccard-rest")
+    links = materialize(links.union(verified(rest, sets, percent)), "jaccard-links")
     roots = components(links)
     runs = found.where("kind = 1").select(F.col("a").alias("run"), F.col("b").alias("sid"), "n")
     if not runs.isEmpty():
         more = materialize(across(runs, roots, sets, percent), "jaccard-links")
         if not more.isEmpty():
             roots = components(links.union(more))
-    joined = classes.join(roots, classes.sid == roots.node, "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
+    joined = classes.join(roots, classes.sid == roots.node, "left").select(classes.sid, "least", F.coalesce("root", "sid").alias("root"))
     joined = materialize(joined, "jaccard-roots")
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = joined.join(ids, "root").select("sid", "component_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    out = known.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(16)).cast("int")).join(ids, ["sid", "salt"], "left")
+    out = known.drop("bits").withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(16)).cast("int")).join(ids, ["sid", "salt"], "left")
     lone = F.col("n") == 0
     return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(~lone, F.col("sid")).alias("class_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def across(runs: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of a large run that aren't yet of one component: the run, by length, is cut into blocks, and
-    two blocks meet in a trie if their lengths can be similar and they aren't of one component anyway."""
+    """Links between members of large runs that aren't yet of one component.
+
+    Runs that share members hold much the same texts, so they are gathered into families and a text is compared once a
+    family, not once a run. A family, by component and length, is cut into blocks; two blocks meet in a trie if their
+    lengths can be similar and they aren't of one component anyway, and a cell leaves out what it has joined by then.
+    """
     rows = runs.join(roots, runs.sid == roots.node, "left").select("run", "sid", "n", F.coalesce("root", "sid").alias("root"))
-    mixed = rows.groupBy("run").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("run")
-    # a run's members of one component and length range are blocked together
-    rows = rows.join(mixed, "run").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("run").orderBy("root", "n", "sid")) - 1) / BLOCK))
-    rows = materialize(rows, "jaccard-runs")
-    ends = rows.groupBy("run", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    x, y = (ends.select("run", *[F.col(c).alias(f"{s}_{c}") for c in ("block", "lo", "hi", "r0", "r1")]) for s in "xy")
-    met = x.join(y, "run").where("x_block <= y_block").where(f"100 * least(x_hi, y_hi) >= {percent} * greatest(x_lo, y_lo)")
-    met = met.where("NOT (x_r0 = x_r1 AND y_r0 = y_r1 AND x_r0 = y_r0)").select("run", "x_block", "y_block")
-    with_sets = rows.join(sets, "sid").select("run", "block", "sid", "set")
-    left = met.join(with_sets, (met.run == with_sets.run) & (met.x_block == with_sets.block)).select(met.run, "x_block", "y_block", F.col("sid").alias("a"), "set")
-    right = met.join(with_sets, (met.run == with_sets.run) & (met.y_block == with_sets.block)).select(met.run, "x_block", "y_block", F.col("sid").alias("b"), "set")
-    return probe_cells(left, right, ["run", "x_block", "y_block"], percent)
+    mixed = rows.groupBy("run").agg((F.min("root") != F.max("root")).alias("open"), F.min("sid").alias("first")).where("open").select("run", "first")
+    rows = materialize(rows.join(mixed, "run"), "jaccard-runs")
+    family = components(rows.select(F.col("first").alias("a"), F.col("sid").alias("b")))
+    rows = rows.select("sid", "n", "root").distinct().join(family.select(F.col("node").alias("sid"), F.col("root").alias("family")), "sid")
+    rows = rows.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("family").orderBy("root", "n", "sid")) - 1) / BLOCK))
+    rows = materialize(rows, "jaccard-families")
+    ends = rows.groupBy("family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    x, y = (ends.select("family", *[F.col(c).alias(f"{s}_{c}") for c in ("block", "lo", "hi", "r0", "r1")]) for s in "xy")
+    met = x.join(y, "family").where("x_block <= y_block").where(f"100 * least(x_hi, y_hi) >= {percent} * greatest(x_lo, y_lo)")
+    met = met.where("NOT (x_r0 = x_r1 AND y_r0 = y_r1 AND x_r0 = y_r0)").select("family", "x_block", "y_block")
+    with_sets = rows.join(sets, "sid").select("family", "block", "sid", "root", "set")
+    left = met.join(with_sets, (met.family == with_sets.family) & (met.x_block == with_sets.block)).select(met.family, "x_block", "y_block", F.col("sid").alias("a"), "root", "set")
+    right = met.join(with_sets, (met.family == with_sets.family) & (met.y_block == with_sets.block)).select(met.family, "x_block", "y_block", F.col("sid").alias("b"), "root", "set")
+    return probe_cells(left, right, ["family", "x_block", "y_block"], percent)
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
