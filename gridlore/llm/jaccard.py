@@ -2,9 +2,10 @@
 
 Word shingles have one global order: by a sketch of their corpus frequency, rare ones first, then by hash. Two sets of
 enough similarity share a shingle among the rarest of each (the prefix), so only texts that share one can be linked.
-Such texts meet in a trie of their sets, common shingles first: a probe walks it, adds up the overlap of the path once
-for all sets below, and leaves a subtree whose remaining lengths can't bring the overlap that is needed. Texts with
-equal sets are one class throughout.
+Texts that are joined by such pairs, directly or through others, are a family. Every pair of a family whose lengths can
+be similar is compared, once: a family's blocks meet in tries of their sets, common shingles first. The probes of a
+block walk a trie together, add up the overlap of the path once for all sets below, and leave a subtree whose remaining
+lengths can't bring the overlap that is needed. Texts with equal sets are one class throughout.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.llm import repeats as R
@@ -25,8 +26,11 @@ from gridlore.llm.graph import components
 SLOTS, SLICES, LEVELS = 1 << 20, 16, 64
 #: Words of a set's bit picture, and slots of the bit map that rows are looked up in before the exact join.
 PICTURE, ROWS_MAP = 32, 1 << 20
-#: Texts that share a prefix shingle: up to FEW, all pairs are tried at once; of more, first a star, then blocks of BLOCK.
+#: Texts that share a prefix shingle: of up to FEW, the pairs that their pictures let through are candidates, of more, all.
+#: A family's blocks have about BLOCK texts.
 FEW, BLOCK = 24, 128
+#: Bytes of the table of which probes hold which shingles of a trie.
+HELD_BYTES = 64 << 20
 
 _BYTES, _WORDS = Poly(31), Poly(32)
 U64 = np.uint64
@@ -115,22 +119,34 @@ def sketch_of(first: DataFrame) -> np.ndarray:
 class Trie:
     """A prefix tree over sorted arrays of 64-bit numbers: a node is a run of the sorted list that agrees up to a depth."""
 
-    def __init__(self, sets: dict[int, np.ndarray]):
-        byte = {k: s.astype(">u8").tobytes() for k, s in sets.items()}
-        self.keys = sorted(sets, key=lambda k: (byte[k], k))
-        self.sets = [sets[k] for k in self.keys]
+    def __init__(self, sets: list[np.ndarray]):
+        byte = [s.astype(">u8").tobytes() for s in sets]
+        self.order = sorted(range(len(sets)), key=byte.__getitem__)
+        self.sets = [sets[k] for k in self.order]
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        self.own = np.unique(np.concatenate(self.sets))
+        self.at = [np.searchsorted(self.own, s) for s in self.sets]
+
+    def links(self, probes: list[np.ndarray], percent: int) -> np.ndarray:
+        """Whether each probe (row) is linked with each set (column, in the order given)."""
+        out = np.zeros((len(probes), len(self.sets)), bool)
+        step = max(1, HELD_BYTES // len(self.own))
+        for i in range(0, len(probes), step):
+            self._walk(probes[i : i + step], percent, out[i : i + step])
+        return out
 
-    def probe(self, p: np.ndarray, percent: int) -> list[int]:
-        """Keys of the sets that are linked with p."""
-        out, todo = [], [(0, len(self.sets), 0, 0)]
+    def _walk(self, probes: list[np.ndarray], percent: int, out: np.ndarray) -> None:
+        held = np.zeros((len(self.own), len(probes)), np.uint8)
+        for i, p in enumerate(probes):
+            at = np.minimum(np.searchsorted(self.own, p), len(self.own) - 1)
+            held[at[self.own[at] == p], i] = 1
+        size = np.array([len(p) for p in probes], np.int64)
+        todo = [(0, len(self.sets), 0, np.zeros(len(probes), np.int64), np.ones(len(probes), bool))]
         while todo:
-            lo, hi, depth, overlap = todo.pop()
-            if lo == hi:
-                continue
-            sizes = self.sizes[lo:hi]
-            least, most = int(sizes.min()), int(sizes.max())
-            if 100 * min(len(p), most) < percent * max(len(p), least):
+            lo, hi, depth, overlap, on = todo.pop()
+            least, most = int(self.sizes[lo:hi].min()), int(self.sizes[lo:hi].max())
+            on = on & (100 * np.minimum(size, most) >= percent * np.maximum(size, least))
+            if not on.any():
                 continue
             a, z = self.sets[lo], self.sets[hi - 1]
             m = min(len(a), len(z))
@@ -139,32 +155,70 @@ class Trie:
             else:
                 differ = np.flatnonzero(a[depth:m] != z[depth:m])
                 end = depth + int(differ[0]) if len(differ) else m
-            part = a[depth:end]
-            at = np.searchsorted(p, part)
-            overlap += int((p[np.minimum(at, len(p) - 1)] == part).sum()) if len(part) else 0
-            seen = int(np.searchsorted(p, a[end - 1], "right")) if end else 0
-            if overlap + min(len(p) - seen, most - end) < needed(len(p), least, percent):
+            overlap = overlap + held[self.at[lo][depth:end]].sum(axis=0, dtype=np.int64)
+            on = on & (overlap + np.minimum(size - overlap, most - end) >= needed(size, least, percent))
+            if not on.any():
                 continue
             while lo < hi and len(self.sets[lo]) == end:
-                if 100 * overlap >= percent * (len(p) + end - overlap):
-                    out.append(self.keys[lo])
+                out[:, self.order[lo]] = on & (100 * overlap >= percent * (size + end - overlap))
                 lo += 1
             if lo < hi:
                 nxt = np.array([s[end] for s in self.sets[lo:hi]], U64)
                 cuts = [0, *(np.flatnonzero(nxt[1:] != nxt[:-1]) + 1).tolist(), hi - lo]
-                todo += [(lo + x, lo + y, end, overlap) for x, y in zip(cuts, cuts[1:])]
-        return out
+                todo += [(lo + x, lo + y, end, overlap, on) for x, y in zip(cuts, cuts[1:])]
+
+
+def pack_block(sid: np.ndarray, weight: np.ndarray, sets: list[np.ndarray]) -> bytes:
+    """A block's texts, the shingles once, the sets as steps through them."""
+    own, place = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets], np.int64)
+    step, first = place.astype(np.int64), np.cumsum(size) - size
+    step[1:] -= place[:-1]
+    step[first] = place[first]
+    return zstandard.compress(R._pack(sid.astype("<i8"), weight.astype("<i8"), size.astype("<i8"), own.astype("<u8"), step.astype("<i4")), 1)
+
+
+def unpack_block(data: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    sid, weight, size, own, step = R._unpack(zstandard.decompress(data), "<i8", "<i8", "<i8", "<u8", "<i4")
+    cut = np.append(0, np.cumsum(size)).tolist()
+    return sid, weight, [own[np.cumsum(step[x:y])] for x, y in zip(cut, cut[1:])]
 
 
-def read_sets(t: pa.Table, key: str) -> dict[int, np.ndarray]:
-    return {k: np.frombuffer(s, "<u8") for k, s in zip(t[key].to_pylist(), t["set"].to_pylist())}
+Block = tuple[np.ndarray, np.ndarray, list[np.ndarray]]
 
 
-PAIRS = "kind int, a long, b long, n long"  # kind 0: a pair of sids; 1: b, of n shingles, is in the large run a
+def meet(x: Block, y: Block | None, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b, n of the texts a that are linked in block x, or between x and y: b is the least text of the two blocks that a is
+    connected with by these links, n how many documents it is linked with by them."""
+    same = y is None
+    (xs, xw, sets), (ys, yw, others) = x, x if y is None else y
+    linked = Trie(others).links(sets, percent)
+    if same:
+        np.fill_diagonal(linked, False)
+    n = [linked @ yw, linked.T @ xw]
+    far = np.iinfo(np.int64).max
+    left, right = xs.copy(), ys.copy()
+    while True:  # the least goes round until nothing changes
+        l2 = np.minimum(left, np.where(linked, right, far).min(axis=1))
+        if same:
+            right = l2
+        r2 = np.minimum(right, np.where(linked.T, l2, far).min(axis=1))
+        if same:
+            l2 = r2
+        done = np.array_equal(l2, left) and np.array_equal(r2, right)
+        left, right = l2, r2
+        if done:
+            break
+    sides = [(xs, left, n[0])] if same else [(xs, left, n[0]), (ys, right, n[1])]
+    return tuple(np.concatenate([s[k][s[2] > 0] for s in sides]) for k in range(3))
+
+
+PAIRS = "kind int, a long, b long"  # kind 0: a pair of sids; 1: b is in a large run of which a is the least
 
 
 def candidates(docs: DataFrame, reps: DataFrame, sketch: np.ndarray, n_bytes: int, size: int, percent: int) -> DataFrame:
-    """Pairs of set ids that share a prefix shingle, and the members of large runs. reps (rid): one document a set."""
+    """Pairs of set ids that share a prefix shingle; those of large runs as stars, which stand for all pairs of the run. reps
+    (rid): one document a set."""
     texts, n_blocks = blocked(docs, n_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     reps = reps.select("rid", F.pmod(F.xxhash64("rid"), F.lit(n_blocks)).cast("long").alias("block"))
@@ -225,14 +279,16 @@ def candidates(docs: DataFrame, reps: DataFrame, sketch: np.ndarray, n_bytes: in
         new[1:] = token[1:] != token[:-1]
         begin = np.flatnonzero(new)
         length = np.diff(np.append(begin, len(token)))
-        parts, runs = [], []
+        parts = [[], []]
 
-        def keep(i, j):  # lengths that can be similar
+        def keep(kind, a, b):
+            parts[kind].append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+            if sum(map(len, parts[kind])) > 1_000_000:
+                parts[kind][:] = [np.unique(np.concatenate(parts[kind]), axis=0)]
+
+        def similar(i, j):  # lengths that can be similar
             ok = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
-            a, b = sid[i[ok]], sid[j[ok]]
-            parts.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-            if sum(map(len, parts)) > 1_000_000:
-                parts[:] = [np.unique(np.concatenate(parts), axis=0)]
+            keep(0, sid[i[ok]], sid[j[ok]])
 
         for k in np.unique(length):  # all runs of one length at once
             at = begin[length == k]
@@ -240,59 +296,21 @@ def candidates(docs: DataFrame, reps: DataFrame, sketch: np.ndarray, n_bytes: in
                 x, y = np.triu_indices(k, 1)
                 for z in range(0, len(at), max(1, 2_000_000 // len(x))):
                     some = at[z : z + max(1, 2_000_000 // len(x))]
-                    keep((some[:, None] + x).ravel(), (some[:, None] + y).ravel())
+                    similar((some[:, None] + x).ravel(), (some[:, None] + y).ravel())
             elif k > FEW:
                 for a in at.tolist():
-                    i = np.arange(a, a + k)
-                    c = a + int(np.argmin(sid[a : a + k]))
-                    keep(np.full(k, c), i)
-                    runs.append((int(token[a].astype(np.int64)), sid[i], size[i]))
-        p = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *parts]), axis=0)
-        p = p[p[:, 0] != p[:, 1]]
-        a = np.concatenate([p[:, 0], *(np.full(len(s), r) for r, s, _ in runs)])
-        b = np.concatenate([p[:, 1], *(s for _, s, _ in runs)])
-        n = np.concatenate([np.zeros(len(p), np.int64), *(s for _, _, s in runs)])
-        kind = np.concatenate([np.zeros(len(p), np.int32), np.ones(len(a) - len(p), np.int32)])
-        return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+                    own = sid[a : a + k]
+                    keep(1, np.full(k, own.min()), own)
+        p = [np.unique(np.concatenate([np.zeros((0, 2), np.int64), *x]), axis=0) for x in parts]
+        kind, p = np.repeat([0, 1], [len(x) for x in p]), np.concatenate(p)
+        kind, p = kind[p[:, 0] != p[:, 1]], p[p[:, 0] != p[:, 1]]
+        return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64())})
 
     flags = R.exchange(texts.groupBy("block").cogroup(chosen.groupBy("to")).applyInArrow(keys, R.ROWS), judge)
     posted = texts.groupBy("block").cogroup(flags.union(chosen).groupBy("to")).applyInArrow(postings, R.ROWS)
     return posted.groupBy("to").applyInArrow(pairs, PAIRS)
 
 
-def probe_cells(cells: DataFrame, members: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links a, b: the probes of cells (*keys, a, root, set) on tries of members (*keys, b, root, set). Only links that join
-    what the roots and the cell's links so far don't are returned: they connect all that all links would."""
-
-    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = [], []
-        if len(left) and len(right):
-            trie = Trie(read_sets(right, "b"))
-            root = dict(zip(right["b"].to_pylist(), right["root"].to_pylist())) | dict(zip(left["a"].to_pylist(), left["root"].to_pylist()))
-            up: dict[int, int] = {}
-
-            def top(x: int) -> int:
-                while up.get(x, x) != x:
-                    up[x] = up.get(up[x], up[x])
-                    x = up[x]
-                return x
-
-            apart = set(right["root"].to_pylist())
-            for k, s in read_sets(left, "a").items():
-                if not len(s) or all(top(r) == top(root[k]) for r in apart):
-                    continue
-                for x in trie.probe(s, percent):
-                    if top(root[x]) != top(root[k]):
-                        up[top(root[x])] = top(root[k])
-                        a.append(k), b.append(x)
-                if len(a) % 16 == 0:
-                    apart = {top(r) for r in apart}
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    left, right = (d.select(*[F.col(c).alias(f"{side}_{c}") for c in keys], *[F.col(c).alias(c) for c in (side, "root", "set")]) for d, side in ((cells, "a"), (members, "b")))
-    return left.groupBy(*[f"a_{c}" for c in keys]).cogroup(right.groupBy(*[f"b_{c}" for c in keys])).applyInArrow(walk, "a long, b long")
-
-
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b that can be linked by their pictures: each bit that differs stands for an element of one set alone, so
     the overlap is at most half of what the sizes leave."""
@@ -303,34 +321,70 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return rows.where((100 + percent) * most >= 2 * percent * (F.col("a_n") + F.col("b_n"))).select("a", "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links among pairs a, b. A star's centre with many others is dealt to many tries."""
-    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("salts"))
-    dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
-    members = dealt.join(sets, dealt.b == sets.sid).select(F.col("a").alias("centre"), "salt", "b", F.col("b").alias("root"), "set")
-    centres = dealt.select(F.col("a").alias("centre"), "salt").distinct()
-    centres = centres.join(sets, centres.centre == sets.sid).select("centre", "salt", F.col("sid").alias("a"), F.col("sid").alias("root"), "set")
-    return probe_cells(centres, members, ["centre", "salt"], percent)
+MADE = "family long, block long, lo long, hi long, data binary, a long, b long, n long"
+
+
+def within(sets: DataFrame, percent: int) -> DataFrame:
+    """Of the blocks of sets (family, block, alone, sid, weight, set): what their own links are (see meet), and, if the family
+    has others, the block packed (data), with its least and largest set (lo, hi)."""
+
+    def walk(t: pa.Table) -> pa.Table:
+        block = (t["sid"].to_numpy(), t["weight"].to_numpy(), [np.frombuffer(s, "<u8") for s in t["set"].to_pylist()])
+        a, b, n = meet(block, None, percent)
+        rows = [(None, None, None, None, None, *r) for r in zip(a.tolist(), b.tolist(), n.tolist())]
+        if not t["alone"][0].as_py():
+            size = [len(s) for s in block[2]]
+            rows.append((t["family"][0].as_py(), t["block"][0].as_py(), min(size), max(size), pack_block(*block), None, None, None))
+        kinds = [("family", pa.int64()), ("block", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("data", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]
+        return pa.table([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[c for c, _ in kinds])
+
+    return sets.groupBy("family", "block").applyInArrow(walk, MADE)
+
+
+def between(blocks: DataFrame, percent: int) -> DataFrame:
+    """a, b, n (see meet) of any two blocks of a family whose lengths can be similar."""
+
+    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b, n = meet(unpack_block(left["data"][0].as_py()), unpack_block(right["data"][0].as_py()), percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    x, y = (blocks.select("family", *[F.col(c).alias(f"{s}_{c}") for c in ("block", "lo", "hi")]) for s in "xy")
+    met = x.join(y, "family").where("x_block < y_block").where(f"100 * least(x_hi, y_hi) >= {percent} * greatest(x_lo, y_lo)").select("family", "x_block", "y_block")
+    keys = ["family", "x_block", "y_block"]
+    left, right = (met.join(blocks.select("family", F.col("block").alias(f"{s}_block"), "data"), ["family", f"{s}_block"]).select(*[F.col(c).alias(f"{s}_of_{c}") for c in keys], "data") for s in "xy")
+    return left.groupBy(*[f"x_of_{c}" for c in keys]).cogroup(right.groupBy(*[f"y_of_{c}" for c in keys])).applyInArrow(walk, "a long, b long, n long")
+
+
+def families(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """rid, sid, weight, family, block, alone of every text that has a candidate. A family of over BLOCK texts is cut into
+    bands by length, and these by hash into blocks of about BLOCK texts; alone: it is one block."""
+    family = materialize(components(edges), "jaccard-families")
+    rows = family.join(classes, family.node == classes.sid).select("rid", "sid", "n", "weight", F.col("root").alias("family"))
+    members = rows.groupBy("family").agg((F.count(F.lit(1)) <= BLOCK).alias("alone"))
+    rows = rows.join(members, "family").withColumn("band", F.when(F.col("alone"), 0).otherwise(F.floor(3 * F.log2("n"))).cast("long"))
+    rows = materialize(rows, "jaccard-families")
+    blocks = rows.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
+    block = F.col("band") * F.lit(1 << 40) + F.pmod(F.xxhash64("sid"), F.col("blocks"))
+    return rows.join(blocks, ["family", "band"]).select("rid", "sid", "weight", "family", block.alias("block"), "alone")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """rid, doc_id, n_shingles, class_id, component_id of each row of docs (doc_id, text).
+    """rid, doc_id, n_shingles, class_id, component_id, n_links of each row of docs (doc_id, text).
 
     Texts are linked when 100 * intersection >= percent * union of their sets; component_id is the least doc_id reachable,
-    class_id tells equal sets. Texts without words (null, empty) have no shingles and no links, and are their own
+    class_id tells equal sets, n_links is the number of other rows that the row is linked with, those of equal sets too. Texts without words (null, empty) have no shingles and no links, and are their own
     components. Repeated rows are of one class. Null ids are no one's component_id, unless there is no other. Empty
     table: no rows. docs must be a scan or a materialized table (see common.blocked).
     """
     first = materialize(first_scan(docs, size), "jaccard-sets")
     known = first.where("slice IS NULL").select("rid", "doc_id", "n", "sid", "bits")
     sketch = sketch_of(first)
-    classes = known.where("n > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("bits").alias("bits"))
+    classes = known.where("n > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.count(F.lit(1)).alias("weight"))
     classes = materialize(classes, "jaccard-classes")
     _, n_bytes = corpus_size(docs)
     found = materialize(candidates(docs.select("text"), classes, sketch, n_bytes, size, percent), "jaccard-candidates")
-    pairs = materialize(possible(found.where("kind = 0").select("a", "b").distinct(), classes, percent), "jaccard-pairs")
-    needs = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).union(found.where("kind = 1").select(F.col("b").alias("sid"))).distinct()
-    needs = materialize(needs.join(classes.select("sid", "rid"), "sid").select("rid", "sid"), "jaccard-needs")
+    pairs = possible(found.where("kind = 0").select("a", "b").distinct(), classes, percent)
+    needs = materialize(families(pairs.union(found.where("kind = 1").select("a", "b")), classes), "jaccard-needs")
     slots = needs.select(F.pmod(F.xxhash64("rid"), F.lit(ROWS_MAP)).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
     wanted = np.zeros(ROWS_MAP, bool)
     wanted[slots] = True
@@ -346,57 +400,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     # sets are built where the texts are scanned: the bit map, of fixed size, lets few others through, and texts aren't moved
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("text", F.lit("")).alias("text")).withColumn("slot", F.pmod(F.xxhash64("rid"), F.lit(ROWS_MAP)).cast("int"))
-    sets = materialize(rows.mapInArrow(build, "rid long, set binary").join(needs, "rid").select("sid", "set"), "jaccard-tries")
-    # a text is compared with the least of its partners first; what that joins needs no other comparison
-    first_pairs = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")), "jaccard-first")
-    links = materialize(verified(first_pairs, sets, percent), "jaccard-links")
-    roots = components(links)
-    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    rest = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    rest = materialize(rest.join(first_pairs, ["a", "b"], "left_anti"), "jaccard-rest")
-    links = materialize(links.union(verified(rest, sets, percent)), "jaccard-links")
-    roots = components(links)
-    runs = found.where("kind = 1").select(F.col("a").alias("run"), F.col("b").alias("sid"), "n")
-    if not runs.isEmpty():
-        more = materialize(across(runs, roots, sets, percent), "jaccard-links")
-        if not more.isEmpty():
-            roots = components(links.union(more))
-    joined = classes.join(roots, classes.sid == roots.node, "left").select(classes.sid, "least", F.coalesce("root", "sid").alias("root"))
+    sets = rows.mapInArrow(build, "rid long, set binary").join(needs, "rid")
+    made = materialize(within(sets, percent), "jaccard-blocks")
+    links = made.where("a IS NOT NULL").select("a", "b", "n")
+    blocks = made.where("data IS NOT NULL").select("family", "block", "lo", "hi", "data")
+    if not blocks.isEmpty():
+        links = links.union(materialize(between(blocks, percent), "jaccard-links"))
+    roots = components(links.select("a", "b"))
+    counts = links.groupBy("a").agg(F.sum("n").alias("others"))
+    joined = classes.join(roots, classes.sid == roots.node, "left").join(counts, classes.sid == counts.a, "left")
+    joined = joined.select(classes.sid, "least", F.coalesce("root", "sid").alias("root"), (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     joined = materialize(joined, "jaccard-roots")
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = joined.join(ids, "root").select("sid", "component_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    ids = joined.join(ids, "root").select("sid", "component_id", "n_links", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
     out = known.drop("bits").withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(16)).cast("int")).join(ids, ["sid", "salt"], "left")
     lone = F.col("n") == 0
-    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(~lone, F.col("sid")).alias("class_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def across(runs: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of large runs that aren't yet of one component.
-
-    Runs that share members hold much the same texts, so they are gathered into families and a text is compared once a
-    family, not once a run. A family, by component and length, is cut into blocks; two blocks meet in a trie if their
-    lengths can be similar and they aren't of one component anyway, and a cell leaves out what it has joined by then.
-    """
-    rows = runs.join(roots, runs.sid == roots.node, "left").select("run", "sid", "n", F.coalesce("root", "sid").alias("root"))
-    mixed = rows.groupBy("run").agg((F.min("root") != F.max("root")).alias("open"), F.min("sid").alias("first")).where("open").select("run", "first")
-    rows = materialize(rows.join(mixed, "run"), "jaccard-runs")
-    family = components(rows.select(F.col("first").alias("a"), F.col("sid").alias("b")))
-    rows = rows.select("sid", "n", "root").distinct().join(family.select(F.col("node").alias("sid"), F.col("root").alias("family")), "sid")
-    rows = rows.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("family").orderBy("root", "n", "sid")) - 1) / BLOCK))
-    rows = materialize(rows, "jaccard-families")
-    ends = rows.groupBy("family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    x, y = (ends.select("family", *[F.col(c).alias(f"{s}_{c}") for c in ("block", "lo", "hi", "r0", "r1")]) for s in "xy")
-    met = x.join(y, "family").where("x_block <= y_block").where(f"100 * least(x_hi, y_hi) >= {percent} * greatest(x_lo, y_lo)")
-    met = met.where("NOT (x_r0 = x_r1 AND y_r0 = y_r1 AND x_r0 = y_r0)").select("family", "x_block", "y_block")
-    with_sets = rows.join(sets, "sid").select("family", "block", "sid", "root", "set")
-    left = met.join(with_sets, (met.family == with_sets.family) & (met.x_block == with_sets.block)).select(met.family, "x_block", "y_block", F.col("sid").alias("a"), "root", "set")
-    right = met.join(with_sets, (met.family == with_sets.family) & (met.y_block == with_sets.block)).select(met.family, "x_block", "y_block", F.col("sid").alias("b"), "root", "set")
-    return probe_cells(left, right, ["family", "x_block", "y_block"], percent)
+    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(~lone, F.col("sid")).alias("class_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(lone, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"))
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -112,6 +112,27 @@ def test_jaccard(spark, monkeypatch, few, block):
     assert key((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == linked(rows)
 
 
+def shingle_sets(rows):
+    out = []
+    for _, t in rows:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    return out
+
+
+@pytest.mark.parametrize("few,block", [(24, 128), (2, 8)])
+def test_jaccard_counts_every_link(docs, monkeypatch, few, block):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    near = near_copies(150)
+    near += [(1000 + i, t) for i, (_, t) in enumerate(near[:40])]  # equal texts count one by one
+    for rows, df in ((near, docs.sparkSession.createDataFrame(near, "doc_id long, text string").coalesce(1)), ([d[:2] for d in DOCS], docs.select("doc_id", "text"))):
+        sets = shingle_sets(rows)
+        want = key((d, sum(100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets) if j != i and a)) for i, ((d, _), a) in enumerate(zip(rows, sets)))
+        assert key((r["doc_id"], r["n_links"]) for r in jaccard.near_duplicates(df).collect()) == want
+    assert max(n for _, n in want) > 1
+
+
 def test_jaccard_odd_rows(docs):
     got = jaccard.near_duplicates(docs.select("doc_id", "text")).collect()
     assert key((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == linked([d[:2] for d in DOCS])
