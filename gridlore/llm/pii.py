@@ -2,7 +2,7 @@
 
 What the base patterns find are the protected entities. A term discloses an entity when it foretells it: with
 probabilities as shares of documents, PMI(term; entity) >= ALPHA * IC(entity), that is P(entity | term) >=
-P(entity) ^ (1 - ALPHA), and the two stand near each other in MIN_CONTEXTS differently worded places at least. Such
+P(entity) ^ (1 - ALPHA), and the two are in MIN_CONTEXTS differently worded documents at least, wherever they stand. Such
 terms are found in every document, with the entity or without it: those that foretell an entity for certain are
 removed, the others generalised.
 """
@@ -10,6 +10,8 @@ removed, the others generalised.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 
 from gridlore.llm.common import materialize
 
-ALPHA, MIN_CONTEXTS, NEAR = 0.9, 3, 8
+ALPHA, MIN_CONTEXTS = 0.9, 3
+#: Distinct words that a task knows or counts at once.
+WORDS = 500_000
 #: Slots of the bit map that candidate terms are looked up in before the exact join; its size is fixed.
 SLOTS = 1 << 20
 
@@ -76,58 +80,104 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
-def contexts(text: str, spans: list[list[tuple[int, int]]]) -> list[dict[str, int]]:
-    """entity, term, context of the terms within NEAR terms before and behind each span."""
-    out: dict[tuple[int, int], int] = {}
+def entities(text: str, spans: list[list[tuple[int, int]]]) -> list[int]:
+    found = set()
     for kind, own in zip(KINDS, spans):
         for a, b in own:
             value = text[a:b].lower() if kind == "email" else re.sub(r"[^0-9.]", "", text[a:b])
-            e = _hash(f"{kind}:{value}")
-            terms = _TERM.findall(text[max(0, a - 16 * NEAR) : a])[-NEAR:] + _TERM.findall(text[b : b + 16 * NEAR])[:NEAR]
-            terms = [t.lower() for t in terms]
-            ctx = _hash(" ".join(terms))
-            for t in terms:
-                out.setdefault((e, _hash(t)), ctx)
-    return [{"e": e, "t": t, "ctx": c} for (e, t), c in out.items()]
+            found.add(_hash(f"{kind}:{value}"))
+    return sorted(found)
 
 
-BASE = "rid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<e:long,t:long,ctx:long>>"
+def terms_outside(text: str, spans: list[list[tuple[int, int]]]) -> Iterator[re.Match]:
+    """The terms that no span touches."""
+    start, end = [], []
+    for a, b in sorted(s for own in spans for s in own):
+        if end and a <= end[-1]:
+            end[-1] = max(end[-1], b)
+        else:
+            start.append(a), end.append(b)
+    for m in _TERM.finditer(text):
+        k = bisect_left(start, m.end())
+        if not k or end[k - 1] <= m.start():
+            yield m
+
+
+BASE = "rid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, wording long, entities array<long>, terms array<long>, t long, n_t long"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row a document: base findings, and which terms stand near which entity."""
-    arrow = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("ctx", pa.int64())]))
+    """One row a document: base findings, and if there are any, its entities, its terms and a hash of its wording. And rows
+    with t alone: in how many of a task's documents the term is."""
+
+    def table(columns: dict, n: int) -> pa.RecordBatch:
+        kinds = {"base": pa.string(), "entities": pa.list_(pa.int64()), "terms": pa.list_(pa.int64())}
+        names = [c.split()[0] for c in BASE.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds.get(c, pa.int64())) if c in columns else pa.nulls(n, kinds.get(c, pa.int64())) for c in names], names)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        total: Counter = Counter()
         for b in batches:
-            counts, base, near = [[], [], [], []], [], []
+            counts, base, wording, ents, terms = [[], [], [], []], [], [], [], []
             for t in b.column("text"):
                 text = t.as_py() or ""
                 spans = base_spans(text)
                 for c, own in zip(counts, spans):
                     c.append(len(own))
                 base.append(written(KINDS, spans))
-                near.append(contexts(text, spans) if base[-1] else [])
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(near, arrow)], ["rid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "near"])
+                said = set()
+                for w in {m[0] for m in terms_outside(text, spans)} if base[-1] else set(_TERM.findall(text)):
+                    h = known.get(w)
+                    if h is None:
+                        h = known[w] = _hash(w.lower())
+                    said.add(h)
+                total.update(said)
+                if len(known) > WORDS:
+                    known.clear()
+                ents.append(entities(text, spans) if base[-1] else [])
+                terms.append(sorted(said) if base[-1] else [])
+                wording.append(_hash(" ".join(_TERM.findall(text)).lower()) if base[-1] else None)
+            yield table({"rid": b.column("rid").to_pylist(), "doc_id": b.column("doc_id").to_pylist(), **dict(zip(("n_email", "n_ip", "n_card", "n_phone"), counts)), "base": base, "wording": wording, "entities": ents, "terms": terms}, len(base))
+            if len(total) > WORDS:
+                yield table({"t": list(total), "n_t": list(total.values())}, len(total))
+                total.clear()
+        yield table({"t": list(total), "n_t": list(total.values())}, len(total))
 
     return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, BASE)
 
 
-def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame | None:
-    """rid, terms (array of start, end, sure): where terms that disclose an entity stand; None if there are none.
+def flagged_terms(scanned: DataFrame) -> DataFrame | None:
+    """t, sure: the terms that disclose an entity; None if there can't be any.
 
-    Counts are over all documents. Terms that can't pass are left out early: a term's documents are at least those
-    in which it is near some entity.
+    All counts are of whole documents. What is left out early can't pass: an entity or a term is in as many documents as
+    the two together at least.
     """
+    base, counts = scanned.where("t IS NULL"), scanned.where("t IS NOT NULL")
     n_docs = base.count()
-    near = base.select("rid", F.explode("near").alias("x")).select("rid", "x.e", "x.t", "x.ctx")
-    pairs = near.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_et"), F.count_distinct("ctx").alias("ctxs")).where(F.col("ctxs") >= MIN_CONTEXTS)
-    n_e = near.select("rid", "e").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    least = near.select("rid", "t").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n_t_least"))
-    enough = F.pow(F.col("n_e") / F.lit(max(1, n_docs)), F.lit(1 - ALPHA))
-    maybe = pairs.join(n_e, "e").join(least, "t").where(F.col("n_et") / F.col("n_t_least") >= enough)
-    maybe = materialize(maybe.select("e", "t", "n_et", enough.alias("enough")), "pii-candidates")
-    slots = maybe.select(F.pmod("t", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
+    said = base.where("base <> ''").select("rid", F.explode("entities").alias("e"))
+    n_e = said.groupBy("e").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= MIN_CONTEXTS)
+    said = materialize(said.join(n_e, "e").withColumn("enough", F.pow(F.col("n_e") / F.lit(max(1, n_docs)), F.lit(1 - ALPHA))), "pii-entities")
+    least = said.agg(F.min("enough")).first()[0]
+    if least is None:
+        return None
+    held = base.join(said.select("rid").distinct(), "rid", "left_semi").select("rid", "wording", F.explode("terms").alias("t"))
+    m_t = held.groupBy("t").agg(F.count(F.lit(1)).alias("m_t")).where(F.col("m_t") >= MIN_CONTEXTS)
+    n_t = counts.groupBy("t").agg(F.sum("n_t").alias("n_t"))
+    some = materialize(m_t.join(n_t, "t").where(F.col("m_t") / F.col("n_t") >= least).select("t", "n_t"), "pii-candidates")
+    both = held.join(some, "t").join(said, "rid").where(F.col("n_e") / F.col("n_t") >= F.col("enough"))
+    pairs = both.groupBy("e", "t", "wording").agg(F.count(F.lit(1)).alias("n"), F.min("n_t").alias("n_t"), F.min("enough").alias("enough"))
+    pairs = pairs.groupBy("e", "t").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("wordings"), F.min("n_t").alias("n_t"), F.min("enough").alias("enough"))
+    p = F.col("n_et") / F.col("n_t")
+    return materialize(pairs.where((F.col("wordings") >= MIN_CONTEXTS) & (p >= F.col("enough"))).groupBy("t").agg((F.max(p) >= 1.0).alias("sure")), "pii-flagged")
+
+
+def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame | None:
+    """rid, terms (array of start, end, sure): where terms that disclose an entity stand; None if there are none."""
+    flagged = flagged_terms(scanned)
+    if flagged is None:
+        return None
+    slots = flagged.select(F.pmod("t", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
     if not len(slots):
         return None
     bits = np.zeros(SLOTS, bool)
@@ -148,13 +198,12 @@ def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame | None:
                         known[w] = h if own[h % SLOTS] else None
                     if known[w] is not None:
                         found[w] = known[w]
-                if len(known) > 500_000:
+                if len(known) > WORDS:
                     known.clear()
                 if found:
-                    taken = [s for k in base_spans(text) for s in k]
                     by: dict[int, list[int]] = {}
-                    for m in _TERM.finditer(text):
-                        if m[0] in found and not any(a < m.end() and m.start() < z for a, z in taken):
+                    for m in terms_outside(text, base_spans(text)):
+                        if m[0] in found:
                             by.setdefault(found[m[0]], []).extend(m.span())
                     for h, spans in by.items():
                         rid.append(r), term.append(h), at.append(spans)
@@ -162,9 +211,6 @@ def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame | None:
 
     seen = docs.select(F.monotonically_increasing_id().alias("rid"), "text").mapInArrow(occurrences, "rid long, t long, at array<int>")
     seen = materialize(seen, "pii-terms")
-    n_t = seen.groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
-    p = F.col("n_et") / F.greatest("n_t", "n_et")
-    flagged = maybe.join(n_t, "t").where(p >= F.col("enough")).groupBy("t").agg((F.max(p) >= 1.0).alias("sure"))
     spans = F.transform(F.sequence(F.lit(0), F.size("at") - 2, F.lit(2)), lambda i: F.struct(F.col("at")[i].alias("start"), F.col("at")[i + 1].alias("end"), F.col("sure").alias("sure")))
     return materialize(seen.join(flagged, "t").select("rid", spans.alias("s")).groupBy("rid").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("terms")), "pii-spans")
 
@@ -175,12 +221,13 @@ def find_pii(docs: DataFrame) -> DataFrame:
     base and spans are kind:start:end in code points, comma-joined, by kind and start; spans adds kind term. Null text is
     empty; repeated rows are rows of their own; an empty table gives no rows.
     """
-    base = materialize(scan(docs), "pii-base")
-    terms = disclosing(docs, base)
+    scanned = materialize(scan(docs), "pii-base")
+    terms = disclosing(docs, scanned)
+    base = scanned.where("t IS NULL").select("rid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base")
     if terms is None:
-        return base.withColumn("spans", F.col("base")).drop("near", "rid")
+        return base.withColumn("spans", F.col("base")).drop("rid")
     more = F.array_join(F.transform("terms", lambda s: F.concat(F.lit("term:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
-    rows = base.drop("near").join(terms, "rid", "left")
+    rows = base.join(terms, "rid", "left")
     return rows.withColumn("spans", F.concat_ws(",", F.nullif("base", F.lit("")), more)).drop("terms", "rid")
 
 
@@ -190,8 +237,7 @@ MARKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced by its kind; terms that disclose an entity for certain removed, others
     generalised to <TERM>. Other columns stay, but for n_chars, which follows the text; null text stays null."""
-    base = materialize(scan(docs), "pii-base")
-    terms = disclosing(docs, base)
+    terms = disclosing(docs, materialize(scan(docs), "pii-base"))
     columns, count = docs.columns, "n_chars" in docs.columns
     rows = docs.withColumn("pii_rid", F.monotonically_increasing_id())
     kind = "array<struct<start:int,end:int,sure:boolean>>"

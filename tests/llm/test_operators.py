@@ -251,6 +251,24 @@ def test_pii_terms(spark, docs):
     assert "Zorblat" not in clean[90] and "<EMAIL>" in clean[12] and clean[91] is None
 
 
+def test_pii_terms_anywhere(docs):
+    # the name heads each letter, the address is at its foot, or near it once; a common word is in every letter too
+    filler = lambda i: " ".join(f"word{chr(97 + i)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60))
+    rows = [(i, f"Quorvex writes often {filler(i)} mail quo@mail.example.com {'Brantol' if i == 0 else ''}") for i in range(6)]
+    rows += [(6 + i, f"often {filler(10 + i)} {'Brantol' if i < 5 else ''}") for i in range(12)]
+    path = docs.sparkSession.conf.get("spark.checkpoint.dir") + "/pii-far"
+    docs.sparkSession.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(path)
+    df = docs.sparkSession.read.parquet(path)
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(df).collect()}
+    assert all("term:0:7" in got[i] for i in range(6)) and not any("term" in got[i] for i in range(6, 18))
+    n_e, n = Counter(), Counter()  # brute force: whole documents
+    for _, t in rows:
+        own = {w.lower() for w in re.findall(r"[^\W\d_]{4,}", EMAIL.sub(" ", t))}
+        n.update(own), n_e.update(own if "@" in t else ())
+    want = {w for w in n_e if n_e[w] >= 3 and n_e[w] / n[w] >= (6 / len(rows)) ** 0.1}
+    assert {rows[i][1][int(a) : int(b)].lower() for i, s in got.items() for a, b in re.findall(r"term:(\d+):(\d+)", s)} == want
+
+
 def test_pii_odd_rows(docs, empty):
     assert pii.find_pii(docs).count() == len(DOCS) and pii.sanitised(docs).columns == docs.columns and pii.find_pii(empty).count() == 0
 
