@@ -11,7 +11,7 @@ from gridlore.functions.vocabulary import TARGETS, alias_rows, aliases, quoted,
 from gridlore.operators import matching, posterior, profile, semantic, sheets
 from gridlore.plans import sqltext as S
 
-LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 

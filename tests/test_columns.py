@@ -1,5 +1,9 @@
 """Golden values of the functions, profiles, matching and sheet discovery on small inputs."""
 
+import os
+
+import duckdb
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,6 +13,7 @@ from gridlore.functions import similarity
 from gridlore.functions import text as T
 from gridlore.functions.vocabulary import TARGET_NAMES, alias_rows
 from gridlore.operators import matching, posterior, profile, semantic, sheets
+from gridlore.plans import catalogue
 from gridlore.sources import workbooks
 
 SAMPLE = "Location ID,Bldg Repl Cost New,Construction Yr,No. Floors,Sprk,Zip\nLOC001,450000,1998,2,Y,82601\nLOC002,720000,2005,3,N,80202\nLOC003,1200000,2010,5,Y,94105\nLOC004,300000,1985,1,Y,81301\n"
@@ -155,3 +160,25 @@ def test_semantic_fallback_and_answers(spark):
 
 def semantic_category(spark, top, margin):
     return spark.range(1).select(semantic.category(F.lit(top), F.lit(margin))).first()[0]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+@pytest.mark.parametrize("name", ["by5_by6_decision_lineitem", "ag12_ag14_posterior_profile_lineitem", "ag8_ag11_profile_lineitem", "ev1_ev14_evidence_lineitem", "map_columns_op1_op6"])
+def test_every_lineitem_column(spark, name):
+    columns = spark.read.parquet(f"{SF}/lineitem.parquet").columns
+    assert catalogue.LINEITEM == columns and "l_shipdate" in columns
+    got = catalogue.QUERIES[name](spark, SF).toPandas()
+    own = got[got.workbook == "lineitem"] if "workbook" in got else got
+    assert set(own.col) == set(columns)
+    if name in catalogue.ORACLES:
+        with duckdb.connect() as db:
+            for t in ("lineitem", "customer", "part"):
+                db.execute(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
+            want = db.execute(catalogue.ORACLES[name]).df()
+        assert sorted(want.columns) == sorted(got.columns)
+        order = [c for c in ("col_pos", "col", "target_pos", "target") if c in got]
+        got, want = (x[sorted(got.columns)].sort_values(order).reset_index(drop=True) for x in (got, want))
+        pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-4, atol=2e-5)
