@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of bytes other than space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes or words that are hashed at once. Words of more bytes than LONG_WORD are hashed one by one.
+SEGMENT, LONG_WORD = 1 << 20, 1024
+
 #: Bytes of text that one group of documents (a block) holds on average.
 BLOCK_BYTES = 8 << 20
 
@@ -21,21 +29,37 @@ U64 = np.uint64
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; a temporary one only where none is set."""
+    """The folder shared by driver and executors; a temporary one only where none is set and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gridlore-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that materialize() wrote and that nothing reads any more."""
+    for t in tables:
+        path = _WRITTEN.pop(t, None)
+        if path:
+            hadoop = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def corpus_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
@@ -44,18 +68,34 @@ def corpus_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     return int(n), int(b)
 
 
-def blocked(docs: DataFrame, n_bytes: int, *keep: str, text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(rid, *keep, text, block), dealt to blocks evenly whatever the values: no text or key can make a block large.
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column `name` (string) that tells its rows apart and is the same each time a row is read: the file and
+    the row's place in it. Where docs isn't read from files, it is written as a numbered table first."""
+    try:
+        file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        found = docs.select("*", F.concat(F.hex(F.xxhash64(file)), F.lit(":"), row.cast("string")).alias(name))
+        found.schema  # noqa: B018  resolves the metadata
+        return found
+    except AnalysisException:
+        return materialize(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), "rows")
+
 
-    rid numbers the rows of a scan and is the same each time the scan is run. docs must be a scan or a materialized
-    table, as row order behind a shuffle can change when a lost task is run again.
-    """
+def blocked(docs: DataFrame, n_bytes: int, *keep: str, text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """(rid, *keep, text, block), dealt to blocks evenly whatever the values: no text or key can make a block large, other
+    than one text that is larger than a block. rid is that of keyed()."""
     n_blocks = max(1, -(-n_bytes // block_bytes))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), *keep, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = keyed(docs.select(*keep, text), "rid").select("rid", *keep, F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(n_blocks)).cast("long"))
     return rows.repartition(n_blocks, "block"), n_blocks
 
 
+def release() -> None:
+    """Gives memory that Arrow and the C library hold for later use back to the system: Python workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ascii_lower(b: np.ndarray) -> np.ndarray:
     return np.where((b >= 65) & (b <= 90), b + np.uint8(32), b)
 
@@ -90,44 +130,94 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Powers:
+    """Powers of one base modulo 2^64 and of its inverse: one table for all hashes of a worker, of SEGMENT entries or little more."""
+
+    BASE = 0x2545F4914F6CDD1D
+    INVERSE = pow(BASE, -1, 1 << 64)
+    table = np.ones((2, 1), U64)
+
+    @classmethod
+    def upto(cls, n: int) -> np.ndarray:
+        if cls.table.shape[1] <= n:
+            x = np.empty((2, max(n + 1, 1 << 16)), U64)
+            x[0], x[1] = cls.BASE, cls.INVERSE
+            x[:, 0] = 1
+            cls.table = np.cumprod(x, axis=1, dtype=U64)
+        return cls.table
+
+
 class Poly:
-    """Polynomial hashes modulo 2^64 of any substrings, from prefix sums; equal strings have equal hashes anywhere."""
+    """Polynomial hashes modulo 2^64 of substrings, from prefix sums; equal strings have equal hashes anywhere."""
 
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
         self.table = rng.integers(0, 1 << 64, 256, dtype=U64)
-        self.base = int(rng.integers(0, 1 << 62)) * 4 + 3
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.pow = self.inv = np.ones(1, U64)
-
-    def grow(self, n: int) -> None:
-        if len(self.pow) <= n:
-            n = max(n + 1, 1 << 16)
-            for name, base in (("pow", self.base), ("inv", self.inverse)):
-                x = np.full(n, base, U64)
-                x[0] = 1
-                setattr(self, name, np.cumprod(x, dtype=U64))
+        self.seed = rng.integers(0, 1 << 64, 1, dtype=U64)
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
         """values: bytes, or 64-bit hashes."""
         n = len(values)
-        self.grow(n)
         out = np.zeros(n + 1, U64)
-        np.cumsum((self.table[values] if values.dtype == np.uint8 else values) * self.pow[:n], out=out[1:], dtype=U64)
+        np.cumsum((self.table[values] if values.dtype == np.uint8 else mix(values ^ self.seed)) * Powers.upto(n)[0, :n], out=out[1:], dtype=U64)
         return out
 
     def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((prefix[end] - prefix[start]) * self.inv[start])
-
-    def windows(self, prefix: np.ndarray, w: int) -> np.ndarray:
-        n = len(prefix) - w
-        return mix((prefix[w:] - prefix[:n]) * self.inv[:n]) if n > 0 else np.zeros(0, U64)
+        return mix((prefix[end] - prefix[start]) * Powers.upto(len(prefix))[1, start])
+
+    def windows(self, values: np.ndarray, w: int) -> np.ndarray:
+        """The hash of each run of w values; in segments, so that tables and sums stay small."""
+        out = np.empty(max(0, len(values) - w + 1), U64)
+        for i in range(0, len(out), SEGMENT):
+            n = min(SEGMENT, len(out) - i)
+            p = self.prefix(values[i : i + n + w - 1])
+            out[i : i + n] = mix((p[w:] - p[:n]) * Powers.upto(len(p))[1, :n])
+        return out
 
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def segments(b: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts the bytes of texts b[off[i]:off[i + 1]] behind spaces and texts; only a single word makes a segment larger than SEGMENT."""
+    i = 0
+    while i < len(b):
+        z = min(len(b), i + SEGMENT)
+        while z < len(b):
+            text, space = int(off[np.searchsorted(off, z, "right") - 1]), np.flatnonzero(_SPACE[b[max(i, z - SEGMENT) : z]])
+            cut = max(text, max(i, z - SEGMENT) + int(space[-1]) + 1 if len(space) else 0)
+            if cut > i:
+                z = cut
+                break
+            space = np.flatnonzero(_SPACE[b[z : z + SEGMENT]])  # the end of a long word
+            z = min(int(off[np.searchsorted(off, z, "right")]), z + int(space[0]) if len(space) else z + SEGMENT, len(b))
+            if len(space) or z in off[-1:] or z == int(off[np.searchsorted(off, z)]):
+                break
+        yield i, z
+        i = z
+
+
+def hashed_words(b: np.ndarray, off: np.ndarray, *hashes: Poly) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of the texts b[off[i]:off[i + 1]]: start and end bytes of the words, the words' offsets by text, and each word's hashes."""
+    starts, ends, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [[np.zeros(0, U64)] for _ in hashes]
+    for i, z in segments(b, off):
+        own = np.unique(np.clip(off, i, z)) - i
+        start, end, _ = word_bounds(b[i:z], own)
+        long = np.flatnonzero(end - start > LONG_WORD)
+        for k, f in enumerate(hashes):
+            if z - i <= SEGMENT:
+                h = f.of(f.prefix(b[i:z]), start, end)
+            else:  # one long word
+                h = np.zeros(len(start), U64)
+            for j in long.tolist():
+                h[j] = xxhash.xxh3_64_intdigest(b[i + start[j] : i + end[j]].tobytes(), int(f.seed[0]))
+            found[k].append(h)
+        starts.append(start + i), ends.append(end + i)
+    start, end = np.concatenate(starts), np.concatenate(ends)
+    return start, end, np.searchsorted(start, off), [np.concatenate(x) for x in found]
+
+
 def word_bounds(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end bytes of the words of the texts b[off[i]:off[i + 1]], and the words' offsets by text."""
     inside = ~_SPACE[b]

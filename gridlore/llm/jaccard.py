@@ -19,20 +19,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.llm import repeats as R
-from gridlore.llm.common import Poly, ascii_lower, blocked, corpus_size, materialize, mix, text_chunks, word_bounds
+from gridlore.llm.common import BLOCK_BYTES, SEGMENT, Poly, ascii_lower, corpus_size, discard, hashed_words, keyed, materialize, mix, release, text_chunks
 from gridlore.llm.graph import components
 
 #: Slots of the frequency sketch (a byte each is broadcast, whatever the corpus' size); partial sums of a slice of it.
 SLOTS, SLICES, LEVELS = 1 << 20, 16, 64
-#: Words of a set's bit picture, and slots of the bit map that rows are looked up in before the exact join.
-PICTURE, ROWS_MAP = 32, 1 << 20
 #: Texts that share a prefix shingle: of up to FEW, the pairs that their pictures let through are candidates, of more, all.
 #: A family's blocks have about BLOCK texts.
 FEW, BLOCK = 24, 128
+#: Texts to be built of which a bit map is broadcast (16 bits each); of more, texts are joined instead.
+MAPPED = 1 << 22
+#: Pairs that a task holds before it passes them on.
+HELD_PAIRS = 500_000
 #: Bytes of the table of which probes hold which shingles of a trie.
 HELD_BYTES = 64 << 20
 
-_BYTES, _WORDS = Poly(31), Poly(32)
+_BYTES, _WORDS, _CHECK = Poly(31), Poly(32), np.uint64(0x9E3779B97F4A7C15)
 U64 = np.uint64
 
 
@@ -40,25 +42,24 @@ def shingles(texts: pa.ChunkedArray, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text: of `size` lower-cased words, or of all words if there are fewer."""
     for _, b, off in text_chunks(texts):
         b = ascii_lower(b)
-        start, end, wo = word_bounds(b, off)
-        w = _BYTES.of(_BYTES.prefix(b), start, end)
-        pre = _WORDS.prefix(w)
-        full = _WORDS.windows(pre, size)
+        _, _, wo, (w,) = hashed_words(b, off, _BYTES)
+        full = _WORDS.windows(w, size)
         for lo, hi in zip(wo[:-1].tolist(), wo[1:].tolist()):
             if hi - lo >= size:
                 h = np.sort(full[lo : hi - size + 1])
                 yield h[np.append(True, h[1:] != h[:-1])]
             elif hi > lo:
-                yield mix(_WORDS.of(pre, np.array([lo]), np.array([hi])) + U64(hi - lo))
+                yield mix(_WORDS.windows(w[lo:hi], hi - lo) + U64(hi - lo))
             else:
                 yield np.zeros(0, U64)
 
 
-def set_id(h: np.ndarray) -> int:
-    """64 bits that tell sets apart (with their sizes)."""
+def set_id(h: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart."""
     with np.errstate(over="ignore"):
-        x = mix(np.array([np.sum(mix(h ^ U64(0x5851F42D4C957F2D))) + U64(len(h)), np.bitwise_xor.reduce(h) if len(h) else 0], U64))
-        return int((x[0] * U64(3) + x[1]).astype(np.int64))
+        x = [np.sum(mix(h ^ k), dtype=U64) for k in (U64(0x5851F42D4C957F2D), _CHECK)]
+        x = mix(np.array([x[0] + U64(len(h)), x[1] ^ U64(len(h))], U64)).view(np.int64)
+    return int(x[0]), int(x[1])
 
 
 def ordered(h: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -67,10 +68,11 @@ def ordered(h: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 
 
 def picture(h: np.ndarray) -> np.ndarray:
-    """The set hashed to PICTURE * 64 bits: where two pictures differ, so do the sets."""
-    bits = np.zeros(PICTURE * 64, np.uint8)
-    bits[(mix(h) >> U64(20)).astype(np.int64) % len(bits)] = 1
-    return np.packbits(bits).view("<i8")
+    """The set hashed to one or two bits an element, a power of two in all; a bit is the parity of what falls on it. Two
+    sets differ in as many elements at least as their pictures in bits. Halves laid over each other are the smaller picture."""
+    m = max(64, 1 << max(0, len(h) - 1).bit_length())
+    at = (mix(h) & U64(m - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=m) & 1).astype(np.uint8)).view("<i8")
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -82,23 +84,35 @@ def needed(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def rowed(docs: DataFrame) -> DataFrame:
+    """docs with a rid, its own or that of its rows."""
+    return docs if "rid" in docs.columns else keyed(docs, "rid")
+
+
+FIRST = "rid string, doc_id long, n long, sid long, other long, bits array<long>, slice int, counts binary"
+
+
 def first_scan(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of documents (rid, doc_id, n, sid), and of the task's part of the frequency sketch (slice, counts)."""
+    """Rows of documents (rid, doc_id, n, sid and other: the set's 128 bits), and of the task's part of the frequency
+    sketch (slice, counts)."""
+    names = [c.split()[0] for c in FIRST.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for b in batches:
-            n, sid, bits = [], [], []
+            n, sid, other, bits = [], [], [], []
             for h in shingles(b.column("text"), size):
                 np.add.at(total, (h >> U64(44)).astype(np.int64), 1)
-                n.append(len(h)), sid.append(set_id(h)), bits.append(picture(h))
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["rid", "doc_id", "n", "sid", "bits", "slice", "counts"])
+                x, y = set_id(h)
+                n.append(len(h)), sid.append(x), other.append(y), bits.append(picture(h))
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, sid, other)), pa.array(bits, pa.list_(pa.int64())), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         none, w = pa.nulls(SLICES, pa.int64()), SLOTS // SLICES
         counts = [zstandard.compress(total[i * w : (i + 1) * w].astype("<i8").tobytes(), 1) for i in range(SLICES)]
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array(counts, pa.binary())], ["rid", "doc_id", "n", "sid", "bits", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.string()), none, none, none, none, pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array(counts, pa.binary())], names)
+        release()
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(scan, "rid long, doc_id long, n long, sid long, bits array<long>, slice int, counts binary")
+    rows = rowed(docs).select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(scan, FIRST)
 
 
 def sketch_of(first: DataFrame) -> np.ndarray:
@@ -168,6 +182,15 @@ class Trie:
                 todo += [(lo + x, lo + y, end, overlap, on) for x, y in zip(cuts, cuts[1:])]
 
 
+def joined(*arrays: np.ndarray) -> bytes:
+    return np.array([a.nbytes for a in arrays], "<u8").tobytes() + b"".join(a.tobytes() for a in arrays)
+
+
+def parted(b: bytes, *types: str) -> list[np.ndarray]:
+    cut = np.cumsum([8 * len(types), *np.frombuffer(b, "<u8", len(types)).tolist()]).tolist()
+    return [np.frombuffer(b[x:y], t) for x, y, t in zip(cut, cut[1:], types)]
+
+
 def pack_block(sid: np.ndarray, weight: np.ndarray, sets: list[np.ndarray]) -> bytes:
     """A block's texts, the shingles once, the sets as steps through them."""
     own, place = np.unique(np.concatenate(sets), return_inverse=True)
@@ -175,11 +198,11 @@ def pack_block(sid: np.ndarray, weight: np.ndarray, sets: list[np.ndarray]) -> b
     step, first = place.astype(np.int64), np.cumsum(size) - size
     step[1:] -= place[:-1]
     step[first] = place[first]
-    return zstandard.compress(R._pack(sid.astype("<i8"), weight.astype("<i8"), size.astype("<i8"), own.astype("<u8"), step.astype("<i4")), 1)
+    return zstandard.compress(joined(sid.astype("<i8"), weight.astype("<i8"), size.astype("<i8"), own.astype("<u8"), step.astype("<i4")), 1)
 
 
 def unpack_block(data: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    sid, weight, size, own, step = R._unpack(zstandard.decompress(data), "<i8", "<i8", "<i8", "<u8", "<i4")
+    sid, weight, size, own, step = parted(zstandard.decompress(data), "<i8", "<i8", "<i8", "<u8", "<i4")
     cut = np.append(0, np.cumsum(size)).tolist()
     return sid, weight, [own[np.cumsum(step[x:y])] for x, y in zip(cut, cut[1:])]
 
@@ -213,123 +236,150 @@ def meet(x: Block, y: Block | None, percent: int) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate([s[k][s[2] > 0] for s in sides]) for k in range(3))
 
 
-PAIRS = "kind int, a long, b long"  # kind 0: a pair of sids; 1: b is in a large run of which a is the least
-
-
-def candidates(docs: DataFrame, reps: DataFrame, sketch: np.ndarray, n_bytes: int, size: int, percent: int) -> DataFrame:
-    """Pairs of set ids that share a prefix shingle; those of large runs as stars, which stand for all pairs of the run. reps
-    (rid): one document a set."""
-    texts, n_blocks = blocked(docs, n_bytes)
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    reps = reps.select("rid", F.pmod(F.xxhash64("rid"), F.lit(n_blocks)).cast("long").alias("block"))
-
-    def pack(t: pa.Table) -> pa.Table:
-        return R.rows([(t["block"][0].as_py(), R.KEPT, t["block"][0].as_py(), 0, np.sort(t["rid"].to_numpy()).astype("<i8").tobytes())])
-
-    chosen = reps.groupBy("block").applyInArrow(pack, R.ROWS)
-
-    def prefixes(t: pa.Table, back: pa.Table):
-        own = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(d, "<i8") for k, d in zip(back["kind"].to_pylist(), back["data"].to_pylist()) if k == R.KEPT)])
-        t = t.filter(pa.array(np.isin(t["rid"].to_numpy(), own))).sort_by("rid")
-        tokens, sids, sizes = [], [], []
-        for h in shingles(t["text"], size):
-            if len(h):
-                tokens.append(ordered(h, shared.value)[: prefix_length(len(h), percent)])
-                sids.append(set_id(h)), sizes.append(len(h))
-        flat = np.concatenate([np.zeros(0, U64), *tokens])
-        return flat, np.repeat(np.arange(len(tokens)), [len(x) for x in tokens]), np.array(sids, np.int64), np.array(sizes, np.int64)
-
-    def keys(t: pa.Table, back: pa.Table) -> pa.Table:
-        if not len(t) or not len(back):
-            return R.rows([])
-        flat, *_ = prefixes(t, back)
-        # the order's upper bits are a level: spread, for even buckets
-        u1, u2, _, counts = R.distinct(mix(flat), np.zeros(len(flat), np.uint32))
-        return R.rows(R.send(t["block"][0].as_py(), u1, u2, counts, n_blocks))
-
-    def judge(t: pa.Table) -> pa.Table:
-        return R.rows(R.judge(t, 1 << 60))
-
-    def postings(t: pa.Table, back: pa.Table) -> pa.Table:
-        if not len(t) or not len(back):
-            return R.rows([])
-        flat, owner, sids, sizes = prefixes(t, back)
-        _, _, place, _ = R.distinct(mix(flat), np.zeros(len(flat), np.uint32))
-        hit = np.flatnonzero(R.flags_of(back)[place] > 0) if len(place) else place
-        token, owner = mix(flat[hit]), owner[hit]
-        order = np.argsort(token, kind="stable")
-        token, owner = token[order], owner[order]
-        cut, out = R.ends(token, n_blocks), []
-        for k in range(n_blocks):
-            s = slice(cut[k], cut[k + 1])
-            if s.stop > s.start:
-                local, own = np.unique(owner[s], return_inverse=True)
-                out.append((k, R.RECORDS, 0, k, zstandard.compress(R._pack(token[s].astype("<u8"), own.astype("<u4"), sids[local].astype("<i8"), sizes[local].astype("<i8")), 1)))
-        return R.rows(out)
-
-    def pairs(t: pa.Table) -> pa.Table:
-        token, sid, size = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for d in t["data"].to_pylist():
-            tok, own, s, n = R._unpack(zstandard.decompress(d), "<u8", "<u4", "<i8", "<i8")
-            token.append(tok), sid.append(s[own]), size.append(n[own])
-        token, sid, size = (np.concatenate(x) for x in (token, sid, size))
-        order = np.lexsort((sid, size, token))
-        token, sid, size = token[order], sid[order], size[order]
-        new = np.ones(len(token), bool)
-        new[1:] = token[1:] != token[:-1]
-        begin = np.flatnonzero(new)
-        length = np.diff(np.append(begin, len(token)))
-        parts = [[], []]
+PAIRS = "kind int, a long, b long"  # kind 0: a pair of sids; 1: b is in a large run of which a is one
 
-        def keep(kind, a, b):
-            parts[kind].append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-            if sum(map(len, parts[kind])) > 1_000_000:
-                parts[kind][:] = [np.unique(np.concatenate(parts[kind]), axis=0)]
 
-        def similar(i, j):  # lengths that can be similar
-            ok = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
-            keep(0, sid[i[ok]], sid[j[ok]])
+class Runs:
+    """Runs of texts that share a prefix shingle, from rows sorted by token, n and sid: pairs of small ones, stars of large ones."""
 
+    def __init__(self, percent: int, few: int):
+        self.percent, self.few = percent, few
+        self.held: tuple[list, list] = ([], [])
+        self.rest = [np.zeros(0, np.int64)] * 3
+        self.star: tuple[int, int, int] | None = None  # token, first sid and last n of a large run that goes on
+
+    def keep(self, kind: int, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.held[kind].append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+            if sum(map(len, self.held[kind])) > HELD_PAIRS:
+                self.held[kind][:] = [np.unique(np.concatenate(self.held[kind]), axis=0)]
+
+    def full(self) -> bool:
+        return sum(len(x) for k in self.held for x in k) > HELD_PAIRS
+
+    def batch(self) -> pa.RecordBatch:
+        p = [np.unique(np.concatenate([np.zeros((0, 2), np.int64), *x]), axis=0) for x in self.held]
+        kind, p = np.repeat([0, 1], [len(x) for x in p]), np.concatenate(p)
+        kind, p = kind[p[:, 0] != p[:, 1]], p[p[:, 0] != p[:, 1]]
+        self.held = ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(p[:, 0], pa.int64()), pa.array(p[:, 1], pa.int64())], ["kind", "a", "b"])
+
+    def add(self, token: np.ndarray, n: np.ndarray, sid: np.ndarray, last: bool = False) -> None:
+        token, n, sid = (np.concatenate(x) for x in zip(self.rest, (token, n, sid)))
+        if self.star and len(token):  # what goes on with a large run
+            same = token == self.star[0]
+            k = len(token) if same.all() else int(np.argmin(same))
+            gap = np.flatnonzero(100 * np.concatenate([[self.star[2]], n[: k - 1]]) < self.percent * n[:k]) if k else []
+            k, ends = (int(gap[0]), True) if len(gap) else (k, k < len(token))
+            self.keep(1, np.full(k, self.star[1]), sid[:k])
+            self.star = None if ends else (self.star[0], self.star[1], int(n[k - 1]) if k else self.star[2])
+            token, n, sid = token[k:], n[k:], sid[k:]
+        new = np.ones(len(token), bool)
+        # sorted by length: beyond a gap none is similar to one before it
+        new[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < self.percent * n[1:])
+        again = np.zeros(len(token), bool)
+        again[1:] = ~new[1:] & (sid[1:] == sid[:-1])
+        token, n, sid, new = token[~again], n[~again], sid[~again], new[~again]
+        begin = np.flatnonzero(new)
+        if not last and len(begin):  # the last run may go on
+            k = begin[-1]
+            if len(token) - k > self.few:
+                self.star = (int(token[k]), int(sid[k]), int(n[-1]))
+                self.keep(1, np.full(len(token) - k, sid[k]), sid[k:])
+                self.rest = [np.zeros(0, np.int64)] * 3
+            else:
+                self.rest = [token[k:], n[k:], sid[k:]]
+            token, n, sid, begin = token[:k], n[:k], sid[:k], begin[:-1]
+        else:
+            self.rest = [np.zeros(0, np.int64)] * 3
+        length = np.diff(np.append(begin, len(token)))
         for k in np.unique(length):  # all runs of one length at once
             at = begin[length == k]
-            if 2 <= k <= FEW:
+            if 2 <= k <= self.few:
                 x, y = np.triu_indices(k, 1)
-                for z in range(0, len(at), max(1, 2_000_000 // len(x))):
-                    some = at[z : z + max(1, 2_000_000 // len(x))]
-                    similar((some[:, None] + x).ravel(), (some[:, None] + y).ravel())
-            elif k > FEW:
+                for z in range(0, len(at), max(1, 1_000_000 // len(x))):
+                    some = at[z : z + max(1, 1_000_000 // len(x))]
+                    i, j = (some[:, None] + x).ravel(), (some[:, None] + y).ravel()
+                    ok = 100 * n[i] >= self.percent * n[j]
+                    self.keep(0, sid[i[ok]], sid[j[ok]])
+            elif k > self.few:
                 for a in at.tolist():
-                    own = sid[a : a + k]
-                    keep(1, np.full(k, own.min()), own)
-        p = [np.unique(np.concatenate([np.zeros((0, 2), np.int64), *x]), axis=0) for x in parts]
-        kind, p = np.repeat([0, 1], [len(x) for x in p]), np.concatenate(p)
-        kind, p = kind[p[:, 0] != p[:, 1]], p[p[:, 0] != p[:, 1]]
-        return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64())})
+                    self.keep(1, np.full(k, sid[a]), sid[a : a + k])
 
-    flags = R.exchange(texts.groupBy("block").cogroup(chosen.groupBy("to")).applyInArrow(keys, R.ROWS), judge)
-    posted = texts.groupBy("block").cogroup(flags.union(chosen).groupBy("to")).applyInArrow(postings, R.ROWS)
-    return posted.groupBy("to").applyInArrow(pairs, PAIRS)
+
+def candidates(docs: DataFrame, sketch: np.ndarray, n_bytes: int, size: int, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Pairs of set ids that share a prefix shingle; those of large runs as stars, which stand for all pairs of the run.
+
+    A row is a shingle and a set id; equal sets send theirs once a task. Rows are dealt by shingle and sorted, and a run
+    goes through its task as a stream."""
+    shared, few = docs.sparkSession.sparkContext.broadcast(sketch), FEW
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            tokens, sids, sizes = [np.zeros(0, U64)], [], []
+
+            def out():
+                n = [len(x) for x in tokens[1:]]
+                cols = [mix(np.concatenate(tokens)).view(np.int64), np.repeat(np.array(sizes, np.int64), n), np.repeat(np.array(sids, np.int64), n)]
+                return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["token", "n", "sid"])
+
+            held = 0
+            for h in shingles(b.column("text"), size):
+                sid = set_id(h)[0]
+                if len(h) and sid not in seen:
+                    seen.add(sid)
+                    tokens.append(ordered(h, shared.value)[: prefix_length(len(h), percent)])
+                    sids.append(sid), sizes.append(len(h))
+                    held += len(tokens[-1])
+                    if held > SEGMENT // 4:
+                        yield out()
+                        tokens, sids, sizes, held = tokens[:1], [], [], 0
+            if len(seen) > SEGMENT:
+                seen.clear()
+            yield out()
+        release()
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(percent, few)
+        for b in batches:
+            runs.add(*(b.column(c).to_numpy() for c in ("token", "n", "sid")))
+            if runs.full():
+                yield runs.batch()
+        runs.add(*[np.zeros(0, np.int64)] * 3, last=True)
+        yield runs.batch()
+        release()
+
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(prefixes, "token long, n long, sid long")
+    parts = max(1, min(R.PARTITIONS, -(-n_bytes // block_bytes)))
+    return rows.repartition(parts, "token").sortWithinPartitions("token", "n", "sid").mapInArrow(pairs, PAIRS)
 
 
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b that can be linked by their pictures: each bit that differs stands for an element of one set alone, so
-    the overlap is at most half of what the sizes leave."""
-    side = lambda s: classes.select(F.col("sid").alias(s), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    """The pairs a, b (cids) of pairs (sids) that can be linked by their pictures: each bit that differs stands for an
+    element of one set alone, so the overlap is at most half of what the sizes leave."""
+    side = lambda s: classes.select(F.col("sid").alias(s), F.col("cid").alias(f"{s}_cid"), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("words", F.least(F.size("a_bits"), F.size("b_bits")))
+
+    def bits(c: str):  # sizes that can be similar give pictures of one size, or of this and its half
+        over = F.zip_with(F.slice(c, F.lit(1), F.col("words")), F.slice(c, F.col("words") + 1, F.col("words")), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(c) == F.col("words"), F.col(c)).otherwise(over)
+
+    differ = F.aggregate(F.zip_with(bits("a_bits"), bits("b_bits"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     most = F.col("a_n") + F.col("b_n") - differ  # twice the overlap, at most
-    return rows.where((100 + percent) * most >= 2 * percent * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+    rows = rows.where(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
+    return rows.where((100 + percent) * most >= 2 * percent * (F.col("a_n") + F.col("b_n"))).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"))
 
 
 MADE = "family long, block long, lo long, hi long, data binary, a long, b long, n long"
 
 
 def within(sets: DataFrame, percent: int) -> DataFrame:
-    """Of the blocks of sets (family, block, alone, sid, weight, set): what their own links are (see meet), and, if the family
+    """Of the blocks of sets (family, block, alone, cid, weight, set): what their own links are (see meet), and, if the family
     has others, the block packed (data), with its least and largest set (lo, hi)."""
 
     def walk(t: pa.Table) -> pa.Table:
-        block = (t["sid"].to_numpy(), t["weight"].to_numpy(), [np.frombuffer(s, "<u8") for s in t["set"].to_pylist()])
+        block = (t["cid"].to_numpy(), t["weight"].to_numpy(), [np.frombuffer(s, "<u8") for s in t["set"].to_pylist()])
         a, b, n = meet(block, None, percent)
         rows = [(None, None, None, None, None, *r) for r in zip(a.tolist(), b.tolist(), n.tolist())]
         if not t["alone"][0].as_py():
@@ -356,66 +406,90 @@ def between(blocks: DataFrame, percent: int) -> DataFrame:
 
 
 def families(edges: DataFrame, classes: DataFrame) -> DataFrame:
-    """rid, sid, weight, family, block, alone of every text that has a candidate. A family of over BLOCK texts is cut into
+    """rid, cid, weight, family, block, alone of every text that has a candidate. A family of over BLOCK texts is cut into
     bands by length, and these by hash into blocks of about BLOCK texts; alone: it is one block."""
-    family = materialize(components(edges), "jaccard-families")
-    rows = family.join(classes, family.node == classes.sid).select("rid", "sid", "n", "weight", F.col("root").alias("family"))
+    family = components(edges)
+    rows = family.join(classes, family.node == classes.cid).select("rid", "cid", "n", "weight", F.col("root").alias("family"))
     members = rows.groupBy("family").agg((F.count(F.lit(1)) <= BLOCK).alias("alone"))
     rows = rows.join(members, "family").withColumn("band", F.when(F.col("alone"), 0).otherwise(F.floor(3 * F.log2("n"))).cast("long"))
     rows = materialize(rows, "jaccard-families")
     blocks = rows.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
-    block = F.col("band") * F.lit(1 << 40) + F.pmod(F.xxhash64("sid"), F.col("blocks"))
-    return rows.join(blocks, ["family", "band"]).select("rid", "sid", "weight", "family", block.alias("block"), "alone")
+    block = F.col("band") * F.lit(1 << 40) + F.pmod(F.xxhash64("cid"), F.col("blocks"))
+    found = materialize(rows.join(blocks, ["family", "band"]).select("rid", "cid", "weight", "family", block.alias("block"), "alone"), "jaccard-needs")
+    discard(rows, family)
+    return found
+
+
+def sets_of(docs: DataFrame, needs: DataFrame, sketch: np.ndarray, size: int) -> DataFrame:
+    """needs (rid, ...) with the set of each row, common shingles first. Sets are built where the texts are scanned: a bit
+    map lets few others through. Of more rows than it is made for, the texts are joined."""
+    spark, many = docs.sparkSession, needs.count()
+    slots = 1 << max(16, (16 * many - 1).bit_length()) if many else 1 << 16
+    rows = rowed(docs).select("rid", F.coalesce("text", F.lit("")).alias("text"))
+    slot = F.pmod(F.xxhash64("rid"), F.lit(slots)).cast("int")
+    wanted = None
+    if many <= MAPPED:
+        wanted = np.zeros(slots, bool)
+        wanted[needs.select(slot.alias("slot")).toArrow()["slot"].to_numpy()] = True
+        wanted = np.packbits(wanted)
+    else:
+        rows = rows.join(needs.select("rid"), "rid", "left_semi")
+    shared = spark.sparkContext.broadcast((sketch, wanted))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, bits = shared.value
+        for b in batches:
+            if bits is not None:
+                at = b.column("slot").to_numpy()
+                b = b.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            sets = [np.sort(~ordered(h, levels)).astype("<u8").tobytes() for h in shingles(b.column("text"), size)]
+            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(sets, pa.binary())], ["rid", "set"])
+        release()
+
+    return rows.withColumn("slot", slot).mapInArrow(build, "rid string, set binary").join(needs, "rid")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """rid, doc_id, n_shingles, class_id, component_id, n_links of each row of docs (doc_id, text).
 
     Texts are linked when 100 * intersection >= percent * union of their sets; component_id is the least doc_id reachable,
-    class_id tells equal sets, n_links is the number of other rows that the row is linked with, those of equal sets too. Texts without words (null, empty) have no shingles and no links, and are their own
-    components. Repeated rows are of one class. Null ids are no one's component_id, unless there is no other. Empty
-    table: no rows. docs must be a scan or a materialized table (see common.blocked).
+    class_id tells equal sets, n_links is the number of other rows that the row is linked with, those of equal sets too.
+    Texts without words (null, empty) have no shingles and no links, and are their own components. Repeated rows are of
+    one class. Null ids are no one's component_id, unless there is no other. Empty table: no rows. rid is that of
+    common.keyed. A text is held whole by one task, at some 15 times its bytes.
     """
+    docs = rowed(docs)
     first = materialize(first_scan(docs, size), "jaccard-sets")
-    known = first.where("slice IS NULL").select("rid", "doc_id", "n", "sid", "bits")
+    known = first.where("slice IS NULL").select("rid", "doc_id", "n", "sid", "other", "bits")
     sketch = sketch_of(first)
-    classes = known.where("n > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.count(F.lit(1)).alias("weight"))
-    classes = materialize(classes, "jaccard-classes")
+    classes = known.where("n > 0").groupBy("sid", "other", "n").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.min("bits").alias("bits"), F.count(F.lit(1)).alias("weight"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
     _, n_bytes = corpus_size(docs)
-    found = materialize(candidates(docs.select("text"), classes, sketch, n_bytes, size, percent), "jaccard-candidates")
+    found = materialize(candidates(docs.select("text"), sketch, n_bytes, size, percent, block_bytes), "jaccard-candidates")
     pairs = possible(found.where("kind = 0").select("a", "b").distinct(), classes, percent)
-    needs = materialize(families(pairs.union(found.where("kind = 1").select("a", "b")), classes), "jaccard-needs")
-    slots = needs.select(F.pmod(F.xxhash64("rid"), F.lit(ROWS_MAP)).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
-    wanted = np.zeros(ROWS_MAP, bool)
-    wanted[slots] = True
-    shared = docs.sparkSession.sparkContext.broadcast((sketch, np.packbits(wanted)))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.unpackbits(shared.value[1]).astype(bool)
-        for b in batches:
-            b = b.filter(pa.array(own[b.column("slot").to_numpy()]))
-            # common shingles first
-            sets = [np.sort(~ordered(h, shared.value[0])).astype("<u8").tobytes() for h in shingles(b.column("text"), size)]
-            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(sets, pa.binary())], ["rid", "set"])
-
-    # sets are built where the texts are scanned: the bit map, of fixed size, lets few others through, and texts aren't moved
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("text", F.lit("")).alias("text")).withColumn("slot", F.pmod(F.xxhash64("rid"), F.lit(ROWS_MAP)).cast("int"))
-    sets = rows.mapInArrow(build, "rid long, set binary").join(needs, "rid")
-    made = materialize(within(sets, percent), "jaccard-blocks")
+    side = lambda s: classes.select(F.col("sid").alias(s), F.col("cid").alias(f"{s}_cid"))
+    stars = found.where("kind = 1").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a_cid", "b_cid")
+    needs = families(pairs.union(stars), classes)
+    made = materialize(within(sets_of(docs, needs, sketch, size), percent), "jaccard-blocks")
+    discard(found, needs)
     links = made.where("a IS NOT NULL").select("a", "b", "n")
     blocks = made.where("data IS NOT NULL").select("family", "block", "lo", "hi", "data")
     if not blocks.isEmpty():
-        links = links.union(materialize(between(blocks, percent), "jaccard-links"))
+        links = materialize(links.union(between(blocks, percent)), "jaccard-links")
+        discard(made)
     roots = components(links.select("a", "b"))
     counts = links.groupBy("a").agg(F.sum("n").alias("others"))
-    joined = classes.join(roots, classes.sid == roots.node, "left").join(counts, classes.sid == counts.a, "left")
-    joined = joined.select(classes.sid, "least", F.coalesce("root", "sid").alias("root"), (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    joined = classes.join(roots, classes.cid == roots.node, "left").join(counts, classes.cid == counts.a, "left")
+    joined = joined.select("sid", "other", classes.n, "cid", "least", F.coalesce("root", "cid").alias("root"), (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     joined = materialize(joined, "jaccard-roots")
+    discard(roots, classes)
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = joined.join(ids, "root").select("sid", "component_id", "n_links", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    out = known.drop("bits").withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(16)).cast("int")).join(ids, ["sid", "salt"], "left")
+    # a large component's row meets its classes in 16 parts, a large class' row its documents
+    salted = lambda df: df.select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    ids = joined.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(16)).cast("int")).join(salted(ids), ["root", "salt"]).drop("salt")
+    out = known.drop("bits").withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(16)).cast("int")).join(salted(ids.select("sid", "other", "n", "cid", "component_id", "n_links")), ["sid", "other", "n", "salt"], "left")
     lone = F.col("n") == 0
-    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(~lone, F.col("sid")).alias("class_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(lone, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"))
+    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(~lone, F.col("cid")).alias("class_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(lone, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"))
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
@@ -424,10 +498,10 @@ def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, that of the least id (of its rows the first); columns stay."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    # documents without words are no duplicates of each other
+    """docs with one document of each component, that of the least id (of its rows the first); columns stay. Documents
+    without words are no duplicates of each other."""
+    rows = keyed(docs, "dd_rid")
+    found = near_duplicates(rows.select("doc_id", "text", F.col("dd_rid").alias("rid")))
     group = F.struct(F.when(F.col("n_shingles") == 0, F.col("rid")).alias("own"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("of"))
     first = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select(F.col("m.rid").alias("dd_rid"))
-    rows = docs.withColumn("dd_rid", F.monotonically_increasing_id())
     return rows.join(materialize(first, "jaccard-first"), "dd_rid", "left_semi").select(*docs.columns)
