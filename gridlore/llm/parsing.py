@@ -3,23 +3,24 @@
 A rolling hash over GRAM bytes triggers where it is the least of some window's hashes, so every window of `length`
 bytes holds a trigger, and equal windows hold it at the same place. Triggers cut the corpus into phrases. What stands
 before a trigger is a suffix of the phrases so far (the dictionary's side), what stands after it is the parse that
-follows. A trigger whose gram occurs once in the corpus can't be in a repeat. The others meet by gram: there the left
-sides are sorted as reversed strings and the right sides as strings, each with the common prefixes of neighbours (a
-suffix array's order and LCPs, bounded by the window), and the two orders combine: at every offset, windows are equal
-just when both sides are of one class. Grams that occur very often don't meet in one task: their windows are
-compared one by one, by 96-bit hashes dealt over all tasks.
+follows. A trigger whose gram occurs once in the corpus can't be in a repeat. The others meet by gram, each distinct
+surrounding of a block once: there the left sides are sorted as reversed strings and the right sides as strings, each
+with the common prefixes of neighbours (a suffix array's order and LCPs, bounded by the window), and the two orders
+combine: at every offset, windows are equal just when both sides are of one class. Grams that occur very often don't
+meet in one task: their windows are compared one by one, by two 64-bit hashes, dealt over all tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.llm import repeats as R
-from gridlore.llm.common import Poly, blocked, corpus_size, mix, text_chunks
+from gridlore.llm.common import SEGMENT, Poly, blocked, corpus_size, materialize, mix, release, text_chunks
 
 #: Bytes of a gram; occurrences of a gram above which its windows are compared one by one.
 GRAM, HOT = 64, 2048
@@ -30,6 +31,20 @@ _GRAM, _FIRST, _SECOND = Poly(21), Poly(22), Poly(23)
 U64 = np.uint64
 
 
+def pieces(texts: pa.ChunkedArray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The texts one after another, in pieces of about SEGMENT bytes: first byte, bytes, offsets of the texts in them. A
+    longer text is cut into pieces that overlap, so that each of its windows starts in one piece and lies in it."""
+    base = 0
+    for _, b, off in text_chunks(texts, SEGMENT):
+        if len(b) <= SEGMENT:
+            yield base, b, off
+        else:  # one text
+            for i in range(0, len(b), SEGMENT):
+                own = b[i : i + SEGMENT + length - 1]
+                yield base + i, own, np.array([0, len(own)])
+        base += len(b)
+
+
 def triggers(b: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts b[off[i]:off[i + 1]]: trigger positions, hashes of their grams, and the first and last start of the
     windows whose least gram hash it is (of equal ones, the first)."""
@@ -37,8 +52,8 @@ def triggers(b: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, n
     n_starts = len(b) - length + 1
     if n_starts <= 0:
         return none, none.astype(U64), none, none
-    h = _GRAM.windows(_GRAM.prefix(b), GRAM)
-    key = (h >> U64(28) << U64(28)) | np.arange(len(h), dtype=U64)  # the place breaks ties; chunks are below 2^28 bytes
+    h = _GRAM.windows(b, GRAM)
+    key = (h >> U64(28) << U64(28)) | np.arange(len(h), dtype=U64)  # the place breaks ties; pieces are far below 2^28 bytes
     span = length - GRAM + 1
     pad = (-len(key)) % span
     k = np.concatenate([key, np.full(pad, ~U64(0))]).reshape(-1, span)
@@ -63,75 +78,77 @@ def triggers(b: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, n
     return at[first], mix(h[at[first]]), starts[first], starts[last]
 
 
-class Block:
-    """A block's triggers, chunk by chunk in order of rid; positions are within the chunk."""
-
-    def __init__(self, table: pa.Table, length: int):
-        self.table, self.length = table.sort_by("rid"), length
-        self.chunks = [(b, off, *triggers(b, off, length)) for _, b, off in text_chunks(self.table["text"])]
-        self.gram = np.concatenate([np.zeros(0, U64), *(c[3] for c in self.chunks)])
-        self.keys, _, self.place, self.counts = R.distinct(self.gram, np.zeros(len(self.gram), np.uint32))
-
-    def flagged(self, flags: np.ndarray):
-        """For each chunk: bytes, then trigger, gram, first and last start of the repeated and of the hot triggers."""
-        own, at = flags[self.place] if len(self.place) else np.zeros(0, np.uint8), 0
-        for b, _, t, g, lo, hi in self.chunks:
-            f = own[at : at + len(t)]
-            at += len(t)
-            yield b, tuple(x[f == 1] for x in (t, g, lo, hi)), tuple(x[f == 2] for x in (t, g, lo, hi))
-
-    def records(self, flags: np.ndarray):
-        """The repeated triggers' surroundings, each distinct one once: hashes, counts, place of each trigger in them,
-        and functions that give the bytes; by chunk."""
-        parts = []
-        for c, (b, (t, g, lo, hi), _) in enumerate(self.flagged(flags)):
-            p1, p2 = _FIRST.prefix(b), _SECOND.prefix(b)
-            end = hi + self.length
-            h1 = _FIRST.of(p1, lo, end) ^ mix((t - lo).astype(U64) * U64(1000) + (end - t).astype(U64) * U64(1 << 20))
-            parts.append((np.full(len(t), c), t, g, lo, hi, mix(h1 ^ g), (_SECOND.of(p2, lo, end) >> U64(32)).astype(np.uint32)))
-        cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, U64 if i in (2, 5) else np.int64) for i in range(7)]
-        # by bucket of the gram first: all records of a gram go to one bucket
-        h1, h2, place, counts = R.distinct(cols[5], cols[6].astype(np.uint32))
-        one = np.zeros(len(h1), np.int64)
+#: Kinds of rows: a distinct surrounding of repeated triggers, and a window of hot ones. at: where they are in the block.
+AROUND = "kind int, block long, n long, key long, key2 long, before int, spread int, at array<long>, data binary"
+RECORD, WINDOW = 0, 1
+
+
+class Found:
+    """Collects rows of AROUND."""
+
+    def __init__(self, block: int):
+        self.block, self.parts = block, []
+
+    def add(self, kind: int, key: np.ndarray, key2: np.ndarray, before, spread, at: np.ndarray, place: np.ndarray, data) -> None:
+        """One row for each key, in order; place: which of them each `at` belongs to."""
+        order = np.argsort(place, kind="stable")
+        n = np.bincount(place, minlength=len(key))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(at[order], pa.int64()))
+        k, zero = len(key), np.zeros(len(key), np.int32)
+        cols = [np.full(k, kind, np.int32), np.full(k, self.block, np.int64), n.astype(np.int64), key.view(np.int64), key2.view(np.int64), zero if before is None else before.astype(np.int32), zero if spread is None else spread.astype(np.int32)]
+        self.parts.append(pa.table([*map(pa.array, cols), lists, pa.nulls(k, pa.binary()) if data is None else pa.array(data, pa.binary())], names=[c.split()[0] for c in AROUND.split(", ")]))
+
+    def table(self) -> pa.Table:
+        if not self.parts:
+            none = np.zeros(0, U64)
+            self.add(RECORD, none, none, None, None, np.zeros(0, np.int64), np.zeros(0, np.int64), None)
+        return pa.concat_tables(self.parts)
+
+
+def surroundings(t: pa.Table, back: pa.Table, length: int) -> pa.Table:
+    """A block's repeated triggers (in back: key, hot), as rows of AROUND."""
+    out = Found(t["block"][0].as_py() if len(t) else 0)
+    if not len(t) or not len(back):
+        return out.table()
+    key, hot = R.field(back, "key").view(U64), R.field(back, "hot").astype(bool)
+    order = np.argsort(key)
+    key, hot = key[order], hot[order]
+    rec, win = [], []
+    for c, (base, b, off) in enumerate(pieces(t.sort_by("rid")["text"], length)):
+        at, gram, lo, hi = triggers(b, off, length)
+        i = np.minimum(np.searchsorted(key, gram), len(key) - 1)
+        known = key[i] == gram
+        own = known & ~hot[i]
+        t0, g, lo0, end = at[own], gram[own], lo[own], hi[own] + length
+        p1, p2 = _FIRST.prefix(b), _SECOND.prefix(b)
+        sides = mix((t0 - lo0).astype(U64) * U64(1 << 20) + (end - t0).astype(U64))
+        rec.append((mix(_FIRST.of(p1, lo0, end) ^ sides ^ g), _SECOND.of(p2, lo0, end), g, t0 - lo0, hi[own] - lo0, base + t0, np.full(len(t0), c), lo0, end))
+        own = known & hot[i]
+        n = hi[own] - lo[own] + 1
+        start = np.repeat(lo[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        win.append((_FIRST.of(p1, start, start + length), _SECOND.of(p2, start, start + length), base + start))
+    h1, h2, g, before, spread, at, piece, lo, end = (np.concatenate(x) for x in zip(*rec))
+    u, _, place, _ = R.distinct(h1, h2)
+    if len(u):
+        one = np.zeros(len(u), np.int64)
         one[place] = np.arange(len(place))
-        order = np.argsort(cols[2][one], kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return cols, one[order], rank[place], counts[order]
-
-    def hot_starts(self, flags: np.ndarray):
-        """chunk number and start of each window of a hot trigger, with its hashes."""
-        out = []
-        for c, (b, _, (t, _, lo, hi)) in enumerate(self.flagged(flags)):
-            n = hi - lo + 1
-            start = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            p1, p2 = _FIRST.prefix(b), _SECOND.prefix(b)
-            out.append((np.full(len(start), c), start, _FIRST.of(p1, start, start + self.length), (_SECOND.of(p2, start, start + self.length) >> U64(32)).astype(np.uint32)))
-        return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, (np.int64, np.int64, U64, np.uint32)[i]) for i in range(4))
-
-
-def send_records(blk: Block, block: int, flags: np.ndarray, n: int) -> list[tuple]:
-    cols, one, _, counts = blk.records(flags)
-    gram = cols[2][one]
-    cut, out = R.ends(gram, n), []
-    for k in range(n):
-        own = one[cut[k] : cut[k + 1]]
-        if len(own):
-            c, t, lo, hi = (cols[i][own] for i in (0, 1, 3, 4))
-            texts = [blk.chunks[ci][0][a : z + blk.length].tobytes() for ci, a, z in zip(c.tolist(), lo.tolist(), hi.tolist())]
-            data = R._pack(cols[2][own].astype("<u8"), (t - lo).astype("<u4"), (hi - lo).astype("<u4"), np.minimum(counts[cut[k] : cut[k + 1]], 65535).astype("<u2"))
-            out.append((k, R.RECORDS, block, k, zstandard.compress(data + b"".join(texts), 1)))
-    return out
+        byte = [b for _, b, _ in pieces(t.sort_by("rid")["text"], length)]
+        data = [byte[c][x:y].tobytes() for c, x, y in zip(piece[one].tolist(), lo[one].tolist(), end[one].tolist())]
+        out.add(RECORD, g[one], np.zeros(len(u), U64), before[one], spread[one], at, place, data)
+    h1, h2, at = (np.concatenate(x) for x in zip(*win))
+    u1, u2, place, _ = R.distinct(h1, h2)
+    if len(u1):
+        out.add(WINDOW, u1, u2, None, None, at, place, None)
+    return out.table()
 
 
-def combine(gram: np.ndarray, left: np.ndarray, spread: np.ndarray, many: np.ndarray, texts: bytes, length: int) -> np.ndarray:
+def combine(gram: np.ndarray, left: np.ndarray, spread: np.ndarray, many: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
     """For each record (its trigger `left` bytes in, windows from its first `spread + 1` bytes on): at which offsets
     before the trigger the window occurs again. many: records that stand for several places."""
     n = len(gram)
     size = spread.astype(np.int64) + length
     begin = np.cumsum(size) - size
     left = left.astype(np.int64)
-    data = np.frombuffer(texts, np.uint8)
     found = np.zeros((n, length), bool)
     lo, hi = left - spread, left  # offsets of a record: lo .. hi
     found[:] = many[:, None] & (np.arange(length) >= lo[:, None]) & (np.arange(length) <= hi[:, None])
@@ -175,92 +192,84 @@ def combine(gram: np.ndarray, left: np.ndarray, spread: np.ndarray, many: np.nda
     return found
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+REMOVED = "block long, at array<long>"
+
+
+def meet(t: pa.Table, length: int) -> pa.Table:
+    """Of a bucket's surroundings: for each block, start and end of the stretches that repeated windows cover."""
+    data = t["data"].combine_chunks() if t["data"].num_chunks != 1 else t["data"].chunk(0)
+    first, last = (int(x) for x in np.frombuffer(data.buffers()[1], np.int32)[[data.offset, data.offset + len(data)]])
+    cols = [t[c].to_numpy() for c in ("key", "before", "spread", "n")]
+    found = combine(cols[0].view(U64), cols[1], cols[2], cols[3] > 1, np.frombuffer(data.buffers()[2], np.uint8)[first:last], length)
+    edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (row, o1), (_, o2) = np.nonzero(edge == 1), np.nonzero(edge == -1)  # runs of offsets o1 .. o2 - 1
+    at = t["at"].combine_chunks() if t["at"].num_chunks != 1 else t["at"].chunk(0)
+    begin, values = at.offsets.to_numpy(), at.values.to_numpy(zero_copy_only=False)
+    n = np.diff(begin)[row]
+    place = values[np.repeat(begin[row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    start, end = place - np.repeat(o2 - 1, n), place - np.repeat(o1, n) + length
+    block = np.repeat(t["block"].to_numpy()[row], n)
+    order = np.lexsort((start, block))
+    block, both = block[order], np.stack([start[order], end[order]], 1).reshape(-1)
+    cut = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(2 * cut, len(both)), pa.int32()), pa.array(both, pa.int64()))
+    release()
+    return pa.table({"block": pa.array(block[cut], pa.int64()), "at": lists})
+
+
+def without(t: pa.Table, back: pa.Table) -> pa.Table:
+    """A block's texts without the stretches in back (at: starts and ends of the block's bytes)."""
+    t = t.sort_by("rid")
+    at = np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy(zero_copy_only=False) for c in back["at"].chunks)])
+    start, end = at[::2], at[1::2]
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order]) if len(end) else end
+    text, kept, sizes, removed, spans, base = t["text"], [], [], [], [], 0
+    for _, b, off in text_chunks(text):
+        raw = b.tobytes()
+        for lo, hi in zip(off[:-1].tolist(), off[1:].tolist()):
+            i, z = np.searchsorted(start, [base + lo, base + hi])  # a stretch lies in one text
+            s, e = start[i:z] - base, end[i:z] - base
+            new = np.append(True, s[1:] > e[:-1]) if len(s) else np.zeros(0, bool)
+            s, e = s[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)] if len(e) else e
+            parts = [raw[x:y] for x, y in zip([lo, *e.tolist()], [*s.tolist(), hi])]
+            kept.append(parts[0] if len(parts) == 1 else b"".join(parts))
+            sizes.append(hi - lo), removed.append(int((e - s).sum())), spans.append(len(s))
+        base += len(b)
+    out = pa.table({"doc_id": t["doc_id"], "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
+    release()
+    return out
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept of each row of docs (doc_id, text): the text's UTF-8 bytes without
     those that are covered by a string of `length` bytes that also starts elsewhere, judged on the input.
 
     Null text is empty; shorter texts stay whole; repeated rows repeat each other; an empty table gives no rows. kept is
-    binary, as a cut may split a character. docs must be a scan or a materialized table (see common.blocked).
+    binary, as a cut may split a character. Long texts are parsed in pieces; one task holds a text whole, at some 4
+    times its bytes, and up to 16 bytes more for each place of it that a hot gram's window repeats.
     """
-    if length <= GRAM:
-        raise ValueError(f"length must be over {GRAM}")
+    if not GRAM < length < SEGMENT:
+        raise ValueError(f"length must be over {GRAM} and below {SEGMENT}")
     _, n_bytes = corpus_size(docs)
-    texts, n = blocked(docs, n_bytes, "doc_id", block_bytes=BLOCK_BYTES)
-
-    def keys(t: pa.Table) -> pa.Table:
-        blk = Block(t, length)
-        return R.rows(R.send(t["block"][0].as_py(), blk.keys, np.zeros(len(blk.keys), np.uint32), blk.counts, n))
-
-    def judge(t: pa.Table) -> pa.Table:
-        return R.rows(R.judge(t, HOT))
-
-    def surroundings(t: pa.Table, back: pa.Table) -> pa.Table:
-        if not len(t):
-            return R.rows([])
-        blk, block, flags = Block(t, length), t["block"][0].as_py(), R.flags_of(back)
-        _, _, h1, h2 = blk.hot_starts(flags)
-        u1, u2, _, counts = R.distinct(h1, h2)
-        kept = (-1 - block, R.KEPT, block, 0, zstandard.compress(flags.tobytes(), 1))
-        return R.rows([*send_records(blk, block, flags, n), *R.send(block, u1, u2, counts, n, to=n), kept])
-
-    def meet(t: pa.Table) -> pa.Table:
-        out = []
-        kind = np.array(t["kind"].to_pylist())
-        out += R.judge(t.filter(pa.array(kind == R.KEYS)), 1 << 60)
-        kept = t.filter(pa.array(kind == R.KEPT))
-        out += [(b, R.KEPT, b, 0, d) for b, d in zip(kept["block"].to_pylist(), kept["data"].to_pylist())]
-        rec = t.filter(pa.array(kind == R.RECORDS))
-        if len(rec):
-            parts, blobs = [], []
-            for d in rec["data"].to_pylist():
-                d = zstandard.decompress(d)
-                head = np.frombuffer(d, "<u4", 4)
-                parts.append(R._unpack(d, "<u8", "<u4", "<u4", "<u2"))
-                blobs.append(d[16 + int(head.sum()) :])
-            cols = [np.concatenate([p[i] for p in parts]) for i in range(4)]
-            found, at = combine(cols[0], cols[1], cols[2], cols[3] > 1, b"".join(blobs), length), 0
-            for block, bucket, p in zip(rec["block"].to_pylist(), rec["bucket"].to_pylist(), parts):
-                out.append((block, R.FOUND, block, bucket, zstandard.compress(np.packbits(found[at : at + len(p[0])], axis=1).tobytes(), 1)))
-                at += len(p[0])
-        return R.rows(out)
-
-    def cut(t: pa.Table, back: pa.Table) -> pa.Table:
-        blk, flags = Block(t, length), R.flags_of(back, R.KEPT)
-        cols, _, place, _ = blk.records(flags)
-        got = sorted((b, d) for k, b, d in zip(back["kind"].to_pylist(), back["bucket"].to_pylist(), back["data"].to_pylist()) if k == R.FOUND)
-        width = -(-length // 8)
-        bits = np.concatenate([np.zeros((0, width), np.uint8), *(np.frombuffer(zstandard.decompress(d), np.uint8).reshape(-1, width) for _, d in got)])
-        chunk, start, h1, h2 = blk.hot_starts(flags)
-        _, _, hot_place, _ = R.distinct(h1, h2)
-        hot = R.flags_of(back)[hot_place] > 0 if len(hot_place) else np.zeros(0, bool)
-        sizes, removed, spans, kept = [], [], [], []
-        for c, (b, off, *_) in enumerate(blk.chunks):
-            d = np.zeros(len(b) + 1, np.int64)
-            own = np.flatnonzero(cols[0] == c)
-            for z in range(0, len(own), 8192):
-                some = own[z : z + 8192]
-                r, o = np.nonzero(np.unpackbits(bits[place[some]], axis=1, count=length))
-                s = cols[1][some][r] - o
-                np.add.at(d, s, 1)
-                np.add.at(d, s + length, -1)
-            s = start[(chunk == c) & hot]
-            np.add.at(d, s, 1)
-            np.add.at(d, s + length, -1)
-            gone = np.cumsum(d)[:-1] > 0
-            begins = gone.copy()
-            begins[1:] &= ~gone[:-1]
-            begins[off[:-1][off[:-1] < len(b)]] = gone[off[:-1][off[:-1] < len(b)]]  # runs end with their text
-            run, some = (np.concatenate([[0], np.cumsum(x)])[off] for x in (begins, ~gone))
-            out = b[~gone].tobytes()
-            sizes.append(np.diff(off)), removed.append(np.diff(off) - np.diff(some)), spans.append(np.diff(run))
-            kept += [out[some[i] : some[i + 1]] for i in range(len(off) - 1)]
-        cat = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64())
-        return pa.table({"doc_id": blk.table["doc_id"], "n_bytes": cat(sizes), "n_removed": cat(removed), "n_spans": cat(spans), "kept": pa.array(kept, pa.binary())})
-
-    found = R.exchange(texts.groupBy("block").applyInArrow(keys, R.ROWS), judge)
-    around = texts.groupBy("block").cogroup(found.groupBy("to")).applyInArrow(surroundings, R.ROWS)
-    last = R.exchange(around, meet)
-    return texts.groupBy("block").cogroup(last.groupBy("to")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    texts, n = blocked(docs, n_bytes, "doc_id", block_bytes=block_bytes)
+
+    def grams(t: pa.Table) -> pa.Table:
+        found = [triggers(b, off, length)[1] for _, b, off in pieces(t["text"], length)]
+        u, _, _, counts = R.distinct(g := np.concatenate([np.zeros(0, U64), *found]), np.zeros(len(g), np.uint8))
+        return R.key_rows(t["block"][0].as_py(), counts, u)
+
+    again = R.repeated(texts.groupBy("block").applyInArrow(grams, R.KEYS), n).withColumn("hot", F.col("total") > HOT)
+    again = R.by_block(again, "key", F.col("hot").cast("long").alias("hot"))
+    # written, as two ways go on from here
+    around = materialize(texts.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(lambda t, back: surroundings(t, back, length), AROUND), "suffix-around")
+    records = around.where(F.col("kind") == RECORD).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n))).repartition(min(n, R.PARTITIONS), "bucket")
+    removed = records.groupBy("bucket").applyInArrow(lambda t: meet(t, length), REMOVED)
+    if not (hot := around.where(F.col("kind") == WINDOW).select("block", "n", "key", "key2", "at")).isEmpty():
+        places = F.flatten(F.transform("at", lambda p: F.array(p, p + F.lit(length))))
+        removed = removed.union(R.repeated(hot, n, "at").select("block", places.alias("at")))
+    out = texts.groupBy("block").cogroup(removed.groupBy("block")).applyInArrow(without, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

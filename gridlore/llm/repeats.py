@@ -1,26 +1,19 @@
-"""What the two operators on repeated passages share: which of a block's keys occur more than once in the corpus.
+"""What the operators on repeated passages share: which of a block's keys occur more than once in the corpus.
 
-A block sends each distinct key once, with its count, to the key's bucket; the bucket adds up and returns, in the
-order sent, 0 (once), 1 (repeated) or 2 (over `hot` times). A key in every document is one entry a block.
+A block sends each distinct key as one row, with its count, so a key that is in every document is one row a block.
+Rows are dealt by key over as many partitions as the input needs; only repeated keys go back, gathered by block. Work
+and rows follow the input's size, whatever the number of blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-#: One schema for all that goes between blocks and buckets: to (group), kind, block, bucket, part (order), payload.
-ROWS = "to long, kind int, block long, bucket int, data binary"
-_NAMES = ["to", "kind", "block", "bucket", "data"]
-_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-
-KEYS, FLAGS, RECORDS, FOUND, KEPT = range(5)
-
-
-def rows(items: list[tuple]) -> pa.Table:
-    return pa.table([pa.array([r[i] for r in items], t) for i, t in enumerate(_TYPES)], names=_NAMES)
+#: Most partitions of an exchange; beyond, partitions hold several blocks.
+PARTITIONS = 1 << 16
 
 
 def distinct(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -34,59 +27,58 @@ def distinct(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return a[new], b[new], place, np.diff(np.append(np.flatnonzero(new), len(a)))
 
 
-def ends(h1: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Where the buckets of sorted hashes begin and end."""
-    bounds = np.array([-(-(b << 64) // n_buckets) for b in range(1, n_buckets)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(h1, bounds), [len(h1)]]).astype(np.int64)
+#: A row's place: the block in the upper bits, then the number of the key among the block's sorted distinct ones.
+PLACE_BITS = 26
+PLACED, WIDE = "at long, key long", "at long, key long, key2 int"
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(a) * a.itemsize for a in arrays], "<u4").tobytes()
-    return head + b"".join(a.tobytes() for a in arrays)
+def placed_rows(block: int, key: np.ndarray, key2: np.ndarray | None = None) -> pa.Table:
+    """at, key (64 bits) and maybe key2 (32 bits more): a block's sorted distinct keys."""
+    if len(key) >> PLACE_BITS:
+        raise ValueError(f"a block has over 2^{PLACE_BITS} distinct keys: one of its texts is too long")
+    at = (block << PLACE_BITS) + np.arange(len(key), dtype=np.int64)
+    cols = {"at": pa.array(at), "key": pa.array(key.view(np.int64))}
+    return pa.table(cols if key2 is None else cols | {"key2": pa.array(key2.view(np.int32))})
 
 
-def _unpack(b: bytes, *types: str) -> list[np.ndarray]:
-    sizes, at, out = np.frombuffer(b, "<u4", len(types)), 4 * len(types), []
-    for n, t in zip(sizes.tolist(), types):
-        out.append(np.frombuffer(b[at : at + n], t))
-        at += n
-    return out
+def shared(rows: DataFrame, parts: int) -> DataFrame:
+    """Of rows (at, key, maybe key2): block and found, the numbers of its keys that other blocks have, too."""
+    key = [c for c in ("key", "key2") if c in rows.columns]
+    blocks = F.count(F.lit(1)).over(Window.partitionBy(*key))
+    again = rows.repartition(min(parts, PARTITIONS), *key).withColumn("blocks", blocks).where("blocks > 1")
+    number = F.col("at").bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
+    return again.groupBy(F.shiftright("at", PLACE_BITS).alias("block")).agg(F.collect_list(number).alias("found"))
 
 
-def send(block: int, h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, n_buckets: int, to: int = 0) -> list[tuple]:
-    """Rows to the buckets (numbered from `to`) of sorted distinct keys."""
-    cut = ends(h1, n_buckets)
-    wide = bool(len(h2)) and bool(h2.any())
-    out = []
-    for b in range(n_buckets):
-        s = slice(cut[b], cut[b + 1])
-        if s.stop > s.start:
-            out.append((to + b, KEYS, block, b, _pack(h1[s], h2[s].astype(np.uint32) if wide else h2[:0].astype(np.uint32), np.minimum(counts[s], 65535).astype(np.uint16))))
+def flags(counts: np.ndarray, back: pa.Table) -> np.ndarray:
+    """Whether each of a block's sorted distinct keys occurs more than once, here or elsewhere."""
+    out = counts > 1
+    for c in back["found"].chunks if len(back) else ():
+        out[c.flatten().to_numpy(zero_copy_only=False)] = True
     return out
 
 
-def judge(t: pa.Table, hot: int) -> list[tuple]:
-    """Of a bucket's KEYS rows: rows of flags back to the blocks."""
-    got = [(b, k, *_unpack(d, "<u8", "<u4", "<u2")) for b, k, d in zip(t["block"].to_pylist(), t["bucket"].to_pylist(), t["data"].to_pylist())]
-    if not got:
-        return []
-    h1 = np.concatenate([g[2] for g in got])
-    h2 = np.concatenate([g[3] if len(g[3]) else np.zeros(len(g[2]), np.uint32) for g in got])
-    _, _, place, _ = distinct(h1, h2)
-    total = np.bincount(place, weights=np.concatenate([g[4] for g in got]))[place]
-    flags, at, out = (total >= 2).astype(np.uint8) + (total > hot), 0, []
-    for block, bucket, keys, *_ in got:
-        out.append((block, FLAGS, block, bucket, zstandard.compress(flags[at : at + len(keys)].astype(np.uint8).tobytes(), 1)))
-        at += len(keys)
-    return out
+def key_rows(block: int, counts: np.ndarray, key: np.ndarray) -> pa.Table:
+    """block, n, key: a block's distinct keys with their counts."""
+    return pa.table({"block": pa.array(np.full(len(counts), block), pa.int64()), "n": pa.array(counts, pa.int64()), "key": pa.array(key.view(np.int64))})
+
+
+KEYS = "block long, n long, key long"
+
+
+def repeated(rows: DataFrame, parts: int, *more: str) -> DataFrame:
+    """Of rows (block, n, key, maybe key2, *more): those whose key occurs more than once in all, with that number as total."""
+    key = [c for c in ("key", "key2") if c in rows.columns]
+    total = F.sum("n").over(Window.partitionBy(*key))
+    return rows.repartition(min(parts, PARTITIONS), *key).withColumn("total", total).where("total > 1").select("block", *key, "total", *more)
 
 
-def flags_of(t: pa.Table, kind: int = FLAGS) -> np.ndarray:
-    """A block's flags, in the order of its sorted keys."""
-    got = sorted((b, d) for k, b, d in zip(t["kind"].to_pylist(), t["bucket"].to_pylist(), t["data"].to_pylist()) if k == kind)
-    return np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(zstandard.decompress(d), np.uint8) for _, d in got)])
+def by_block(rows: DataFrame, *columns: str) -> DataFrame:
+    """block, keys (array of structs of the columns): what goes back to a block."""
+    return rows.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("keys"))
 
 
-def exchange(parts: DataFrame, fn) -> DataFrame:
-    """fn over each group of rows with one `to`."""
-    return parts.groupBy("to").applyInArrow(fn, ROWS)
+def field(back: pa.Table, name: str) -> np.ndarray:
+    """A block's values of a field of `keys`."""
+    parts = [c.flatten().field(name).to_numpy(zero_copy_only=False) for c in back["keys"].chunks if len(c)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
