@@ -70,19 +70,31 @@ def clean_string(c: Column) -> Column:
     return strip(c.cast("string"))
 
 
+def stands_for_missing(t: Column) -> Column:
+    """FN16, of stripped text."""
+    return t.isNull() | F.lower(t).isin(*MISSING)
+
+
 def is_missing(c: Column) -> Column:
     """FN16: null or a text that stands for a missing cell."""
-    return c.isNull() | F.lower(clean_string(c)).isin(*MISSING)
+    return stands_for_missing(clean_string(c))
 
 
-def parse_numeric(c: Column) -> Column:
-    """FN9: currency signs and commas dropped, a last k, m or b multiplies; null if it isn't a finite number."""
-    t = F.lower(F.regexp_replace(clean_string(c), "[$€£₹,]", ""))
+def number_of(text: Column) -> Column:
+    """FN9, of stripped text."""
+    t = F.lower(F.regexp_replace(text, "[$€£₹,]", ""))
     last = F.right(t, F.lit(1))
     times = F.when(last == "k", F.lit(1e3)).when(last == "m", F.lit(1e6)).when(last == "b", F.lit(1e9))
     body = strip(F.when(times.isNotNull(), F.regexp_replace(t, "[kmb]$", "")).otherwise(t))
     value = F.when(body.rlike(_FLOAT), body.try_cast("double")) * F.coalesce(times, F.lit(1.0))
-    return F.when(~is_missing(c) & (F.abs(value) < F.lit(float("inf"))), value)
+    plain = F.when(text.rlike(_FLOAT), text.try_cast("double"))  # most numbers; the rest is for other texts only
+    value = F.when(plain.isNotNull(), plain).otherwise(value)
+    return F.when(~stands_for_missing(text) & (F.abs(value) < F.lit(float("inf"))), value)
+
+
+def parse_numeric(c: Column) -> Column:
+    """FN9: currency signs and commas dropped, a last k, m or b multiplies; null if it isn't a finite number."""
+    return number_of(clean_string(c))
 
 
 def is_numeric(c: Column) -> Column:
@@ -91,35 +103,53 @@ def is_numeric(c: Column) -> Column:
     return F.coalesce(t.rlike(_FLOAT) | F.lower(t).rlike(r"^[+-]?(nan|inf|infinity)$"), F.lit(False))
 
 
-def is_year(c: Column) -> Column:
-    """FN11."""
-    x = parse_numeric(c)
-    return F.coalesce((x == F.floor(x)) & x.between(1700, 2100), F.lit(False))
+def _one_of(t: Column, *values: str) -> Column:
+    return F.coalesce(F.upper(t).isin(*values), F.lit(False))
 
 
-def _one_of(c: Column, *values: str) -> Column:
-    return F.coalesce(F.upper(clean_string(c)).isin(*values), F.lit(False))
+def _year(t: Column) -> Column:
+    return F.exists(F.array(number_of(t)), lambda x: F.coalesce((x == F.floor(x)) & x.between(1700, 2100), F.lit(False)))  # the number is read once
+
+
+# The forms that the detectors know.
+BOOLEANS = ("Y", "N", "YES", "NO", "TRUE", "FALSE", "T", "F")
+SPRINKLERS = ("Y", "N", "Y13", "Y(13R)")
+ZIP = r"\A\d{5}(-\d{4})?\z"
+CURRENCY = ("[$€£₹]", r"\d[\d,]*\.\d+", r"\A\d[\d,]*\z", r"\d+(\.\d+)?\s*[KMB]\z")
+
+#: Detectors by name, of stripped text; profiles take these or a caller's own.
+DETECTORS: dict[str, Callable[[Column], Column]] = {
+    "currency": lambda t: F.coalesce(F.upper(t).rlike("|".join(f"({p})" for p in CURRENCY)), F.lit(False)),
+    "year": _year,
+    "boolean": lambda t: _one_of(t, *BOOLEANS),
+    "sprinkler": lambda t: _one_of(t, *SPRINKLERS),
+    "zip": lambda t: F.coalesce(t.rlike(ZIP), F.lit(False)),
+}
+
+
+def is_year(c: Column) -> Column:
+    """FN11."""
+    return DETECTORS["year"](clean_string(c))
 
 
 def is_boolean(c: Column) -> Column:
     """FN12."""
-    return _one_of(c, "Y", "N", "YES", "NO", "TRUE", "FALSE", "T", "F")
+    return DETECTORS["boolean"](clean_string(c))
 
 
 def is_sprinkler(c: Column) -> Column:
     """FN13."""
-    return _one_of(c, "Y", "N", "Y13", "Y(13R)")
+    return DETECTORS["sprinkler"](clean_string(c))
 
 
 def is_zip(c: Column) -> Column:
     """FN14."""
-    return F.coalesce(clean_string(c).rlike(r"\A\d{5}(-\d{4})?\z"), F.lit(False))
+    return DETECTORS["zip"](clean_string(c))
 
 
 def is_currency(c: Column) -> Column:
     """FN15: a currency sign, a decimal point between digits, digits and commas alone, or a last K, M or B."""
-    t = F.upper(clean_string(c))
-    return F.coalesce(t.rlike("[$€£₹]") | t.rlike(r"\d[\d,]*\.\d+") | t.rlike(r"\A\d[\d,]*\z") | t.rlike(r"\d+(\.\d+)?\s*[KMB]\z"), F.lit(False))
+    return DETECTORS["currency"](clean_string(c))
 
 
 def is_date(c: Column) -> Column:
@@ -188,7 +218,3 @@ def contains_term(text: Column, terms: list[str], least: int = 0) -> Column:
 def count_terms(text: Column, terms: list[str]) -> Column:
     """FL4: how many of the terms the text holds."""
     return F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t)))
-
-
-#: Detectors by name, for callers that pick or add their own.
-DETECTORS: dict[str, Callable[[Column], Column]] = {"currency": is_currency, "year": is_year, "boolean": is_boolean, "sprinkler": is_sprinkler, "zip": is_zip}

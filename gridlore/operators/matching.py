@@ -87,26 +87,27 @@ def fuzzy_match(headers: DataFrame, threshold: float = FUZZY, vocab: DataFrame |
 
 
 def fuzzy_one_to_one(headers: DataFrame, keys: list[str], threshold: float = FUZZY) -> DataFrame:
-    """WN7: headers in order take the best form that is left; a target that is taken leaves the vocabulary. The order
-    matters, so each workbook's headers (a few hundred) are walked in one group."""
-    spark = headers.sparkSession
-    forms = [(r["norm"], r["target"]) for r in vocabulary(spark).orderBy("pos").collect()]  # bounded by the vocabulary
+    """WN7: headers in order take the best form that is left; a target that is taken leaves the vocabulary. Distinct
+    headers are scored once, in the JVM, and keep each target's best form over the threshold; the order of choice matters,
+    so these short lists of a workbook's headers (a few hundred) are walked in one group."""
+    vocab = vocabulary(headers.sparkSession)
+    forms = vocab.agg(F.array_sort(F.collect_list(F.struct("pos", "norm", "target"))).alias("forms"))
+    distinct = headers.where("norm <> ''").select("norm").distinct().join(F.broadcast(forms))
+    scored = F.transform("forms", lambda v: F.struct((-indel_ratio(F.col("norm"), v["norm"])).alias("minus"), v["pos"].alias("pos"), v["norm"].alias("text"), v["target"].alias("target")))
+    near = distinct.select("norm", F.array_sort(F.filter(scored, lambda v: -v["minus"] >= threshold)).alias("near"))
+    kinds = dict(headers.dtypes)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
-        for r in pdf.sort_values("col_pos").itertuples():
-            best, at = 0.0, None
-            for text, target in forms:
-                if target not in taken and r.norm and (s := indel(r.norm, text)) > best:
-                    best, at = s, (text, target)
-            hit = at if at and best >= threshold else (None, None)
-            taken.add(hit[1])
-            out.append((*(getattr(r, k) for k in keys), r.col_pos, r.norm, *hit, best if hit[0] else None))
+        for r in pdf.sort_values("col_pos").to_dict("records"):
+            hit = next((v for v in (r["near"] if r["near"] is not None else ()) if v["target"] not in taken), None)
+            if hit is not None:
+                taken.add(hit["target"])
+            out.append((*(r[k] for k in keys), r["col_pos"], r["norm"], *((hit["text"], hit["target"], -hit["minus"]) if hit is not None else (None, None, None))))
         return pd.DataFrame(out, columns=[*keys, "col_pos", "norm", "matched_text", "target", "similarity"])
 
-    kinds = dict(headers.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "col_pos", "norm"]) + ", matched_text string, target string, similarity double"
-    return headers.select(*keys, "col_pos", "norm").groupBy(*keys).applyInPandas(walk, schema)
+    return headers.select(*keys, "col_pos", "norm").join(near, "norm", "left").groupBy(*keys).applyInPandas(walk, schema)
 
 
 def indel(a: str, b: str) -> float:
@@ -119,42 +120,73 @@ def indel(a: str, b: str) -> float:
     return 2 * row[-1] / (len(a) + len(b)) if a or b else 1.0
 
 
+# What is said for a piece of evidence.
+SAID = {
+    "numeric": "Column is predominantly numeric.",
+    "string": "Column is predominantly string-like.",
+    "currency": "Values show monetary/currency-like formatting.",
+    "place": "Values contain repetition consistent with geographic categories.",
+    "identifier": "Values have high uniqueness, consistent with identifiers.",
+    "some_string": "Values contain predominantly string-like data.",
+    "address": "Values have meaningful uniqueness, consistent with addresses.",
+    "zip": "Values follow a ZIP/postal-code-like pattern.",
+    "year": "Values predominantly resemble construction years.",
+    "floors": "Values are consistent with small building/floor counts.",
+    "buildings": "Values are consistent with small building counts.",
+    "occupancy": "Values contain repeated categories.",
+    "construction": "Values contain repeated construction categories.",
+    "sprinkler": "Values match supported fire sprinkler codes.",
+    "boolean": "Values are predominantly boolean-like.",
+    "exact": "Exact header match.",
+    "domain_alias": "Domain alias match.",
+    "fuzzy": "Fuzzy header match.",
+    "no_candidate": "No valid target candidates were available.",
+    "low": "Best candidate score is below the minimum assignment score of {:.2f}.",
+    "taken": "No one-to-one target assignment was available above the minimum score of {:.2f}.",
+    "assigned": "Assigned using evidence-aware global one-to-one optimization.",
+}
+
+
 def small_integers(n: Column, low: Column, high: Column) -> Column:
     """EV12."""
     return F.when(n == 0, 0.0).when(low.isNull() | high.isNull(), n).when((low >= 0) & (high <= 100), n).otherwise(0.25 * n)
 
 
-def evidence_fields() -> dict[str, tuple[Column, dict[str, Column], list[tuple[Column, str]]]]:
-    """EV1 to EV14: for every target in order its score, components and reasons, over a profile's columns."""
+Scorer = tuple[Column, dict[str, Column], list[tuple[Column, str]]]
+
+
+def evidence_fields() -> dict[str, Scorer]:
+    """EV1 to EV14: for every target in order its score, components and reasons, over a profile's columns. A registry:
+    callers change or add entries and hand it to field_evidence."""
     n, s, u = (T.clip(F.col(f"{x}_ratio")) for x in ("numeric", "string", "unique"))
     cur, yr, boo, spr, zp = (T.clip(F.col(f"{x}_ratio")) for x in ("currency", "year", "boolean", "sprinkler", "zip"))
     small = T.clip(small_integers(n, F.col("min"), F.col("max")))
-    mostly = (n >= 0.75, "Column is predominantly numeric.")
-    words = (s >= 0.75, "Column is predominantly string-like.")
-    money = (0.60 * n + 0.40 * cur, {"numeric_ratio": n, "currency_like_ratio": cur}, [mostly, (cur >= 0.50, "Values show monetary/currency-like formatting.")])
-    place = (0.65 * s + 0.35 * (1 - u), {"string_ratio": s, "categorical_ratio": 1 - u}, [words, (u <= 0.50, "Values contain repetition consistent with geographic categories.")])
+    mostly = (n >= 0.75, SAID["numeric"])
+    words = (s >= 0.75, SAID["string"])
+    money = (0.60 * n + 0.40 * cur, {"numeric_ratio": n, "currency_like_ratio": cur}, [mostly, (cur >= 0.50, SAID["currency"])])
+    place = (0.65 * s + 0.35 * (1 - u), {"string_ratio": s, "categorical_ratio": 1 - u}, [words, (u <= 0.50, SAID["place"])])
     kinds = lambda text: (0.60 * s + 0.40 * (1 - u), {"string_ratio": s, "categorical_ratio": 1 - u}, [words, (1 - u >= 0.50, text)])
     counts = lambda text: (0.35 * n + 0.65 * small, {"numeric_ratio": n, "small_integer_ratio": small}, [mostly, (small >= 0.75, text)])
     by = {
-        "Reference": (0.65 * u + 0.35 * s, {"unique_ratio": u, "string_ratio": s}, [(u >= 0.75, "Values have high uniqueness, consistent with identifiers."), (s >= 0.50, "Values contain predominantly string-like data.")]),
-        "Address": (0.55 * s + 0.45 * u, {"string_ratio": s, "unique_ratio": u}, [words, (u >= 0.50, "Values have meaningful uniqueness, consistent with addresses.")]),
-        "Zip": (0.75 * zp + 0.25 * n, {"zip_like_ratio": zp, "numeric_ratio": n}, [(zp >= 0.75, "Values follow a ZIP/postal-code-like pattern."), mostly]),
-        "Year Built": (yr, {"year_like_ratio": yr}, [(yr >= 0.75, "Values predominantly resemble construction years.")]),
-        "Storeys": counts("Values are consistent with small building/floor counts."),
-        "Number of Buildings": counts("Values are consistent with small building counts."),
-        "Occupancy": kinds("Values contain repeated categories."),
-        "Construction": kinds("Values contain repeated construction categories."),
-        "Fire Sprinklers (Y/N)": (spr, {"sprinkler_like_ratio": spr, "boolean_like_ratio": boo}, [(spr >= 0.75, "Values match supported fire sprinkler codes."), (boo >= 0.75, "Values are predominantly boolean-like.")]),
+        "Reference": (0.65 * u + 0.35 * s, {"unique_ratio": u, "string_ratio": s}, [(u >= 0.75, SAID["identifier"]), (s >= 0.50, SAID["some_string"])]),
+        "Address": (0.55 * s + 0.45 * u, {"string_ratio": s, "unique_ratio": u}, [words, (u >= 0.50, SAID["address"])]),
+        "Zip": (0.75 * zp + 0.25 * n, {"zip_like_ratio": zp, "numeric_ratio": n}, [(zp >= 0.75, SAID["zip"]), mostly]),
+        "Year Built": (yr, {"year_like_ratio": yr}, [(yr >= 0.75, SAID["year"])]),
+        "Storeys": counts(SAID["floors"]),
+        "Number of Buildings": counts(SAID["buildings"]),
+        "Occupancy": kinds(SAID["occupancy"]),
+        "Construction": kinds(SAID["construction"]),
+        "Fire Sprinklers (Y/N)": (spr, {"sprinkler_like_ratio": spr, "boolean_like_ratio": boo}, [(spr >= 0.75, SAID["sprinkler"]), (boo >= 0.75, SAID["boolean"])]),
         **dict.fromkeys(("Building Value", "Contents", "BI", "Other"), money),
         **dict.fromkeys(("City", "State", "County", "Country"), place),
     }
     return {t: by[t] for t in TARGET_NAMES}
 
 
-def field_evidence(profiles: DataFrame, keys: list[str]) -> DataFrame:
-    """JN6, EV14: 17 rows a profile, from one projection."""
+def field_evidence(profiles: DataFrame, keys: list[str], scorers: dict[str, Scorer] | None = None) -> DataFrame:
+    """JN6, EV14: a row a target (17) for each profile, from one projection."""
     rows = []
-    for pos, (target, (score, components, reasons)) in enumerate(evidence_fields().items()):
+    for pos, (target, (score, components, reasons)) in enumerate((evidence_fields() if scorers is None else scorers).items()):
         parts = F.create_map(*[x for k, v in components.items() for x in (F.lit(k), v)])
         said = F.array_compact(F.array(*[F.when(c, m) for c, m in reasons]))
         rows.append(F.struct(F.lit(pos).alias("target_pos"), F.lit(target).alias("target"), T.clip(score).alias("score"), parts.alias("components"), said.alias("reasons")))
@@ -193,11 +225,11 @@ def column_candidates(headers: DataFrame, evidence: DataFrame, keys: list[str],
         made = {k: F.lit(None).cast("double") for k in ("det", "fuzzy", "semantic", "llm", "value")} | {kind: score}
         return df.select(*keys, "target", F.lit(seq).alias("seq"), F.lit(method).alias("method"), *[c.alias(k) for k, c in made.items()], reasons.alias("reasons"))
 
-    exact = rows(exact_match(headers).where("target IS NOT NULL"), 0, "exact", "det", F.lit(1.0), F.array(F.lit("Exact header match.")))
-    alias = rows(alias_match(headers).where("target IS NOT NULL"), 1, "domain_alias", "det", F.lit(0.97), F.array(F.lit("Domain alias match.")))
+    exact = rows(exact_match(headers).where("target IS NOT NULL"), 0, "exact", "det", F.lit(1.0), F.array(F.lit(SAID["exact"])))
+    alias = rows(alias_match(headers).where("target IS NOT NULL"), 1, "domain_alias", "det", F.lit(0.97), F.array(F.lit(SAID["domain_alias"])))
     # a form of the vocabulary is similar to itself, so the deterministic score takes the similarity in (as fuzzy matches do)
     near = fuzzy_match(headers).where("target IS NOT NULL").withColumn("is_form", F.col("similarity") >= 0.97)
-    fuzzy = rows(near, 2, "fuzzy", "fuzzy", F.col("similarity"), F.array(F.lit("Fuzzy header match."))).withColumn("det", F.when(F.col("fuzzy") >= 0.97, F.col("fuzzy")))
+    fuzzy = rows(near, 2, "fuzzy", "fuzzy", F.col("similarity"), F.array(F.lit(SAID["fuzzy"]))).withColumn("det", F.when(F.col("fuzzy") >= 0.97, F.col("fuzzy")))
     value = rows(evidence.withColumnRenamed("reasons", "why"), 3, "value_evidence", "value", F.col("score"), F.col("why"))
     out = exact.unionByName(alias).unionByName(fuzzy).unionByName(value)
     out = out if extra is None else out.unionByName(extra)
@@ -277,32 +309,49 @@ def assign(candidates: DataFrame, group: list[str], minimum: float = ELIGIBLE) -
 
 
 def mapping_result(columns: DataFrame, candidates: DataFrame, chosen: DataFrame, group: list[str], minimum: float = ELIGIBLE) -> DataFrame:
-    """OP8, ST5, FN27: every column, mapped or with the reason why not. The text says which bar was missed."""
+    """OP8, ST5, FN27: every column, mapped or with the reason why not and for a person to review. Where no column of a
+    workbook has an eligible candidate, scores are 0; elsewhere a column without a target shows its best score."""
     keys = [*group, "col_pos"]
     best = candidates.groupBy(*keys).agg(F.max(T.clip(F.col("score"))).alias("best_score"))
+    books = best.groupBy(*group).agg(F.max("best_score").alias("book_score"))
     picked = chosen.select(*keys, "target", F.col("score").alias("mapped_score"))
     why = candidates.select(*keys, "target", F.array_join("reasons", "; ").alias("evidence"))
-    out = columns.join(best, keys, "left").join(picked, keys, "left").join(why, [*keys, "target"], "left")
+    out = columns.join(best, keys, "left").join(books, group, "left").join(picked, keys, "left").join(why, [*keys, "target"], "left")
+    mapped = F.col("target").isNotNull()
     reason = (
-        F.when(F.col("target").isNotNull(), F.col("evidence")).when(F.col("best_score").isNull(), "No valid target candidates were available.")
-        .when(F.col("best_score") < minimum, f"Best candidate score is below the minimum score of {minimum:.2f}.")
-        .otherwise(f"No one-to-one target assignment was available above the minimum score of {minimum:.2f}.")
+        F.when(mapped, F.coalesce(F.nullif("evidence", F.lit("")), F.lit(SAID["assigned"]))).when(F.col("book_score").isNull(), SAID["no_candidate"])
+        .when(F.col("book_score") < minimum, SAID["low"].format(minimum)).otherwise(SAID["taken"].format(minimum))
     )
-    return out.select(*keys, "target", F.coalesce("mapped_score", "best_score", F.lit(0.0)).alias("score"), F.when(F.col("target").isNotNull(), "global_assignment").otherwise("unresolved").alias("method"), reason.alias("reason"))
-
-
-def map_columns(cells: DataFrame, extra: DataFrame | None = None, group: list[str] | None = None) -> DataFrame:
-    """OP6: from cells (*group, col_pos, col, row_idx, value; col is the header) to the mapping of every column."""
+    score = F.when(F.coalesce(F.col("book_score") < minimum, F.lit(True)), 0.0).otherwise(F.coalesce("mapped_score", "best_score", F.lit(0.0)))
+    return out.select(*keys, "target", score.alias("score"), F.when(mapped, "global_assignment").otherwise("unresolved").alias("method"), (~mapped).alias("human_review_required"), reason.alias("reason"))
+
+
+def mapping_report(mapping: DataFrame, group: list[str], warnings: DataFrame | None = None) -> DataFrame:
+    """OP6, OP8: a row a workbook: its unresolved columns and assigned targets in the columns' order, and its warnings.
+    mapping: *group, col_pos, col, target; warnings: *group, col_pos, warning."""
+    listed = lambda c, v: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("col_pos", F.col(v).alias("v"))))), lambda x: x["v"])
+    free = F.col("target").isNull()
+    out = mapping.groupBy(*group).agg(listed(free, "col").alias("unresolved_columns"), listed(~free, "target").alias("assigned_targets"))
+    none = F.array().cast("array<string>")
+    if warnings is None:
+        return out.withColumn("warnings", none)
+    said = warnings.groupBy(*group).agg(listed(F.col("warning").isNotNull(), "warning").alias("warnings"))
+    return out.join(said, group, "left").withColumn("warnings", F.coalesce("warnings", none))
+
+
+def map_columns(cells: DataFrame, extra: DataFrame | None = None, group: list[str] | None = None, scorers: dict[str, Scorer] | None = None) -> DataFrame:
+    """OP6: from cells (*group, col_pos, col, row_idx, value; col is the header) to the mapping of every column. extra:
+    candidate rows of a semantic step or a model, as semantic.evidence gives them."""
     from gridlore.operators.profile import profile_columns
 
     group = group or []
     work = cells if group else cells.withColumn("workbook", F.lit("workbook"))
     own = group or ["workbook"]
+    if extra is not None and not group:
+        extra = extra.withColumn("workbook", F.lit("workbook"))
     keys = [*own, "col_pos"]
     headers = work.select(*keys, "col").distinct().withColumn("norm", T.mapping_header(F.col("col")))
-    evidence = field_evidence(profile_columns(work, (*own, "col_pos", "col")), keys)
+    evidence = field_evidence(profile_columns(work, (*own, "col_pos", "col")), keys, scorers)
     merged = merge_candidates(column_candidates(headers.select(*keys, "norm"), evidence, keys, extra), keys)
     out = mapping_result(headers.select(*keys, "col"), merged, assign(merged, own), own).join(headers.select(*keys, "col"), keys)
     return out.drop(*([] if group else ["workbook"]))
-
-

@@ -1,12 +1,14 @@
 """Column profiles: one relation of cells for all columns, one aggregation for all profiles.
 
 Cells are (col_pos, col, row_idx, value) with any further keys in front. Values are first counted by (keys, column,
-value), with partial aggregation before the shuffle; patterns, parsing and quantiles then see each distinct value once,
-with its count.
+value), with partial aggregation before the shuffle, then by their stripped text; patterns, parsing and quantiles see
+each distinct text once, with its count, and counting distinct ones is counting rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,26 +39,37 @@ def value_counts(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"), F.min("row_idx").alias("first_row"))
 
 
+def text_counts(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """*keys, s (stripped text), cnt (cells), forms (distinct values that are not null) of every column."""
+    v = cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
+    return v.withColumn("s", T.clean_string(F.col("value"))).groupBy(*keys, "s").agg(F.sum("cnt").alias("cnt"), F.count("value").alias("forms"))
+
+
 def _with_mean(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Each text with its column's mean; one row a column is what is joined, and both sides read one exchange."""
     mean = values.groupBy(*keys).agg((F.sum(F.col("x") * F.col("cnt")) / F.sum(F.when(F.col("x").isNotNull(), F.col("cnt")))).alias("mean"))
     return values.join(mean, keys)
 
 
-def profile_columns(cells: DataFrame, keys: tuple[str, ...] = ("col_pos", "col")) -> DataFrame:
+#: Three quartiles, exact; a column's distinct numbers stand in one buffer.
+_QUARTILES = "percentile(x, array(0.25D, 0.5D, 0.75D), coalesce(if(x is null, 0, cnt), 0))"
+
+
+def profile_columns(cells: DataFrame, keys: tuple[str, ...] = ("col_pos", "col"), detectors: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """AG8, AG9, AG11: the mapping profile of every column. Missing are null and texts that stand for it; ratios are of
-    the values that are not missing, 0 without any; quantiles interpolate; std is that of a sample, 0 of one value."""
-    keys = list(keys)
-    v = value_counts(cells, keys).withColumn("missing", T.is_missing(F.col("value"))).withColumn("x", T.parse_numeric(F.col("value")))
+    the values that are not missing, 0 without any; quantiles interpolate; std is that of a sample, 0 of one value.
+    detectors: name -> test of a stripped text, each a ratio; by default those of functions.text."""
+    keys, detectors = list(keys), T.DETECTORS if detectors is None else detectors
+    s = F.col("s")
+    v = text_counts(cells, keys).select(*keys, "cnt", T.stands_for_missing(s).alias("missing"), T.number_of(s).alias("x"), *[f(s).alias(f"is_{n}") for n, f in detectors.items()])
     v = _with_mean(v, keys)
     here, there = ~F.col("missing"), _weighted(~F.col("missing"))
     numbers = _weighted(F.col("x").isNotNull())
-    quantile = F.expr("percentile(x, array(0.25D, 0.5D, 0.75D), coalesce(if(x is null, 0, cnt), 0))")
     out = v.groupBy(*keys).agg(
-        F.sum("cnt").alias("total_count"), _weighted(F.col("missing")).alias("missing_count"),
-        F.count_distinct(F.when(here, T.clean_string(F.col("value")))).alias("unique_count"),
+        F.sum("cnt").alias("total_count"), _weighted(F.col("missing")).alias("missing_count"), F.count_if(here).alias("unique_count"),
         there.alias("present"), numbers.alias("numbers"), _share(F.col("x").isNotNull(), there).alias("numeric_ratio"),
-        F.min("x").alias("min"), F.max("x").alias("max"), F.first("mean").alias("mean"), quantile.alias("q"), *_moments("x", "mean"),
-        *[_share(here & f(F.col("value")), there).alias(f"{name}_ratio") for name, f in T.DETECTORS.items()],
+        F.min("x").alias("min"), F.max("x").alias("max"), F.first("mean").alias("mean"), F.expr(_QUARTILES).alias("q"), *_moments("x", "mean"),
+        *[_share(here & F.col(f"is_{n}"), there).alias(f"{n}_ratio") for n in detectors],
     )
     std = F.when(F.col("numbers") == 1, 0.0).when(F.col("numbers") > 1, F.sqrt(F.col("m2") / (F.col("numbers") - 1)))
     present = F.col("present") > 0
@@ -64,7 +77,7 @@ def profile_columns(cells: DataFrame, keys: tuple[str, ...] = ("col_pos", "col")
         *keys, "total_count", "missing_count", (F.col("missing_count") / F.col("total_count")).alias("missing_ratio"), "unique_count",
         F.when(present, F.col("unique_count") / F.col("present")).otherwise(0.0).alias("unique_ratio"), "numeric_ratio",
         F.when(present, 1 - F.col("numeric_ratio")).otherwise(0.0).alias("string_ratio"), "min", "max", "mean",
-        F.col("q")[1].alias("median"), std.alias("std"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), *[f"{n}_ratio" for n in T.DETECTORS],
+        F.col("q")[1].alias("median"), std.alias("std"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), *[f"{n}_ratio" for n in detectors],
     )
 
 
@@ -81,7 +94,7 @@ def as_map(top: DataFrame, keys: tuple[str, ...] = ("col_pos", "col")) -> DataFr
     return top.groupBy(*keys).agg(F.map_from_entries(entries).alias("top_values"))
 
 
-#: AG13: the posterior profile's patterns.
+# AG13, the posterior profile's patterns.
 POSTERIOR_PATTERNS = {
     "zip_5_digit": lambda s: s.rlike(r"\A\d{5}\z"),
     "year_4_digit": lambda s: s.rlike(r"\A\d{4}\z"),
@@ -94,25 +107,36 @@ POSTERIOR_PATTERNS = {
 
 def posterior_profile(cells: DataFrame, keys: tuple[str, ...] = ("col_pos", "col")) -> DataFrame:
     """AG12, AG13, AG14: the profile for the softmax mapping. Only nulls are missing, ratios are of all others, numbers
-    are plain ones; std needs two numbers, skewness (bias-adjusted) three."""
+    are plain ones; std needs two numbers, skewness (bias-adjusted) three. dtype is what the values would be read as:
+    int64 (whole numbers, none missing), float64 (numbers), else object."""
     keys = list(keys)
-    v = value_counts(cells, keys).withColumn("s", T.clean_string(F.col("value")))
-    v = _with_mean(v.withColumn("x", F.when(F.col("s").rlike(T._FLOAT), F.col("s").try_cast("double"))), keys)
-    there, numbers = _weighted(F.col("s").isNotNull()), _weighted(F.col("x").isNotNull())
+    s = F.col("s")
+    number = F.when(s.rlike(T._FLOAT), s.try_cast("double"))
+    v = text_counts(cells, keys).select(*keys, "cnt", "forms", F.length(s).alias("chars"), number.alias("x"), s.rlike(r"^[+-]?\d+$").alias("whole"), *[F.coalesce(f(s), F.lit(False)).alias(f"p_{n}") for n, f in POSTERIOR_PATTERNS.items()])
+    v = _with_mean(v, keys)
+    there, numbers = _weighted(F.col("chars").isNotNull()), _weighted(F.col("x").isNotNull())
     x = F.col("x")
     out = v.groupBy(*keys).agg(
-        F.sum("cnt").alias("total_count"), there.alias("present"), numbers.alias("numbers"), F.count_distinct("value").alias("unique_count"), F.count_distinct("s").alias("distinct_values"),
-        _share(x.isNotNull(), there).alias("numeric_ratio"), _share(x == 0, there).alias("zero_ratio"), _share(x < 0, there).alias("negative_ratio"),
-        F.first("mean").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"),
-        F.expr("percentile(x, array(0.25D, 0.5D, 0.75D), coalesce(if(x is null, 0, cnt), 0))").alias("q"), *_moments("x", "mean"),
-        (F.sum(F.length("s") * F.col("cnt")) / F.nullif(there, F.lit(0))).alias("avg_string_length"), F.max(F.length("s")).alias("max_string_length"),
-        *[_share(F.coalesce(f(F.col("s")), F.lit(False)), there).alias(f"p_{n}") for n, f in POSTERIOR_PATTERNS.items()],
+        F.sum("cnt").alias("total_count"), there.alias("present"), numbers.alias("numbers"), F.sum("forms").alias("unique_count"), F.count("chars").alias("distinct_values"),
+        _share(x.isNotNull(), there).alias("numeric_ratio"), _share(x == 0, there).alias("zero_ratio"), _share(x < 0, there).alias("negative_ratio"), _weighted(F.col("whole")).alias("whole"),
+        F.first("mean").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), F.expr(_QUARTILES).alias("q"), *_moments("x", "mean"),
+        (F.sum(F.col("chars") * F.col("cnt")) / F.nullif(there, F.lit(0))).alias("avg_string_length"), F.max("chars").alias("max_string_length"),
+        *[_share(F.col(f"p_{n}"), there).alias(f"p_{n}") for n in POSTERIOR_PATTERNS],
     )
     n = F.col("numbers")
     skew = F.when((n > 2) & (F.col("m2") > 0), F.sqrt(n * (n - 1)) / (n - 2) * (F.col("m3") / n) / F.pow(F.col("m2") / n, 1.5)).when(n > 2, 0.0)
+    dtype = F.when(F.col("present") == 0, "object").when(F.col("whole") == F.col("total_count"), "int64").when(n == F.col("present"), "float64").otherwise("object")
     return out.select(
-        *keys, "total_count", (1 - F.col("present") / F.col("total_count")).alias("missing_ratio"), "unique_count",
+        *keys, dtype.alias("dtype"), "total_count", (1 - F.col("present") / F.col("total_count")).alias("missing_ratio"), "unique_count",
         F.coalesce(F.col("unique_count") / F.nullif("present", F.lit(0)), F.lit(0.0)).alias("unique_ratio"), "numeric_ratio", (1 - F.col("numeric_ratio")).alias("string_ratio"),
         "zero_ratio", "negative_ratio", "mean", F.col("q")[1].alias("median"), F.when(n > 1, F.sqrt(F.col("m2") / (n - 1))).alias("std"), "min", "max",
         F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), skew.alias("skewness"), "avg_string_length", "max_string_length", "distinct_values", *[f"p_{n}" for n in POSTERIOR_PATTERNS],
     )
+
+
+def posterior_top_values(cells: DataFrame, n: int = 10, keys: tuple[str, ...] = ("col_pos", "col")) -> DataFrame:
+    """AG12's top_values: the n most frequent texts of every column, of equal counts the first seen first; nulls alone
+    are missing here."""
+    v = cells.where("value IS NOT NULL").withColumn("value", T.clean_string(F.col("value")))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("cnt"), "first_row"))
+    return value_counts(v, list(keys)).withColumn("rank", rank).where(F.col("rank") <= n)

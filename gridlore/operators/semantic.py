@@ -35,20 +35,52 @@ def target_embeddings(spark, embed: Callable[[Column], Column] = trigram_embeddi
     return t.select("target_pos", "target", "text", embed(F.col("text")).alias("target_vector"))
 
 
-def retrieve(headers: DataFrame, keys: list[str], value_evidence: DataFrame | None = None, embed: Callable[[Column], Column] = trigram_embedding, top_k: int = TOP_K, assigned: DataFrame | None = None) -> DataFrame:
-    """ML1, JN4, JN5, TK2, FN22: the top_k targets of each header by combined score. The 17 targets stand beside each
-    header as one array; value evidence that is missing is 0."""
-    t = target_embeddings(headers.sparkSession, embed)
+#: Gives, once a task, what turns texts into vectors.
+Embedder = Callable[[], Callable[[list[str]], list[list[float]]]]
+
+
+def embedded(rows: DataFrame, text: str, embedder: Embedder) -> DataFrame:
+    """ML1: rows with vector, or with error where the model fails: at once for all rows if it can't be made, else for the
+    texts of a batch."""
+    schema = rows.withColumn("vector", F.lit(None).cast("array<double>")).withColumn("error", F.lit(None).cast("string")).schema
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = None
+        for pdf in parts:
+            try:
+                model = model or embedder()
+                yield pdf.assign(vector=[[float(x) for x in v] for v in model(pdf[text].tolist())], error=None)
+            except Exception as e:  # told in the error column
+                yield pdf.assign(vector=None, error=f"Semantic retrieval failed: {type(e).__name__}: {e}")
+
+    return rows.mapInPandas(run, schema)
+
+
+def retrieve(headers: DataFrame, keys: list[str], value_evidence: DataFrame | None = None, embed: Callable[[Column], Column] = trigram_embedding, top_k: int = TOP_K, assigned: DataFrame | None = None, embedder: Embedder | None = None) -> DataFrame:
+    """ML1, JN4, JN5, TK2, FN22: the top_k targets of each header (*keys, norm) by combined score, with the reasons of the
+    value evidence. The 17 targets stand beside each header as one array; value evidence that is missing is 0. embed
+    builds a vector column in the JVM; an embedder is a model instead. A header that it fails for has one row, without a
+    target and with error."""
+    spark = headers.sparkSession
+    if embedder is None:
+        t = target_embeddings(spark, embed).withColumn("error", F.lit(None).cast("string"))
+        h = headers.select(*keys, "norm", embed(F.col("norm")).alias("vector"), F.lit(None).cast("string").alias("error"))
+    else:
+        t = embedded(target_embeddings(spark, lambda c: F.lit(None)).drop("target_vector"), "text", embedder).withColumnRenamed("vector", "target_vector")
+        h = embedded(headers.select(*keys, "norm"), "norm", embedder)
     if assigned is not None:
         t = t.join(assigned.select("target").distinct(), "target", "left_anti")
-    all_targets = t.agg(F.collect_list(F.struct("target_pos", "target", "text", "target_vector")).alias("ts"))
-    h = headers.withColumn("vector", embed(F.col("norm"))).crossJoin(F.broadcast(all_targets))
-    pairs = h.select(*keys, "norm", F.explode(F.transform("ts", lambda x: F.struct(x["target_pos"].alias("target_pos"), x["target"].alias("target"), x["text"].alias("target_text"), T.clip(T.cosine(F.col("vector"), x["target_vector"])).alias("embedding_score")))).alias("p")).select(*keys, "norm", "p.*")
+    all_targets = t.agg(F.max("error").alias("target_error"), F.collect_list(F.struct("target_pos", "target", "text", "target_vector")).alias("ts"))
+    h = h.crossJoin(F.broadcast(all_targets)).withColumn("error", F.coalesce("error", "target_error"))
+    near = F.transform("ts", lambda x: F.struct(x["target_pos"].alias("target_pos"), x["target"].alias("target"), x["text"].alias("target_text"), T.clip(T.cosine(F.col("vector"), x["target_vector"])).alias("embedding_score")))
+    failed = F.array(F.struct(F.lit(None).cast("int").alias("target_pos"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("target_text"), F.lit(None).cast("double").alias("embedding_score")))
+    pairs = h.select(*keys, "norm", "error", F.explode(F.when(F.col("error").isNull(), near).otherwise(failed)).alias("p")).select(*keys, "norm", "error", "p.*")
     if value_evidence is None:
-        pairs = pairs.withColumn("value_score", F.lit(0.0))
+        pairs = pairs.withColumn("value_score", F.lit(0.0)).withColumn("reasons", F.array().cast("array<string>"))
     else:
-        pairs = pairs.join(value_evidence.select(*keys, "target", F.col("score").alias("value_score")), [*keys, "target"], "left").na.fill(0.0, ["value_score"])
-    pairs = pairs.withColumn("combined_score", T.retrieval_score(F.col("embedding_score"), F.col("value_score")))
+        pairs = pairs.join(value_evidence.select(*keys, "target", F.col("score").alias("value_score"), "reasons"), [*keys, "target"], "left").na.fill(0.0, ["value_score"])
+        pairs = pairs.withColumn("reasons", F.coalesce("reasons", F.array().cast("array<string>")))
+    pairs = pairs.withColumn("combined_score", F.when(F.col("target").isNotNull(), T.retrieval_score(F.col("embedding_score"), F.col("value_score"))))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("combined_score"), "target_pos"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= top_k)
 
@@ -57,6 +89,10 @@ def rerank(candidates: DataFrame, keys: list[str], scorer: Callable[[], Callable
     """ML2, ML3, FN20, FN21, TK3: candidates with rerank_score and their new rank. scorer() is called once a task and
     gives the pair scorer. Without one, or where it fails, the order stays, rerank_score is the combined score, and error
     says why."""
+    if "error" in candidates.columns:
+        candidates = candidates.withColumnRenamed("error", "retrieval_error")
+    else:
+        candidates = candidates.withColumn("retrieval_error", F.lit(None).cast("string"))
     if scorer is None:
         return candidates.withColumn("ce_score", F.lit(None).cast("double")).withColumn("rerank_score", F.col("combined_score")).withColumn("error", F.lit("no pair scorer"))
     schema = candidates.withColumn("logit", F.lit(None).cast("double")).withColumn("error", F.lit(None).cast("string")).schema
@@ -64,9 +100,12 @@ def rerank(candidates: DataFrame, keys: list[str], scorer: Callable[[], Callable
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, failed = None, None
         for pdf in parts:
+            ok = pdf["target"].notna()
             try:
                 model = model or scorer()
-                yield pdf.assign(logit=model(pdf["norm"].tolist(), pdf["target_text"].tolist()), error=None)
+                logit = pd.Series(None, index=pdf.index, dtype="float64")
+                logit[ok] = model(pdf["norm"][ok].tolist(), pdf["target_text"][ok].tolist())
+                yield pdf.assign(logit=logit, error=None)
             except Exception as e:  # told in the error column
                 failed = f"{type(e).__name__}: {e}"
                 yield pdf.assign(logit=None, error=failed)
@@ -85,20 +124,38 @@ def category(top: Column, margin: Column, error: Column | None = None) -> Column
 
 
 def evaluate(candidates: DataFrame, keys: list[str], score: str = "combined_score") -> DataFrame:
-    """ML4, WN4: top two of each header, their margin (6 places), the category and a summary in words."""
+    """ML4, WN4: top two of each header, their margin (6 places), the category and a summary in words; candidates whose
+    retrieval failed are unresolved, with errors."""
     at = lambda c, r: F.max(F.when(F.col("rank") == r, F.col(c)))
-    out = candidates.groupBy(*keys).agg(at("target", 1).alias("top"), at(score, 1).alias("top_score"), at("target", 2).alias("second"), at(score, 2).alias("second_score"))
+    failed = F.max("retrieval_error") if "retrieval_error" in candidates.columns else F.lit(None).cast("string")
+    out = candidates.groupBy(*keys).agg(at("target", 1).alias("top"), at(score, 1).alias("top_score"), at("target", 2).alias("second"), at(score, 2).alias("second_score"), failed.alias("errors"))
     margin = F.round(F.greatest(F.lit(0.0), F.col("top_score") - F.coalesce("second_score", F.lit(0.0))), 6)
     three = lambda c: F.format_string("%.3f", F.col(c))
     summary = F.concat(F.lit("Top candidate: "), F.col("top"), F.lit(" (score "), three("top_score"), F.lit("). "), F.coalesce(F.concat(F.lit("Second candidate: "), F.col("second"), F.lit(" (score "), three("second_score"), F.lit("). ")), F.lit("")), F.lit("Margin: "), three("margin"), F.lit("."))
     out = out.withColumn("margin", margin)
-    return out.withColumn("category", category(F.col("top_score"), F.col("margin"))).withColumn("summary", summary)
+    return out.withColumn("category", category(F.col("top_score"), F.col("margin"), F.col("errors"))).withColumn("summary", summary)
+
 
+def packages(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """CX5's part that the retrieval fills: of each header its candidates by rank, and the evidence of the first."""
+    six = lambda c: F.round(c, 6)
+    one = F.struct("rank", F.struct(F.col("target").alias("target_field"), six(F.col("combined_score")).alias("score"), six(F.col("embedding_score")).alias("embedding_similarity"), six(F.col("value_score")).alias("value_evidence_score"), F.col("reasons").alias("evidence_reasons")).alias("c"))
+    out = candidates.groupBy(*keys).agg(F.max("norm").alias("normalized_header"), F.transform(F.array_sort(F.collect_list(F.when(F.col("target").isNotNull(), one))), lambda x: x["c"]).alias("candidates"))
+    top = F.get("candidates", F.lit(0))
+    profile = F.struct(top["target_field"].alias("top_target_field"), top["embedding_similarity"].alias("top_embedding_similarity"), top["value_evidence_score"].alias("top_value_evidence_score"))
+    return out.withColumn("column_profile", F.when(top.isNotNull(), profile))
 
-def prompt_context(evaluated: DataFrame, samples: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
-    """ML7, CX5, WN9: what a language model is told of each header, as JSON; n sample values at most."""
+
+def prompt_context(evaluated: DataFrame, samples: DataFrame, keys: list[str], candidates: DataFrame | None = None, header: str | None = None, n: int = 5) -> DataFrame:
+    """ML7, CX5, WN9: what a language model is told of each header, as JSON; n sample values at most. With the retrieval's
+    candidates, theirs is the evidence: source and normalised header, candidates, column profile, samples; without, the
+    evaluation's top two."""
     out = evaluated.join(samples.select(*keys, F.slice("samples", 1, n).alias("samples")), keys, "left")
-    return out.withColumn("context", F.to_json(F.struct("top", F.round("top_score", 6).alias("top_score"), "second", F.round("second_score", 6).alias("second_score"), "margin", "category", "samples")))
+    if candidates is None:
+        return out.withColumn("context", F.to_json(F.struct("top", F.round("top_score", 6).alias("top_score"), "second", F.round("second_score", 6).alias("second_score"), "margin", "category", "samples")))
+    own = F.col(header or keys[-1]).cast("string")
+    told = F.struct(own.alias("source_header"), "normalized_header", "candidates", "column_profile", F.coalesce("samples", F.array().cast("array<string>")).alias("sample_values"))
+    return out.join(packages(candidates, keys), keys, "left").withColumn("context", F.to_json(told)).drop("normalized_header", "candidates", "column_profile")
 
 
 def prompt(context: Column) -> Column:
@@ -107,16 +164,27 @@ def prompt(context: Column) -> Column:
 
 
 def ask(contexts: DataFrame, client: Callable[[], Callable[[str], str]] | None) -> DataFrame:
-    """ML6: adds response, the client's JSON for each prompt; null without a client (no evidence is lost by that)."""
+    """ML6: adds response, the client's JSON for each prompt, and error where the client fails for a prompt or can't be
+    made; null without a client. No evidence is lost by any of these."""
     rows = contexts.withColumn("prompt", prompt(F.col("context")))
     if client is None:
-        return rows.withColumn("response", F.lit(None).cast("string"))
-    schema = rows.withColumn("response", F.lit(None).cast("string")).schema
+        return rows.withColumn("response", F.lit(None).cast("string")).withColumn("error", F.lit(None).cast("string"))
+    schema = rows.withColumn("response", F.lit(None).cast("string")).withColumn("error", F.lit(None).cast("string")).schema
 
     def call(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        send = client()
+        send, broken = None, None
+        try:
+            send = client()
+        except Exception as e:  # told in the error column
+            broken = f"{type(e).__name__}: {e}"
         for pdf in parts:
-            yield pdf.assign(response=[send(p) for p in pdf["prompt"]])
+            got = []
+            for p in pdf["prompt"]:
+                try:
+                    got.append((send(p), None) if send else (None, broken))
+                except Exception as e:
+                    got.append((None, f"{type(e).__name__}: {e}"))
+            yield pdf.assign(response=[r for r, _ in got], error=[e for _, e in got])
 
     return rows.mapInPandas(call, schema)
 
@@ -148,8 +216,29 @@ def decide(answered: DataFrame) -> DataFrame:
     return out.withColumn("human_review", needs_review(F.col("decided"), F.col("confidence"))).drop("ok")
 
 
-def semantic_pipeline(headers: DataFrame, keys: list[str], scorer=None, embed=trigram_embedding, top_k: int = TOP_K) -> DataFrame:
-    """ML5: retrieve, rerank, evaluate; a failing scorer leaves the retrieval's order."""
-    return evaluate(rerank(retrieve(headers, keys, embed=embed, top_k=top_k), keys, scorer), keys, "rerank_score")
-
-
+def semantic_pipeline(headers: DataFrame, keys: list[str], scorer=None, embed=trigram_embedding, top_k: int = TOP_K, embedder: Embedder | None = None) -> DataFrame:
+    """ML5: retrieve, rerank, evaluate; a failing scorer leaves the retrieval's order, a failing embedder ends in unresolved."""
+    return evaluate(rerank(retrieve(headers, keys, embed=embed, top_k=top_k, embedder=embedder), keys, scorer), keys, "rerank_score")
+
+
+def evidence(headers: DataFrame, keys: list[str], samples: DataFrame | None = None, value_evidence: DataFrame | None = None, scorer=None, client=None, embedder: Embedder | None = None, weigh: bool = False) -> tuple[DataFrame, DataFrame]:
+    """OP3, OP5, OP6: candidate rows for map_columns(extra=) from the semantic steps and, for headers that these leave
+    open, from a language model; and warnings (*keys, warning) of what failed. headers: *keys, col, norm; samples: *keys,
+    samples. A semantic candidate brings its value evidence and reasons, a model's its reason; their own scores count in
+    the fusion only with weigh."""
+    found = rerank(retrieve(headers, keys, value_evidence, embedder=embedder), keys, scorer)
+    judged = evaluate(found, keys, "rerank_score")
+    none = F.lit(None).cast("double")
+    rows = found.where("target IS NOT NULL").select(
+        *keys, "target", (F.lit(10) + F.col("rank")).alias("seq"), F.lit("semantic").alias("method"), none.alias("det"), none.alias("fuzzy"),
+        (F.col("rerank_score") if weigh else none).alias("semantic"), none.alias("llm"), F.col("value_score").alias("value"), "reasons")
+    failed = judged.where("errors IS NOT NULL").select(*keys, F.col("errors").alias("problem"))
+    if client is not None:
+        samples = headers.select(*keys, F.array().cast("array<string>").alias("samples")) if samples is None else samples
+        told = prompt_context(judged.join(headers.select(*keys, "col"), keys), samples, keys, found, "col")
+        answered = ask(told.where(~F.col("category").isin("strong", "moderate") & F.col("errors").isNull()), client)
+        decided = decide(answered).where("decided_by = 'llm' AND decided IS NOT NULL")
+        rows = rows.unionByName(decided.select(*keys, F.col("decided").alias("target"), F.lit(20).alias("seq"), F.lit("llm").alias("method"), none.alias("det"), none.alias("fuzzy"), none.alias("semantic"), (F.col("confidence") if weigh else none).alias("llm"), none.alias("value"), F.array("answer.reason").alias("reasons")))
+        failed = failed.unionByName(answered.where("error IS NOT NULL").select(*keys, F.col("error").alias("problem")))
+    warnings = failed.join(headers.select(*keys, "col"), keys).select(*keys, F.concat(F.lit("Failed to process '"), F.col("col"), F.lit("': "), F.col("problem")).alias("warning"))
+    return rows, warnings

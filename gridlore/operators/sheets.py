@@ -32,24 +32,38 @@ def sheet_profile(cells: DataFrame) -> DataFrame:
     )
 
 
+def first_rows(cells: DataFrame, most: int) -> DataFrame:
+    """The first `most` rows of every sheet (row_idx, n filled cells), with data_below_score, the share of the rows below
+    that aren't blank. Rows are counted; the windows see the first ones alone, by group limits before the shuffle."""
+    rows = cells.groupBy(*SHEET, "row_idx").agg(F.count("value").alias("n"))
+    totals = rows.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("n") > 0).alias("filled_rows"))
+    order = Window.partitionBy(*SHEET).orderBy("row_idx")
+    first = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    upto = F.sum((F.col("n") > 0).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = first.withColumn("upto", upto).join(totals, SHEET)
+    below = (F.col("filled_rows") - F.col("upto")) / F.nullif(F.col("rows") - F.col("place"), F.lit(0))
+    return first.select(*SHEET, "row_idx", F.coalesce(below, F.lit(0.0)).alias("data_below_score"))
+
+
 def row_features(cells: DataFrame, max_rows: int = HEADER_ROWS, lookahead: int = LOOKAHEAD) -> DataFrame:
-    """FL6, AG19, WN1, WN2: features of the first max_rows rows that aren't blank. Only whether a row is blank, and its
-    pattern of numbers, are kept of the rows below."""
+    """FL6, AG19, WN1, WN2: features of the first max_rows rows that aren't blank. Of the rows below the next `lookahead`
+    show their pattern of numbers, the others whether they are blank."""
     t, v = T.detector_text(F.col("value")), F.col("value")
+    cells = cells.join(first_rows(cells, max_rows + lookahead), [*SHEET, "row_idx"]).withColumn("t", t)
+    t = F.col("t")
     filled, number = v.isNotNull(), T.is_numeric(v)
     pattern = T.is_numeric(t) | T.is_long_id(t) | T.has_letter_and_digit(t) | (T.word_count(t) >= 3)
     share = lambda flag: F.coalesce(F.avg(F.when(filled, flag.cast("double"))), F.lit(0.0))
     semantic = T.contains_term(t, TERMS["header"], 4)
     rows = cells.groupBy(*SHEET, "row_idx").agg(
-        F.avg(filled.cast("double")).alias("non_empty_ratio"), share(~number).alias("text_ratio"), F.count_distinct(F.when(filled, t)).alias("distinct_values"), F.count_if(filled).alias("n"),
+        F.avg(filled.cast("double")).alias("non_empty_ratio"), share(~number).alias("text_ratio"), F.size(F.collect_set(F.when(filled, t))).cast("long").alias("distinct_values"), F.count_if(filled).alias("n"),
         share(number).alias("numeric_ratio"), share(semantic).alias("semantic"), share(T.is_date(v)).alias("date_like_ratio"), share(T.is_long_id(t)).alias("long_identifier_ratio"),
         share(pattern).alias("value_pattern_score"), share(T.is_code(t)).alias("code_ratio"), share(T.is_long_text(t)).alias("long_text_ratio"),
         F.transform(F.array_sort(F.collect_list(F.struct("col_idx", number.alias("num")))), lambda x: x["num"]).alias("pattern"),
         F.transform(F.array_sort(F.collect_list(F.when(filled, F.struct("col_idx", v.alias("value"))))), lambda x: x["value"]).alias("header_values"),
+        F.max("data_below_score").alias("data_below_score"),
     )
     order = Window.partitionBy(*SHEET).orderBy("row_idx")
-    below = order.rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("data_below_score", F.coalesce(F.avg((F.col("n") > 0).cast("double")).over(below), F.lit(0.0)))
     alike = []
     for k in range(1, lookahead + 1):
         nxt = F.lead("pattern", k).over(order)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.functions import similarity
 from gridlore.functions import text as T
-from gridlore.functions.vocabulary import TARGETS, alias_rows, aliases, quoted, targets, values_sql
+from gridlore.functions.vocabulary import TARGETS, alias_rows, aliases, quoted, values_sql
 from gridlore.operators import matching, posterior, profile, semantic, sheets
 from gridlore.plans import sqltext as S
+from gridlore.sources import workbooks
 
 LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -95,19 +98,26 @@ for _t, _cols, _key in (("lineitem", LINEITEM, "l_orderkey"), ("customer", CUSTO
         lambda spark, sf_dir, t=_t, cols=_cols, key=_key: rounded(profile.profile_columns(column_cells(spark, sf_dir, t, cols, key)), 5))
 
 
-_ORDERS = S.cells("orders", ["o_orderstatus", "o_orderpriority", "o_custkey"], "o_orderkey")
+_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+_ORDERS = S.cells("orders", _ORDER_COLUMNS, "o_orderkey")
 
 
 @query("ag10_tk6_top_values_orders", f"""SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY col_pos ORDER BY cnt DESC, first_row))::INTEGER AS rank FROM (
   SELECT col_pos, col, trim(value) AS value, count(*) AS cnt, min(row_idx) AS first_row FROM ({_ORDERS}) WHERE NOT {S.missing('value')} GROUP BY col_pos, col, trim(value))) WHERE rank <= 10""")
 def _(spark, sf_dir):
-    return profile.top_values(column_cells(spark, sf_dir, "orders", ["o_orderstatus", "o_orderpriority", "o_custkey"], "o_orderkey"))
+    return profile.top_values(column_cells(spark, sf_dir, "orders", _ORDER_COLUMNS, "o_orderkey"))
+
+
+@query("ag12_posterior_top_values_orders", f"""SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY col_pos ORDER BY cnt DESC, first_row))::INTEGER AS rank FROM (
+  SELECT col_pos, col, trim(value) AS value, count(*) AS cnt, min(row_idx) AS first_row FROM ({_ORDERS}) WHERE value IS NOT NULL GROUP BY col_pos, col, trim(value))) WHERE rank <= 10""")
+def _(spark, sf_dir):
+    return profile.posterior_top_values(column_cells(spark, sf_dir, "orders", _ORDER_COLUMNS, "o_orderkey"))
 
 
 @query("cx1_top_value_maps_orders", f"""SELECT col, string_agg(value || '=' || cnt, ';' ORDER BY cnt DESC, f) AS top FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY cnt DESC, f) AS rank FROM (
   SELECT col, trim(value) AS value, count(*) AS cnt, min(row_idx) AS f FROM ({_ORDERS}) GROUP BY col, trim(value))) WHERE rank <= 10 GROUP BY col""")
 def _(spark, sf_dir):
-    maps = profile.as_map(profile.top_values(column_cells(spark, sf_dir, "orders", ["o_orderstatus", "o_orderpriority", "o_custkey"], "o_orderkey")))
+    maps = profile.as_map(profile.top_values(column_cells(spark, sf_dir, "orders", _ORDER_COLUMNS, "o_orderkey")))
     pairs = F.transform(F.map_entries("top_values"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return maps.select("col", F.array_join(pairs, ";").alias("top"))
 
@@ -131,7 +141,7 @@ def _(spark, sf_dir):
   FROM (SELECT *, {S.collapse("lower(coalesce(v, ''))")} AS t FROM ({_TEXTS}))""")
 def _(spark, sf_dir):
     v, t = F.col("v"), T.detector_text(F.col("v"))
-    return run_sql(spark, sf_dir, _TEXTS, "part").select("id", F.round(T.parse_numeric(v), 6).alias("x"), T.is_missing(v).alias("missing"), T.is_numeric(v).alias("is_num"), T.is_date(v).alias("is_date"), *[f(v).alias(f"is_{n}") for n, f in T.DETECTORS.items()], T.is_code(t).alias("is_code"), T.is_long_id(t).alias("is_long_id"), T.is_long_text(t).alias("is_long_text"))
+    return run_sql(spark, sf_dir, _TEXTS, "part").select("id", F.round(T.parse_numeric(v), 6).alias("x"), T.is_missing(v).alias("missing"), T.is_numeric(v).alias("is_num"), T.is_date(v).alias("is_date"), *[f(T.clean_string(v)).alias(f"is_{n}") for n, f in T.DETECTORS.items()], T.is_code(t).alias("is_code"), T.is_long_id(t).alias("is_long_id"), T.is_long_text(t).alias("is_long_text"))
 
 
 @query("fn19_fn22_scores", """SELECT event_id, round(greatest(0, least(1, value / 100)), 6) AS clipped, round(1 / (1 + exp(-(value / 50 - 1))), 6) AS sig, round(greatest(0, least(1, 0.6 * (1 / (1 + exp(-(value / 50 - 1)))) + 0.25 * (value / 100) + 0.15 * 0.5)), 6) AS rerank,
@@ -149,18 +159,44 @@ def _(spark, sf_dir):
     return n.crossJoin(F.broadcast(r)).select("n_name", "r_name", F.round(similarity.indel_ratio(F.col("n_name"), F.col("r_name")), 6).alias("ratio"), F.round(similarity.header_similarity(F.col("n_name"), F.col("r_name")), 6).alias("similarity"))
 
 
-@query("fn25_jn4_tk2_cosine_topk", """WITH t AS (SELECT label, min(vec_id) AS id FROM embeddings GROUP BY label), c AS (SELECT t.label AS target, e.embedding AS te FROM t JOIN embeddings e ON e.vec_id = t.id),
-  s AS (SELECT v.vec_id, c.target, list_inner_product(v.embedding::DOUBLE[], c.te::DOUBLE[]) AS score FROM embeddings v, c),
-  r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, target) AS rank FROM s) SELECT vec_id, rank::INTEGER AS rank, target, round(score, 6) AS score FROM r WHERE rank <= 3""")
+def letters(c):
+    """An embedding that SQL can make, too: counts of the letters a to z, scaled to length 1."""
+    low = F.lower(c)
+    counts = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(ch), F.lit("")))).cast("double") for ch in "abcdefghijklmnopqrstuvwxyz"])
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(F.array(counts), lambda v: F.transform(v, lambda x: x / length(v)))[0]
+
+
+def letters_sql(text: str) -> str:
+    v = f"list_transform(range(97, 123), lambda i_: (length(lower({text})) - length(replace(lower({text}), chr(i_::INTEGER), '')))::DOUBLE)"
+    return f"list_transform({v}, lambda x_: x_ / sqrt(list_sum(list_transform({v}, lambda y_: y_ * y_))))"
+
+
+_TARGET_TEXTS = "SELECT * FROM (VALUES " + values_sql([(t[0], t[1], f"Field: {t[1]}. Description: {t[3]} Aliases: {', '.join(t[5])}.") for t in TARGETS]) + ") AS t(target_pos, target, text)"
+_TYPES = "SELECT DISTINCT lower(p_type) AS norm FROM part"
+# the retrieval over part types; a third of the types have value evidence for Zip
+_RETRIEVED = f"""(WITH h AS (SELECT norm AS header, norm, {letters_sql('norm')} AS hv FROM ({_TYPES})), t AS (SELECT *, {letters_sql('text')} AS tv FROM ({_TARGET_TEXTS})),
+  s AS (SELECT header, norm, target_pos, target, text, greatest(0, least(1, list_inner_product(hv, tv))) AS embedding_score, CASE WHEN target = 'Zip' AND length(norm) % 3 = 0 THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS value_score FROM h, t),
+  c AS (SELECT *, greatest(0, least(1, 0.75::DOUBLE * embedding_score + 0.25::DOUBLE * value_score)) AS combined_score FROM s)
+  SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY header ORDER BY combined_score DESC, target_pos))::INTEGER AS rank FROM c) WHERE rank <= 3)"""
+
+
+def types(spark, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, _TYPES, "part").withColumn("header", F.col("norm"))
+
+
+def retrieved(spark, sf_dir: str) -> DataFrame:
+    h = types(spark, sf_dir)
+    known = h.where(F.length("norm") % 3 == 0).select("header", F.lit("Zip").alias("target"), F.lit(0.9).alias("score"), F.array(F.lit("zip")).alias("reasons"))
+    return semantic.retrieve(h, ["header"], known, letters)
+
+
+@query("fn25_jn4_jn5_ml1_tk2_retrieve", f"SELECT header, rank, target, round(embedding_score, 6) AS embedding_score, value_score, round(combined_score, 6) AS combined_score FROM {_RETRIEVED}")
 def _(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings")
-    t = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("te"))  # a row a label: labels are few
-    ts = t.agg(F.collect_list(F.struct("label", "te")).alias("ts"))
-    best = F.slice(F.array_sort(F.transform("ts", lambda x: F.struct((-F.round(T.cosine(F.col("embedding"), x["te"]), 9)).alias("minus"), x["label"].alias("target")))), 1, semantic.TOP_K)
-    return e.crossJoin(F.broadcast(ts)).select("vec_id", F.posexplode(best)).select("vec_id", (F.col("pos") + 1).alias("rank"), "col.target", F.round(-F.col("col.minus"), 6).alias("score"))
+    return rounded(retrieved(spark, sf_dir).select("header", "rank", "target", "embedding_score", "value_score", "combined_score"))
 
 
-@query("fn28_target_texts", "SELECT * FROM (VALUES " + values_sql([(t[0], t[1], f"Field: {t[1]}. Description: {t[3]} Aliases: {', '.join(t[5])}.") for t in TARGETS]) + ") AS t(target_pos, target, text)")
+@query("fn28_target_texts", _TARGET_TEXTS)
 def _(spark, sf_dir):
     return semantic.target_embeddings(spark).select("target_pos", "target", "text")
 
@@ -214,10 +250,18 @@ def _(spark, sf_dir):
     return matching.without(matching.vocabulary(spark), taken).select("norm", "target")
 
 
-@query("wn7_fuzzy_one_to_one")
+_WALKED = "SELECT p_brand AS workbook, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS col_pos, lower(p_type) AS norm FROM part"
+
+
+@query("wn7_fuzzy_one_to_one", f"""WITH RECURSIVE h AS ({_WALKED}), s AS (SELECT d.norm AS dn, v.norm, v.pos, v.target, {S.indel('d.norm', 'v.norm')} AS sim FROM (SELECT DISTINCT norm FROM h) d, {_VOCAB} v),
+  l AS (SELECT dn, list({{'t': norm, 'g': target, 's': sim}} ORDER BY sim DESC, pos) AS near FROM s WHERE sim >= 0.5 GROUP BY dn), x AS (SELECT h.*, l.near FROM h LEFT JOIN l ON h.norm = l.dn),
+  w AS (SELECT workbook, 0 AS col_pos, ''::VARCHAR AS norm, []::VARCHAR[] AS taken, NULL::STRUCT(t VARCHAR, g VARCHAR, s DOUBLE) AS hit FROM (SELECT DISTINCT workbook FROM h)
+    UNION ALL SELECT x.workbook, x.col_pos, x.norm, CASE WHEN w.hit IS NULL THEN w.taken ELSE list_append(w.taken, w.hit.g) END AS taken,
+      list_filter(x.near, lambda n_: NOT list_contains(CASE WHEN w.hit IS NULL THEN w.taken ELSE list_append(w.taken, w.hit.g) END, n_.g))[1]
+      FROM w JOIN x ON x.workbook = w.workbook AND x.col_pos = w.col_pos + 1)
+  SELECT workbook, col_pos, norm, hit.t AS matched_text, hit.g AS target, round(hit.s, 6) AS similarity FROM w WHERE col_pos > 0""")
 def _(spark, sf_dir):
-    own = run_sql(spark, sf_dir, "SELECT p_brand AS workbook, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS col_pos, lower(p_type) AS norm FROM part", "part")
-    return matching.fuzzy_one_to_one(own, ["workbook"], 0.5)
+    return rounded(matching.fuzzy_one_to_one(run_sql(spark, sf_dir, _WALKED, "part"), ["workbook"], 0.5))
 
 
 @query("ag16_duplicate_headers", f"SELECT normalized, array_to_string(list(col_idx ORDER BY col_idx), ',') AS positions FROM (SELECT p_partkey AS col_idx, {S.header('p_type', '/')} AS normalized FROM part) GROUP BY 1 HAVING count(*) > 1")
@@ -232,27 +276,48 @@ def _(spark, sf_dir):
     return sheets.header_summary(sheets.normalized_headers(rows), ["p_size"])
 
 
+_MOSTLY, _WORDS = ("n >= 0.75", "numeric"), ("s >= 0.75", "string")
+_MONEY = ("0.60 * n + 0.40 * currency_ratio", {"numeric_ratio": "n", "currency_like_ratio": "currency_ratio"}, [_MOSTLY, ("currency_ratio >= 0.50", "currency")])
+_PLACE = ("0.65 * s + 0.35 * (1 - u)", {"string_ratio": "s", "categorical_ratio": "1 - u"}, [_WORDS, ("u <= 0.50", "place")])
+_KINDS = lambda k: ("0.60 * s + 0.40 * (1 - u)", {"string_ratio": "s", "categorical_ratio": "1 - u"}, [_WORDS, ("1 - u >= 0.50", k)])
+_COUNTS = lambda k: ("0.35 * n + 0.65 * small", {"numeric_ratio": "n", "small_integer_ratio": "small"}, [_MOSTLY, ("small >= 0.75", k)])
+#: Score, components and reasons of each target, in SQL.
 _EV = {
-    "Reference": "0.65 * u + 0.35 * s", "Address": "0.55 * s + 0.45 * u", **dict.fromkeys(("City", "State"), "0.65 * s + 0.35 * (1 - u)"), "Zip": "0.75 * zip_ratio + 0.25 * n", **dict.fromkeys(("County", "Country"), "0.65 * s + 0.35 * (1 - u)"),
-    **dict.fromkeys(("Building Value", "Contents", "BI"), "0.60 * n + 0.40 * currency_ratio"), **dict.fromkeys(("Occupancy", "Construction"), "0.60 * s + 0.40 * (1 - u)"), **dict.fromkeys(("Storeys", "Number of Buildings"), "0.35 * n + 0.65 * small"),
-    "Year Built": "year_ratio", "Fire Sprinklers (Y/N)": "sprinkler_ratio", "Other": "0.60 * n + 0.40 * currency_ratio",
+    "Reference": ("0.65 * u + 0.35 * s", {"unique_ratio": "u", "string_ratio": "s"}, [("u >= 0.75", "identifier"), ("s >= 0.50", "some_string")]),
+    "Address": ("0.55 * s + 0.45 * u", {"string_ratio": "s", "unique_ratio": "u"}, [_WORDS, ("u >= 0.50", "address")]),
+    **dict.fromkeys(("City", "State"), _PLACE),
+    "Zip": ("0.75 * zip_ratio + 0.25 * n", {"zip_like_ratio": "zip_ratio", "numeric_ratio": "n"}, [("zip_ratio >= 0.75", "zip"), _MOSTLY]),
+    **dict.fromkeys(("County", "Country"), _PLACE),
+    **dict.fromkeys(("Building Value", "Contents", "BI"), _MONEY),
+    "Occupancy": _KINDS("occupancy"), "Construction": _KINDS("construction"), "Storeys": _COUNTS("floors"), "Number of Buildings": _COUNTS("buildings"),
+    "Year Built": ("year_ratio", {"year_like_ratio": "year_ratio"}, [("year_ratio >= 0.75", "year")]),
+    "Fire Sprinklers (Y/N)": ("sprinkler_ratio", {"sprinkler_like_ratio": "sprinkler_ratio", "boolean_like_ratio": "boolean_ratio"}, [("sprinkler_ratio >= 0.75", "sprinkler"), ("boolean_ratio >= 0.75", "boolean")]),
+    "Other": _MONEY,
 }
 
 
-def _evidence_sql(table: str, columns: list[str], key: str) -> str:
-    base = f"(SELECT *, numeric_ratio AS n, string_ratio AS s, unique_ratio AS u, CASE WHEN numeric_ratio = 0 THEN 0 WHEN min IS NULL THEN numeric_ratio WHEN min >= 0 AND max <= 100 THEN numeric_ratio ELSE 0.25 * numeric_ratio END AS small FROM ({S.mapping_profile(S.cells(table, columns, key))}))"
-    return f"WITH b AS {base} " + " UNION ALL ".join(f"SELECT col_pos, col, {i} AS target_pos, '{t}' AS target, round(({e})::DOUBLE, 5) AS score FROM b" for i, (t, e) in enumerate(_EV.items()))
+def _evidence_sql(cells: str) -> str:
+    """Unrounded; components as name=value * 10,000, reasons joined."""
+    base = f"(SELECT *, numeric_ratio AS n, string_ratio AS s, unique_ratio AS u, CASE WHEN numeric_ratio = 0 THEN 0 WHEN min IS NULL THEN numeric_ratio WHEN min >= 0 AND max <= 100 THEN numeric_ratio ELSE 0.25 * numeric_ratio END AS small FROM ({S.mapping_profile(cells)}))"
+    parts = lambda c: " || ';' || ".join(f"'{k}=' || round(({v})::DOUBLE * 10000)::BIGINT" for k, v in sorted(c.items()))
+    said = lambda r: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{matching.SAID[k]}' END" for c, k in r) + "], lambda r_: r_ IS NOT NULL), '; ')"
+    return f"WITH b AS {base} " + " UNION ALL ".join(f"SELECT col_pos, col, {i} AS target_pos, '{t}' AS target, ({e})::DOUBLE AS score, {parts(c)} AS components, {said(r)} AS reasons FROM b" for i, (t, (e, c, r)) in enumerate(_EV.items()))
+
+
+def shown(evidence: DataFrame) -> DataFrame:
+    entries = F.transform(F.array_sort(F.map_entries("components")), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 10000).cast("long").cast("string")))
+    return evidence.withColumn("components", F.array_join(entries, ";")).withColumn("reasons", F.array_join("reasons", "; ")).withColumn("score", F.round("score", 5))
 
 
 for _t, _cols, _key in (("lineitem", LINEITEM, "l_orderkey"), ("customer", CUSTOMER, "c_custkey")):
-    query(f"ev1_ev14_evidence_{_t}", _evidence_sql(_t, _cols, _key))(
-        lambda spark, sf_dir, t=_t, cols=_cols, key=_key: rounded(matching.field_evidence(profile.profile_columns(column_cells(spark, sf_dir, t, cols, key)), ["col_pos", "col"]).select("col_pos", "col", "target_pos", "target", "score"), 5))
+    query(f"ev1_ev14_evidence_{_t}", rounded_sql(_evidence_sql(S.cells(_t, _cols, _key)), ["score"], 5))(
+        lambda spark, sf_dir, t=_t, cols=_cols, key=_key: shown(matching.field_evidence(profile.profile_columns(column_cells(spark, sf_dir, t, cols, key)), ["col_pos", "col"])))
 
 
-@query("tk4_cx2_ranked_evidence", f"SELECT col_pos, target, (row_number() OVER (PARTITION BY col_pos ORDER BY score DESC, target_pos))::INTEGER AS rank FROM ({_evidence_sql('customer', CUSTOMER, 'c_custkey')})")
+@query("tk4_cx2_ranked_evidence", f"SELECT col_pos, target, reasons, (row_number() OVER (PARTITION BY col_pos ORDER BY round(score, 5) DESC, target_pos))::INTEGER AS rank FROM ({_evidence_sql(S.cells('customer', CUSTOMER, 'c_custkey'))})")
 def _(spark, sf_dir):
     e = matching.field_evidence(profile.profile_columns(column_cells(spark, sf_dir, "customer", CUSTOMER, "c_custkey")), ["col_pos", "col"])
-    return matching.ranked_evidence(e.withColumn("score", F.round("score", 5)), ["col_pos"]).select("col_pos", "target", "rank")
+    return matching.ranked_evidence(e.withColumn("score", F.round("score", 5)), ["col_pos"]).select("col_pos", "target", F.array_join("reasons", "; ").alias("reasons"), "rank")
 
 
 # candidate rows of five methods, made from the events
@@ -271,12 +336,16 @@ def merged(spark, sf_dir: str) -> DataFrame:
 
 _SCORED = f"""(SELECT *, CASE WHEN det >= 0.97 THEN det WHEN fuzzy >= 0.75 THEN 0.8 * fuzzy + 0.2 * value WHEN semantic > 0 THEN 0.8 * semantic + 0.2 * value WHEN llm > 0 THEN 0.8 * llm + 0.2 * value ELSE least(0.45 * value, 0.49) END AS score FROM (
   SELECT col_pos, target, max(CASE WHEN m = 0 AND v > 0.5 THEN 1.0::DOUBLE ELSE 0 END) AS det, max(CASE WHEN m = 1 THEN v ELSE 0 END) AS fuzzy, max(CASE WHEN m = 2 THEN v ELSE 0 END) AS semantic, max(CASE WHEN m = 3 THEN v ELSE 0 END) AS llm, max(CASE WHEN m = 4 THEN v ELSE 0 END) AS value,
-  first(method ORDER BY pr DESC, seq) AS method FROM (SELECT *, greatest(0, least(1, value / 100)) AS v, (['exact', 'fuzzy', 'semantic', 'llm', 'value_evidence'])[m + 1] AS method, ([6, 5, 3, 4, 1])[m + 1] AS pr FROM ({_CANDIDATES_SQL})) GROUP BY col_pos, target))"""
+  first(method ORDER BY pr DESC, seq) AS method, list(method ORDER BY seq) AS said, min(seq) AS seq FROM (SELECT *, greatest(0, least(1, value / 100)) AS v, (['exact', 'fuzzy', 'semantic', 'llm', 'value_evidence'])[m + 1] AS method, ([6, 5, 3, 4, 1])[m + 1] AS pr FROM ({_CANDIDATES_SQL})) GROUP BY col_pos, target))"""
 
 
-@query("ag15_op4_fl11_fusion", f"SELECT col_pos, target, method, round(score, 6) AS score, score >= 0.5 AS eligible FROM {_SCORED}")
+# distinct reasons in order of their first
+_DISTINCT = "array_to_string(list_filter(said, lambda r_, i_: list_position(said, r_) = i_), '; ')"
+
+
+@query("ag15_op4_st4_fl11_fusion", f"SELECT col_pos, target, method, {_DISTINCT} AS reasons, round(score, 6) AS score, score >= 0.5 AS eligible FROM {_SCORED}")
 def _(spark, sf_dir):
-    return merged(spark, sf_dir).select("col_pos", "target", "method", F.round("score", 6).alias("score"), (F.col("score") >= matching.ELIGIBLE).alias("eligible"))
+    return merged(spark, sf_dir).select("col_pos", "target", "method", F.array_join("reasons", "; ").alias("reasons"), F.round("score", 6).alias("score"), (F.col("score") >= matching.ELIGIBLE).alias("eligible"))
 
 
 @query("ag21_score_matrix", f"SELECT col_pos, {', '.join(f'''round(max(CASE WHEN target = '{t[1]}' THEN score ELSE 0 END), 6) AS \"t{t[0]}\"''' for t in TARGETS)} FROM {_SCORED} GROUP BY col_pos")
@@ -285,14 +354,88 @@ def _(spark, sf_dir):
     return m.select("col_pos", *[F.round(F.col("`" + t[1] + "`"), 6).alias(f"t{t[0]}") for t in TARGETS])
 
 
-@query("jn9_assignment")
+# workbooks of three users and four targets, small enough for SQL to try every assignment; scores are made unlike, so that one is best
+_FEW_TARGETS = ("Zip", "City", "State", "County")
+_SMALL = f"(SELECT col_pos // 3 AS workbook, col_pos, target, score - sqrt(seq + 1) * 1e-6::DOUBLE AS score, {_DISTINCT} AS reasons FROM {_SCORED} WHERE target IN ({quoted(_FEW_TARGETS)}))"
+
+
+@query("jn9_op7_op8_st5_fn27_assignment", f"""WITH c AS {_SMALL}, cols AS (SELECT DISTINCT workbook, col_pos FROM c), e AS (SELECT workbook, col_pos, target, score FROM c WHERE score >= 0.5 UNION ALL SELECT workbook, col_pos, NULL, 0 FROM cols),
+  p AS (SELECT workbook, col_pos, row_number() OVER (PARTITION BY workbook ORDER BY col_pos) AS k FROM cols), x AS (SELECT e.*, p.k FROM e JOIN p USING (workbook, col_pos)),
+  t AS (SELECT a.workbook, a.col_pos AS c1, a.target AS t1, b.col_pos AS c2, b.target AS t2, d.col_pos AS c3, d.target AS t3, (a.target IS NOT NULL)::INT + (b.target IS NOT NULL)::INT + (d.target IS NOT NULL)::INT AS n, a.score + coalesce(b.score, 0) + coalesce(d.score, 0) AS total
+    FROM (SELECT * FROM x WHERE k = 1) a LEFT JOIN (SELECT * FROM x WHERE k = 2) b ON a.workbook = b.workbook LEFT JOIN (SELECT * FROM x WHERE k = 3) d ON a.workbook = d.workbook
+    WHERE NOT coalesce(a.target = b.target, false) AND NOT coalesce(a.target = d.target, false) AND NOT coalesce(b.target = d.target, false)),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workbook ORDER BY n DESC, total DESC) AS r FROM t) WHERE r = 1),
+  pick AS (SELECT workbook, c1 AS col_pos, t1 AS target FROM best UNION ALL SELECT workbook, c2, t2 FROM best UNION ALL SELECT workbook, c3, t3 FROM best),
+  own AS (SELECT workbook, col_pos, max(score) AS best_score FROM c GROUP BY ALL), book AS (SELECT workbook, max(score) AS book_score FROM c GROUP BY workbook)
+  SELECT cols.workbook, cols.col_pos, pick.target, round(CASE WHEN book_score < 0.5 THEN 0.0 ELSE coalesce(c.score, best_score) END, 6) AS score, CASE WHEN pick.target IS NULL THEN 'unresolved' ELSE 'global_assignment' END AS method, pick.target IS NULL AS human_review_required,
+    CASE WHEN pick.target IS NOT NULL THEN c.reasons WHEN book_score < 0.5 THEN '{matching.SAID["low"].format(0.5)}' ELSE '{matching.SAID["taken"].format(0.5)}' END AS reason
+  FROM cols JOIN pick USING (workbook, col_pos) JOIN own USING (workbook, col_pos) JOIN book ON book.workbook = cols.workbook LEFT JOIN c ON c.col_pos = cols.col_pos AND c.target = pick.target""")
 def _(spark, sf_dir):
-    """OP7 and OP8: users' candidates, a group of users to a workbook."""
+    c = merged(spark, sf_dir).where(F.col("target").isin(*_FEW_TARGETS)).withColumn("workbook", F.floor(F.col("col_pos") / 3)).withColumn("score", F.col("score") - F.sqrt(F.col("seq") + 1) * F.lit(1e-6))
+    columns = c.select("workbook", "col_pos").distinct()
+    return rounded(matching.mapping_result(columns, c, matching.assign(c, ["workbook"]), ["workbook"]))
+
+
+@query("jn9_assignment_all_targets")
+def _(spark, sf_dir):
+    """OP7 and OP8: users' candidates over all targets, 50 workbooks; too many assignments for SQL to try."""
     c = merged(spark, sf_dir).withColumn("workbook", F.col("col_pos") % 50)
     columns = c.select("workbook", "col_pos").distinct()
     return matching.mapping_result(columns, c, matching.assign(c, ["workbook"]), ["workbook"])
 
 
+# two workbooks: customers under a schedule's headers, of which no two can want one target, and under their own
+_LABELS = ["Other Ref Nr 7", "Location ID", "Storeys", "Bldg Value", "Occupancy"]
+_BOOKS = {"dressed": S.cells("customer", CUSTOMER, "c_custkey", _LABELS), "plain": S.cells("customer", CUSTOMER, "c_custkey")}
+_NO = "NULL::DOUBLE"
+_MAPPED = f"""(WITH ev AS ({" UNION ALL ".join(f"SELECT '{b}' AS workbook, * FROM ({_evidence_sql(c)})" for b, c in _BOOKS.items())}), h AS (SELECT DISTINCT workbook, col_pos, col, {S.header('col')} AS norm FROM ev),
+  f AS (SELECT * FROM (SELECT h.*, v.norm AS text, v.target, {S.indel('h.norm', 'v.norm')} AS sim, row_number() OVER (PARTITION BY workbook, col_pos ORDER BY {S.indel('h.norm', 'v.norm')} DESC, v.pos) AS r FROM h, {_VOCAB} v WHERE h.norm <> '') WHERE r = 1 AND sim >= 0.75),
+  c AS (SELECT workbook, col_pos, e.target, 0 AS seq, 'exact' AS method, 6 AS pr, 1.0::DOUBLE AS det, {_NO} AS fuzzy, {_NO} AS value, '{matching.SAID["exact"]}' AS reasons FROM h JOIN {_EXACT} e ON h.norm = e.norm
+    UNION ALL SELECT workbook, col_pos, a.target, 1, 'domain_alias', 6, 0.97::DOUBLE, NULL, NULL, '{matching.SAID["domain_alias"]}' FROM h JOIN (SELECT DISTINCT {_KEY} AS norm, target FROM {_ALIASES} WHERE source = 2) a ON {S.collapse("regexp_replace(lower(h.norm), '[^a-z0-9]', ' ', 'g')")} = a.norm
+    UNION ALL SELECT workbook, col_pos, target, 2, 'fuzzy', 5, CASE WHEN sim >= 0.97 THEN sim END, sim, NULL, '{matching.SAID["fuzzy"]}' FROM f
+    UNION ALL SELECT workbook, col_pos, target, 3, 'value_evidence', 1, NULL, NULL, score, reasons FROM ev),
+  m AS (SELECT workbook, col_pos, target, coalesce(max(det), 0) AS det, coalesce(max(fuzzy), 0) AS fuzzy, coalesce(max(value), 0) AS value, first(method ORDER BY pr DESC, seq) AS method, string_agg(nullif(reasons, ''), '; ' ORDER BY seq) AS reasons FROM c GROUP BY ALL)
+  SELECT m.*, h.col, CASE WHEN det >= 0.97 THEN det WHEN fuzzy >= 0.75 THEN 0.8 * fuzzy + 0.2 * value ELSE least(0.45 * value, 0.49) END AS score FROM m JOIN h USING (workbook, col_pos))"""
+
+
+def books(spark, sf_dir: str) -> DataFrame:
+    own = read(spark, sf_dir, "customer").select(*[F.col(c).alias(n) for c, n in zip(CUSTOMER, _LABELS)])
+    dressed = profile.to_cells(own.withColumn("row", F.col(_LABELS[0])), F.col("row"), _LABELS).withColumn("workbook", F.lit("dressed"))
+    return dressed.unionByName(column_cells(spark, sf_dir, "customer", CUSTOMER, "c_custkey").withColumn("workbook", F.lit("plain")))
+
+
+@query("op1_op2_op5_jn8_fl10_candidates", f"SELECT workbook, col_pos, target, method, coalesce(reasons, '') AS reasons, round(score, 4) AS score FROM {_MAPPED}")
+def _(spark, sf_dir):
+    keys = ["workbook", "col_pos"]
+    cells = books(spark, sf_dir)
+    h = cells.select(*keys, "col").distinct().withColumn("norm", T.mapping_header(F.col("col"), nfkc=False))
+    ev = matching.field_evidence(profile.profile_columns(cells, (*keys, "col")), keys)
+    none = F.lit(None).cast("double")
+    unknown = h.select(*keys, F.lit("Not a field").alias("target"), F.lit(9).alias("seq"), F.lit("llm").alias("method"), none.alias("det"), none.alias("fuzzy"), none.alias("semantic"), F.lit(1.0).alias("llm"), none.alias("value"), F.array(F.lit("x")).alias("reasons"))
+    found = matching.merge_candidates(matching.column_candidates(h, ev, keys, unknown), keys)
+    return found.select(*keys, "target", "method", F.array_join("reasons", "; ").alias("reasons"), F.round("score", 4).alias("score"))
+
+
+_RESULT = f"""(WITH m AS {_MAPPED}, best AS (SELECT workbook, col_pos, col, max(score) AS best_score FROM m GROUP BY ALL), book AS (SELECT workbook, max(score) AS book_score FROM m GROUP BY workbook)
+  SELECT b.workbook, b.col_pos, b.col, m.target, CASE WHEN book_score < 0.5 THEN 0.0 ELSE best_score END AS score, CASE WHEN m.target IS NULL THEN 'unresolved' ELSE 'global_assignment' END AS method, m.target IS NULL AS human_review_required,
+    CASE WHEN m.target IS NOT NULL THEN m.reasons WHEN book_score < 0.5 THEN '{matching.SAID["low"].format(0.5)}' ELSE '{matching.SAID["taken"].format(0.5)}' END AS reason
+  FROM best b JOIN book USING (workbook) LEFT JOIN m ON m.workbook = b.workbook AND m.col_pos = b.col_pos AND m.score >= 0.5)"""
+
+
+@query("op6_op8_map_columns", f"SELECT * REPLACE (round(score, 5) AS score) FROM {_RESULT}")
+def _(spark, sf_dir):
+    return rounded(matching.map_columns(books(spark, sf_dir), group=["workbook"]), 5)
+
+
+@query("op6_op8_mapping_report", f"""SELECT workbook, coalesce(string_agg(CASE WHEN target IS NULL THEN col END, '|' ORDER BY col_pos), '') AS unresolved, coalesce(string_agg(target, '|' ORDER BY col_pos), '') AS assigned,
+  coalesce(string_agg(CASE WHEN target IS NULL THEN 'odd ' || col END, '|' ORDER BY col_pos), '') AS warnings FROM {_RESULT} GROUP BY workbook""")
+def _(spark, sf_dir):
+    m = matching.map_columns(books(spark, sf_dir), group=["workbook"])
+    odd = m.where("target IS NULL").select("workbook", "col_pos", F.concat(F.lit("odd "), "col").alias("warning"))
+    r = matching.mapping_report(m, ["workbook"], odd)
+    return r.select("workbook", F.array_join("unresolved_columns", "|").alias("unresolved"), F.array_join("assigned_targets", "|").alias("assigned"), F.array_join("warnings", "|").alias("warnings"))
+
+
 @query("map_columns_op1_op6")
 def _(spark, sf_dir):
     parts = [column_cells(spark, sf_dir, t, cols, key).withColumn("workbook", F.lit(t)) for t, cols, key in (("lineitem", LINEITEM, "l_orderkey"), ("customer", CUSTOMER, "c_custkey"), ("part", PART, "p_partkey"))]
@@ -386,9 +529,9 @@ def _(spark, sf_dir):
     return sheets.samples(grid(spark, sf_dir)).select("sheet", "col_idx", F.array_join("samples", "|").alias("samples"))
 
 
-@query("cx6_fl1_cells", f"SELECT sheet, col_idx, count(*) AS cells, count(value) AS filled FROM ({GRID}) GROUP BY sheet, col_idx")
+@query("cx6_cells_part", S.cells("part", PART, "p_partkey"))
 def _(spark, sf_dir):
-    return grid(spark, sf_dir).groupBy("sheet", "col_idx").agg(F.count(F.lit(1)).alias("cells"), F.count("value").alias("filled"))
+    return column_cells(spark, sf_dir, "part", PART, "p_partkey")
 
 
 @query("fl2_fl3_keywords", f"SELECT p_partkey, {S.holds('lower(p_type)', 'header', 4)} AS header_word, {S.holds('lower(p_type)', 'keyword')} AS keyword FROM part")
@@ -410,12 +553,48 @@ def _(spark, sf_dir):
     return rounded(semantic.evaluate(ranked, ["user_id"]).select("user_id", "top", "top_score", "second", "margin", "category"))
 
 
-@query("ml1_ml3_ml5_op9_semantic_pipeline")
+def _logits():
+    return lambda a, b: [(7 * len(x) + len(y)) % 11 / 2 - 2.5 for x, y in zip(a, b)]
+
+
+def _answers():
+    def answer(prompt: str) -> str:
+        if "STEEL" in prompt.upper():
+            raise ValueError("no answer")
+        return '{"target_field": "Zip", "confidence": 0.8, "reason": "fixed"}'
+
+    return answer
+
+
+_RERANKED = f"""(SELECT *, (row_number() OVER (PARTITION BY header ORDER BY rerank_score DESC, rank))::INTEGER AS new_rank FROM (SELECT *, round(greatest(0, least(1, 0.60::DOUBLE * ce + 0.25::DOUBLE * embedding_score + 0.15::DOUBLE * value_score)), 6) AS rerank_score FROM (
+  SELECT *, 1 / (1 + exp(-(((7 * length(norm) + length(text)) % 11) / 2.0::DOUBLE - 2.5::DOUBLE))) AS ce FROM {_RETRIEVED})))"""
+
+
+@query("ml2_ml3_tk3_rerank", f"SELECT header, target, round(ce, 6) AS ce_score, rerank_score, new_rank AS rank FROM {_RERANKED}")
+def _(spark, sf_dir):
+    return rounded(semantic.rerank(retrieved(spark, sf_dir), ["header"], _logits).select("header", "target", "ce_score", "rerank_score", "rank"))
+
+
+@query("ml4_ml7_op9_semantic_decisions", f"""WITH e AS (SELECT header, max(CASE WHEN new_rank = 1 THEN target END) AS top, max(CASE WHEN new_rank = 1 THEN rerank_score END) AS s1, max(CASE WHEN new_rank = 2 THEN target END) AS second, max(CASE WHEN new_rank = 2 THEN rerank_score END) AS s2 FROM {_RERANKED} GROUP BY header),
+  m AS (SELECT *, round(greatest(0, s1 - coalesce(s2, 0)), 6) AS margin FROM e), c AS (SELECT *, CASE WHEN s1 < 0.5 THEN 'weak' WHEN s1 >= 0.7 AND margin >= 0.2 THEN 'strong' WHEN margin >= 0.15 THEN 'moderate' ELSE 'ambiguous' END AS category FROM m),
+  d AS (SELECT *, category IN ('strong', 'moderate') AS sure, contains(header, 'steel') AS failed FROM c)
+  SELECT header, top, round(s1, 6) AS top_score, category, CASE WHEN sure THEN top WHEN NOT failed THEN 'Zip' END AS decided, CASE WHEN sure THEN round(s1, 6) WHEN NOT failed THEN 0.8 ELSE 0.0 END AS confidence,
+    CASE WHEN sure THEN 'semantic' WHEN NOT failed THEN 'llm' ELSE 'none' END AS decided_by, CASE WHEN failed THEN 'ValueError: no answer' END AS error, CASE WHEN sure THEN s1 < 0.5 ELSE failed END AS human_review FROM d""")
+def _(spark, sf_dir):
+    h = types(spark, sf_dir)
+    found = semantic.rerank(retrieved(spark, sf_dir), ["header"], _logits)
+    told = semantic.prompt_context(semantic.evaluate(found, ["header"], "rerank_score"), h.select("header", F.array("norm").alias("samples")), ["header"], found)
+    return rounded(semantic.decide(semantic.ask(told, _answers)).select("header", "top", "top_score", "category", "decided", "confidence", "decided_by", "error", "human_review"))
+
+
+_ONE = """'{"target_field":"' || target || '","score":' || round(combined_score, 6) || ',"embedding_similarity":' || round(embedding_score, 6) || ',"value_evidence_score":' || value_score || ',"evidence_reasons":[' || CASE WHEN value_score > 0 THEN '"zip"' ELSE '' END || ']}'"""
+
+
+@query("cx5_fn30_contexts", f"""SELECT header, '{{"source_header":"' || header || '","normalized_header":"' || header || '","candidates":[' || string_agg({_ONE}, ',' ORDER BY rank) || '],"column_profile":{{"top_target_field":"' || max(CASE WHEN rank = 1 THEN target END)
+  || '","top_embedding_similarity":' || max(CASE WHEN rank = 1 THEN round(embedding_score, 6) END) || ',"top_value_evidence_score":' || max(CASE WHEN rank = 1 THEN value_score END) || '}},"sample_values":["' || header || '"]}}' AS context FROM {_RETRIEVED} GROUP BY header""")
 def _(spark, sf_dir):
-    h = run_sql(spark, sf_dir, "SELECT DISTINCT lower(p_type) AS norm FROM part", "part").withColumn("header", F.col("norm"))
-    out = semantic.semantic_pipeline(h, ["header"])
-    samples = h.select("header", F.array("norm").alias("samples"))
-    return rounded(semantic.decide(semantic.ask(semantic.prompt_context(out, samples, ["header"]), None)).select("header", "top", "top_score", "category", "decided_by", "human_review", "summary"))
+    h, found = types(spark, sf_dir), retrieved(spark, sf_dir)
+    return semantic.prompt_context(semantic.evaluate(found, ["header"]), h.select("header", F.array("norm").alias("samples")), ["header"], found).select("header", "context")
 
 
 _ANSWERS = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN concat('{"target_field": "Zip", "confidence": 0.', CAST(event_id % 100 AS STRING), ', "reason": "r"}') WHEN 1 THEN '{"target_field": null, "confidence": 0.9, "reason": "r"}'
@@ -430,7 +609,11 @@ def _(spark, sf_dir):
     return a.select("event_id", "a.target", "a.confidence", "a.problem", semantic.needs_review(F.col("a.target"), F.col("a.confidence")).alias("review"))
 
 
-@query("jn8_fl10_st2_targets", f"SELECT target, min(seq) AS first_seen, count(*) AS n FROM ({_CANDIDATES_SQL}) GROUP BY target")
+# the regions as a CSV file of several parts, read back as cells
+@query("src1_src2_src4_csv_cells", """SELECT row_idx, col_idx, CASE col_idx WHEN 0 THEN 'int' ELSE 'str' END AS kind, value FROM (SELECT r_regionkey - (SELECT min(r_regionkey) FROM region) AS row_idx, unnest([0, 1]) AS col_idx, unnest([r_regionkey::VARCHAR, r_name]) AS value FROM region)""")
 def _(spark, sf_dir):
-    rows = run_sql(spark, sf_dir, _CANDIDATES, "events").join(F.broadcast(targets(spark).select("target")), "target", "left_semi")
-    return rows.groupBy("target").agg(F.min("seq").alias("first_seen"), F.count(F.lit(1)).alias("n"))
+    path = f"{workbooks.scratch(spark)}/regions-{uuid.uuid4().hex}"
+    read(spark, sf_dir, "region").select("r_regionkey", "r_name").coalesce(1).sortWithinPartitions("r_regionkey").write.csv(path)
+    files = [f for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path").toPandas()["path"]]
+    cells, _ = workbooks.load_workbooks(spark, *files)
+    return cells.select("row_idx", "col_idx", "kind", "value")

@@ -98,9 +98,9 @@ def count_terms(text: str, key: str) -> str:
     return f"len(list_filter([{quoted(TERMS[key])}], lambda t_: contains({text}, t_)))"
 
 
-def cells(table: str, columns: list[str], order: str) -> str:
-    """A table's columns as long cells."""
-    return " UNION ALL ".join(f"SELECT {i} AS col_pos, '{c}' AS col, CAST({order} AS BIGINT) AS row_idx, CAST({c} AS STRING) AS value FROM {table}" for i, c in enumerate(columns))
+def cells(table: str, columns: list[str], order: str, labels: list[str] | None = None) -> str:
+    """A table's columns as long cells, under their names or labels."""
+    return " UNION ALL ".join(f"SELECT {i} AS col_pos, '{n}' AS col, CAST({order} AS BIGINT) AS row_idx, CAST({c} AS STRING) AS value FROM {table}" for i, (c, n) in enumerate(zip(columns, labels or columns)))
 
 
 def mapping_profile(source: str) -> str:
@@ -124,7 +124,8 @@ PATTERNS = {
 def posterior_profile(source: str) -> str:
     """AG12 and AG13."""
     share = lambda flag: f"coalesce(avg(CASE WHEN s IS NOT NULL THEN coalesce({flag}, false)::INTEGER END), 0.0)"
-    return f"""SELECT col_pos, col, count(*) AS total_count, 1 - count(s) / count(*)::DOUBLE AS missing_ratio, count(DISTINCT value) AS unique_count, coalesce(count(DISTINCT value) / nullif(count(s), 0)::DOUBLE, 0.0) AS unique_ratio,
+    dtype = "CASE WHEN count(s) = 0 THEN 'object' WHEN count_if(regexp_matches(s, '^[+-]?[0-9]+$')) = count(*) THEN 'int64' WHEN count(x) = count(s) THEN 'float64' ELSE 'object' END"
+    return f"""SELECT col_pos, col, {dtype} AS dtype, count(*) AS total_count, 1 - count(s) / count(*)::DOUBLE AS missing_ratio, count(DISTINCT value) AS unique_count, coalesce(count(DISTINCT value) / nullif(count(s), 0)::DOUBLE, 0.0) AS unique_ratio,
       {share('x IS NOT NULL')} AS numeric_ratio, 1 - {share('x IS NOT NULL')} AS string_ratio, {share('x = 0')} AS zero_ratio, {share('x < 0')} AS negative_ratio, avg(x) AS mean, quantile_cont(x, 0.5) AS median,
       CASE WHEN count(x) > 1 THEN stddev_samp(x) END AS std, min(x) AS min, max(x) AS max, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3, CASE WHEN count(x) > 2 AND min(x) < max(x) THEN skewness(x) WHEN count(x) > 2 THEN 0.0 END AS skewness,
       avg(length(s)) AS avg_string_length, max(length(s)) AS max_string_length, count(DISTINCT s) AS distinct_values, {', '.join(f"{share(p)} AS p_{n}" for n, p in PATTERNS.items())}
