@@ -505,3 +505,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     group = F.struct(F.when(F.col("n_shingles") == 0, F.col("rid")).alias("own"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("of"))
     first = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select(F.col("m.rid").alias("dd_rid"))
     return rows.join(materialize(first, "jaccard-first"), "dd_rid", "left_semi").select(*docs.columns)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT r, hash(array_to_string(ws[i:i + 4], ' ')) AS h FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 4, least(len(ws), 1)) + 1)) AS i FROM d)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.r <> b.r GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.r = p.a JOIN n y ON y.r = p.b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+c AS (SELECT a AS r, a AS reach FROM (SELECT DISTINCT a FROM l) UNION SELECT c.r, l.b FROM c JOIN l ON c.reach = l.a),
+m AS (SELECT c.r, min(d.doc_id) AS component_id FROM c JOIN d ON d.r = c.reach GROUP BY c.r)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id, (SELECT count(*) FROM l WHERE l.a = d.r)::BIGINT AS n_links
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN m ON m.r = d.r
+"""

@@ -275,3 +275,17 @@ def remove_repeats(docs: DataFrame, length: int = 400, block_bytes: int = BLOCK_
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT r, i, md5(b[i:i + 399]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)),
+hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM s) WHERE n > 1),
+runs AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400, true)::INTEGER AS new FROM hit)),
+spans AS (SELECT r, k, min(i) AS a, max(i) + 400 AS z FROM runs GROUP BY r, k),
+gaps AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 1) AS x, a - 1 AS y FROM spans UNION ALL SELECT d.r, coalesce(max(z), 1), max(octet_length(b)) FROM d LEFT JOIN spans ON d.r = spans.r GROUP BY d.r),
+kept AS (SELECT gaps.r, string_agg(hex(b[x:y]), '' ORDER BY x) AS kept FROM gaps JOIN d ON d.r = gaps.r WHERE y >= x GROUP BY gaps.r),
+n AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n.n_removed, 0)::BIGINT AS n_removed, coalesce(n.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN kept ON kept.r = d.r
+"""

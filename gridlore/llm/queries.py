@@ -19,6 +19,9 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_topk": topk.ORACLE,
+    "op2_ngram_jaccard": jaccard.ORACLE,
+    "op4_suffix_dedup": parsing.ORACLE,
     "op6_mix_sources": mixing.ORACLE,
     "op7_url_filter": urlfilter.ORACLE,
+    "op8_cover_dedup": cover.ORACLE,
 }
