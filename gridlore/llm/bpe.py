@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
 Texts are cut into pre-tokens. A block of documents keeps, for each document, its pre-tokens in order as numbers of
-the block's own word list, and sends each of its distinct words once to the word's bucket. A bucket encodes each
+the block's own word list, and sends each of its distinct words as one row to the word's bucket. A bucket encodes each
 distinct word once, whichever blocks sent it, and returns the ids to these blocks, which put them in place by
 position. Decoding joins the table of the ids' bytes. A word in all documents is one row a block.
 """
@@ -23,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import BLOCK_BYTES, corpus_size
+from gridlore.llm.common import BLOCK_BYTES, corpus_size, release
+from gridlore.llm.repeats import PARTITIONS
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -70,18 +71,32 @@ def token_table(ranks: dict[bytes, int]) -> list[bytes]:
     return table
 
 
-PARTS = "to long, block long, bucket int, doc_id array<long>, tokens array<int>, data binary, sizes array<int>"
+#: Rows of a block (words null): its documents' ids, numbers of tokens and words as numbers. Rows of a word: its number in the block.
+PARTS = "to long, block long, number int, word binary, doc_id array<long>, tokens array<int>, data binary"
+#: Blocks that share a word's bucket: a word of all documents is encoded once for so many, and no bucket is larger for it.
+SHARED = 4096
+
+_CODERS: dict[int, tuple[tiktoken.Encoding, list[bytes]]] = {}
+
+
+def coder(shared) -> tuple[tiktoken.Encoding, list[bytes]]:
+    """What encodes one pre-token as a whole, and the bytes of each id; made once a worker."""
+    if shared.value[2] not in _CODERS:
+        _CODERS.clear()
+        ranks = shared.value[0]
+        _CODERS[shared.value[2]] = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}), token_table(ranks)
+    return _CODERS[shared.value[2]]
 
 
 def encode(docs: DataFrame, ranks_path: str = public_tokenizers.path(VOCABULARY), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (bytes) of each row of docs (doc_id, text).
 
-    Null text is empty and has no tokens. Repeated rows are rows of their own, null ids stay. Empty table: no rows.
-    docs must be a scan or a materialized table (see common.blocked). The vocabulary is broadcast; its file bounds it.
+    Null text is empty and has no tokens. Repeated rows are rows of their own, null ids stay. Empty table: no rows. A
+    text is held whole by one task. The vocabulary is broadcast; its file bounds it.
     """
     spark = docs.sparkSession
     ranks = read_ranks(ranks_path)
-    shared = spark.sparkContext.broadcast((ranks, newer_letters(ranks)))
+    shared = spark.sparkContext.broadcast((ranks, newer_letters(ranks), hash(ranks_path)))
     _, n_bytes = corpus_size(docs)
     n_buckets = max(1, -(-n_bytes // (2 * block_bytes)))
 
@@ -90,22 +105,14 @@ def encode(docs: DataFrame, ranks_path: str = public_tokenizers.path(VOCABULARY)
         words: dict[str, int] = {}
         doc_ids, tokens, numbers, held = [], [], [], 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             block = (part << 24) + seq
-            listed = list(words)
-            raw = [w.encode() for w in listed]
-            bucket = np.array([xxhash.xxh64_intdigest(r) % n_buckets for r in raw], np.int64)
-            order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(order), np.uint32)
-            place[order] = np.arange(len(order))
-            data = place[np.concatenate(numbers)] if numbers else np.zeros(0, np.uint32)
-            rows = [(block, block, -1, doc_ids, tokens, squeeze(data), None)]
-            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            for b in range(n_buckets):
-                own = [raw[i] for i in order[cuts[b] : cuts[b + 1]]]
-                if own:
-                    rows.append((-1 - b, block, b, None, None, b"".join(own), [len(r) for r in own]))
-            return as_batch(rows)
+            data = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
+            yield as_batch([block], [block], None, None, [doc_ids], [tokens], [squeeze(data)])
+            if words:
+                raw = [w.encode() for w in words]
+                to = [-1 - xxhash.xxh64_intdigest(r, block // SHARED) % n_buckets for r in raw]
+                yield as_batch(to, [block] * len(raw), range(len(raw)), raw, None, None, None)
 
         for b in batches:
             for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
@@ -115,41 +122,33 @@ def encode(docs: DataFrame, ranks_path: str = public_tokenizers.path(VOCABULARY)
                 doc_ids.append(doc_id), tokens.append(len(found)), numbers.append(number)
                 held += len(text)
                 if held >= block_bytes:
-                    yield flush()
+                    yield from flush()
                     seq += 1
                     words, doc_ids, tokens, numbers, held = {}, [], [], [], 0
         if doc_ids:
-            yield flush()
+            yield from flush()
+        release()
 
     def encode_words(t: pa.Table) -> pa.Table:
-        """Of a bucket: every block's words, each distinct one encoded once."""
-        out = []
-        if len(t) and t["bucket"][0].as_py() >= 0:
-            enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=shared.value[0], special_tokens={})
-            known: dict[bytes, tuple[int, bytes]] = {}
-            for block, bucket, data, sizes in zip(*(t[c] for c in ("block", "bucket", "data", "sizes"))):
-                raw, sizes, at, ids, counts = data.as_py(), sizes.as_py(), 0, [], []
-                for n in sizes:
-                    w = raw[at : at + n]
-                    at += n
-                    if w not in known:
-                        found = enc._encode_single_piece(w)
-                        known[w] = (len(found), np.array(found, np.uint32).tobytes())
-                    counts.append(known[w][0])
-                    ids.append(known[w][1])
-                out.append((block.as_py(), block.as_py(), bucket.as_py(), None, None, squeeze(np.frombuffer(b"".join(ids), np.uint32)), counts))
-        return pa.Table.from_batches([as_batch(out)])
+        """Of a bucket: each distinct word encoded once, a row for each block that sent it."""
+        if t["to"][0].as_py() >= 0:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.list_(pa.int32()))], names=["to", "number", "ids"])
+        enc, _ = coder(shared)
+        word = t["word"].combine_chunks().dictionary_encode()
+        word = word.combine_chunks() if isinstance(word, pa.ChunkedArray) else word
+        ids = [enc.encode_ordinary(w.decode()) for w in word.dictionary.to_pylist()]
+        return pa.table([t["block"], t["number"], pa.array(ids, pa.list_(pa.int32())).take(word.indices)], names=["to", "number", "ids"])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         cols: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids": [], "decoded": []}
-        table = token_table(shared.value[0])
-        for row in left.select(["bucket", "doc_id", "tokens", "data"]).to_pylist():
-            if row["bucket"] >= 0:
-                continue
-            parts = sorted(((b, d, s) for b, d, s in zip(right["bucket"].to_pylist(), right["data"].to_pylist(), right["sizes"].to_pylist())), key=lambda x: x[0])
-            ids = np.concatenate([np.zeros(0, np.uint32), *(expand(d) for _, d, _ in parts)])
-            n = np.concatenate([np.zeros(0, np.int64), *(np.array(s, np.int64) for _, _, s in parts)])
-            start = np.cumsum(n) - n
+        if len(left) and left["to"][0].as_py() >= 0:
+            _, table = coder(shared)
+            order = np.argsort(right["number"].to_numpy())
+            coded = right["ids"].combine_chunks().take(pa.array(order)) if len(right) else pa.array([], pa.list_(pa.int32()))
+            coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+            ids, start = coded.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), coded.offsets.to_numpy().astype(np.int64)
+            n, start = np.diff(start), start[:-1] - start[0]
+            row = left.select(["doc_id", "tokens", "data"]).to_pylist()[0]
             numbers, at = expand(row["data"]), 0
             for doc_id, k in zip(row["doc_id"], row["tokens"]):
                 own = numbers[at : at + k]
@@ -158,16 +157,20 @@ def encode(docs: DataFrame, ranks_path: str = public_tokenizers.path(VOCABULARY)
                 here = ids[np.repeat(start[own] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
                 cols["doc_id"].append(doc_id), cols["n_tokens"].append(len(here))
                 cols["ids"].append(here.astype("<u4").tobytes()), cols["decoded"].append(decode_ids(here, table))
-        return pa.table({"doc_id": pa.array(cols["doc_id"], pa.int64()), "n_tokens": pa.array(cols["n_tokens"], pa.int64()), "ids": pa.array(cols["ids"], pa.binary()), "decoded": pa.array(cols["decoded"], pa.binary())})
+        out = pa.table({"doc_id": pa.array(cols["doc_id"], pa.int64()), "n_tokens": pa.array(cols["n_tokens"], pa.int64()), "ids": pa.array(cols["ids"], pa.binary()), "decoded": pa.array(cols["decoded"], pa.binary())})
+        release()
+        return out
 
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(parse, PARTS).repartition("to")
-    coded = parts.groupBy("to").applyInArrow(encode_words, PARTS)
+    n_parts = min(3 * n_buckets, PARTITIONS)
+    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(parse, PARTS).repartition(n_parts, "to")
+    coded = parts.groupBy("to").applyInArrow(encode_words, "to long, number int, ids array<int>").repartition(n_parts, "to")
     return parts.groupBy("to").cogroup(coded.groupBy("to")).applyInArrow(assemble, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
-def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32())]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["to", "block", "bucket", "doc_id", "tokens", "data", "sizes"])
+def as_batch(*columns) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+    n = len(columns[0])
+    return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in PARTS.split(", ")])
 
 
 def squeeze(x: np.ndarray) -> bytes:
