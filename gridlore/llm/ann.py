@@ -63,9 +63,16 @@ def walk(s1: np.ndarray, s2: np.ndarray, counts: np.ndarray, enough: int, cap: i
 def rank(ids: np.ndarray, x: np.ndarray, cells: np.ndarray, query_ids: np.ndarray, q: np.ndarray, visited: np.ndarray, k: int):
     """The k best of x for each row of q, of the cells it visits; visited: queries x cells. Scores add from left to right."""
     out = []
+    order = np.argsort(cells, kind="stable")
+    ids, x, cells = ids[order], x[order], cells[order]
+    cut = np.searchsorted(cells, np.arange(visited.shape[1] + 1)).tolist()
     for lo in range(0, len(q), 128):
-        near = q[lo : lo + 128] @ x.T
-        ok = visited[lo : lo + 128][:, cells] & (ids[None, :] != query_ids[lo : lo + 128, None])
+        some = visited[lo : lo + 128]
+        near = np.full((len(some), len(x)), -np.inf)
+        for c in np.flatnonzero(some.any(0)).tolist():  # a query meets the rows of the cells that it visits
+            asks = np.flatnonzero(some[:, c])
+            near[asks, cut[c] : cut[c + 1]] = q[lo + asks] @ x[cut[c] : cut[c + 1]].T
+        ok = some[:, cells] & (ids[None, :] != query_ids[lo : lo + 128, None])
         near[~ok] = -np.inf
         for j in range(len(near)):
             row, n = near[j], int(ok[j].sum())

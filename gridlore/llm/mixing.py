@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import WORD, materialize
+from gridlore.llm.common import WORD, keyed, materialize
 
 #: Ranges of the key space within a source. Keys are uniform, so equal ranges hold equal shares, whatever the source's size.
 RANGES = 4096
@@ -19,9 +19,10 @@ def size_of(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def random_key(doc_id: str = "doc_id", seed: str = "mix") -> Column:
-    """60 random bits that depend on the document's id alone."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f"|{seed}"))), 1, 15), 16, 10).cast("long")
+def random_key(doc_id: str = "doc_id", text: str = "text", seed: str = "mix") -> Column:
+    """60 random bits that depend on the document's id alone, or without one on its text."""
+    own = F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(F.concat(own, F.lit(f"|{seed}"))), 1, 15), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2) -> DataFrame:
@@ -49,10 +50,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     """doc_id, *keep, size, source_size, target, taken: the words that the mix takes of each row.
 
     A row's taken words are those of its prefix range [p, p + size) below the budget floor(target), once for each epoch.
-    Null text: size 0. Null doc_id: the key of the empty id. Repeated rows are rows of their own; rows with equal
-    keys are ordered by id and size, after which they are alike. Empty table: no rows.
+    Null text: size 0. Null doc_id: a key made from the text. Repeated rows are rows of their own; rows with equal keys
+    are ordered by id, size and a hash of the text, after which they are alike. Empty table: no rows.
     """
-    sized = docs.select("doc_id", *keep, "source", size_of().alias("size"), random_key().alias("key"))
+    sized = docs.select("doc_id", *keep, "source", size_of().alias("size"), random_key().alias("key"), F.xxhash64("text").alias("said"))
     return mix_sized(materialize(sized, "mix-sized"), weights, share, epochs, *keep)
 
 
@@ -65,7 +66,7 @@ def mix_sized(sized: DataFrame, weights: tuple[int, ...], share: float, epochs:
     goal = goal.select(F.struct(F.col("source").isNull().alias("n"), F.coalesce("source", F.lit("")).alias("s")).alias("src"), "source_size", "target")
     upto = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("src", "part", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("offset")).join(goal, "src")
-    within = Window.partitionBy("src", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("src", "part").orderBy("key", "doc_id", "size", "said").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = sized.join(parts, ["src", "part"]).withColumn("start", F.col("offset") + F.sum("size").over(within) - F.col("size"))
     budget = F.floor("target").cast("long")
     taken = sum((F.least(F.col("size"), F.greatest(F.lit(0), budget - F.lit(e) * F.col("source_size") - F.col("start"))) for e in range(epochs)), F.lit(0))
@@ -76,9 +77,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     """The documents of the mix, with the columns of docs: a document taken twice is there twice, one that the budget
     cuts holds its first words up to the cut (joined by one space), one that isn't taken is gone."""
     rid = "mix_rid"
-    taken = mix(docs.withColumn(rid, F.monotonically_increasing_id()), weights, share, epochs, rid).where("taken > 0")
+    numbered = keyed(docs, rid)
+    taken = mix(numbered, weights, share, epochs, rid).where("taken > 0")
     taken = taken.select(rid, F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"))
-    rows = docs.withColumn(rid, F.monotonically_increasing_id()).join(taken, rid)
+    rows = numbered.join(taken, rid)
     copies = F.sequence(F.lit(1), F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int"))
     rows = rows.withColumn("mix_copy", F.explode(copies))
     words = F.least(F.col("mix_size"), F.col("mix_taken") - (F.col("mix_copy") - 1) * F.col("mix_size")).cast("int")
@@ -97,7 +99,7 @@ def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|mix'), 1, 15))::BIGINT AS key
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || '|mix'), 1, 15))::BIGINT AS key
   FROM documents),
 by_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (

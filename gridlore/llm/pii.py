@@ -20,13 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import materialize
+from gridlore.llm.common import keyed, materialize, release
 
 ALPHA, MIN_CONTEXTS = 0.9, 3
 #: Distinct words that a task knows or counts at once.
 WORDS = 500_000
-#: Slots of the bit map that candidate terms are looked up in before the exact join; its size is fixed.
-SLOTS = 1 << 20
+#: Most slots of the bit map that terms are looked up in before the exact join; it has 16 a flagged term up to these.
+SLOTS = 1 << 24
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -103,15 +103,15 @@ def terms_outside(text: str, spans: list[list[tuple[int, int]]]) -> Iterator[re.
             yield m
 
 
-BASE = "rid long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, wording long, entities array<long>, terms array<long>, t long, n_t long"
+BASE = "rid string, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, wording long, entities array<long>, terms array<long>, t long, n_t long"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row a document: base findings, and if there are any, its entities, its terms and a hash of its wording. And rows
+    """One row a document (rid, doc_id, text): base findings, and if there are any, its entities, its terms and a hash of its wording. And rows
     with t alone: in how many of a task's documents the term is."""
 
     def table(columns: dict, n: int) -> pa.RecordBatch:
-        kinds = {"base": pa.string(), "entities": pa.list_(pa.int64()), "terms": pa.list_(pa.int64())}
+        kinds = {"rid": pa.string(), "base": pa.string(), "entities": pa.list_(pa.int64()), "terms": pa.list_(pa.int64())}
         names = [c.split()[0] for c in BASE.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds.get(c, pa.int64())) if c in columns else pa.nulls(n, kinds.get(c, pa.int64())) for c in names], names)
 
@@ -143,8 +143,9 @@ def scan(docs: DataFrame) -> DataFrame:
                 yield table({"t": list(total), "n_t": list(total.values())}, len(total))
                 total.clear()
         yield table({"t": list(total), "n_t": list(total.values())}, len(total))
+        release()
 
-    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, BASE)
+    return docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, BASE)
 
 
 def flagged_terms(scanned: DataFrame) -> DataFrame | None:
@@ -177,25 +178,27 @@ def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame | None:
     flagged = flagged_terms(scanned)
     if flagged is None:
         return None
-    slots = flagged.select(F.pmod("t", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
+    size = min(SLOTS, 1 << max(16, (16 * flagged.count()).bit_length()))
+    slots = flagged.select(F.pmod("t", F.lit(size)).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()  # SLOTS at most
     if not len(slots):
         return None
-    bits = np.zeros(SLOTS, bool)
+    bits = np.zeros(size, bool)
     bits[slots] = True
-    packed = np.packbits(bits).tobytes()
+    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
     arrow = pa.list_(pa.int32())
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        own = packed.value
         known: dict[str, int | None] = {}
         for b in batches:
-            rid, term, at = [], [], []
-            for r, t in zip(b.column("rid").to_pylist(), b.column("text")):
+            rid, term, spots = [], [], []
+            for r, t in enumerate(b.column("text")):
                 text, found = t.as_py() or "", {}
                 for w in set(_TERM.findall(text)):
                     if w not in known:
                         h = _hash(w.lower())
-                        known[w] = h if own[h % SLOTS] else None
+                        at = h % size
+                        known[w] = h if own[at >> 3] >> (7 - (at & 7)) & 1 else None
                     if known[w] is not None:
                         found[w] = known[w]
                 if len(known) > WORDS:
@@ -206,10 +209,10 @@ def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame | None:
                         if m[0] in found:
                             by.setdefault(found[m[0]], []).extend(m.span())
                     for h, spans in by.items():
-                        rid.append(r), term.append(h), at.append(spans)
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(term, pa.int64()), pa.array(at, arrow)], ["rid", "t", "at"])
+                        rid.append(r), term.append(h), spots.append(spans)
+            yield pa.RecordBatch.from_arrays([b.column("rid").take(pa.array(rid, pa.int32())), pa.array(term, pa.int64()), pa.array(spots, arrow)], ["rid", "t", "at"])
 
-    seen = docs.select(F.monotonically_increasing_id().alias("rid"), "text").mapInArrow(occurrences, "rid long, t long, at array<int>")
+    seen = docs.select("rid", "text").mapInArrow(occurrences, "rid string, t long, at array<int>")
     seen = materialize(seen, "pii-terms")
     spans = F.transform(F.sequence(F.lit(0), F.size("at") - 2, F.lit(2)), lambda i: F.struct(F.col("at")[i].alias("start"), F.col("at")[i + 1].alias("end"), F.col("sure").alias("sure")))
     return materialize(seen.join(flagged, "t").select("rid", spans.alias("s")).groupBy("rid").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("terms")), "pii-spans")
@@ -221,8 +224,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     base and spans are kind:start:end in code points, comma-joined, by kind and start; spans adds kind term. Null text is
     empty; repeated rows are rows of their own; an empty table gives no rows.
     """
-    scanned = materialize(scan(docs), "pii-base")
-    terms = disclosing(docs, scanned)
+    rows = keyed(docs.select("doc_id", "text"), "rid")
+    scanned = materialize(scan(rows), "pii-base")
+    terms = disclosing(rows, scanned)
     base = scanned.where("t IS NULL").select("rid", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base")
     if terms is None:
         return base.withColumn("spans", F.col("base")).drop("rid")
@@ -237,9 +241,10 @@ MARKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced by its kind; terms that disclose an entity for certain removed, others
     generalised to <TERM>. Other columns stay, but for n_chars, which follows the text; null text stays null."""
-    terms = disclosing(docs, materialize(scan(docs), "pii-base"))
     columns, count = docs.columns, "n_chars" in docs.columns
-    rows = docs.withColumn("pii_rid", F.monotonically_increasing_id())
+    rows = keyed(docs, "pii_rid")
+    texts = rows.select(F.col("pii_rid").alias("rid"), "doc_id", "text")
+    terms = disclosing(texts, materialize(scan(texts), "pii-base"))
     kind = "array<struct<start:int,end:int,sure:boolean>>"
     if terms is None:
         rows = rows.withColumn("pii_terms", F.lit(None).cast(kind))

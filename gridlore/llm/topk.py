@@ -1,19 +1,24 @@
 """Exact top-k by inner product: columnar branch-and-bound.
 
-Vectors lie in cells of bounded size, dimension by dimension. A block of queries meets a cell; scores grow one block
+Vectors lie in cells of bounded size by falling length, dimension by dimension. A block of queries meets a cell; scores grow one block
 of dimensions at a time, and after each block only candidates stay whose score so far plus the most that the rest can
 add (Cauchy-Schwarz on the remaining masses) reaches the k-th best score known.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-#: Candidates of a cell, queries of a block, dimensions of a step.
-CELL, QUERIES, STEP = 16384, 4096, 8
+from gridlore.llm.common import materialize
+
+#: Candidates of a cell, queries of a block, dimensions of a step; blocks of queries that one task takes to a cell;
+#: ranges of length.
+CELL, QUERIES, STEP, BLOCKS, RANGES = 16384, 4096, 8, 16, 256
 
 
 def finite(v: str) -> Column:
@@ -80,48 +85,84 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
 
 
 def wide_search(ids, x, query_ids, q, k):
-    """The same in whole numbers of any width, for components too large for doubles; past 64 bits it raises."""
+    """The same in whole numbers of any width, for components too large for doubles; scores past 64 bits are the largest
+    or least number that fits, and equal then."""
     rows = [[int(v) for v in r] for r in x]
     out = []
     for qid, r in zip(query_ids.tolist(), q):
         r = [int(v) for v in r]
-        found = sorted((-sum(a * b for a, b in zip(r, s)), i) for i, s in zip(ids.tolist(), rows) if i != qid)[:k]
-        out += [(qid, i, -s) for s, i in found]
+        scores = ((max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(r, s)))), i) for i, s in zip(ids.tolist(), rows) if i != qid)
+        out += [(qid, i, s) for s, i in heapq.nsmallest(k, scores, key=lambda p: (-p[0], p[1]))]
     cols = list(zip(*out)) or [(), (), ()]
     return tuple(np.array(c, dtype=np.int64) for c in cols)
 
 
-def exact_topk(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
+def exact_topk(vectors: DataFrame, is_query: Column, k: int, cell: int = CELL, block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score of each query row's k best rows among all others of vectors (vec_id, embedding).
 
     Components are whole numbers. Rows with a null id take no part; nor do vectors that are null or hold null or
     non-finite components. A query's own are the rows of its id. Ties go to the smaller id; repeated rows stand for
-    themselves as candidates and ask once as queries (of unlike vectors with one id, the least asks). Shorter vectors are filled with zeros.
-    Empty table: no rows. Queries are dealt in blocks, and each block goes to all cells.
+    themselves as candidates and ask once as queries (of unlike vectors with one id, the least asks). Shorter vectors are
+    filled with zeros. Scores past 64 bits stand at the largest or least number. Empty table: no rows.
+
+    Cells are ranges of length, long vectors first. The first cell gives each query a floor, the k-th best score there;
+    a query goes on to those cells alone whose longest vector can reach it, and within a cell bounds close dimension by
+    dimension. Only queries are copied: a block of them meets a cell in one task.
     """
     rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & finite("embedding"))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    rows = rows.withColumn("length", length)
     n, n_q = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
-    cells, blocks = max(1, -(-n // CELL)), max(1, -(-n_q // QUERIES))
-    h = F.xxhash64("vec_id", F.lit(7))
-    items = rows.withColumn("cell", F.pmod(h, F.lit(cells)).cast("long")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("block", F.pmod(h, F.lit(blocks)).cast("int")).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
+    blocks, ranges = max(1, -(-n_q // block)), min(RANGES, max(1, -(-n // cell)))
+    cuts = rows.agg(F.percentile_approx("length", [float(1 - i / ranges) for i in range(1, ranges)] or [0.5], 10_000)).first()[0] if ranges > 1 else []
+    cuts = F.array(*[F.lit(float(c)) for c in sorted(set(cuts or []))]).cast("array<double>")
+    placed = rows.withColumn("range", F.size(F.filter(cuts, lambda c: c > F.col("length"))))
+    held = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("most")).orderBy("range").collect()  # RANGES rows at most
+    if not held:
+        held = [Row(range=0, n=0, most=0.0)]
+    # a range of many rows (of one length, say) is several cells, by hash
+    parts = F.create_map(*[F.lit(x) for r in held for x in (r["range"], max(1, -(-r["n"] // (2 * cell))))])
+    top = held[0]["range"]
+    items = placed.select("vec_id", "embedding", "range", F.pmod(F.xxhash64("vec_id", "embedding"), parts[F.col("range")]).cast("int").alias("sub"))
+    asked = rows.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
+    asked = asked.select("query_id", F.col("embedding").alias("query"), length.alias("length"), F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(blocks)).cast("int").alias("block"))
+    schema = "query_id long, vec_id long, score long"
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not (len(left) and len(right)):
-            found = [np.zeros(0, np.int64)] * 3
-        else:
-            dim = max(1, widest(left["embedding"], right["embedding"]))
-            found = search(left["vec_id"].to_numpy(), matrix(left["embedding"], dim), right["vec_id"].to_numpy(), matrix(right["embedding"], dim), k)
+        found = [np.zeros(0, np.int64)] * 3
+        if len(left) and len(right):
+            dim = max(1, widest(left["embedding"], right["query"]))
+            x, ids = matrix(left["embedding"], dim), left["vec_id"].to_numpy()
+            some = []
+            for i in range(0, len(right), block):  # blocks of queries, one after another
+                own = right.slice(i, block)
+                some.append(search(ids, x, own["query_id"].to_numpy(), matrix(own["query"], dim), k))
+            found = [np.concatenate([f[j] for f in some]) for j in range(3)]
         return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
 
-    near = items.groupBy("cell", "block").cogroup(queries.groupBy("cell", "block")).applyInArrow(meet, "query_id long, vec_id long, score long")
+    def over(some: DataFrame, asking: DataFrame) -> DataFrame:
+        """Cells meet the queries that go to them; of very many queries, BLOCKS blocks in a task."""
+        return some.groupBy("range", "sub", "part").cogroup(asking.groupBy("range", "sub", "part")).applyInArrow(meet, schema)
+
+    part = F.floor(F.col("block") / BLOCKS).cast("int").alias("part")
+    items = items.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // BLOCKS))))
+    first = (F.col("range") == top) & (F.col("sub") == 0)
+    best = over(items.where(first), asked.select("query_id", "query", F.lit(top).alias("range"), F.lit(0).alias("sub"), part))
+    if n > cell:
+        best = materialize(best, "topk-first")
+        floor = best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+        reach = F.array_compact(F.array(*[F.when(F.col("floor").isNull() | (F.col("length") * F.lit(r["most"]) * (1 + 1e-9) + 1e-6 >= F.col("floor")), F.lit(r["range"])) for r in held]))
+        more = asked.join(floor, "query_id", "left").select("query_id", "query", F.explode(reach).alias("range"), part)
+        more = more.withColumn("sub", F.explode(F.sequence(F.lit(0), (parts[F.col("range")] - 1).cast("int"))))
+        best = best.union(over(items.where(~first), more.where(~first)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def quantised(spark, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").where(finite("embedding"))
-    return e.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("double")).alias("embedding"))
+    y = lambda x: F.lit(256.0) * x.cast("double")  # noqa: E731  doubles of 2^53 and over are whole
+    return e.select("vec_id", F.transform("embedding", lambda x: F.when(F.abs(y(x)) < 2.0**53, F.floor(y(x)).cast("double")).otherwise(y(x))).alias("embedding"))
 
 
 def op1_exact_topk(spark, sf_dir: str) -> DataFrame:

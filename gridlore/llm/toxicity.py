@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -19,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import materialize
+from gridlore.llm.common import materialize, release
 
-#: Labelled rows that the lexicon and the curve are fitted on, at most, by hash order; entries of the lexicon, at most.
-SAMPLE, ENTRIES = 20_000, 5000
+#: Labelled rows that the lexicon and the curve are fitted on, at most, by hash order. They bound the lexicon, too.
+SAMPLE = 20_000
 
 # Letters of other scripts that look like Latin letters, and signs read as letters.
 LOOKALIKES = dict(zip("абвгеёіїјкмнорсстухуѕԁһԛԝαβεηικνορτυχ", "abbreeiijkmhopcctyxysdhqwabenikvoptux"))
@@ -32,11 +35,15 @@ _FOLD = str.maketrans(LOOKALIKES)
 _SIGN = str.maketrans(SIGNS)
 _BESIDE = re.compile(r"(?<=[^\W\d_])[0134578@$]+|[0134578@$]+(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W\d_]+")
+_MARKS = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u2060-\u2064\ufe00-\ufe0f\ufeff]")
 _MIXED = re.compile(r"[Ͱ-ԯ]")
 
 
 def fold(text: str) -> list[str]:
-    """The words of the folded text."""
+    """The words of the folded text: compatibility forms (full-width, mathematical) as plain letters, without accents and
+    signs of no width."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", _MARKS.sub("", unicodedata.normalize("NFKD", text)))
     text = text.lower()
     if _MIXED.search(text):
         text = text.translate(_FOLD)
@@ -76,8 +83,10 @@ class Lexicon:
             else:
                 start = flat.rfind(" ", 0, end)  # the word that the hit begins; of several hits of a word the heaviest counts
                 hits[start] = max(hits.get(start, 0.0), w)
-        if spared:
-            hits = {s: w for s, w in hits.items() if not any(a <= s < b for a, b in spared)}
+        if spared:  # exceptions begin at a space each; the furthest end so far decides
+            spared.sort()
+            begins, ends = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+            hits = {s: w for s, w in hits.items() if not (k := bisect_right(begins, s)) or ends[k - 1] <= s}
         total = math.fsum(hits.values())
         return total, total / math.sqrt(len(words)), len(hits)
 
@@ -99,11 +108,12 @@ def counted(sample: DataFrame, kind) -> DataFrame:
             return out
 
         for b in batches:
-            for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                by[y].update(kind(fold(text)))
-                if len(by[0]) + len(by[1]) > 300_000:
+            for text, y in zip(b.column("text"), b.column("toxic").to_pylist()):
+                by[y].update(kind(fold(text.as_py())))
+                if len(by[0]) + len(by[1]) > 100_000:
                     yield flush()
         yield flush()
+        release()
 
     return sample.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
@@ -125,7 +135,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], list[str], list[float]]:
     """The lexicon, the exceptions and the curve, from labelled rows that aren't held out. Statistics are distributed;
-    what comes to the driver is bounded by `sample` and ENTRIES. No toxic or no clean row: an empty lexicon and a
+    what comes to the driver is bounded by `sample`. No toxic or no clean row: an empty lexicon and a
     constant score, the share of toxic rows (0 without any)."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -143,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     bar = 2 * math.log(max(2, stats.where("toxic >= 4").count())) + 3
     found = stats.select("term", "toxic", odds.alias("odds"), (2 * (part(F.col("toxic"), pos) + part(F.col("clean"), neg))).alias("g")).where((F.col("odds") > 1.5) & (F.col("g") > bar) & (F.col("toxic") >= 4))
     kept: dict[str, float] = {}
-    top = sorted(found.orderBy(F.desc("g"), "term").limit(ENTRIES).collect(), key=lambda r: (len(r["term"]), r["term"]))
+    top = sorted(found.select("term", "odds").collect(), key=lambda r: (len(r["term"]), r["term"]))
     for t, w in ((r["term"], r["odds"]) for r in top):  # shorter beginnings first; a longer one only where it says clearly more
         if not any(w <= kept[t[:i]] + 1.0 for i in range(4, len(t)) if t[:i] in kept):
             kept[t] = w
@@ -159,13 +169,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
                     out.add(f" {w} {words[i + 1]} ")
         return out
 
-    spare = counted(rows, around).where((F.col("clean") >= 5) & (odds < 0)).orderBy(F.desc("clean"), "term").limit(ENTRIES)
+    spare = counted(rows, around).where((F.col("clean") >= 5) & (odds < 0)).orderBy("term")
     exceptions = [r["term"] for r in spare.collect()]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon(kept, exceptions)
         for b in batches:
-            f = [lex.features(t) for t in b.column("text").to_pylist()]
+            f = [lex.features(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([*(pa.array([float(r[i]) for r in f], pa.float64()) for i in range(3)), b.column("toxic")], ["a", "b", "c", "toxic"])
 
     seen = rows.mapInArrow(measure, "a double, b double, c double, toxic int").toArrow().to_pandas()
@@ -174,7 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
 
 
 def scored(docs: DataFrame, model, *keep: str) -> DataFrame:
-    """docs' columns keep, and score. Null text counts as empty."""
+    """docs' columns keep, and tx_score. Null text counts as empty; repeated rows are rows of their own; an empty table
+    gives no rows."""
     weights, exceptions, curve = model
     fields = [f for f in docs.select(*keep).schema.fields]
     schema = docs.select(*keep, F.lit(0.0).alias("tx_score")).schema
@@ -198,6 +209,6 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose score is below one half; the columns stay."""
+    """The documents whose score is below one half; the columns stay, rows with null ids or texts too."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return scored(docs, train(docs, labels), *docs.columns).where("tx_score < 0.5").select(*docs.columns)

@@ -1,7 +1,8 @@
 """URL filters: dated list entries as validity intervals, and an as-of join of captures with the entries active then.
 
-Only DataFrame functions are used. Captures are reduced to their hosts before lists are looked up, so the list join
-sees a host once however many captures it has; what a host has on the lists goes back to its captures by a salted join.
+Only DataFrame functions are used. Captures are reduced to distinct hosts and dates, and these to distinct patterns and
+dates, before the join on pattern and time, so a host or a domain with many captures is one row a date there; what is
+found goes back to the captures by a salted join.
 """
 
 from __future__ import annotations
@@ -40,17 +41,22 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "fetched") -> DataFrame:
     """captures with host, lists (sorted names of the lists that held the host or a parent domain at the fetch) and
-    blocked. All rows stay, in any number; null or odd URLs and null dates are on no list. Empty tables are fine."""
-    rows = captures.withColumn("host", host_of(url)).withColumn("uf_salt", F.pmod(F.xxhash64(url, at), F.lit(SALTS)))
-    hosts = rows.where("host IS NOT NULL").select("host").distinct()
-    # a name on the lists has few entries; a pattern meets each host below it once
-    keys = hosts.select("host", F.explode(suffixes("host")).alias("pattern"))
-    spans = keys.join(intervals(entries), "pattern").groupBy("host").agg(F.collect_set(F.struct("list", "valid_from", "valid_to")).alias("uf_spans"))
-    spans = spans.withColumn("uf_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    rows = rows.join(spans, ["host", "uf_salt"], "left")
-    active = F.filter(F.coalesce("uf_spans", F.array().cast("array<struct<list:string,valid_from:date,valid_to:date>>")), lambda s: (s["valid_from"] <= F.col(at)) & (s["valid_to"].isNull() | (F.col(at) < s["valid_to"])))
-    lists = F.array_join(F.array_sort(F.array_distinct(F.transform(active, lambda s: s["list"]))), ",")
-    return rows.withColumn("lists", lists).withColumn("blocked", F.col("lists") != "").drop("uf_spans", "uf_salt")
+    blocked. All rows stay, in any number; null or odd URLs and null dates are on no list. Empty tables are fine. Where
+    captures has a column of one of these names, that stays, and the new one is called uf_<name>.
+
+    Each distinct host and date is looked up once, each distinct pattern and date joined once, on pattern and time.
+    """
+    rows = captures.withColumn("uf_key_host", host_of(url)).withColumn("uf_key_at", F.col(at)).withColumn("uf_salt", F.pmod(F.xxhash64(url, at, F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    asked = captures.select(host_of(url).alias("host"), F.col(at).alias("at")).where("host IS NOT NULL AND at IS NOT NULL").distinct()
+    asked = asked.select("host", "at", F.explode(suffixes("host")).alias("pattern"))
+    spans = intervals(entries)
+    active = asked.select("pattern", "at").distinct().join(spans, "pattern").where("valid_from <= at AND (valid_to IS NULL OR at < valid_to)").select("pattern", "at", "list").distinct()
+    lists = asked.join(active, ["pattern", "at"]).groupBy("host", "at").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("uf_found"))
+    lists = lists.select(F.col("host").alias("uf_key_host"), F.col("at").alias("uf_key_at"), "uf_found", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("uf_salt"))
+    rows = rows.join(lists, ["uf_key_host", "uf_key_at", "uf_salt"], "left")
+    found = F.coalesce("uf_found", F.lit(""))
+    made = {"host": F.col("uf_key_host"), "lists": found, "blocked": found != ""}
+    return rows.select(*[F.col(f"`{c}`") for c in captures.columns], *[c.alias(n if n not in captures.columns else f"uf_{n}") for n, c in made.items()])
 
 
 def dated_entries(pages: DataFrame) -> DataFrame:
