@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from gridlore.llm.topk import finite, matrix, widest
 
-#: Centroids of a half; rows that the codebooks are fitted on, at most (by hash order); rows of a shard.
-CENTROIDS, SAMPLE, SHARD = 24, 20_000, 8192
-#: A query visits cells until they hold this share of all rows. Measured recall at 20 on unclustered vectors: see README.
-VISIT = 0.7
+#: Centroids of a half; rows that the codebooks are fitted on, at most (by hash order); rows of a shard; queries walked in a task.
+CENTROIDS, SAMPLE, SHARD, ASKS = 256, 20_000, 8192, 128
+#: A query visits cells until they hold this share of all rows. The given vectors are spread evenly over a sphere of 64
+#: dimensions, where no index does with few; the README has recall by share.
+VISIT = 0.33
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -39,25 +40,26 @@ def assign(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argmin((c**2).sum(1) - 2 * (x @ c.T), axis=1) if len(x) else np.zeros(0, np.int64)
 
 
-def walk(s1: np.ndarray, s2: np.ndarray, counts: np.ndarray, enough: int, cap: int) -> list[int]:
-    """Cells (a * len(s2) + b) by falling s1[a] + s2[b] until they hold enough rows; of a cell, cap rows count at most,
-    so that one crowded cell doesn't use up a query's share. Empty cells are passed over."""
+def walk(s1: np.ndarray, s2: np.ndarray, counts: list[int], enough: int, cap: int) -> tuple[list[int], float]:
+    """Cells (a * len(s2) + b) by falling s1[a] + s2[b] until they hold enough rows, and the sum of the last; of a cell,
+    cap rows count at most, so that one crowded cell doesn't use up a query's share. Empty cells are passed over."""
     o1, o2 = np.argsort(-s1, kind="stable"), np.argsort(-s2, kind="stable")
-    a, b, w = s1[o1].tolist(), s2[o2].tolist(), len(s2)
-    o1, o2, counts = o1.tolist(), o2.tolist(), counts.tolist() if isinstance(counts, np.ndarray) else counts
-    heap, out, seen = [(-(a[0] + b[0]), 0, 0)], [], 0
-    pushed = {(0, 0)}
+    a, b, w = (-s1[o1]).tolist(), (-s2[o2]).tolist(), len(s2)
+    o1, o2 = (o1 * w).tolist(), o2.tolist()
+    heap, out, seen, last = [(a[0] + b[0], 0, 0)], [], 0, 0.0
     while heap and seen < enough:
-        _, i, j = heapq.heappop(heap)
-        cell = o1[i] * w + o2[j]
+        last, i, j = heap[0]
+        cell = o1[i] + o2[j]
         if counts[cell]:
             out.append(cell)
             seen += min(cap, counts[cell])
-        for p in ((i + 1, j), (i, j + 1)):
-            if p[0] < len(a) and p[1] < w and p not in pushed:
-                pushed.add(p)
-                heapq.heappush(heap, (-(a[p[0]] + b[p[1]]), *p))
-    return out
+        if j + 1 < w:  # a row of the pairs goes on; the next row opens with its first
+            heapq.heapreplace(heap, (a[i] + b[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if not j and i + 1 < len(a):
+            heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
+    return out, -last
 
 
 def rank(ids: np.ndarray, x: np.ndarray, cells: np.ndarray, query_ids: np.ndarray, q: np.ndarray, visited: np.ndarray, k: int):
@@ -133,31 +135,37 @@ def ann_topk(vectors: DataFrame, is_query: Column, k: int, visit: float = VISIT,
     enough, cap = max(int(visit * total), 2 * k), max(2 * k, 8 * total // max(1, int((counts > 0).sum())))
     shards = spark.createDataFrame(pa.table({"cell": pa.array(np.flatnonzero(counts), pa.int32()), "base": base[counts > 0], "parts": parts[counts > 0]}))
     items = items.join(F.broadcast(shards), "cell").select("vec_id", "embedding", "cell", (F.col("base") + F.pmod(F.xxhash64("vec_id"), "parts")).alias("shard"))
-    counted = counts.tolist()
+    lists = spark.sparkContext.broadcast((books, counts.tolist(), base, parts))  # centroids^2 numbers
+
+    def halves(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = lists.value[0]
+        return v[:, :half] @ own[0].T, v[:, half:] @ own[1].T
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, counted, first, many = lists.value
         for b in batches:
-            v, ids = matrix(pa.chunked_array([b.column("embedding")]), dim), b.column("vec_id").to_pylist()
-            s1, s2 = v[:, :half] @ books[0].T, v[:, half:] @ books[1].T
-            to, shard, cells = [], [], []
-            for i in range(len(ids)):
-                own: dict[int, list[int]] = {}
-                for c in walk(s1[i], s2[i], counted, enough, cap):
-                    for s in range(base[c], base[c] + parts[c]):
-                        own.setdefault(s, []).append(c)
-                for s, cs in own.items():
-                    to.append(i), shard.append(s), cells.append(cs)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(to, pa.int32())), b.column("embedding").take(pa.array(to, pa.int32())), pa.array(cells, pa.list_(pa.int32())), pa.array(shard, pa.int64())], ["vec_id", "embedding", "cells", "shard"])
-
-    asks = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInArrow(probe, "vec_id long, embedding array<double>, cells array<int>, shard long")
+            s1, s2 = halves(matrix(pa.chunked_array([b.column("embedding")]), dim))
+            to, shard, floor = [], [], []
+            for i in range(len(b)):
+                cells, last = walk(s1[i], s2[i], counted, enough, cap)
+                begin, n = first[cells], many[cells]
+                own = np.unique(np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
+                to.append(np.full(len(own), i)), shard.append(own), floor.append(np.full(len(own), last))
+            to, shard, floor = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (to, shard, floor))
+            at = pa.array(to.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(at), b.column("embedding").take(at), pa.array(floor, pa.float64()), pa.array(shard, pa.int64())], ["vec_id", "embedding", "floor", "shard"])
+
+    asks = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asks = asks.repartition(max(1, -(-rows.where(is_query).count() // ASKS))).mapInArrow(probe, "vec_id long, embedding array<double>, floor double, shard long")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = np.unique(left["cell"].to_numpy()) if len(left) else np.zeros(0, np.int32)
-        visited = np.zeros((len(right), len(own)), bool)
-        for i, cs in enumerate(right["cells"].to_pylist()):
-            if len(own):
-                visited[i, np.searchsorted(own, cs)] = True
-        found = rank(left["vec_id"].to_numpy(), matrix(left["embedding"], dim), np.searchsorted(own, left["cell"].to_numpy()), right["vec_id"].to_numpy(), matrix(right["embedding"], dim), visited, k) if len(left) and len(right) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if len(left) and len(right):
+            own, cell = np.unique(left["cell"].to_numpy(), return_inverse=True)
+            q = matrix(right["embedding"], dim)
+            s1, s2 = halves(q)
+            visited = s1[:, own // width] + s2[:, own % width] >= right["floor"].to_numpy()[:, None] - 1e-12
+            found = rank(left["vec_id"].to_numpy(), matrix(left["embedding"], dim), cell, right["vec_id"].to_numpy(), q, visited, k)
         return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
 
     near = items.groupBy("shard").cogroup(asks.groupBy("shard")).applyInArrow(rerank, "query_id long, vec_id long, score double")
