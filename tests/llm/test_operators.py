@@ -1,9 +1,11 @@
 """The corpus operators against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import math
 import os
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -366,8 +368,119 @@ def test_toxicity(spark):
 
 def test_folding_and_exceptions():
     assert toxicity.fold("1D10T ЅТUРІD a1 $cum 77") == ["idiot", "stupid", "ai", "scum"]
+    assert toxicity.fold("ｓｃｕｍ 𝓈𝒸𝓊𝓂 scúm s\u200bc\u00adum") == ["scum"] * 4
     lex = toxicity.Lexicon({"scum": 3.0}, [" scumble ", " old scum "])
     assert lex.features("scum old scum scumble")[0] == 3.0 and lex.features("")[0] == 0.0
+    many = toxicity.Lexicon({"scum": 1.0}, [" old scum "])
+    assert many.features("old scum " * 3000 + "scum")[2] == 1
+
+
+def plain_score(text, model):
+    """The score without Aho-Corasick: every word against every term and exception."""
+    weights, exceptions, curve = model
+    w = toxicity.fold(text or "")
+    hits = []
+    for i, x in enumerate(w):
+        own = [v for t, v in weights.items() if (x == t[:-1] if t.endswith(" ") else x.startswith(t))]
+        around = {f" {x} ", *([f" {w[i - 1]} {x} "] if i else []), *([f" {x} {w[i + 1]} "] if i + 1 < len(w) else [])}
+        if own and not around & set(exceptions):
+            hits.append(max(own))
+    total = math.fsum(hits)
+    f = [math.log1p(v) for v in (total, total / math.sqrt(len(w)) if w else 0.0, len(hits))]
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * c for a, c in zip(f, curve)) + curve[3]))))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables aren't here")
+def test_toxicity_by_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    texts, toxic = docs.select("doc_id", "text").toPandas(), {}
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["toxic"] in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            toxic[r["doc_id"]] = max(r["toxic"], toxic.get(r["doc_id"], 0))
+    own = [(toxicity.fold(t or ""), toxic[i]) for i, t in zip(texts.doc_id, texts.text) if i in toxic]
+    n = Counter(y for _, y in own)
+
+    def counts(kind):
+        by = (Counter(), Counter())
+        for w, y in own:
+            by[y].update(kind(w))
+        return {t: (by[1][t], by[0][t], math.log((by[1][t] + 0.5) / (n[1] + 1)) - math.log((by[0][t] + 0.5) / (n[0] + 1))) for t in by[0].keys() | by[1].keys()}
+
+    found = counts(lambda w: toxicity.terms(set(w)))
+    bar = 2 * math.log(max(2, sum(k >= 4 for k, _, _ in found.values()))) + 3
+    g = lambda k, m, both: k * math.log(k * (n[0] + n[1]) / (both * m)) if k else 0.0
+    want = {t: o for t, (k, c, o) in found.items() if k >= 4 and o > 1.5 and 2 * (g(k, n[1], k + c) + g(c, n[0], k + c)) > bar}
+    short = {}
+    for t in sorted(want, key=lambda t: (len(t), t)):
+        if not any(t[:i] in short and want[t] <= short[t[:i]] + 1.0 for i in range(4, len(t))):
+            short[t] = want[t]
+    assert model[0].keys() == short.keys() and all(model[0][t] == pytest.approx(o) for t, o in short.items()) and short
+    hit = lambda x: x + " " in short or any(x[:k] in short for k in range(4, min(7, len(x)) + 1))
+    near = counts(lambda w: {e for i, x in enumerate(w) if hit(x) for e in (f" {x} ", *([f" {w[i - 1]} {x} "] if i else []), *([f" {x} {w[i + 1]} "] if i + 1 < len(w) else []))})
+    assert sorted(model[1]) == sorted(e for e, (_, c, o) in near.items() if c >= 5 and o < 0)
+    got = {(r["doc_id"]): r for r in toxicity.op10_toxicity(spark, sf).collect()}
+    assert len(got) == len(texts)
+    for i, t in zip(texts.doc_id, texts.text):
+        assert got[i]["score"] == pytest.approx(plain_score(t, model)) and got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+    held = [i for i in got if got[i]["held_out"] and i in {r["doc_id"] for r in labels.collect()}]
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    assert sum(got[i]["predicted"] == truth[i] for i in held) / len(held) >= 0.95
+
+
+def test_toxicity_odd_tables(docs, empty):
+    labels = docs.sparkSession.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert toxicity.scored(docs, model, "doc_id").count() == len(DOCS) and toxicity.scored(empty, model, "doc_id").count() == 0
+    for d, y in ((empty, labels), (docs, labels.limit(0)), (empty, labels.limit(0))):
+        assert toxicity.train(d, y)[2][3] < 0 and toxicity.train(d, y)[:2] == ({}, [])
+
+
+def plain_pii(rows):
+    """doc_id and spans of every row, and the terms that disclose an entity, from counts over whole documents."""
+    rows = [(d, t or "") for d, t in rows]
+    spans = [pii.base_spans(t) for _, t in rows]
+    ents, said, word = [], [], []
+    for (_, t), sp in zip(rows, spans):
+        ents.append({f"{k}:{t[a:b].lower() if k == 'email' else re.sub('[^0-9.]', '', t[a:b])}" for k, own in zip(pii.KINDS, sp) for a, b in own})
+        flat = [s for own in sp for s in own]
+        said.append([(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{4,}", t) if not any(a < m.end() and m.start() < b for a, b in flat)])
+        word.append(" ".join(re.findall(r"[^\W\d_]{4,}", t)).lower())
+    n_e, n_t, both, wordings = Counter(), Counter(), Counter(), {}
+    for e, s, w in zip(ents, said, word):
+        own = {x for _, _, x in s}
+        n_e.update(e), n_t.update(own)
+        for pair in ((x, y) for x in e for y in own):
+            both[pair] += 1
+            wordings.setdefault(pair, set()).add(w)
+    flagged = {t for (e, t), k in both.items() if len(wordings[e, t]) >= pii.MIN_CONTEXTS and k / n_t[t] >= (n_e[e] / len(rows)) ** (1 - pii.ALPHA) - 1e-12}
+    return key((d, pii.written(pii.KINDS + ("term",), [*sp, [(a, b) for a, b, x in s if x in flagged]])) for (d, _), sp, s in zip(rows, spans, said)), flagged
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables aren't here")
+def test_pii_of_the_tables_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want, _ = plain_pii([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert key((r["doc_id"], r["spans"]) for r in pii.op9_pii(spark, "/root/testdata/sf0.01").collect()) == want
+
+
+def test_pii_terms_by_brute_force(spark):
+    rnd = random.Random(6)
+    names, common = ["Zorblat", "Quorvex", "Brantol", "Fjeldar"], ["often", "writes", "letter", "house", "about"]
+    rows = []
+    for i in range(300):
+        w = [rnd.choice(common) + rnd.choice("abcdefgh") * rnd.randint(0, 3) for _ in range(rnd.randint(3, 30))]
+        who = rnd.randrange(6)
+        if who < 4:
+            w.insert(rnd.randint(0, len(w)), names[who] if rnd.random() < 0.9 else names[who].upper())
+            if who < 3 or rnd.random() < 0.5:
+                w.insert(rnd.randint(0, len(w)), (f"mail{who}@x.example.com", f"10.0.0.{who}", "+49 30 1234567", "4111 1111 1111 1111")[who])
+        rows.append((i, " ".join(w)))
+    rows += [(7, rows[7][1]), (None, "Zorblat alone"), (900, None)]
+    want, flagged = plain_pii(rows)
+    assert {"zorblat", "quorvex", "brantol"} <= flagged and "often" not in flagged
+    assert key((r["doc_id"], r["spans"]) for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
 
 
 def test_empty_tables(empty):
