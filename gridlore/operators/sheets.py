@@ -52,12 +52,13 @@ def row_features(cells: DataFrame, max_rows: int = HEADER_ROWS, lookahead: int =
     cells = cells.join(first_rows(cells, max_rows + lookahead), [*SHEET, "row_idx"]).withColumn("t", t)
     t = F.col("t")
     filled, number = v.isNotNull(), T.is_numeric(v)
+    date = T.is_date(v) | (F.col("kind") == "ts") if "kind" in cells.columns else T.is_date(v)
     pattern = T.is_numeric(t) | T.is_long_id(t) | T.has_letter_and_digit(t) | (T.word_count(t) >= 3)
     share = lambda flag: F.coalesce(F.avg(F.when(filled, flag.cast("double"))), F.lit(0.0))
     semantic = T.contains_term(t, TERMS["header"], 4)
     rows = cells.groupBy(*SHEET, "row_idx").agg(
         F.avg(filled.cast("double")).alias("non_empty_ratio"), share(~number).alias("text_ratio"), F.size(F.collect_set(F.when(filled, t))).cast("long").alias("distinct_values"), F.count_if(filled).alias("n"),
-        share(number).alias("numeric_ratio"), share(semantic).alias("semantic"), share(T.is_date(v)).alias("date_like_ratio"), share(T.is_long_id(t)).alias("long_identifier_ratio"),
+        share(number).alias("numeric_ratio"), share(semantic).alias("semantic"), share(date).alias("date_like_ratio"), share(T.is_long_id(t)).alias("long_identifier_ratio"),
         share(pattern).alias("value_pattern_score"), share(T.is_code(t)).alias("code_ratio"), share(T.is_long_text(t)).alias("long_text_ratio"),
         F.transform(F.array_sort(F.collect_list(F.struct("col_idx", number.alias("num")))), lambda x: x["num"]).alias("pattern"),
         F.transform(F.array_sort(F.collect_list(F.when(filled, F.struct("col_idx", v.alias("value"))))), lambda x: x["value"]).alias("header_values"),

@@ -1,6 +1,7 @@
 """Workbooks as cells: CSV and XLSX without a header assumed, and the sample workbook's writer.
 
-Cells are (workbook, sheet, row_idx, col_idx, kind, value): kind is null, bool, int, float or str. A file is read by one
+Cells are (workbook, sheet, row_idx, col_idx, kind, value): kind is null, bool, int, float, ts (a date, as text with its
+time) or str. A file is read by one
 task, as rows have an order only within it; many files are read by many tasks.
 """
 
@@ -12,6 +13,7 @@ import re
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
@@ -80,6 +82,25 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+# Number formats of dates and times that workbooks don't spell out, and day 0.
+DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+DAY_0 = {False: datetime(1899, 12, 30), True: datetime(1904, 1, 1)}
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """The cell styles whose number format shows a date or a time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    tag = lambda e: e.tag.rpartition("}")[2]
+    root, own, out = ElementTree.fromstring(z.read("xl/styles.xml")), set(DATE_FORMATS), set()
+    for f in (e for e in root.iter() if tag(e) == "numFmt"):
+        code = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]|_.', "", f.get("formatCode", ""))  # literals, colours and spacing
+        (own.add if re.search("[dmyhs]", code.lower()) and "general" not in code.lower() else own.discard)(int(f.get("numFmtId")))
+    for xfs in (e for e in root if tag(e) == "cellXfs"):
+        out = {i for i, xf in enumerate(e for e in xfs if tag(e) == "xf") if int(xf.get("numFmtId", 0)) in own}
+    return out
+
+
 def xlsx_cells(content: bytes) -> dict[str, list[tuple]]:
     """SRC3: every worksheet's used range from A1 on, by its name, in the workbook's order."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -88,9 +109,18 @@ def xlsx_cells(content: bytes) -> dict[str, list[tuple]]:
         if "xl/sharedStrings.xml" in z.namelist():
             for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")):
                 shared.append("".join(t.text or "" for t in si.iter() if tag(t) == "t"))
+        dates, book = _date_styles(z), ElementTree.fromstring(z.read("xl/workbook.xml"))
+        day_0 = DAY_0[any(tag(e) == "workbookPr" and e.get("date1904") in ("1", "true") for e in book.iter())]
+
+        def number(text: str, style: int) -> tuple[str, str]:
+            x = float(text)
+            if style in dates:
+                return "ts", str((day_0 + timedelta(seconds=round(x * 86400))).isoformat(" "))
+            return ("int", str(int(x))) if x.is_integer() else ("float", text)
+
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         out = {}
-        for s in (e for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if tag(e) == "sheet"):
+        for s in (e for e in book.iter() if tag(e) == "sheet"):
             target = links[next(v for k, v in s.attrib.items() if k.endswith("}id"))]
             grid: dict[int, dict[int, tuple[str, str | None]]] = {}
             for r, row in enumerate(e for e in ElementTree.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}")).iter() if tag(e) == "row"):
@@ -100,7 +130,7 @@ def xlsx_cells(content: bytes) -> dict[str, list[tuple]]:
                     kind = cell.get("t", "n")
                     if text != "" or kind == "inlineStr":
                         text = shared[int(text)] if kind == "s" else text
-                        found = ("bool", "True" if text == "1" else "False") if kind == "b" else ("str", text) if kind in ("s", "str", "inlineStr", "e", "d") else ("int", str(int(float(text)))) if float(text).is_integer() else ("float", text)
+                        found = ("bool", "True" if text == "1" else "False") if kind == "b" else ("str", text) if kind in ("s", "str", "inlineStr", "e", "d") else number(text, int(cell.get("s", 0)))
                         grid.setdefault(at, {})[_column(cell.get("r")) if cell.get("r") else c] = ("null", None) if found == ("str", "") else found
             rows = [[grid.get(i, {}).get(j, ("null", None)) for j in range(max(grid.get(i, {-1: 0})) + 1)] for i in range(max(grid, default=-1) + 1)]
             out[s.get("name")] = _grid(rows)
@@ -152,13 +182,15 @@ SAMPLE = {
 def xlsx_bytes(sheets: dict[str, list[list]]) -> bytes:
     """SRC5: a minimal workbook, without header or index of its own."""
     letters = lambda j: (letters(j // 26 - 1) if j > 25 else "") + chr(65 + j % 26)
-    cell = lambda i, j, v: f'<c r="{letters(j)}{i}"><v>{v}</v></c>' if isinstance(v, (int, float)) and not isinstance(v, bool) else f'<c r="{letters(j)}{i}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
+    serial = lambda v: (v - DAY_0[False]).total_seconds() / 86400
+    cell = lambda i, j, v: f'<c r="{letters(j)}{i}" s="1"><v>{serial(v)}</v></c>' if isinstance(v, datetime) else f'<c r="{letters(j)}{i}"><v>{v}</v></c>' if isinstance(v, (int, float)) and not isinstance(v, bool) else f'<c r="{letters(j)}{i}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         n = range(1, len(sheets) + 1)
         z.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in n) + "</Types>")
         z.writestr("_rels/.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>')
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(s)}" sheetId="{i}" r:id="r{i}"/>' for i, s in zip(n, sheets)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in n) + "</Relationships>")
         for i, rows in zip(n, sheets.values()):

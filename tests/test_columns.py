@@ -1,5 +1,6 @@
 """Golden values of the functions, profiles, matching and sheet discovery on small inputs."""
 
+import datetime
 import os
 
 import duckdb
@@ -162,6 +163,98 @@ def semantic_category(spark, top, margin):
     return spark.range(1).select(semantic.category(F.lit(top), F.lit(margin))).first()[0]
 
 
+def test_dates_in_workbooks(spark, tmp_path):
+    path = tmp_path / "dates.xlsx"
+    when = datetime.datetime(2024, 2, 29, 13, 30)
+    path.write_bytes(workbooks.xlsx_bytes({"S": [["Year Built", "Insured", "Value"], [1998, when, 1.5], [2001, datetime.datetime(1999, 12, 31), 7]]}))
+    cells, _ = workbooks.load_workbooks(spark, str(path))
+    got = {(r["row_idx"], r["col_idx"]): (r["kind"], r["value"]) for r in cells.collect()}
+    assert got[1, 1] == ("ts", "2024-02-29 13:30:00") and got[2, 1] == ("ts", "1999-12-31 00:00:00") and got[1, 0] == ("int", "1998") and got[1, 2] == ("float", "1.5")
+    f = {r["row_idx"]: r["date_like_ratio"] for r in sheets.row_features(cells).collect()}
+    assert f[0] == 0.0 and f[1] == pytest.approx(1 / 3)
+
+
+def test_settings_and_summary(spark, capsys):
+    assert workbooks.setting(spark, "max_sample_values") == "5" and workbooks.setting(spark, "environment") == "development"
+    spark.conf.set("spark.gridlore.max_sample_values", "3")
+    assert workbooks.setting(spark, "max_sample_values") == "3"
+    spark.conf.unset("spark.gridlore.max_sample_values")
+    workbooks.show_summary(spark.createDataFrame([("w", "s", 2, 3, False)], "workbook string, sheet string, rows int, columns int, is_empty boolean"))
+    assert "workbook" in capsys.readouterr().out
+
+
+def mapped_cells(spark):
+    rows = [(i, j, h, str(v)) for j, (h, vs) in enumerate({"Zip": [82601, 80202], "Fnord": ["a b", "c d"], "Storeys": [1, 2]}.items()) for i, v in enumerate(vs)]
+    return spark.createDataFrame(rows, "row_idx long, col_pos int, col string, value string")
+
+
+def test_failures_become_warnings(spark):
+    cells = mapped_cells(spark)
+    headers = cells.select("col_pos", "col").distinct().withColumn("norm", T.mapping_header(F.col("col"), nfkc=False))
+
+    def no_model():
+        raise OSError("no model")
+
+    def odd_texts():
+        def embed(texts):
+            if any("fnord" in t for t in texts):
+                raise ValueError("odd text")
+            return [[1.0, float(len(t))] for t in texts]
+
+        return embed
+
+    rows, warnings = semantic.evidence(headers, ["col_pos"], embedder=no_model)
+    assert rows.count() == 0 and sorted(r["warning"] for r in warnings.collect()) == [f"Failed to process '{c}': Semantic retrieval failed: OSError: no model" for c in ("Fnord", "Storeys", "Zip")]
+    rows, warnings = semantic.evidence(headers.repartition(3, "col_pos"), ["col_pos"], embedder=odd_texts)
+    said = [r["warning"] for r in warnings.collect()]
+    assert "Failed to process 'Fnord': Semantic retrieval failed: ValueError: odd text" in said
+    # the mapping itself stands in any case, and its report carries the warnings
+    mapping = matching.map_columns(cells.withColumn("workbook", F.lit("w")), rows.withColumn("workbook", F.lit("w")), ["workbook"])
+    got = {r["col"]: r for r in mapping.collect()}
+    assert got["Zip"]["target"] == "Zip" and got["Storeys"]["target"] == "Storeys" and got["Fnord"]["target"] is None
+    assert [got[c]["human_review_required"] for c in ("Zip", "Storeys", "Fnord")] == [False, False, True]
+    report = matching.mapping_report(mapping, ["workbook"], warnings.withColumn("workbook", F.lit("w"))).first()
+    assert report["unresolved_columns"] == ["Fnord"] and report["assigned_targets"] == ["Zip", "Storeys"] and report["warnings"] == sorted(said, key=lambda w: ("Zip" not in w, "Fnord" not in w))
+
+
+def test_failing_client_loses_no_column(spark):
+    headers = mapped_cells(spark).select("col_pos", "col").distinct().withColumn("norm", T.mapping_header(F.col("col"), nfkc=False))
+
+    def client():
+        def answer(prompt):
+            if "Fnord" in prompt:
+                raise RuntimeError("too busy")
+            return '{"target_field": "City", "confidence": 0.9, "reason": "it says so"}'
+
+        return answer
+
+    def broken():
+        raise KeyError("no key")
+
+    flat = lambda: lambda texts: [[1.0] for _ in texts]  # noqa: E731  all alike: ambiguous
+    rows, warnings = semantic.evidence(headers, ["col_pos"], client=client, embedder=flat, weigh=True)
+    told = {r["col_pos"]: r for r in rows.where("method = 'llm'").collect()}
+    assert sorted(told) == [0, 2] and told[0]["target"] == "City" and told[0]["llm"] == 0.9 and told[0]["reasons"] == ["it says so"]
+    assert [r["warning"] for r in warnings.collect()] == ["Failed to process 'Fnord': RuntimeError: too busy"]
+    rows, warnings = semantic.evidence(headers, ["col_pos"], client=broken, embedder=flat)
+    assert rows.where("method = 'llm'").count() == 0 and warnings.count() == 3 and rows.where("method = 'semantic'").count() == 9
+
+
+def test_own_detectors_and_scorers(spark):
+    cells = mapped_cells(spark)
+    got = {r["col"]: r for r in profile.profile_columns(cells, detectors={**T.DETECTORS, "two_words": lambda t: t.contains(" ")}).collect()}
+    assert got["Fnord"]["two_words_ratio"] == 1.0 and got["Zip"]["two_words_ratio"] == 0.0 and got["Zip"]["zip_ratio"] == 1.0
+    own = {"Letters": (F.col("string_ratio"), {"string_ratio": F.col("string_ratio")}, [(F.col("string_ratio") > 0.5, "letters")])}
+    rows = matching.field_evidence(profile.profile_columns(cells), ["col"], own).collect()
+    assert {(r["col"], r["target"], r["score"], tuple(r["reasons"])) for r in rows} == {("Zip", "Letters", 0.0, ()), ("Storeys", "Letters", 0.0, ()), ("Fnord", "Letters", 1.0, ("letters",))}
+
+
+def test_dtypes(spark):
+    rows = [(i, c, c, v) for i, (c, v) in enumerate([(0, "1"), (0, "2"), (1, "1"), (1, None), (2, "1.5"), (2, "2"), (3, "x"), (3, "1"), (4, None)])]
+    cells = spark.createDataFrame(rows, "row_idx long, col_pos int, col string, value string")
+    assert {r["col_pos"]: r["dtype"] for r in profile.posterior_profile(cells).collect()} == {0: "int64", 1: "float64", 2: "float64", 3: "object", 4: "object"}
+
+
 SF = "/root/testdata/sf0.001"
 
 
