@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import BLOCK_BYTES, corpus_size, release
+from gridlore.llm.common import BLOCK_BYTES, corpus_size, joined, parted, release
 from gridlore.llm.repeats import PARTITIONS
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -71,8 +71,9 @@ def token_table(ranks: dict[bytes, int]) -> list[bytes]:
     return table
 
 
-#: Rows of a block (words null): its documents' ids, numbers of tokens and words as numbers. Rows of a word: its number in the block.
-PARTS = "to long, block long, number int, word binary, doc_id array<long>, tokens array<int>, data binary"
+#: Rows of a block (word null): its documents' ids, numbers of tokens, and words as numbers, packed. Rows of a word: its number
+#: in the block. No lists: Spark adds up a list column's rows for each row that it hands to Python.
+PARTS = "to long, block long, number int, word binary, data binary"
 #: Blocks that share a word's bucket: a word of all documents is encoded once for so many, and no bucket is larger for it.
 SHARED = 4096
 
@@ -108,11 +109,12 @@ def encode(docs: DataFrame, ranks_path: str = public_tokenizers.path(VOCABULARY)
         def flush() -> Iterator[pa.RecordBatch]:
             block = (part << 24) + seq
             data = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
-            yield as_batch([block], [block], None, None, [doc_ids], [tokens], [squeeze(data)])
+            known = [d is not None for d in doc_ids]
+            yield as_batch([block], [block], None, None, [joined(np.array([d or 0 for d in doc_ids], "<i8"), np.array(known, "u1"), np.array(tokens, "<i8"), np.frombuffer(squeeze(data), "u1"))])
             if words:
                 raw = [w.encode() for w in words]
                 to = [-1 - xxhash.xxh64_intdigest(r, block // SHARED) % n_buckets for r in raw]
-                yield as_batch(to, [block] * len(raw), range(len(raw)), raw, None, None, None)
+                yield as_batch(to, [block] * len(raw), range(len(raw)), raw, None)
 
         for b in batches:
             for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
@@ -132,25 +134,27 @@ def encode(docs: DataFrame, ranks_path: str = public_tokenizers.path(VOCABULARY)
     def encode_words(t: pa.Table) -> pa.Table:
         """Of a bucket: each distinct word encoded once, a row for each block that sent it."""
         if t["to"][0].as_py() >= 0:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.list_(pa.int32()))], names=["to", "number", "ids"])
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())], names=["to", "number", "ids"])
         enc, _ = coder(shared)
         word = t["word"].combine_chunks().dictionary_encode()
         word = word.combine_chunks() if isinstance(word, pa.ChunkedArray) else word
-        ids = [enc.encode_ordinary(w.decode()) for w in word.dictionary.to_pylist()]
-        return pa.table([t["block"], t["number"], pa.array(ids, pa.list_(pa.int32())).take(word.indices)], names=["to", "number", "ids"])
+        ids = pa.array([np.array(enc.encode_ordinary(w.decode()), "<u4").tobytes() for w in word.dictionary.to_pylist()], pa.binary())
+        return pa.table([t["block"], t["number"], ids.take(word.indices)], names=["to", "number", "ids"])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         cols: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids": [], "decoded": []}
         if len(left) and left["to"][0].as_py() >= 0:
             _, table = coder(shared)
             order = np.argsort(right["number"].to_numpy())
-            coded = right["ids"].combine_chunks().take(pa.array(order)) if len(right) else pa.array([], pa.list_(pa.int32()))
+            coded = right["ids"].combine_chunks().take(pa.array(order)) if len(right) else pa.array([], pa.binary())
             coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-            ids, start = coded.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), coded.offsets.to_numpy().astype(np.int64)
-            n, start = np.diff(start), start[:-1] - start[0]
-            row = left.select(["doc_id", "tokens", "data"]).to_pylist()[0]
-            numbers, at = expand(row["data"]), 0
-            for doc_id, k in zip(row["doc_id"], row["tokens"]):
+            raw = coded.to_pylist()
+            n = np.array([len(r) for r in raw], np.int64) // 4
+            ids, start = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(n) - n
+            doc_ids, known, tokens, data = parted(left["data"][0].as_py(), "<i8", "u1", "<i8", "u1")
+            doc_ids = [d if k else None for d, k in zip(doc_ids.tolist(), known.tolist())]
+            numbers, at = expand(data.tobytes()), 0
+            for doc_id, k in zip(doc_ids, tokens.tolist()):
                 own = numbers[at : at + k]
                 at += k
                 m = n[own]
@@ -163,12 +167,12 @@ def encode(docs: DataFrame, ranks_path: str = public_tokenizers.path(VOCABULARY)
 
     n_parts = min(3 * n_buckets, PARTITIONS)
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(parse, PARTS).repartition(n_parts, "to")
-    coded = parts.groupBy("to").applyInArrow(encode_words, "to long, number int, ids array<int>").repartition(n_parts, "to")
+    coded = parts.groupBy("to").applyInArrow(encode_words, "to long, number int, ids binary").repartition(n_parts, "to")
     return parts.groupBy("to").cogroup(coded.groupBy("to")).applyInArrow(assemble, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def as_batch(*columns) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
     n = len(columns[0])
     return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in PARTS.split(", ")])
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.llm import repeats as R
-from gridlore.llm.common import BLOCK_BYTES, SEGMENT, Poly, ascii_lower, corpus_size, discard, hashed_words, keyed, materialize, mix, release, text_chunks
+from gridlore.llm.common import BLOCK_BYTES, SEGMENT, Poly, ascii_lower, corpus_size, discard, hashed_words, joined, keyed, materialize, mix, parted, release, text_chunks
 from gridlore.llm.graph import components
 
 #: Slots of the frequency sketch (a byte each is broadcast, whatever the corpus' size); partial sums of a slice of it.
@@ -182,15 +182,6 @@ class Trie:
                 todo += [(lo + x, lo + y, end, overlap, on) for x, y in zip(cuts, cuts[1:])]
 
 
-def joined(*arrays: np.ndarray) -> bytes:
-    return np.array([a.nbytes for a in arrays], "<u8").tobytes() + b"".join(a.tobytes() for a in arrays)
-
-
-def parted(b: bytes, *types: str) -> list[np.ndarray]:
-    cut = np.cumsum([8 * len(types), *np.frombuffer(b, "<u8", len(types)).tolist()]).tolist()
-    return [np.frombuffer(b[x:y], t) for x, y, t in zip(cut, cut[1:], types)]
-
-
 def pack_block(sid: np.ndarray, weight: np.ndarray, sets: list[np.ndarray]) -> bytes:
     """A block's texts, the shingles once, the sets as steps through them."""
     own, place = np.unique(np.concatenate(sets), return_inverse=True)

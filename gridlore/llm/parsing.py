@@ -78,11 +78,29 @@ def triggers(b: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, n
     return at[first], mix(h[at[first]]), starts[first], starts[last]
 
 
-#: Kinds of rows: a distinct surrounding of repeated triggers, and a window of hot ones. at: where they are in the block.
-AROUND = "kind int, block long, n long, key long, key2 long, before int, spread int, at array<long>, data binary"
+#: Kinds of rows: a distinct surrounding of repeated triggers, and a window of hot ones. at: where they are in the block,
+#: packed, as Spark adds up a list column's rows for each row that it hands to Python.
+AROUND = "kind int, block long, n long, key long, key2 long, before int, spread int, at binary, data binary"
 RECORD, WINDOW = 0, 1
 
 
+def packed(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Runs of 64-bit numbers as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((8 * cut).astype(np.int32).tobytes()), pa.py_buffer(values.astype("<i8").tobytes())])
+
+
+def unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows, and where each row's begin and end."""
+    values, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for c in column.chunks:
+        if not len(c):
+            continue
+        cut = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+        values.append(np.frombuffer(c.buffers()[2], np.uint8)[cut[0] : cut[-1]].view("<i8") if cut[-1] > cut[0] else values[0])
+        sizes.append(np.diff(cut) // 8)
+    return np.concatenate(values), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
 class Found:
     """Collects rows of AROUND."""
 
@@ -93,7 +111,7 @@ class Found:
         """One row for each key, in order; place: which of them each `at` belongs to."""
         order = np.argsort(place, kind="stable")
         n = np.bincount(place, minlength=len(key))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(at[order], pa.int64()))
+        lists = packed(at[order], np.concatenate([[0], np.cumsum(n)]))
         k, zero = len(key), np.zeros(len(key), np.int32)
         cols = [np.full(k, kind, np.int32), np.full(k, self.block, np.int64), n.astype(np.int64), key.view(np.int64), key2.view(np.int64), zero if before is None else before.astype(np.int32), zero if spread is None else spread.astype(np.int32)]
         self.parts.append(pa.table([*map(pa.array, cols), lists, pa.nulls(k, pa.binary()) if data is None else pa.array(data, pa.binary())], names=[c.split()[0] for c in AROUND.split(", ")]))
@@ -192,7 +210,7 @@ def combine(gram: np.ndarray, left: np.ndarray, spread: np.ndarray, many: np.nda
     return found
 
 
-REMOVED = "block long, at array<long>"
+REMOVED = "block long, at binary"
 
 
 def meet(t: pa.Table, length: int) -> pa.Table:
@@ -203,8 +221,7 @@ def meet(t: pa.Table, length: int) -> pa.Table:
     found = combine(cols[0].view(U64), cols[1], cols[2], cols[3] > 1, np.frombuffer(data.buffers()[2], np.uint8)[first:last], length)
     edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     (row, o1), (_, o2) = np.nonzero(edge == 1), np.nonzero(edge == -1)  # runs of offsets o1 .. o2 - 1
-    at = t["at"].combine_chunks() if t["at"].num_chunks != 1 else t["at"].chunk(0)
-    begin, values = at.offsets.to_numpy(), at.values.to_numpy(zero_copy_only=False)
+    values, begin = unpacked(t["at"])
     n = np.diff(begin)[row]
     place = values[np.repeat(begin[row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
     start, end = place - np.repeat(o2 - 1, n), place - np.repeat(o1, n) + length
@@ -212,16 +229,17 @@ def meet(t: pa.Table, length: int) -> pa.Table:
     order = np.lexsort((start, block))
     block, both = block[order], np.stack([start[order], end[order]], 1).reshape(-1)
     cut = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(2 * cut, len(both)), pa.int32()), pa.array(both, pa.int64()))
+    lists = packed(both, np.append(2 * cut, len(both)))
     release()
     return pa.table({"block": pa.array(block[cut], pa.int64()), "at": lists})
 
 
-def without(t: pa.Table, back: pa.Table) -> pa.Table:
-    """A block's texts without the stretches in back (at: starts and ends of the block's bytes)."""
+def without(t: pa.Table, back: pa.Table, length: int) -> pa.Table:
+    """A block's texts without the stretches in back (at: starts and ends of the block's bytes, or with hot starts alone)."""
     t = t.sort_by("rid")
-    at = np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy(zero_copy_only=False) for c in back["at"].chunks)])
-    start, end = at[::2], at[1::2]
+    hot = back["hot"].to_numpy(zero_copy_only=False).astype(bool) if len(back) else np.zeros(0, bool)
+    at, one = (unpacked(back.filter(pa.array(x))["at"])[0] for x in (~hot, hot))
+    start, end = np.concatenate([at[::2], one]), np.concatenate([at[1::2], one + length])
     order = np.argsort(start, kind="stable")
     start, end = start[order], np.maximum.accumulate(end[order]) if len(end) else end
     text, kept, sizes, removed, spans, base = t["text"], [], [], [], [], 0
@@ -264,11 +282,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, block_bytes: int = BLOCK_
     # written, as two ways go on from here
     around = materialize(texts.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(lambda t, back: surroundings(t, back, length), AROUND), "suffix-around")
     records = around.where(F.col("kind") == RECORD).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n))).repartition(min(n, R.PARTITIONS), "bucket")
-    removed = records.groupBy("bucket").applyInArrow(lambda t: meet(t, length), REMOVED)
+    removed = records.groupBy("bucket").applyInArrow(lambda t: meet(t, length), REMOVED).withColumn("hot", F.lit(False))
     if not (hot := around.where(F.col("kind") == WINDOW).select("block", "n", "key", "key2", "at")).isEmpty():
-        places = F.flatten(F.transform("at", lambda p: F.array(p, p + F.lit(length))))
-        removed = removed.union(R.repeated(hot, n, "at").select("block", places.alias("at")))
-    out = texts.groupBy("block").cogroup(removed.groupBy("block")).applyInArrow(without, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        removed = removed.union(R.repeated(hot, n, "at").select("block", "at", F.lit(True)))
+    out = texts.groupBy("block").cogroup(removed.groupBy("block")).applyInArrow(lambda t, back: without(t, back, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out
 
 
