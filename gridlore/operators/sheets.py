@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridlore.functions import text as T
 from gridlore.functions.vocabulary import TERMS
+from gridlore.sources.workbooks import setting
 
 SHEET = ["workbook", "sheet"]
 HEADER_ROWS, LOOKAHEAD = 30, 3
@@ -171,8 +172,9 @@ def header_at(cells: DataFrame, header_row: int) -> DataFrame:
     return cells.where(F.col("row_idx") > header_row).join(F.broadcast(labels), [*SHEET, "col_idx"])
 
 
-def samples(cells: DataFrame, n: int = 5) -> DataFrame:
-    """SRC9 and WN9: the first n present values of each column."""
+def samples(cells: DataFrame, n: int | None = None) -> DataFrame:
+    """SRC9 and WN9: the first n present values of each column; by default as many as the session's setting says."""
+    n = int(setting(cells.sparkSession, "max_sample_values")) if n is None else n
     v = cells.withColumn("value", T.clean_string(F.col("value"))).where("value IS NOT NULL AND value <> ''")
     rank = F.row_number().over(Window.partitionBy(*SHEET, "col_idx").orderBy("row_idx"))
     picked = v.withColumn("rank", rank).where(F.col("rank") <= n)

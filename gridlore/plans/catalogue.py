@@ -388,7 +388,11 @@ def _(spark, sf_dir):
 _LABELS = ["Other Ref Nr 7", "Location ID", "Storeys", "Bldg Value", "Occupancy"]
 _BOOKS = {"dressed": S.cells("customer", CUSTOMER, "c_custkey", _LABELS), "plain": S.cells("customer", CUSTOMER, "c_custkey")}
 _NO = "NULL::DOUBLE"
-_MAPPED = f"""(WITH ev AS ({" UNION ALL ".join(f"SELECT '{b}' AS workbook, * FROM ({_evidence_sql(c)})" for b, c in _BOOKS.items())}), h AS (SELECT DISTINCT workbook, col_pos, col, {S.header('col')} AS norm FROM ev),
+
+
+def _mapped_sql(books: dict[str, str]) -> str:
+    """All candidates of the columns of workbooks (name -> cells), merged and scored."""
+    return f"""(WITH ev AS ({" UNION ALL ".join(f"SELECT '{b}' AS workbook, * FROM ({_evidence_sql(c)})" for b, c in books.items())}), h AS (SELECT DISTINCT workbook, col_pos, col, {S.header('col')} AS norm FROM ev),
   f AS (SELECT * FROM (SELECT h.*, v.norm AS text, v.target, {S.indel('h.norm', 'v.norm')} AS sim, row_number() OVER (PARTITION BY workbook, col_pos ORDER BY {S.indel('h.norm', 'v.norm')} DESC, v.pos) AS r FROM h, {_VOCAB} v WHERE h.norm <> '') WHERE r = 1 AND sim >= 0.75),
   c AS (SELECT workbook, col_pos, e.target, 0 AS seq, 'exact' AS method, 6 AS pr, 1.0::DOUBLE AS det, {_NO} AS fuzzy, {_NO} AS value, '{matching.SAID["exact"]}' AS reasons FROM h JOIN {_EXACT} e ON h.norm = e.norm
     UNION ALL SELECT workbook, col_pos, a.target, 1, 'domain_alias', 6, 0.97::DOUBLE, NULL, NULL, '{matching.SAID["domain_alias"]}' FROM h JOIN (SELECT DISTINCT {_KEY} AS norm, target FROM {_ALIASES} WHERE source = 2) a ON {S.collapse("regexp_replace(lower(h.norm), '[^a-z0-9]', ' ', 'g')")} = a.norm
@@ -404,7 +408,7 @@ def books(spark, sf_dir: str) -> DataFrame:
     return dressed.unionByName(column_cells(spark, sf_dir, "customer", CUSTOMER, "c_custkey").withColumn("workbook", F.lit("plain")))
 
 
-@query("op1_op2_op5_jn8_fl10_candidates", f"SELECT workbook, col_pos, target, method, coalesce(reasons, '') AS reasons, round(score, 4) AS score FROM {_MAPPED}")
+@query("op1_op2_op5_jn8_fl10_candidates", f"SELECT workbook, col_pos, target, method, coalesce(reasons, '') AS reasons, round(score, 4) AS score FROM {_mapped_sql(_BOOKS)}")
 def _(spark, sf_dir):
     keys = ["workbook", "col_pos"]
     cells = books(spark, sf_dir)
@@ -416,19 +420,21 @@ def _(spark, sf_dir):
     return found.select(*keys, "target", "method", F.array_join("reasons", "; ").alias("reasons"), F.round("score", 4).alias("score"))
 
 
-_RESULT = f"""(WITH m AS {_MAPPED}, best AS (SELECT workbook, col_pos, col, max(score) AS best_score FROM m GROUP BY ALL), book AS (SELECT workbook, max(score) AS book_score FROM m GROUP BY workbook)
+def _result_sql(books: dict[str, str]) -> str:
+    """The mapping where no two columns want one target and no column two, so that what is eligible is assigned."""
+    return f"""(WITH m AS {_mapped_sql(books)}, best AS (SELECT workbook, col_pos, col, max(score) AS best_score FROM m GROUP BY ALL), book AS (SELECT workbook, max(score) AS book_score FROM m GROUP BY workbook)
   SELECT b.workbook, b.col_pos, b.col, m.target, CASE WHEN book_score < 0.5 THEN 0.0 ELSE best_score END AS score, CASE WHEN m.target IS NULL THEN 'unresolved' ELSE 'global_assignment' END AS method, m.target IS NULL AS human_review_required,
     CASE WHEN m.target IS NOT NULL THEN m.reasons WHEN book_score < 0.5 THEN '{matching.SAID["low"].format(0.5)}' ELSE '{matching.SAID["taken"].format(0.5)}' END AS reason
   FROM best b JOIN book USING (workbook) LEFT JOIN m ON m.workbook = b.workbook AND m.col_pos = b.col_pos AND m.score >= 0.5)"""
 
 
-@query("op6_op8_map_columns", f"SELECT * REPLACE (round(score, 5) AS score) FROM {_RESULT}")
+@query("op6_op8_map_columns", f"SELECT * REPLACE (round(score, 5) AS score) FROM {_result_sql(_BOOKS)}")
 def _(spark, sf_dir):
     return rounded(matching.map_columns(books(spark, sf_dir), group=["workbook"]), 5)
 
 
 @query("op6_op8_mapping_report", f"""SELECT workbook, coalesce(string_agg(CASE WHEN target IS NULL THEN col END, '|' ORDER BY col_pos), '') AS unresolved, coalesce(string_agg(target, '|' ORDER BY col_pos), '') AS assigned,
-  coalesce(string_agg(CASE WHEN target IS NULL THEN 'odd ' || col END, '|' ORDER BY col_pos), '') AS warnings FROM {_RESULT} GROUP BY workbook""")
+  coalesce(string_agg(CASE WHEN target IS NULL THEN 'odd ' || col END, '|' ORDER BY col_pos), '') AS warnings FROM {_result_sql(_BOOKS)} GROUP BY workbook""")
 def _(spark, sf_dir):
     m = matching.map_columns(books(spark, sf_dir), group=["workbook"])
     odd = m.where("target IS NULL").select("workbook", "col_pos", F.concat(F.lit("odd "), "col").alias("warning"))
@@ -436,10 +442,13 @@ def _(spark, sf_dir):
     return r.select("workbook", F.array_join("unresolved_columns", "|").alias("unresolved"), F.array_join("assigned_targets", "|").alias("assigned"), F.array_join("warnings", "|").alias("warnings"))
 
 
-@query("map_columns_op1_op6")
+_TABLES = {"lineitem": S.cells("lineitem", LINEITEM, "l_orderkey"), "customer": S.cells("customer", CUSTOMER, "c_custkey"), "part": S.cells("part", PART, "p_partkey")}
+
+
+@query("map_columns_op1_op6", f"SELECT * REPLACE (round(score, 5) AS score) FROM {_result_sql(_TABLES)}")
 def _(spark, sf_dir):
     parts = [column_cells(spark, sf_dir, t, cols, key).withColumn("workbook", F.lit(t)) for t, cols, key in (("lineitem", LINEITEM, "l_orderkey"), ("customer", CUSTOMER, "c_custkey"), ("part", PART, "p_partkey"))]
-    return rounded(matching.map_columns(parts[0].unionByName(parts[1]).unionByName(parts[2]), group=["workbook"]))
+    return rounded(matching.map_columns(parts[0].unionByName(parts[1]).unionByName(parts[2]), group=["workbook"]), 5)
 
 
 # tables as sheets: a title row for two of them, a header row, then the rows in order
