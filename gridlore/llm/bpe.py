@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
 Texts are cut into pre-tokens. A block of documents keeps, for each document, its pre-tokens in order as numbers of
-the block's own word list, and sends each of its distinct words as one row to the word's bucket. A bucket encodes each
-distinct word once, whichever blocks sent it, and returns the ids to these blocks, which put them in place by
-position. Decoding joins the table of the ids' bytes. A word in all documents is one row a block.
+the block's own word list, and sends its distinct words, packed by hash, to buckets. A bucket encodes each distinct word
+once, whichever blocks sent it, and returns the ids to these blocks, which put them in place by position. Decoding
+joins the table of the ids' bytes. A block sends GROUPS messages at most, and of a corpus of more buckets only so many
+blocks share them (some 3 GB of text), so work is linear in the blocks and a word of all documents is no hot key.
 """
 
 from __future__ import annotations
@@ -71,11 +72,11 @@ def token_table(ranks: dict[bytes, int]) -> list[bytes]:
     return table
 
 
-#: Rows of a block (word null): its documents' ids, numbers of tokens, and words as numbers, packed. Rows of a word: its number
-#: in the block. No lists: Spark adds up a list column's rows for each row that it hands to Python.
-PARTS = "to long, block long, number int, word binary, data binary"
-#: Blocks that share a word's bucket: a word of all documents is encoded once for so many, and no bucket is larger for it.
-SHARED = 4096
+#: Rows of a block (number null): its documents' ids, numbers of tokens, and words as numbers, packed. Rows of words: those of a
+#: hash group (number), packed. No lists: Spark adds up a list column's rows for each row that it hands to Python.
+PARTS = "to long, block long, number int, data binary"
+#: Hash groups of a block's words.
+GROUPS = 192
 
 _CODERS: dict[int, tuple[tiktoken.Encoding, list[bytes]]] = {}
 
@@ -100,6 +101,8 @@ def encode(docs: DataFrame, ranks_path: str = public_tokenizers.path(VOCABULARY)
     shared = spark.sparkContext.broadcast((ranks, newer_letters(ranks), hash(ranks_path)))
     _, n_bytes = corpus_size(docs)
     n_buckets = max(1, -(-n_bytes // (2 * block_bytes)))
+    groups = min(n_buckets, GROUPS)
+    slices = -(-n_buckets // groups)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, part, seq = Splitter(shared.value[1]), TaskContext.get().partitionId(), 0
@@ -108,13 +111,21 @@ def encode(docs: DataFrame, ranks_path: str = public_tokenizers.path(VOCABULARY)
 
         def flush() -> Iterator[pa.RecordBatch]:
             block = (part << 24) + seq
-            data = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
-            known = [d is not None for d in doc_ids]
-            yield as_batch([block], [block], None, None, [joined(np.array([d or 0 for d in doc_ids], "<i8"), np.array(known, "u1"), np.array(tokens, "<i8"), np.frombuffer(squeeze(data), "u1"))])
-            if words:
-                raw = [w.encode() for w in words]
-                to = [-1 - xxhash.xxh64_intdigest(r, block // SHARED) % n_buckets for r in raw]
-                yield as_batch(to, [block] * len(raw), range(len(raw)), raw, None)
+            raw = [w.encode() for w in words]
+            group = np.array([xxhash.xxh64_intdigest(r) % groups for r in raw], np.int64)
+            order = np.argsort(group, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order))
+            data = place[np.concatenate(numbers)] if numbers else np.zeros(0, np.uint32)
+            known = np.array([d is not None for d in doc_ids], "u1")
+            yield as_batch([block], [block], [None], [joined(np.array([d or 0 for d in doc_ids], "<i8"), known, np.array(tokens, "<i8"), np.frombuffer(squeeze(data), "u1"))])
+            own, cut = np.unique(group[order], return_index=True)
+            to, sent = [], []
+            for g, i, z in zip(own.tolist(), cut.tolist(), [*cut[1:].tolist(), len(order)]):
+                some = [raw[k] for k in order[i:z].tolist()]
+                to.append(-1 - (block % slices * groups + g))
+                sent.append(joined(np.array([len(r) for r in some], "<u4"), np.frombuffer(b"".join(some), "u1")))
+            yield as_batch(to, [block] * len(to), own.tolist(), sent)
 
         for b in batches:
             for doc_id, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
@@ -132,25 +143,32 @@ def encode(docs: DataFrame, ranks_path: str = public_tokenizers.path(VOCABULARY)
         release()
 
     def encode_words(t: pa.Table) -> pa.Table:
-        """Of a bucket: each distinct word encoded once, a row for each block that sent it."""
-        if t["to"][0].as_py() >= 0:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())], names=["to", "number", "ids"])
-        enc, _ = coder(shared)
-        word = t["word"].combine_chunks().dictionary_encode()
-        word = word.combine_chunks() if isinstance(word, pa.ChunkedArray) else word
-        ids = pa.array([np.array(enc.encode_ordinary(w.decode()), "<u4").tobytes() for w in word.dictionary.to_pylist()], pa.binary())
-        return pa.table([t["block"], t["number"], ids.take(word.indices)], names=["to", "number", "ids"])
+        """Of a bucket: each distinct word encoded once, and the ids for each block that sent it."""
+        out = []
+        if t["to"][0].as_py() < 0:
+            enc, _ = coder(shared)
+            sizes, raw = zip(*(parted(d.as_py(), "<u4", "u1") for d in t["data"]))
+            rows = np.cumsum([0, *map(len, sizes)])
+            cut = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+            word = pa.Array.from_buffers(pa.large_binary(), int(rows[-1]), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(np.concatenate(raw).tobytes())]).dictionary_encode()
+            ids = [enc.encode_ordinary(w.decode()) for w in word.dictionary.to_pylist()]
+            n = np.array([len(x) for x in ids], np.int64)
+            flat, start, which = np.fromiter((x for own in ids for x in own), np.uint32, int(n.sum())), np.cumsum(n) - n, word.indices.to_numpy()
+            for block, group, i, z in zip(t["block"].to_pylist(), t["number"].to_pylist(), rows.tolist(), rows[1:].tolist()):
+                m = n[own := which[i:z]]
+                here = flat[np.repeat(start[own] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
+                out.append((block, group, joined(np.frombuffer(squeeze(m.astype(np.uint32)), "u1"), np.frombuffer(squeeze(here), "u1"))))
+            release()
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["to", "number", "ids"])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         cols: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids": [], "decoded": []}
         if len(left) and left["to"][0].as_py() >= 0:
             _, table = coder(shared)
-            order = np.argsort(right["number"].to_numpy())
-            coded = right["ids"].combine_chunks().take(pa.array(order)) if len(right) else pa.array([], pa.binary())
-            coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-            raw = coded.to_pylist()
-            n = np.array([len(r) for r in raw], np.int64) // 4
-            ids, start = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(n) - n
+            got = sorted(zip(right["number"].to_pylist(), right["ids"].to_pylist()))
+            n, ids = zip(*([expand(x.tobytes()) for x in parted(d, "u1", "u1")] for _, d in got)) if got else ([], [])
+            n, ids = np.concatenate([np.zeros(0, np.int64), *n]).astype(np.int64), np.concatenate([np.zeros(0, np.uint32), *ids])
+            start = np.cumsum(n) - n
             doc_ids, known, tokens, data = parted(left["data"][0].as_py(), "<i8", "u1", "<i8", "u1")
             doc_ids = [d if k else None for d, k in zip(doc_ids.tolist(), known.tolist())]
             numbers, at = expand(data.tobytes()), 0
@@ -172,9 +190,8 @@ def encode(docs: DataFrame, ranks_path: str = public_tokenizers.path(VOCABULARY)
 
 
 def as_batch(*columns) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    n = len(columns[0])
-    return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in PARTS.split(", ")])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in PARTS.split(", ")])
 
 
 def squeeze(x: np.ndarray) -> bytes:

@@ -247,11 +247,13 @@ def test_ann_recall_on_the_tables(spark):
     assert recall(got, ok, [i for i in ok if i % 20 == 0]) >= 0.9
 
 
-def test_bpe(docs):
+@pytest.mark.parametrize("block,groups", [(20_000, 192), (3000, 2)])
+def test_bpe(docs, monkeypatch, block, groups):
+    monkeypatch.setattr(bpe, "GROUPS", groups)
     ranks = bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))
     enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = [(d[0], np.array(enc.encode_ordinary(d[1] or ""), "<u4").tobytes(), (d[1] or "").encode()) for d in DOCS]
-    got = bpe.encode(docs, block_bytes=20_000).collect()
+    got = bpe.encode(docs, block_bytes=block).collect()
     assert key((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in got) == key(want)
     assert all(r["n_tokens"] * 4 == len(r["ids"]) for r in got)
 
