@@ -22,6 +22,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes or words that are hashed at once. Words of more bytes than LONG_WORD are hashed one by one.
 SEGMENT, LONG_WORD = 1 << 20, 1024
 
+#: Parts that the rows of one key are dealt to.
+SALTS = 16
+
 #: Bytes of text that one group of documents (a block) holds on average.
 BLOCK_BYTES = 8 << 20
 
@@ -89,6 +92,14 @@ def blocked(docs: DataFrame, n_bytes: int, *keep: str, text: str = "text", block
     return rows.repartition(n_blocks, "block"), n_blocks
 
 
+def rejoin(many: DataFrame, few: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """many joined with few, which has a row a key: a key's rows are dealt to SALTS parts by a hash of `by`, and few has its
+    row in each, so that no key makes a task large."""
+    spread = few.withColumn("rejoin_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = many.withColumn("rejoin_part", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return dealt.join(spread, [*keys, "rejoin_part"], how).drop("rejoin_part")
+
+
 def release() -> None:
     """Gives memory that Arrow and the C library hold for later use back to the system: Python workers outlive tasks."""
     pa.default_memory_pool().release_unused()

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import discard, materialize
+from gridlore.llm.common import discard, materialize, rejoin
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (least node reachable) for every node of edges (a, b).
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until nothing changes: each step gives a node's
-    larger, then smaller neighbours to its least neighbour. Every step is a written table; the number of steps grows
+    larger, then smaller neighbours to its least neighbour. A hub's neighbours are dealt to several tasks. Every step is a written table; the number of steps grows
     with the logarithm of the component size.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
@@ -24,11 +24,11 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = rejoin(both, least, ["a"], "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large, "cc")
         discard(e)
         m = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(m.select("a", F.col("m").alias("b")))
+        small = rejoin(large, m, ["a"], "b").select(F.col("b").alias("a"), F.col("m").alias("b")).union(m.select("a", F.col("m").alias("b")))
         e = materialize(small.where("a <> b").distinct(), "cc")
         discard(large)
         after = state(e)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.llm import repeats as R
-from gridlore.llm.common import BLOCK_BYTES, SEGMENT, Poly, ascii_lower, corpus_size, discard, hashed_words, joined, keyed, materialize, mix, parted, release, text_chunks
+from gridlore.llm.common import BLOCK_BYTES, SEGMENT, Poly, ascii_lower, corpus_size, discard, hashed_words, joined, keyed, materialize, mix, parted, rejoin, release, text_chunks
 from gridlore.llm.graph import components
 
 #: Slots of the frequency sketch (a byte each is broadcast, whatever the corpus' size); partial sums of a slice of it.
@@ -402,11 +402,11 @@ def families(edges: DataFrame, classes: DataFrame) -> DataFrame:
     family = components(edges)
     rows = family.join(classes, family.node == classes.cid).select("rid", "cid", "n", "weight", F.col("root").alias("family"))
     members = rows.groupBy("family").agg((F.count(F.lit(1)) <= BLOCK).alias("alone"))
-    rows = rows.join(members, "family").withColumn("band", F.when(F.col("alone"), 0).otherwise(F.floor(3 * F.log2("n"))).cast("long"))
+    rows = rejoin(rows, members, ["family"], "cid").withColumn("band", F.when(F.col("alone"), 0).otherwise(F.floor(3 * F.log2("n"))).cast("long"))
     rows = materialize(rows, "jaccard-families")
     blocks = rows.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
     block = F.col("band") * F.lit(1 << 40) + F.pmod(F.xxhash64("cid"), F.col("blocks"))
-    found = materialize(rows.join(blocks, ["family", "band"]).select("rid", "cid", "weight", "family", block.alias("block"), "alone"), "jaccard-needs")
+    found = materialize(rejoin(rows, blocks, ["family", "band"], "cid").select("rid", "cid", "weight", "family", block.alias("block"), "alone"), "jaccard-needs")
     discard(rows, family)
     return found
 
@@ -475,10 +475,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block_byt
     joined = materialize(joined, "jaccard-roots")
     discard(roots, classes)
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    # a large component's row meets its classes in 16 parts, a large class' row its documents
-    salted = lambda df: df.select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    ids = joined.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(16)).cast("int")).join(salted(ids), ["root", "salt"]).drop("salt")
-    out = known.drop("bits").withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(16)).cast("int")).join(salted(ids.select("sid", "other", "n", "cid", "component_id", "n_links")), ["sid", "other", "n", "salt"], "left")
+    # a large component has many classes, a large class many documents
+    ids = rejoin(joined, ids, ["root"], "cid").select("sid", "other", "n", "cid", "component_id", "n_links")
+    out = rejoin(known.drop("bits"), ids, ["sid", "other", "n"], "rid", "left")
     lone = F.col("n") == 0
     return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(~lone, F.col("cid")).alias("class_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(lone, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"))
 
