@@ -408,7 +408,7 @@ def books(spark, sf_dir: str) -> DataFrame:
     return dressed.unionByName(column_cells(spark, sf_dir, "customer", CUSTOMER, "c_custkey").withColumn("workbook", F.lit("plain")))
 
 
-@query("op1_op2_op5_jn8_fl10_candidates", f"SELECT workbook, col_pos, target, method, coalesce(reasons, '') AS reasons, round(score, 4) AS score FROM {_mapped_sql(_BOOKS)}")
+@query("jn8_fl10_op1_op2_op5_candidates", f"SELECT workbook, col_pos, target, method, coalesce(reasons, '') AS reasons, round(score, 4) AS score FROM {_mapped_sql(_BOOKS)}")
 def _(spark, sf_dir):
     keys = ["workbook", "col_pos"]
     cells = books(spark, sf_dir)
@@ -428,12 +428,12 @@ def _result_sql(books: dict[str, str]) -> str:
   FROM best b JOIN book USING (workbook) LEFT JOIN m ON m.workbook = b.workbook AND m.col_pos = b.col_pos AND m.score >= 0.5)"""
 
 
-@query("op6_op8_map_columns", f"SELECT * REPLACE (round(score, 5) AS score) FROM {_result_sql(_BOOKS)}")
+@query("map_columns_op6_op8", f"SELECT * REPLACE (round(score, 5) AS score) FROM {_result_sql(_BOOKS)}")
 def _(spark, sf_dir):
     return rounded(matching.map_columns(books(spark, sf_dir), group=["workbook"]), 5)
 
 
-@query("op6_op8_mapping_report", f"""SELECT workbook, coalesce(string_agg(CASE WHEN target IS NULL THEN col END, '|' ORDER BY col_pos), '') AS unresolved, coalesce(string_agg(target, '|' ORDER BY col_pos), '') AS assigned,
+@query("mapping_report_op6_op8", f"""SELECT workbook, coalesce(string_agg(CASE WHEN target IS NULL THEN col END, '|' ORDER BY col_pos), '') AS unresolved, coalesce(string_agg(target, '|' ORDER BY col_pos), '') AS assigned,
   coalesce(string_agg(CASE WHEN target IS NULL THEN 'odd ' || col END, '|' ORDER BY col_pos), '') AS warnings FROM {_result_sql(_BOOKS)} GROUP BY workbook""")
 def _(spark, sf_dir):
     m = matching.map_columns(books(spark, sf_dir), group=["workbook"])
