@@ -73,7 +73,8 @@ def corpus_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
 
 def keyed(docs: DataFrame, name: str) -> DataFrame:
     """docs with a column `name` (string) that tells its rows apart and is the same each time a row is read: the file and
-    the row's place in it. Where docs isn't read from files, it is written as a numbered table first."""
+    the row's place in it. Where docs isn't read from files, it is written as a numbered table first. Rows that are
+    multiplied after they are read (explode) must be written before, as copies would share a place."""
     try:
         file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
         found = docs.select("*", F.concat(F.hex(F.xxhash64(file)), F.lit(":"), row.cast("string")).alias(name))
