@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlore.llm import ann, bpe, cover, jaccard, mixing, parsing, pii, topk, toxicity, urlfilter
+from gridlore.llm import ann, bpe, cover, dialogue, jaccard, mixing, parsing, pii, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_cover_dedup": cover.op8_cover_dedup,
     "op9_pii": pii.op9_pii,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_conversation_repair": dialogue.op11_conversation_repair,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op6_mix_sources": mixing.ORACLE,
     "op7_url_filter": urlfilter.ORACLE,
     "op8_cover_dedup": cover.ORACLE,
+    "op11_conversation_repair": dialogue.ORACLE,
 }
