@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 import weakref
@@ -71,17 +72,37 @@ def corpus_size(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     return int(n), int(b)
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column(name: str):
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+#: What a plan may do so that each of its rows is a row of a file.
+_ROWS_OF_FILES = {"Project", "Filter", "Relation", "SubqueryAlias"}
+
+
 def keyed(docs: DataFrame, name: str) -> DataFrame:
     """docs with a column `name` (string) that tells its rows apart and is the same each time a row is read: the file and
-    the row's place in it. Where docs isn't read from files, it is written as a numbered table first. Rows that are
-    multiplied after they are read (explode) must be written before, as copies would share a place."""
+    the row's place in it. Where docs isn't read from files row by row (joined, exploded, made), it is written as a
+    numbered table first."""
+    steps = {re.sub(r"^\W+", "", x).split(" ")[0].split("[")[0] for x in docs._jdf.queryExecution().analyzed().treeString().splitlines() if x.strip()}
     try:
-        file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-        found = docs.select("*", F.concat(F.hex(F.xxhash64(file)), F.lit(":"), row.cast("string")).alias(name))
-        found.schema  # noqa: B018  resolves the metadata
-        return found
+        if steps <= _ROWS_OF_FILES:
+            file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+            found = docs.select("*", F.concat(F.hex(F.xxhash64(file)), F.lit(":"), row.cast("string")).alias(name))
+            found.schema  # noqa: B018  resolves the metadata
+            return found
     except AnalysisException:
-        return materialize(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), "rows")
+        pass
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), "rows")
 
 
 def blocked(docs: DataFrame, n_bytes: int, *keep: str, text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
@@ -142,48 +163,72 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Powers:
-    """Powers of one base modulo 2^64 and of its inverse: one table for all hashes of a worker, of SEGMENT entries or little more."""
+#: The modulus of Poly, a Mersenne prime, and how many windows are hashed at once (their arrays stay in the cache).
+PRIME, STRIDE = (1 << 31) - 1, 1 << 16
 
-    BASE = 0x2545F4914F6CDD1D
-    INVERSE = pow(BASE, -1, 1 << 64)
-    table = np.ones((2, 1), U64)
 
-    @classmethod
-    def upto(cls, n: int) -> np.ndarray:
-        if cls.table.shape[1] <= n:
-            x = np.empty((2, max(n + 1, 1 << 16)), U64)
-            x[0], x[1] = cls.BASE, cls.INVERSE
-            x[:, 0] = 1
-            cls.table = np.cumprod(x, axis=1, dtype=U64)
-        return cls.table
+def folded(x: np.ndarray) -> np.ndarray:
+    """A number of the same residue modulo PRIME, for x of 62 bits of at most 33."""
+    return (x & U64(PRIME)) + (x >> U64(31))
 
 
 class Poly:
-    """Polynomial hashes modulo 2^64 of substrings, from prefix sums; equal strings have equal hashes anywhere."""
+    """Hashes of substrings from prefix sums: two polynomials modulo a prime, each with a base and values of its own, drawn at
+    random for each hash. Equal strings have equal hashes anywhere; strings of n values that differ have equal ones for at
+    most n^2 of 2^62 bases (modulo a power of two, strings can be made that collide for all)."""
 
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.table = rng.integers(0, 1 << 64, 256, dtype=U64)
+        self.table = rng.integers(0, PRIME, (2, 256), dtype=U64)
         self.seed = rng.integers(0, 1 << 64, 1, dtype=U64)
+        self.bases = [int(x) for x in rng.integers(1 << 16, PRIME, 2)]
+        self.powers = np.ones((2, 2, 1), np.uint32)
+
+    def upto(self, n: int) -> np.ndarray:
+        """By lane: the powers of its base and of the base's inverse."""
+        if self.powers.shape[2] <= n:
+            size = max(n + 1, 1 << 16)
+            x = np.ones((2, 2, size), U64)
+            for lane, base in enumerate(self.bases):
+                for k, b in enumerate((base, pow(base, -1, PRIME))):
+                    have, step = 1, b  # doubling: the second half is the first times b^have
+                    while have < size:
+                        more = min(have, size - have)
+                        x[lane, k, have : have + more] = x[lane, k, :more] * U64(step) % U64(PRIME)
+                        have, step = have + more, step * step % PRIME
+            self.powers = x.astype(np.uint32)
+        return self.powers
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
-        """values: bytes, or 64-bit hashes."""
+        """values: bytes, or 64-bit hashes; at most 2^21."""
         n = len(values)
-        out = np.zeros(n + 1, U64)
-        np.cumsum((self.table[values] if values.dtype == np.uint8 else mix(values ^ self.seed)) * Powers.upto(n)[0, :n], out=out[1:], dtype=U64)
+        out, powers = np.zeros((2, n + 1), U64), self.upto(n)
+        if values.dtype != np.uint8:
+            values = mix(values ^ self.seed)
+        for lane in (0, 1):
+            x = self.table[lane][values] if values.dtype == np.uint8 else values >> U64(33) if lane else values & U64(PRIME)
+            np.cumsum(folded(x * powers[lane, 0, :n]), out=out[lane, 1:], dtype=U64)
         return out
 
+    def between(self, low: np.ndarray, high: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        """low and high: prefix sums by lane; inverse: the inverse powers by lane."""
+        lanes = []
+        for lane in (0, 1):
+            x = folded(folded(folded(high[lane] - low[lane]) * inverse[lane]))
+            lanes.append(np.where(x >= U64(PRIME), x - U64(PRIME), x))
+        return mix(lanes[0] << U64(32) | lanes[1])
+
     def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((prefix[end] - prefix[start]) * Powers.upto(len(prefix))[1, start])
+        return self.between(prefix[:, start], prefix[:, end], self.upto(prefix.shape[1])[:, 1, start])
 
     def windows(self, values: np.ndarray, w: int) -> np.ndarray:
         """The hash of each run of w values; in segments, so that tables and sums stay small."""
         out = np.empty(max(0, len(values) - w + 1), U64)
-        for i in range(0, len(out), SEGMENT):
-            n = min(SEGMENT, len(out) - i)
+        stride = max(STRIDE, w)
+        for i in range(0, len(out), stride):
+            n = min(stride, len(out) - i)
             p = self.prefix(values[i : i + n + w - 1])
-            out[i : i + n] = mix((p[w:] - p[:n]) * Powers.upto(len(p))[1, :n])
+            out[i : i + n] = self.between(p[:, :n], p[:, w:], self.upto(n)[:, 1, :n])
         return out
 
 

@@ -10,7 +10,7 @@ lengths can't bring the overlap that is needed. Texts with equal sets are one cl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.llm import repeats as R
-from gridlore.llm.common import BLOCK_BYTES, SEGMENT, Poly, ascii_lower, corpus_size, discard, hashed_words, joined, keyed, materialize, mix, parted, rejoin, release, text_chunks
+from gridlore.llm.common import BLOCK_BYTES, SEGMENT, Poly, ascii_lower, column, corpus_size, discard, free, hashed_words, joined, keyed, materialize, mix, parted, rejoin, release, text_chunks
 from gridlore.llm.graph import components
 
 #: Slots of the frequency sketch (a byte each is broadcast, whatever the corpus' size); partial sums of a slice of it.
@@ -84,11 +84,6 @@ def needed(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def rowed(docs: DataFrame) -> DataFrame:
-    """docs with a rid, its own or that of its rows."""
-    return docs if "rid" in docs.columns else keyed(docs, "rid")
-
-
 FIRST = "rid string, doc_id long, n long, sid long, other long, bits array<long>, slice int, counts binary"
 
 
@@ -111,7 +106,7 @@ def first_scan(docs: DataFrame, size: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.string()), none, none, none, none, pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array(counts, pa.binary())], names)
         release()
 
-    rows = rowed(docs).select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(scan, FIRST)
 
 
@@ -298,34 +293,44 @@ class Runs:
                     self.keep(1, np.full(k, sid[a]), sid[a : a + k])
 
 
-def candidates(docs: DataFrame, sketch: np.ndarray, n_bytes: int, size: int, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Pairs of set ids that share a prefix shingle; those of large runs as stars, which stand for all pairs of the run.
+#: From the frequency levels and the percentage of a join, what gives the tokens of a set; sets that can be linked share one.
+Tokens = Callable[[np.ndarray, int], Callable[[np.ndarray], np.ndarray]]
+
+
+def rarest(sketch: np.ndarray, percent: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Tokens of a set: its rarest shingles, as many as must hold one of any set that is linked with it."""
+    return lambda h: mix(ordered(h, sketch)[: prefix_length(len(h), percent)])
+
+
+def candidates(docs: DataFrame, sketch: np.ndarray, n_bytes: int, size: int, percent: int, block_bytes: int = BLOCK_BYTES, tokens: Tokens = rarest) -> DataFrame:
+    """Pairs of set ids that share a token; those of large runs as stars, which stand for all pairs of the run.
 
-    A row is a shingle and a set id; equal sets send theirs once a task. Rows are dealt by shingle and sorted, and a run
-    goes through its task as a stream."""
+    A row is a token and a set id; equal sets send theirs once a task. Rows are dealt by token and sorted, and a run goes
+    through its task as a stream."""
     shared, few = docs.sparkSession.sparkContext.broadcast(sketch), FEW
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        of = tokens(shared.value, percent)
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            tokens, sids, sizes = [np.zeros(0, U64)], [], []
+            found, sids, sizes = [np.zeros(0, U64)], [], []
 
             def out():
-                n = [len(x) for x in tokens[1:]]
-                cols = [mix(np.concatenate(tokens)).view(np.int64), np.repeat(np.array(sizes, np.int64), n), np.repeat(np.array(sids, np.int64), n)]
+                n = [len(x) for x in found[1:]]
+                cols = [np.concatenate(found).view(np.int64), np.repeat(np.array(sizes, np.int64), n), np.repeat(np.array(sids, np.int64), n)]
                 return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["token", "n", "sid"])
 
             held = 0
             for h in shingles(b.column("text"), size):
-                sid = set_id(h)[0]
+                sid = set_id(h)
                 if len(h) and sid not in seen:
                     seen.add(sid)
-                    tokens.append(ordered(h, shared.value)[: prefix_length(len(h), percent)])
-                    sids.append(sid), sizes.append(len(h))
-                    held += len(tokens[-1])
+                    found.append(of(h))
+                    sids.append(sid[0]), sizes.append(len(h))
+                    held += len(found[-1])
                     if held > SEGMENT // 4:
                         yield out()
-                        tokens, sids, sizes, held = tokens[:1], [], [], 0
+                        found, sids, sizes, held = found[:1], [], [], 0
             if len(seen) > SEGMENT:
                 seen.clear()
             yield out()
@@ -416,7 +421,7 @@ def sets_of(docs: DataFrame, needs: DataFrame, sketch: np.ndarray, size: int) ->
     map lets few others through. Of more rows than it is made for, the texts are joined."""
     spark, many = docs.sparkSession, needs.count()
     slots = 1 << max(16, (16 * many - 1).bit_length()) if many else 1 << 16
-    rows = rowed(docs).select("rid", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("rid", F.coalesce("text", F.lit("")).alias("text"))
     slot = F.pmod(F.xxhash64("rid"), F.lit(slots)).cast("int")
     wanted = None
     if many <= MAPPED:
@@ -440,23 +445,24 @@ def sets_of(docs: DataFrame, needs: DataFrame, sketch: np.ndarray, size: int) ->
     return rows.withColumn("slot", slot).mapInArrow(build, "rid string, set binary").join(needs, "rid")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block_bytes: int = BLOCK_BYTES, key: str | None = None, tokens: Tokens = rarest) -> DataFrame:
     """rid, doc_id, n_shingles, class_id, component_id, n_links of each row of docs (doc_id, text).
 
     Texts are linked when 100 * intersection >= percent * union of their sets; component_id is the least doc_id reachable,
     class_id tells equal sets, n_links is the number of other rows that the row is linked with, those of equal sets too.
     Texts without words (null, empty) have no shingles and no links, and are their own components. Repeated rows are of
     one class. Null ids are no one's component_id, unless there is no other. Empty table: no rows. rid is that of
-    common.keyed. A text is held whole by one task, at some 15 times its bytes.
+    common.keyed, or the column `key` of docs, a string that tells its rows apart. Other columns aren't read. A text is
+    held whole by one task, at some 15 times its bytes.
     """
-    docs = rowed(docs)
+    docs = keyed(docs.select("doc_id", "text"), "rid") if key is None else docs.select(F.col(key).alias("rid"), "doc_id", "text")
     first = materialize(first_scan(docs, size), "jaccard-sets")
     known = first.where("slice IS NULL").select("rid", "doc_id", "n", "sid", "other", "bits")
     sketch = sketch_of(first)
     classes = known.where("n > 0").groupBy("sid", "other", "n").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.min("bits").alias("bits"), F.count(F.lit(1)).alias("weight"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
     _, n_bytes = corpus_size(docs)
-    found = materialize(candidates(docs.select("text"), sketch, n_bytes, size, percent, block_bytes), "jaccard-candidates")
+    found = materialize(candidates(docs.select("text"), sketch, n_bytes, size, percent, block_bytes, tokens), "jaccard-candidates")
     pairs = possible(found.where("kind = 0").select("a", "b").distinct(), classes, percent)
     side = lambda s: classes.select(F.col("sid").alias(s), F.col("cid").alias(f"{s}_cid"))
     stars = found.where("kind = 1").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a_cid", "b_cid")
@@ -490,11 +496,12 @@ def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, that of the least id (of its rows the first); columns stay. Documents
     without words are no duplicates of each other."""
-    rows = keyed(docs, "dd_rid")
-    found = near_duplicates(rows.select("doc_id", "text", F.col("dd_rid").alias("rid")))
+    key, names = free(docs, "row"), docs.columns
+    rows = keyed(docs, key)
+    found = near_duplicates(rows, key=key)
     group = F.struct(F.when(F.col("n_shingles") == 0, F.col("rid")).alias("own"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("of"))
-    first = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select(F.col("m.rid").alias("dd_rid"))
-    return rows.join(materialize(first, "jaccard-first"), "dd_rid", "left_semi").select(*docs.columns)
+    first = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("m")).select(F.col("m.rid").alias(key))
+    return rows.join(materialize(first, "jaccard-first"), key, "left_semi").select(*[column(c) for c in names])
 
 
 ORACLE = r"""
