@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlore.llm import ann, bpe, cover, dialogue, jaccard, mixing, parsing, pii, ranked, topk, toxicity, urlfilter
+from gridlore.llm import ann, bpe, cover, dialogue, jaccard, minhash, mixing, parsing, pii, ranked, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_conversation_repair": dialogue.op11_conversation_repair,
+    "op12_minhash_dedup": minhash.op12_minhash_dedup,
     "op13_ranked_search": ranked.op13_ranked_search,
 }
 
@@ -27,5 +28,6 @@ ORACLES = {
     "op7_url_filter": urlfilter.ORACLE,
     "op8_cover_dedup": cover.ORACLE,
     "op11_conversation_repair": dialogue.ORACLE,
+    "op12_minhash_dedup": minhash.ORACLE,
     "op13_ranked_search": ranked.ORACLE,
 }
