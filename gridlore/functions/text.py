@@ -66,8 +66,10 @@ def named(norm: Column, pos: Column) -> Column:
 
 
 def clean_string(c: Column) -> Column:
-    """FN8."""
-    return strip(c.cast("string"))
+    """FN8. Text that begins and ends with a plain character, as most does, is passed without a pattern."""
+    t = c.cast("string")
+    bare = F.substring(t, 1, 1).between("!", "~") & F.right(t, F.lit(1)).between("!", "~")
+    return F.when(bare, t).otherwise(strip(t))
 
 
 def stands_for_missing(t: Column) -> Column:

@@ -1,8 +1,10 @@
 """Column profiles: one relation of cells for all columns, one aggregation for all profiles.
 
-Cells are (col_pos, col, row_idx, value) with any further keys in front. Values are first counted by (keys, column,
-value), with partial aggregation before the shuffle, then by their stripped text; patterns, parsing and quantiles see
-each distinct text once, with its count, and counting distinct ones is counting rows.
+Cells are (col_pos, col, row_idx, value) with any further keys in front. Values are counted by (keys, column, stripped
+text), with partial aggregation before the shuffle; patterns and parsing see each distinct text once, with its count, and
+counting distinct ones is counting rows. Everything else is summed by bucket of the number that a text stands for: a
+bucket's sums of powers are taken around its middle, so they lose nothing, and give mean, deviation and skewness of the
+column without a second look; quantiles are found by rank selection over the same buckets (operators.quantiles).
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlore.functions import text as T
+from gridlore.operators import quantiles as Q
+from gridlore.sources.tables import written
 
 
 def to_cells(df: DataFrame, row: Column, columns: list[str] | None = None) -> DataFrame:
@@ -26,33 +30,55 @@ def _weighted(flag: Column) -> Column:
     return F.sum(F.when(flag, F.col("cnt")).otherwise(0))
 
 
-def _share(flag: Column, of: Column) -> Column:
-    return F.coalesce(_weighted(flag) / F.nullif(of, F.lit(0)), F.lit(0.0))
-
-
-def _moments(x: str, mean: str) -> list[Column]:
-    d = F.col(x) - F.col(mean)
-    return [F.sum(F.when(F.col(x).isNotNull(), F.col("cnt") * F.pow(d, F.lit(k)))).alias(f"m{k}") for k in (2, 3)]
-
-
 def value_counts(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"), F.min("row_idx").alias("first_row"))
 
 
 def text_counts(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """*keys, s (stripped text), cnt (cells), forms (distinct values that are not null) of every column."""
+    """*keys, s (stripped text), cnt (cells) of every column."""
+    return cells.groupBy(*keys, T.clean_string(F.col("value")).alias("s")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def form_counts(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """text_counts() with forms, the distinct values of a text before it was stripped."""
     v = cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
-    return v.withColumn("s", T.clean_string(F.col("value"))).groupBy(*keys, "s").agg(F.sum("cnt").alias("cnt"), F.count("value").alias("forms"))
+    return v.groupBy(*keys, T.clean_string(F.col("value")).alias("s")).agg(F.sum("cnt").alias("cnt"), F.count("value").alias("forms"))
+
+
+_SHARES = (0.25, 0.5, 0.75)
+
+
+def _summed(values: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Of values (keys, x, cnt, ...): keys, the sums (partial sums, least or largest ones, by name), numbers (cells that are
+    one), min, max, mean, m2, m3 (central moments, not divided), and x0 to x5 (the quartiles' order statistics)."""
+    x, b = F.col("x"), F.col("bucket")
+    d = x - Q.centre(b)
+    values = written(values.withColumn("bucket", Q.bucket(x)), "profile-texts")  # a row a distinct text, without the text
+    powers = [F.sum(F.col("cnt") * F.pow(d, F.lit(k))).alias(f"s{k}") for k in (1, 2, 3)]
+    v = values.groupBy(*keys, "bucket").agg(F.sum(F.when(x.isNotNull(), F.col("cnt")).otherwise(0)).alias("n"), F.min(x + 0.0).alias("lo"), F.max(x + 0.0).alias("hi"), *powers, *[c.alias(k) for k, c in sums.items()])
+    v = written(Q.with_ranks(v, keys), "profile-buckets")  # texts that are no numbers have the null bucket, and no n
+    own = (F.col("lo") == F.col("hi"))
+    n, s1, s2, s3 = (F.col(c) for c in ("n", "s1", "s2", "s3"))
+    each = v.select(
+        "*", F.when(own, F.col("lo")).otherwise(Q.centre(b) + s1 / F.nullif(n, F.lit(0))).alias("mean_b"), F.when(own, 0.0).otherwise(F.greatest(F.lit(0.0), s2 - s1 * s1 / F.nullif(n, F.lit(0)))).alias("m2_b"),
+        F.when(own, 0.0).otherwise(s3 - 3 * s1 * s2 / F.nullif(n, F.lit(0)) + 2 * F.pow(s1, F.lit(3)) / F.nullif(n * n, F.lit(0))).alias("m3_b"),
+    )
+    each = each.withColumn("mean", F.sum(F.col("mean_b") * n / F.nullif("total", F.lit(0))).over(Window.partitionBy(*keys)))
+    off = F.col("mean_b") - F.col("mean")
+    final = {k: (F.max if k.startswith("max_") else F.sum)(k).alias(k) for k in sums}
+    out = each.groupBy(*keys).agg(
+        F.max("total").alias("numbers"), F.min("lo").alias("min"), F.max("hi").alias("max"), F.max("mean").alias("mean"),
+        F.sum(F.col("m2_b") + n * off * off).alias("m2"), F.sum(F.col("m3_b") + 3 * off * F.col("m2_b") + n * F.pow(off, F.lit(3))).alias("m3"), *final.values(),
+    )
+    return out.join(Q.select(values, v.where("bucket IS NOT NULL"), keys, _SHARES), keys, "left")
 
 
-def _with_mean(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Each text with its column's mean; one row a column is what is joined, and both sides read one exchange."""
-    mean = values.groupBy(*keys).agg((F.sum(F.col("x") * F.col("cnt")) / F.sum(F.when(F.col("x").isNotNull(), F.col("cnt")))).alias("mean"))
-    return values.join(mean, keys)
+def _quartiles() -> list[Column]:
+    return Q.interpolated(F.col("numbers"), _SHARES, lambda k: F.col(f"x{k}"))
 
 
-#: Three quartiles, exact; a column's distinct numbers stand in one buffer.
-_QUARTILES = "percentile(x, array(0.25D, 0.5D, 0.75D), coalesce(if(x is null, 0, cnt), 0))"
+def _part(sum_: str, of: str) -> Column:
+    return F.coalesce(F.col(sum_) / F.nullif(of, F.lit(0)), F.lit(0.0))
 
 
 def profile_columns(cells: DataFrame, keys: tuple[str, ...] = ("col_pos", "col"), detectors: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
@@ -62,22 +88,19 @@ def profile_columns(cells: DataFrame, keys: tuple[str, ...] = ("col_pos", "col")
     keys, detectors = list(keys), T.DETECTORS if detectors is None else detectors
     s = F.col("s")
     v = text_counts(cells, keys).select(*keys, "cnt", T.stands_for_missing(s).alias("missing"), T.number_of(s).alias("x"), *[f(s).alias(f"is_{n}") for n, f in detectors.items()])
-    v = _with_mean(v, keys)
-    here, there = ~F.col("missing"), _weighted(~F.col("missing"))
-    numbers = _weighted(F.col("x").isNotNull())
-    out = v.groupBy(*keys).agg(
-        F.sum("cnt").alias("total_count"), _weighted(F.col("missing")).alias("missing_count"), F.count_if(here).alias("unique_count"),
-        there.alias("present"), numbers.alias("numbers"), _share(F.col("x").isNotNull(), there).alias("numeric_ratio"),
-        F.min("x").alias("min"), F.max("x").alias("max"), F.first("mean").alias("mean"), F.expr(_QUARTILES).alias("q"), *_moments("x", "mean"),
-        *[_share(here & F.col(f"is_{n}"), there).alias(f"{n}_ratio") for n in detectors],
-    )
+    here = ~F.col("missing")
+    out = _summed(v, keys, {
+        "total_count": F.sum("cnt"), "missing_count": _weighted(F.col("missing")), "unique_count": F.count_if(here), "present": _weighted(here),
+        **{f"is_{n}": _weighted(here & F.col(f"is_{n}")) for n in detectors},
+    })
     std = F.when(F.col("numbers") == 1, 0.0).when(F.col("numbers") > 1, F.sqrt(F.col("m2") / (F.col("numbers") - 1)))
-    present = F.col("present") > 0
+    present, (q1, median, q3) = F.col("present") > 0, _quartiles()
+    numeric = _part("numbers", "present")
     return out.select(
         *keys, "total_count", "missing_count", (F.col("missing_count") / F.col("total_count")).alias("missing_ratio"), "unique_count",
-        F.when(present, F.col("unique_count") / F.col("present")).otherwise(0.0).alias("unique_ratio"), "numeric_ratio",
-        F.when(present, 1 - F.col("numeric_ratio")).otherwise(0.0).alias("string_ratio"), "min", "max", "mean",
-        F.col("q")[1].alias("median"), std.alias("std"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), *[f"{n}_ratio" for n in detectors],
+        F.when(present, F.col("unique_count") / F.col("present")).otherwise(0.0).alias("unique_ratio"), numeric.alias("numeric_ratio"),
+        F.when(present, 1 - numeric).otherwise(0.0).alias("string_ratio"), "min", "max", "mean",
+        median.alias("median"), std.alias("std"), q1.alias("q1"), q3.alias("q3"), *[_part(f"is_{n}", "present").alias(f"{n}_ratio") for n in detectors],
     )
 
 
@@ -112,25 +135,21 @@ def posterior_profile(cells: DataFrame, keys: tuple[str, ...] = ("col_pos", "col
     keys = list(keys)
     s = F.col("s")
     number = F.when(s.rlike(T._FLOAT), s.try_cast("double"))
-    v = text_counts(cells, keys).select(*keys, "cnt", "forms", F.length(s).alias("chars"), number.alias("x"), s.rlike(r"^[+-]?\d+$").alias("whole"), *[F.coalesce(f(s), F.lit(False)).alias(f"p_{n}") for n, f in POSTERIOR_PATTERNS.items()])
-    v = _with_mean(v, keys)
-    there, numbers = _weighted(F.col("chars").isNotNull()), _weighted(F.col("x").isNotNull())
-    x = F.col("x")
-    out = v.groupBy(*keys).agg(
-        F.sum("cnt").alias("total_count"), there.alias("present"), numbers.alias("numbers"), F.sum("forms").alias("unique_count"), F.count("chars").alias("distinct_values"),
-        _share(x.isNotNull(), there).alias("numeric_ratio"), _share(x == 0, there).alias("zero_ratio"), _share(x < 0, there).alias("negative_ratio"), _weighted(F.col("whole")).alias("whole"),
-        F.first("mean").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), F.expr(_QUARTILES).alias("q"), *_moments("x", "mean"),
-        (F.sum(F.col("chars") * F.col("cnt")) / F.nullif(there, F.lit(0))).alias("avg_string_length"), F.max("chars").alias("max_string_length"),
-        *[_share(F.col(f"p_{n}"), there).alias(f"p_{n}") for n in POSTERIOR_PATTERNS],
-    )
-    n = F.col("numbers")
+    v = form_counts(cells, keys).select(*keys, "cnt", "forms", F.length(s).alias("chars"), number.alias("x"), s.rlike(r"^[+-]?\d+$").alias("whole"), *[F.coalesce(f(s), F.lit(False)).alias(f"p_{n}") for n, f in POSTERIOR_PATTERNS.items()])
+    there, x = F.col("chars").isNotNull(), F.col("x")
+    out = _summed(v, keys, {
+        "total_count": F.sum("cnt"), "present": _weighted(there), "unique_count": F.sum("forms"), "distinct_values": F.count("chars"), "zeros": _weighted(x == 0), "negatives": _weighted(x < 0), "whole": _weighted(F.col("whole")),
+        "chars": F.sum(F.col("chars") * F.col("cnt")), "max_string_length": F.max("chars"), **{f"p_{n}": _weighted(F.col(f"p_{n}")) for n in POSTERIOR_PATTERNS},
+    })
+    n, numeric, (q1, median, q3) = F.col("numbers"), _part("numbers", "present"), _quartiles()
     skew = F.when((n > 2) & (F.col("m2") > 0), F.sqrt(n * (n - 1)) / (n - 2) * (F.col("m3") / n) / F.pow(F.col("m2") / n, 1.5)).when(n > 2, 0.0)
     dtype = F.when(F.col("present") == 0, "object").when(F.col("whole") == F.col("total_count"), "int64").when(n == F.col("present"), "float64").otherwise("object")
     return out.select(
         *keys, dtype.alias("dtype"), "total_count", (1 - F.col("present") / F.col("total_count")).alias("missing_ratio"), "unique_count",
-        F.coalesce(F.col("unique_count") / F.nullif("present", F.lit(0)), F.lit(0.0)).alias("unique_ratio"), "numeric_ratio", (1 - F.col("numeric_ratio")).alias("string_ratio"),
-        "zero_ratio", "negative_ratio", "mean", F.col("q")[1].alias("median"), F.when(n > 1, F.sqrt(F.col("m2") / (n - 1))).alias("std"), "min", "max",
-        F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), skew.alias("skewness"), "avg_string_length", "max_string_length", "distinct_values", *[f"p_{n}" for n in POSTERIOR_PATTERNS],
+        _part("unique_count", "present").alias("unique_ratio"), numeric.alias("numeric_ratio"), (1 - numeric).alias("string_ratio"),
+        _part("zeros", "present").alias("zero_ratio"), _part("negatives", "present").alias("negative_ratio"), "mean", median.alias("median"), F.when(n > 1, F.sqrt(F.col("m2") / (n - 1))).alias("std"), "min", "max",
+        q1.alias("q1"), q3.alias("q3"), skew.alias("skewness"), (F.col("chars") / F.nullif("present", F.lit(0))).alias("avg_string_length"), "max_string_length", "distinct_values",
+        *[_part(f"p_{n}", "present").alias(f"p_{n}") for n in POSTERIOR_PATTERNS],
     )
 
 

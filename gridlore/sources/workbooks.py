@@ -10,7 +10,6 @@ from __future__ import annotations
 import csv
 import io
 import re
-import tempfile
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
@@ -22,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlore.sources.tables import scratch
+
 SUPPORTED = (".xlsx", ".xls", ".csv")
 CELLS = "workbook string, sheet string, row_idx long, col_idx int, kind string, value string"
 CSV_SHEET = "CSV_Data"
@@ -30,16 +31,6 @@ NA = {"", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#
 _INT, _FLOAT = re.compile(r"[+-]?\d+\Z"), re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\Z")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share; without one, a temporary one where Spark runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="gridlore-")
-    return found.rstrip("/")
-
-
 class FileValidationError(ValueError):
     """A file that can't be loaded, and why."""
 
