@@ -172,6 +172,19 @@ def header_at(cells: DataFrame, header_row: int) -> DataFrame:
     return cells.where(F.col("row_idx") > header_row).join(F.broadcast(labels), [*SHEET, "col_idx"])
 
 
+def header_rows(cells: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SRC8 and FL18 for all sheets at once: (labelled, refused). headers has a header_row for each (workbook, sheet). The
+    cells below it get the label above them, by position, so labels may repeat; blank ones are `Unnamed: <column>`. Sheets
+    whose header_row is null or not a row of theirs are in refused, with the reason; sheets without a header are in neither."""
+    found = headers.select(*SHEET, F.col("header_row").cast("long").alias("header_row"))
+    first = cells.join(found, SHEET).where(F.col("row_idx") == F.col("header_row"))
+    labels = first.select(*SHEET, "header_row", "col_idx", F.coalesce("value", F.concat(F.lit("Unnamed: "), F.col("col_idx").cast("string"))).alias("label"))
+    labelled = cells.join(labels, [*SHEET, "col_idx"]).where(F.col("row_idx") > F.col("header_row")).drop("header_row")
+    lost = found.join(labels.select(*SHEET, "header_row").distinct(), [*SHEET, "header_row"], "left_anti")
+    reason = F.when(F.col("header_row").isNull(), "no header row").when(F.col("header_row") < 0, "header row is negative").otherwise("header row is not in the sheet")
+    return labelled, lost.select(*SHEET, "header_row", reason.alias("reason"))
+
+
 def samples(cells: DataFrame, n: int | None = None) -> DataFrame:
     """SRC9 and WN9: the first n present values of each column; by default as many as the session's setting says."""
     n = int(setting(cells.sparkSession, "max_sample_values")) if n is None else n

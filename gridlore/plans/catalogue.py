@@ -533,6 +533,24 @@ def _(spark, sf_dir):
     return rounded(sheets.sheet_roles(grid(spark, sf_dir)).select("sheet", "role", "reason", "header_role_score"))
 
 
+@query("src8_labelled_rows", f"""WITH g AS (SELECT sheet, row_idx, col_idx, value FROM ({GRID})), h AS (SELECT sheet, best_row FROM {_DETECT})
+  SELECT b.sheet, b.row_idx, b.col_idx, coalesce(a.value, 'Unnamed: ' || a.col_idx) AS label, b.value FROM h JOIN g a ON a.sheet = h.sheet AND a.row_idx = h.best_row JOIN g b ON b.sheet = a.sheet AND b.col_idx = a.col_idx AND b.row_idx > a.row_idx""")
+def _(spark, sf_dir):
+    cells = grid(spark, sf_dir)
+    headers = sheets.detect_headers(cells).withColumn("header_row", F.col("best_row"))
+    return sheets.header_rows(cells, headers)[0].select("sheet", "row_idx", "col_idx", "label", "value")
+
+
+# a row too far, one before the first, and a sheet without one
+@query("fl18_refused_headers", f"""WITH g AS (SELECT sheet, max(row_idx) AS n FROM ({GRID}) GROUP BY sheet), h AS (SELECT sheet, n, CASE sheet WHEN 'region' THEN n + 1 WHEN 'nation' THEN -1 WHEN 'customer' THEN n END AS header_row FROM g)
+  SELECT sheet, header_row, CASE sheet WHEN 'supplier' THEN 'no header row' WHEN 'nation' THEN 'header row is negative' ELSE 'header row is not in the sheet' END AS reason FROM h WHERE sheet <> 'customer'""")
+def _(spark, sf_dir):
+    cells = grid(spark, sf_dir)
+    n = F.max("row_idx")
+    headers = cells.groupBy("workbook", "sheet").agg(F.when(F.col("sheet") == "region", n + 1).when(F.col("sheet") == "nation", -1).when(F.col("sheet") == "customer", n).alias("header_row"))
+    return sheets.header_rows(cells, headers)[1].select("sheet", "header_row", "reason")
+
+
 @query("src9_wn9_samples", f"SELECT sheet, col_idx, string_agg(v, '|' ORDER BY row_idx) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY sheet, col_idx ORDER BY row_idx) AS n FROM (SELECT *, trim(value) AS v FROM ({GRID})) WHERE v <> '') WHERE n <= 5 GROUP BY sheet, col_idx")
 def _(spark, sf_dir):
     return sheets.samples(grid(spark, sf_dir)).select("sheet", "col_idx", F.array_join("samples", "|").alias("samples"))
@@ -626,3 +644,47 @@ def _(spark, sf_dir):
     files = [f for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path").toPandas()["path"]]
     cells, _ = workbooks.load_workbooks(spark, *files)
     return cells.select("row_idx", "col_idx", "kind", "value")
+
+
+# parts with commas, quotes and line ends in a field, as a CSV file that is read in ranges
+_QUOTED = "concat(p_name, ', \"', p_brand, '\"', chr(10), p_type)"
+
+
+@query("src2_csv_ranges", f"""SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_idx, unnest([0, 1, 2]) AS col_idx, unnest(['int', 'str', CASE WHEN p_size % 3 = 0 THEN 'null' ELSE 'int' END]) AS kind,
+  unnest([p_partkey::VARCHAR, {_QUOTED}, CASE WHEN p_size % 3 > 0 THEN p_size::VARCHAR END]) AS value FROM part""")
+def _(spark, sf_dir):
+    path = f"{workbooks.scratch(spark)}/parts-{uuid.uuid4().hex}"
+    parts = read(spark, sf_dir, "part").select("p_partkey", F.expr(_QUOTED.replace("chr(10)", "char(10)")).alias("name"), F.when(F.col("p_size") % 3 > 0, F.col("p_size")).alias("size"))
+    parts.coalesce(1).sortWithinPartitions("p_partkey").write.option("escape", '"').csv(path)
+    files = [f for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path").toPandas()["path"]]
+    cells, _ = workbooks.load_workbooks(spark, *files, range_bytes=1 << 16)
+    return cells.select("row_idx", "col_idx", "kind", "value")
+
+
+# orders as workbooks, one a status, a sheet a priority, written and read by tasks
+_ORDER_ROWS = """SELECT concat('orders-', o_orderstatus, '.xlsx') AS workbook, o_orderpriority AS sheet, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey) - 1 AS row_idx,
+  CAST(o_orderkey AS STRING) AS k, CAST(CAST(o_totalprice AS DECIMAL(14, 2)) AS STRING) AS p, {day} AS d, o_orderkey % 7 = 0 AS odd FROM orders"""
+_ORDER_CELLS = {0: ("'int'", "k"), 1: ("CASE WHEN p LIKE '%.00' THEN 'int' ELSE 'float' END", "CASE WHEN p LIKE '%.00' THEN replace(p, '.00', '') ELSE p END"), 2: ("'ts'", "d"), 3: ("CASE WHEN odd THEN 'null' ELSE 'str' END", "CASE WHEN NOT odd THEN concat('a<b>& ', k) END"), 4: ("'bool'", "'True'")}
+_ORDER_BOOK = " UNION ALL ".join(f"SELECT workbook, sheet, row_idx, {j} AS col_idx, {kind} AS kind, {value} AS value FROM r" for j, (kind, value) in _ORDER_CELLS.items())
+
+
+def _order_books(spark, sf_dir):
+    day = "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss')"
+    cells = run_sql(spark, sf_dir, f"WITH r AS ({_ORDER_ROWS.format(day=day)}) {_ORDER_BOOK}", "orders")
+    path = f"{workbooks.scratch(spark)}/orders-{uuid.uuid4().hex}"
+    workbooks.save_workbooks(cells.withColumn("col_idx", F.col("col_idx").cast("int")), path)
+    files = [f for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path").toPandas()["path"]]
+    return workbooks.load_workbooks(spark, *files)
+
+
+_DUCK_ROWS = _ORDER_ROWS.format(day="strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')").replace("STRING", "VARCHAR")
+
+
+@query("src3_src5_xlsx_round_trip", f"WITH r AS ({_DUCK_ROWS}) {_ORDER_BOOK}")
+def _(spark, sf_dir):
+    return _order_books(spark, sf_dir)[0]
+
+
+@query("src4_src6_sheet_sizes", f"WITH r AS ({_DUCK_ROWS}) SELECT workbook, sheet, max(row_idx) + 1 AS rows, 5 AS columns, false AS is_empty FROM r GROUP BY workbook, sheet")
+def _(spark, sf_dir):
+    return _order_books(spark, sf_dir)[1]

@@ -1,34 +1,31 @@
-"""Workbooks as cells: CSV and XLSX without a header assumed, and the sample workbook's writer.
+"""Workbooks as cells: CSV, XLSX and XLS without a header assumed, and workbooks written from cells.
 
 Cells are (workbook, sheet, row_idx, col_idx, kind, value): kind is null, bool, int, float, ts (a date, as text with its
-time) or str. A file is read by one
-task, as rows have an order only within it; many files are read by many tasks.
+time) or str. Worksheets and byte ranges of CSV files are read by tasks of their own, as streams; the full grid with its
+empty cells is made of the sheets' sizes by Spark.
 """
 
 from __future__ import annotations
 
-import csv
 import io
-import re
-import zipfile
+import json
 from collections.abc import Iterator
-from datetime import datetime, timedelta
+from datetime import datetime
 from pathlib import PurePosixPath
-from xml.etree import ElementTree
-from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlore.sources.tables import scratch
+from gridlore.sources import delimited, ooxml
+from gridlore.sources.datasource import CELLS, READ, batches, can_open, ending, opened, register, reported, sheet_cells, sheet_names
+from gridlore.sources.tables import scratch, written
+
+__all__ = ["CELLS", "SAMPLE", "FileValidationError", "create_sample", "failures", "filled", "load_workbooks", "read_cells", "save_workbooks", "scratch", "setting", "show_summary", "validate_file", "xlsx_bytes"]
 
 SUPPORTED = (".xlsx", ".xls", ".csv")
-CELLS = "workbook string, sheet string, row_idx long, col_idx int, kind string, value string"
-CSV_SHEET = "CSV_Data"
-# CSV fields that are read as empty.
-NA = {"", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"}
-_INT, _FLOAT = re.compile(r"[+-]?\d+\Z"), re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\Z")
+#: Bytes of a range of a CSV file.
+RANGE_BYTES = 64 << 20
 
 
 class FileValidationError(ValueError):
@@ -37,115 +34,129 @@ class FileValidationError(ValueError):
 
 def validate_file(spark: SparkSession, path: str) -> str:
     """SRC1: the path is there, is a file, and has a supported ending; asked of the file system that Spark reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    return _checked(spark, path)[0]
+
+
+def _checked(spark: SparkSession, path: str) -> tuple[str, int]:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
-        raise FileValidationError(f"File does not exist: {path}")
+        raise FileValidationError(f"nothing is at {path}")
     if not fs.getFileStatus(p).isFile():
-        raise FileValidationError(f"Path is not a file: {path}")
-    ending = PurePosixPath(path).suffix.lower()
-    if ending not in SUPPORTED:
-        raise FileValidationError(f"Unsupported file type: {ending or 'none'}; supported are {', '.join(SUPPORTED)}")
-    return path
-
-
-def _kind(text: str) -> str:
-    return "null" if text in NA else "int" if _INT.match(text) else "float" if _FLOAT.match(text) else "bool" if text in ("True", "False", "TRUE", "FALSE", "true", "false") else "str"
-
-
-def _grid(rows: list[list[tuple[str, str | None]]]) -> list[tuple]:
-    width = max(map(len, rows), default=0)
-    return [(i, j, *(r[j] if j < len(r) else ("null", None))) for i, r in enumerate(rows) for j in range(width)]
+        raise FileValidationError(f"{path} is a folder")
+    if ending(path) not in SUPPORTED:
+        raise FileValidationError(f"can't read {path}: its name must end in one of {', '.join(SUPPORTED)}")
+    return path, int(fs.getFileStatus(p).getLen())
+
+
+def _by_content(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """READ of files that only Spark's file systems reach, each as one value."""
+
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                try:
+                    names = sheet_names(path, io.BytesIO(content))
+                except Exception as e:  # noqa: BLE001  whatever a damaged file leads to
+                    yield from batches(reported(path, None, lambda e=e: (_ for _ in ()).throw(e)))
+                    continue
+                for i, name in enumerate(names):
+                    yield from batches(reported(path, name, lambda i=i: sheet_cells(path, io.BytesIO(content), i)))
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(read, READ)
+
+
+def _by_range(spark: SparkSession, files: list[tuple[str, int]], range_bytes: int) -> DataFrame:
+    """READ of CSV files cut into ranges: the ranges' effects, by tasks; in order, their states; then their cells."""
+    cut = spark.createDataFrame([(p, i, a, min(n, a + range_bytes)) for p, n in files for i, a in enumerate(range(0, max(n, 1), range_bytes))], "path string, part long, low long, high long")
+    n = cut.count()
+
+    def look(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for r in b.to_pylist():
+                with opened(r["path"]) as f:
+                    yield pa.RecordBatch.from_pylist([{**r, "effects": json.dumps(delimited.effects(f, r["low"], r["high"]))}])
+
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for r in b.to_pylist():
+
+                def cells(r=r) -> Iterator[ooxml.Cell]:
+                    with opened(r["path"]) as f:
+                        yield from delimited.range_cells(f, r["low"], r["high"], r["state"], r["before"])
+
+                yield from batches(reported(r["path"], delimited.CSV_SHEET, cells))
+
+    seen = cut.repartition(n, "path", "part").mapInArrow(look, "path string, part long, low long, high long, effects string")
+
+    def state(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # a file's ranges follow each other in a task
+        path, now, before = None, delimited.RECORD, 0
+        for b in parts:
+            out = []
+            for r in b.to_pylist():
+                if r["path"] != path:
+                    path, now, before = r["path"], delimited.RECORD, 0
+                out.append({**{c: r[c] for c in ("path", "part", "low", "high")}, "state": now, "before": before})
+                now, more = json.loads(r["effects"])[now]
+                before += more
+            yield pa.RecordBatch.from_pylist(out)
+
+    entered = seen.repartition("path").sortWithinPartitions("path", "part").mapInArrow(state, "path string, part long, low long, high long, state long, before long")
+    return written(entered, "csv-ranges").repartition(n, "path", "part").mapInArrow(read, READ)
+
+
+def read_cells(spark: SparkSession, *paths: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """SRC2, SRC3: READ of the files. Only cells that aren't empty have rows; each sheet has a row without a cell; what can't
+    be read has a row with an error, and what was read before it stays."""
+    found = [_checked(spark, p) for p in paths]
+    register(spark)
+    near = [x for x in found if can_open(x[0])]
+    long = [x for x in near if ending(x[0]) == ".csv" and x[1] > range_bytes]
+    far = [p for p, n in found if (p, n) not in near]
+    parts = [spark.read.format("workbook").option("paths", json.dumps([p for p, n in near if (p, n) not in long])).load()] if len(near) > len(long) else []
+    parts += [_by_range(spark, long, range_bytes)] if long else []
+    parts += [_by_content(spark, far)] if far else []
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def csv_cells(content: bytes) -> list[tuple]:
-    """SRC2: rows in order, shorter ones filled with empty cells, blank lines left out."""
-    rows = [r for r in csv.reader(io.StringIO(content.decode("utf-8-sig"))) if r]
-    return _grid([[(k, None if k == "null" else t) for t in r for k in (_kind(t),)] for r in rows])
+def failures(read: DataFrame) -> DataFrame:
+    """workbook, sheet (null: the file) and error of what couldn't be read."""
+    return read.where("error IS NOT NULL").select("workbook", "sheet", "error")
 
 
-def _column(ref: str) -> int:
-    n = 0
-    for ch in ref:
-        if ch.isalpha():
-            n = 26 * n + ord(ch.upper()) - 64
-    return n - 1
+def sizes(read: DataFrame) -> DataFrame:
+    """workbook, sheet, rows, columns, is_empty of every sheet: its used range from the first cell on."""
+    out = read.groupBy("workbook", "sheet").agg(F.coalesce(F.max("row_idx") + 1, F.lit(0)).alias("rows"), F.coalesce(F.max("col_idx") + 1, F.lit(0)).alias("columns"))
+    return out.withColumn("is_empty", (F.col("rows") == 0) | (F.col("columns") == 0))
 
 
-# Number formats of dates and times that workbooks don't spell out, and day 0.
-DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
-DAY_0 = {False: datetime(1899, 12, 30), True: datetime(1904, 1, 1)}
+def filled(cells: DataFrame, sheets: DataFrame) -> DataFrame:
+    """The sheets' full grids: the cells, and empty ones (kind null) elsewhere."""
+    grid = sheets.where("rows > 0 AND columns > 0").select("workbook", "sheet", "columns", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row_idx"))
+    grid = grid.select("workbook", "sheet", "row_idx", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("col_idx"))
+    out = grid.join(cells, ["workbook", "sheet", "row_idx", "col_idx"], "left")
+    return out.select("workbook", "sheet", "row_idx", "col_idx", F.coalesce("kind", F.lit("null")).alias("kind"), "value")
 
 
-def _date_styles(z: zipfile.ZipFile) -> set[int]:
-    """The cell styles whose number format shows a date or a time."""
-    if "xl/styles.xml" not in z.namelist():
-        return set()
-    tag = lambda e: e.tag.rpartition("}")[2]
-    root, own, out = ElementTree.fromstring(z.read("xl/styles.xml")), set(DATE_FORMATS), set()
-    for f in (e for e in root.iter() if tag(e) == "numFmt"):
-        code = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]|_.', "", f.get("formatCode", ""))  # literals, colours and spacing
-        (own.add if re.search("[dmyhs]", code.lower()) and "general" not in code.lower() else own.discard)(int(f.get("numFmtId")))
-    for xfs in (e for e in root if tag(e) == "cellXfs"):
-        out = {i for i, xf in enumerate(e for e in xfs if tag(e) == "xf") if int(xf.get("numFmtId", 0)) in own}
-    return out
+def load_workbooks(spark: SparkSession, *paths: str, sparse: bool = False, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """SRC4: (cells, sheets) of the files; sheets has name, rows, columns and is_empty. Sparse cells leave out empty ones.
+    What can't be read raises when it is met; read_cells() and failures() give it as rows instead."""
+    raw = read_cells(spark, *paths, range_bytes=range_bytes)
+    fine = lambda test: F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", "workbook", "sheet", "error")).cast("boolean")).otherwise(test)  # noqa: E731  one test, so that none goes before the error's
+    sheets = sizes(raw.where(fine(F.col("sheet").isNotNull())))
+    cells = raw.where(fine(F.col("row_idx").isNotNull() & (F.col("kind") != "null"))).select("workbook", "sheet", "row_idx", "col_idx", "kind", "value")
+    return (cells if sparse else filled(cells, sheets)), sheets
 
 
-def xlsx_cells(content: bytes) -> dict[str, list[tuple]]:
-    """SRC3: every worksheet's used range from A1 on, by its name, in the workbook's order."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        tag = lambda e: e.tag.rpartition("}")[2]
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")):
-                shared.append("".join(t.text or "" for t in si.iter() if tag(t) == "t"))
-        dates, book = _date_styles(z), ElementTree.fromstring(z.read("xl/workbook.xml"))
-        day_0 = DAY_0[any(tag(e) == "workbookPr" and e.get("date1904") in ("1", "true") for e in book.iter())]
-
-        def number(text: str, style: int) -> tuple[str, str]:
-            x = float(text)
-            if style in dates:
-                return "ts", str((day_0 + timedelta(seconds=round(x * 86400))).isoformat(" "))
-            return ("int", str(int(x))) if x.is_integer() else ("float", text)
-
-        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out = {}
-        for s in (e for e in book.iter() if tag(e) == "sheet"):
-            target = links[next(v for k, v in s.attrib.items() if k.endswith("}id"))]
-            grid: dict[int, dict[int, tuple[str, str | None]]] = {}
-            for r, row in enumerate(e for e in ElementTree.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}")).iter() if tag(e) == "row"):
-                at = int(row.get("r", r + 1)) - 1
-                for c, cell in enumerate(row):
-                    text = "".join(x.text or "" for x in cell.iter() if tag(x) in ("v", "t"))
-                    kind = cell.get("t", "n")
-                    if text != "" or kind == "inlineStr":
-                        text = shared[int(text)] if kind == "s" else text
-                        found = ("bool", "True" if text == "1" else "False") if kind == "b" else ("str", text) if kind in ("s", "str", "inlineStr", "e", "d") else number(text, int(cell.get("s", 0)))
-                        grid.setdefault(at, {})[_column(cell.get("r")) if cell.get("r") else c] = ("null", None) if found == ("str", "") else found
-            rows = [[grid.get(i, {}).get(j, ("null", None)) for j in range(max(grid.get(i, {-1: 0})) + 1)] for i in range(max(grid, default=-1) + 1)]
-            out[s.get("name")] = _grid(rows)
-        return out
-
-
-def load_workbooks(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
-    """SRC4: (cells, sheets) of the files; sheets has name, rows, columns and is_empty. Files are read by executors."""
-    for p in paths:
-        if PurePosixPath(validate_file(spark, p)).suffix.lower() == ".xls":
-            raise FileValidationError(f"The binary .xls format can't be read: {p}; save it as .xlsx")
-
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                name = PurePosixPath(path).name
-                sheets = {CSV_SHEET: csv_cells(content)} if name.lower().endswith(".csv") else xlsx_cells(content)
-                for sheet, cells in sheets.items():
-                    rows = [(name, sheet, *c) for c in cells] or [(name, sheet, None, None, "null", None)]
-                    yield pd.DataFrame(rows, columns=["workbook", "sheet", "row_idx", "col_idx", "kind", "value"]).astype({"row_idx": "Int64", "col_idx": "Int32"})
-
-    raw = spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(read, CELLS)
-    sheets = raw.groupBy("workbook", "sheet").agg(F.coalesce(F.max("row_idx") + 1, F.lit(0)).alias("rows"), F.coalesce(F.max("col_idx") + 1, F.lit(0)).alias("columns"))
-    return raw.where("row_idx IS NOT NULL"), sheets.withColumn("is_empty", (F.col("rows") == 0) | (F.col("columns") == 0))
+def save_workbooks(cells: DataFrame, path: str, mode: str = "append") -> None:
+    """Cells (workbook, sheet, row_idx, col_idx, kind, value) as .xlsx files in a folder, one a workbook, written by tasks;
+    workbook is the file's name. A workbook's cells pass through one task as a stream."""
+    register(cells.sparkSession)
+    rows = cells.where("value IS NOT NULL AND kind <> 'null'").select("workbook", "sheet", "row_idx", "col_idx", "kind", "value")
+    rows.repartition("workbook").sortWithinPartitions("workbook", "sheet", "row_idx", "col_idx").write.format("workbook").mode(mode).save(path)
 
 
 def show_summary(sheets: DataFrame) -> None:
@@ -170,22 +181,16 @@ SAMPLE = {
 }
 
 
+def _cell(v) -> tuple[str, str]:
+    if isinstance(v, datetime):
+        return "ts", v.isoformat(" ")
+    return ("bool" if isinstance(v, bool) else "int" if isinstance(v, int) else "float" if isinstance(v, float) else "str"), str(v)
+
+
 def xlsx_bytes(sheets: dict[str, list[list]]) -> bytes:
-    """SRC5: a minimal workbook, without header or index of its own."""
-    letters = lambda j: (letters(j // 26 - 1) if j > 25 else "") + chr(65 + j % 26)
-    serial = lambda v: (v - DAY_0[False]).total_seconds() / 86400
-    cell = lambda i, j, v: f'<c r="{letters(j)}{i}" s="1"><v>{serial(v)}</v></c>' if isinstance(v, datetime) else f'<c r="{letters(j)}{i}"><v>{v}</v></c>' if isinstance(v, (int, float)) and not isinstance(v, bool) else f'<c r="{letters(j)}{i}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
-    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    """SRC5: a small workbook from rows of values, without header or index of its own."""
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        n = range(1, len(sheets) + 1)
-        z.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in n) + "</Types>")
-        z.writestr("_rels/.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>')
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(s)}" sheetId="{i}" r:id="r{i}"/>' for i, s in zip(n, sheets)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in n) + "</Relationships>")
-        for i, rows in zip(n, sheets.values()):
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>' + "".join(f'<row r="{r}">' + "".join(cell(r, j, v) for j, v in enumerate(row) if v is not None) + "</row>" for r, row in enumerate(rows, 1)) + "</sheetData></worksheet>")
+    ooxml.write(out, ((name, ((i, j, *_cell(v)) for i, row in enumerate(rows) for j, v in enumerate(row) if v is not None)) for name, rows in sheets.items()))
     return out.getvalue()
 
 
