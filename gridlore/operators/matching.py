@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridlore.functions import similarity
 from gridlore.functions import text as T
-from gridlore.functions.similarity import indel_ratio
 from gridlore.functions.vocabulary import TARGET_NAMES, aliases, targets
 
 FUZZY, ELIGIBLE = 0.75, 0.50
@@ -67,59 +67,66 @@ def alias_match(headers: DataFrame) -> DataFrame:
 
 
 def exact_one_to_one(headers: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """WN6: of the headers with one target the first keeps it, the others are exact_conflict."""
+    """WN6: of the headers with one target the first keeps it, the others are exact_conflict. Headers without a target, which
+    have no rivals, don't enter the window."""
     m = exact_match(headers)
     n = F.row_number().over(Window.partitionBy(*(keys or []), "target").orderBy("col_pos"))
-    status = F.when(F.col("target").isNull(), "unmatched").when(n == 1, "exact").otherwise("exact_conflict")
-    return m.withColumn("status", status).withColumn("target", F.when(F.col("status") == "exact", F.col("target")))
+    some = m.where("target IS NOT NULL").withColumn("status", F.when(n == 1, "exact").otherwise("exact_conflict"))
+    some = some.withColumn("target", F.when(F.col("status") == "exact", F.col("target")))
+    return some.unionByName(m.where("target IS NULL").withColumn("status", F.lit("unmatched")))
+
+
+def _forms(vocab: DataFrame) -> DataFrame:
+    """The vocabulary as one row: alphabet, and forms, an array in order, with what bounds and compares them (its size is
+    fixed by the code)."""
+    letters = vocab.select(F.explode(similarity.characters(F.col("norm"))).alias("ch")).agg(F.array_sort(F.collect_set("ch")).alias("alphabet"))
+    each = vocab.join(F.broadcast(letters)).select("pos", "norm", "target", "alphabet", similarity.masks(F.col("norm"), F.col("alphabet")).alias("masks"), F.struct(*[c.alias(k) for k, c in similarity.indexed("norm", "alphabet").items()]).alias("own"))
+    form = F.struct("pos", "norm", "target", "masks", F.col("own.counts").alias("counts"), F.col("own.rest").alias("rest"))
+    return each.agg(F.first("alphabet").alias("alphabet"), F.array_sort(F.collect_list(form)).alias("forms"))
+
+
+def _compared(headers: DataFrame, vocab: DataFrame) -> DataFrame:
+    """norm, own and forms of the distinct headers that aren't empty; there is no pair table."""
+    distinct = headers.where("norm <> ''").select("norm").distinct().join(F.broadcast(_forms(vocab)))
+    return distinct.select("norm", "forms", F.struct(*[c.alias(k) for k, c in similarity.indexed("norm", "alphabet").items()]).alias("own"))
 
 
 def fuzzy_match(headers: DataFrame, threshold: float = FUZZY, vocab: DataFrame | None = None) -> DataFrame:
-    """JN3 and FL9: the most similar form, of equal ones the first. Only distinct headers meet the vocabulary, which is
-    an array beside each (its size is fixed), so there is no pair table."""
-    spark = headers.sparkSession
-    vocab = vocabulary(spark) if vocab is None else vocab
-    forms = vocab.agg(F.array_sort(F.collect_list(F.struct("pos", "norm", "target"))).alias("forms"))
-    distinct = headers.where("norm <> ''").select("norm").distinct().join(F.broadcast(forms))
-    scored = F.transform("forms", lambda v: F.struct((-indel_ratio(F.col("norm"), v["norm"])).alias("minus"), v["pos"].alias("pos"), v["norm"].alias("text"), v["target"].alias("target")))
-    best = distinct.withColumn("best", F.array_min(scored)).select("norm", F.col("best.text").alias("matched_text"), F.col("best.target").alias("target"), (-F.col("best.minus")).alias("similarity"))
-    return headers.join(best.where(F.col("similarity") >= threshold), "norm", "left")
+    """JN3 and FL9: the most similar form, of equal ones the first, and its target, which is null below the threshold.
+    Empty headers, and all if the vocabulary is empty, have none."""
+    vocab = vocabulary(headers.sparkSession) if vocab is None else vocab
+    best = _compared(headers, vocab).select("norm", similarity.best_form(F.col("norm"), F.col("own"), F.col("forms")).alias("best")).where("best.text IS NOT NULL")
+    best = best.select("norm", F.col("best.text").alias("matched_text"), F.when(F.col("best.similarity") >= threshold, F.col("best.target")).alias("target"), "best.similarity")
+    return headers.join(best, "norm", "left")
 
 
 def fuzzy_one_to_one(headers: DataFrame, keys: list[str], threshold: float = FUZZY) -> DataFrame:
-    """WN7: headers in order take the best form that is left; a target that is taken leaves the vocabulary. Distinct
-    headers are scored once, in the JVM, and keep each target's best form over the threshold; the order of choice matters,
-    so these short lists of a workbook's headers (a few hundred) are walked in one group."""
-    vocab = vocabulary(headers.sparkSession)
-    forms = vocab.agg(F.array_sort(F.collect_list(F.struct("pos", "norm", "target"))).alias("forms"))
-    distinct = headers.where("norm <> ''").select("norm").distinct().join(F.broadcast(forms))
-    scored = F.transform("forms", lambda v: F.struct((-indel_ratio(F.col("norm"), v["norm"])).alias("minus"), v["pos"].alias("pos"), v["norm"].alias("text"), v["target"].alias("target")))
-    near = distinct.select("norm", F.array_sort(F.filter(scored, lambda v: -v["minus"] >= threshold)).alias("near"))
+    """WN7: headers in order take the best form that is left; a target that is taken leaves the vocabulary. Below the
+    threshold the form is told, its target is null and stays free. Distinct headers are scored once, in the JVM, and keep
+    each target's best form; the order of choice matters, so these short lists (17 a header, a few hundred headers a
+    workbook) are walked in one group."""
+    own = _compared(headers, vocabulary(headers.sparkSession))
+    wanted = F.array(*map(F.lit, TARGET_NAMES))
+    ranked = F.transform(wanted, lambda t: F.struct(similarity.best_form(F.col("norm"), F.col("own"), F.filter("forms", lambda f: f["target"] == t)).alias("b"), t.alias("t")))
+    first = lambda text: F.filter("forms", lambda f: f["norm"] == text)[0]["pos"]
+    near = F.transform(F.filter(ranked, lambda r: r["b"]["text"].isNotNull()), lambda r: F.struct((-r["b"]["similarity"]).alias("minus"), first(r["b"]["text"]).alias("pos"), r["b"]["text"].alias("text"), r["t"].alias("target")))
+    near = own.select("norm", F.array_sort(near).alias("near"))
     kinds = dict(headers.dtypes)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
         for r in pdf.sort_values("col_pos").to_dict("records"):
             hit = next((v for v in (r["near"] if r["near"] is not None else ()) if v["target"] not in taken), None)
-            if hit is not None:
+            fits = hit is not None and -hit["minus"] >= threshold
+            if fits:
                 taken.add(hit["target"])
-            out.append((*(r[k] for k in keys), r["col_pos"], r["norm"], *((hit["text"], hit["target"], -hit["minus"]) if hit is not None else (None, None, None))))
+            out.append((*(r[k] for k in keys), r["col_pos"], r["norm"], *((hit["text"], hit["target"] if fits else None, -hit["minus"]) if hit is not None else (None, None, None))))
         return pd.DataFrame(out, columns=[*keys, "col_pos", "norm", "matched_text", "target", "similarity"])
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "col_pos", "norm"]) + ", matched_text string, target string, similarity double"
     return headers.select(*keys, "col_pos", "norm").join(near, "norm", "left").groupBy(*keys).applyInPandas(walk, schema)
 
 
-def indel(a: str, b: str) -> float:
-    """The same ratio as functions.similarity.indel_ratio, for Python."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b)) if a or b else 1.0
-
-
 # What is said for a piece of evidence.
 SAID = {
     "numeric": "Column is predominantly numeric.",
@@ -339,6 +346,12 @@ def mapping_report(mapping: DataFrame, group: list[str], warnings: DataFrame | N
     return out.join(said, group, "left").withColumn("warnings", F.coalesce("warnings", none))
 
 
+def normalized(headers: DataFrame) -> DataFrame:
+    """headers (col, ...) with norm; only those that aren't ASCII go through Python."""
+    plain = F.coalesce(F.col("col"), F.lit("")).rlike(r"\A[\x00-\x7F]*\z")
+    return headers.where(plain).withColumn("norm", T.mapping_header(F.col("col"), nfkc=False)).unionByName(headers.where(~plain).withColumn("norm", T.mapping_header(F.col("col"))))
+
+
 def map_columns(cells: DataFrame, extra: DataFrame | None = None, group: list[str] | None = None, scorers: dict[str, Scorer] | None = None) -> DataFrame:
     """OP6: from cells (*group, col_pos, col, row_idx, value; col is the header) to the mapping of every column. extra:
     candidate rows of a semantic step or a model, as semantic.evidence gives them."""
@@ -350,7 +363,7 @@ def map_columns(cells: DataFrame, extra: DataFrame | None = None, group: list[st
     if extra is not None and not group:
         extra = extra.withColumn("workbook", F.lit("workbook"))
     keys = [*own, "col_pos"]
-    headers = work.select(*keys, "col").distinct().withColumn("norm", T.mapping_header(F.col("col")))
+    headers = normalized(work.select(*keys, "col").distinct())
     evidence = field_evidence(profile_columns(work, (*own, "col_pos", "col")), keys, scorers)
     merged = merge_candidates(column_candidates(headers.select(*keys, "norm"), evidence, keys, extra), keys)
     out = mapping_result(headers.select(*keys, "col"), merged, assign(merged, own), own).join(headers.select(*keys, "col"), keys)

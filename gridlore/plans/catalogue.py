@@ -238,8 +238,8 @@ def _(spark, sf_dir):
 
 
 @query("jn3_fl9_fuzzy_match", f"""WITH h AS (SELECT *, {S.header('header')} AS norm FROM ({_HEADERS})), d AS (SELECT DISTINCT norm AS dn FROM h),
-  s AS (SELECT dn, v.norm, v.pos, v.target, {S.indel('dn', 'v.norm')} AS sim FROM d, {_VOCAB} v), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dn ORDER BY sim DESC, pos) AS n FROM s) WHERE n = 1 AND sim >= 0.75)
-  SELECT h.col_pos, b.norm AS matched_text, b.target, round(b.sim, 6) AS similarity FROM h LEFT JOIN b ON h.norm = b.dn""")
+  s AS (SELECT dn, v.norm, v.pos, v.target, {S.indel('dn', 'v.norm')} AS sim FROM d, {_VOCAB} v), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dn ORDER BY sim DESC, pos) AS n FROM s) WHERE n = 1)
+  SELECT h.col_pos, b.norm AS matched_text, CASE WHEN b.sim >= 0.75 THEN b.target END AS target, round(b.sim, 6) AS similarity FROM h LEFT JOIN b ON h.norm = b.dn""")
 def _(spark, sf_dir):
     return rounded(matching.fuzzy_match(headers(spark, sf_dir)).select("col_pos", "matched_text", "target", "similarity"))
 
@@ -254,12 +254,12 @@ _WALKED = "SELECT p_brand AS workbook, CAST(row_number() OVER (PARTITION BY p_br
 
 
 @query("wn7_fuzzy_one_to_one", f"""WITH RECURSIVE h AS ({_WALKED}), s AS (SELECT d.norm AS dn, v.norm, v.pos, v.target, {S.indel('d.norm', 'v.norm')} AS sim FROM (SELECT DISTINCT norm FROM h) d, {_VOCAB} v),
-  l AS (SELECT dn, list({{'t': norm, 'g': target, 's': sim}} ORDER BY sim DESC, pos) AS near FROM s WHERE sim >= 0.5 GROUP BY dn), x AS (SELECT h.*, l.near FROM h LEFT JOIN l ON h.norm = l.dn),
+  l AS (SELECT dn, list({{'t': norm, 'g': target, 's': sim}} ORDER BY sim DESC, pos) AS near FROM s GROUP BY dn), x AS (SELECT h.*, l.near FROM h LEFT JOIN l ON h.norm = l.dn),
   w AS (SELECT workbook, 0 AS col_pos, ''::VARCHAR AS norm, []::VARCHAR[] AS taken, NULL::STRUCT(t VARCHAR, g VARCHAR, s DOUBLE) AS hit FROM (SELECT DISTINCT workbook FROM h)
-    UNION ALL SELECT x.workbook, x.col_pos, x.norm, CASE WHEN w.hit IS NULL THEN w.taken ELSE list_append(w.taken, w.hit.g) END AS taken,
-      list_filter(x.near, lambda n_: NOT list_contains(CASE WHEN w.hit IS NULL THEN w.taken ELSE list_append(w.taken, w.hit.g) END, n_.g))[1]
+    UNION ALL SELECT x.workbook, x.col_pos, x.norm, CASE WHEN coalesce(w.hit.s, 0) < 0.5 THEN w.taken ELSE list_append(w.taken, w.hit.g) END AS taken,
+      list_filter(x.near, lambda n_: NOT list_contains(CASE WHEN coalesce(w.hit.s, 0) < 0.5 THEN w.taken ELSE list_append(w.taken, w.hit.g) END, n_.g))[1]
       FROM w JOIN x ON x.workbook = w.workbook AND x.col_pos = w.col_pos + 1)
-  SELECT workbook, col_pos, norm, hit.t AS matched_text, hit.g AS target, round(hit.s, 6) AS similarity FROM w WHERE col_pos > 0""")
+  SELECT workbook, col_pos, norm, hit.t AS matched_text, CASE WHEN hit.s >= 0.5 THEN hit.g END AS target, round(hit.s, 6) AS similarity FROM w WHERE col_pos > 0""")
 def _(spark, sf_dir):
     return rounded(matching.fuzzy_one_to_one(run_sql(spark, sf_dir, _WALKED, "part"), ["workbook"], 0.5))
 
