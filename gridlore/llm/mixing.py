@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import WORD, keyed, materialize
+from gridlore.llm.common import WORD, column, free, keyed, materialize
 
 #: Ranges of the key space within a source. Keys are uniform, so equal ranges hold equal shares, whatever the source's size.
 RANGES = 4096
@@ -76,19 +76,17 @@ def mix_sized(sized: DataFrame, weights: tuple[int, ...], share: float, epochs:
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2) -> DataFrame:
     """The documents of the mix, with the columns of docs: a document taken twice is there twice, one that the budget
     cuts holds its first words up to the cut (joined by one space), one that isn't taken is gone."""
-    rid = "mix_rid"
+    rid, size, share_taken, copy = (free(docs, f"mix_{c}") for c in ("rid", "size", "taken", "copy"))
     numbered = keyed(docs, rid)
     taken = mix(numbered, weights, share, epochs, rid).where("taken > 0")
-    taken = taken.select(rid, F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"))
-    rows = numbered.join(taken, rid)
-    copies = F.sequence(F.lit(1), F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int"))
-    rows = rows.withColumn("mix_copy", F.explode(copies))
-    words = F.least(F.col("mix_size"), F.col("mix_taken") - (F.col("mix_copy") - 1) * F.col("mix_size")).cast("int")
+    rows = numbered.join(taken.select(rid, F.col("size").alias(size), F.col("taken").alias(share_taken)), rid)
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.ceil(F.col(share_taken) / F.col(size)).cast("int"))))
+    words = F.least(F.col(size), F.col(share_taken) - (F.col(copy) - 1) * F.col(size)).cast("int")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words), " ")
-    text = F.when(words < F.col("mix_size"), cut).otherwise(F.col("text"))
-    n_chars = F.when(words < F.col("mix_size"), F.length(cut).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    text = F.when(words < F.col(size), cut).otherwise(F.col("text"))
+    n_chars = F.when(words < F.col(size), F.length(cut).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
     changed = {"text": text} | ({"n_chars": n_chars} if n_chars is not None else {})
-    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    return rows.select(*[changed[c].alias(c) if c in changed else column(c) for c in docs.columns])
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:

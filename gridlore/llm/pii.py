@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import keyed, materialize, release
+from gridlore.llm.common import column, free, keyed, materialize, release
 
 ALPHA, MIN_CONTEXTS = 0.9, 3
 #: Distinct words that a task knows or counts at once.
@@ -240,21 +240,23 @@ MARKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced by its kind; terms that disclose an entity for certain removed, others
-    generalised to <TERM>. Other columns stay, but for n_chars, which follows the text; null text stays null."""
+    generalised to <TERM>. Other columns stay, but for n_chars, which follows the text; null text stays null, repeated rows stay. A text is held whole, a few times."""
     columns, count = docs.columns, "n_chars" in docs.columns
-    rows = keyed(docs, "pii_rid")
-    texts = rows.select(F.col("pii_rid").alias("rid"), "doc_id", "text")
+    names = [f"c{i}" for i in range(len(columns))]  # mapInArrow takes plain names only
+    key, found = free(docs, "pii_rid"), free(docs, "pii_terms")
+    rows = keyed(docs, key)
+    texts = rows.select(F.col(key).alias("rid"), "doc_id", "text")
     terms = disclosing(texts, materialize(scan(texts), "pii-base"))
     kind = "array<struct<start:int,end:int,sure:boolean>>"
     if terms is None:
-        rows = rows.withColumn("pii_terms", F.lit(None).cast(kind))
+        rows = rows.withColumn(found, F.lit(None).cast(kind))
     else:  # broadcast only if Spark's limit allows the written table
-        rows = rows.join(terms.select(F.col("rid").alias("pii_rid"), F.col("terms").alias("pii_terms")), "pii_rid", "left")
+        rows = rows.join(terms.select(F.col("rid").alias(key), F.col("terms").alias(found)), key, "left")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, extra in zip(b.column("text"), b.column("pii_terms").to_pylist()):
+            for t, extra in zip(b.column(names[columns.index("text")]), b.column("terms").to_pylist()):
                 text = t.as_py()
                 if text is not None:
                     spans = sorted([(s, e, MARKS[k]) for k, own in zip(KINDS, base_spans(text)) for s, e in own] + [(x["start"], x["end"], "" if x["sure"] else "<TERM>") for x in extra or []])
@@ -270,9 +272,10 @@ def sanitised(docs: DataFrame) -> DataFrame:
             made = {"text": pa.array(out, pa.string())}
             if count:
                 made["n_chars"] = pa.array([None if x is None else len(x) for x in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([made.get(c, b.column(c)) if c in made else b.column(c) for c in columns], columns)
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else b.column(x) for c, x in zip(columns, names)], names)
 
-    return rows.select(*columns, "pii_terms").mapInArrow(clean, docs.schema)
+    plain = rows.select(*[column(c).alias(x) for c, x in zip(columns, names)], F.col(found).alias("terms"))
+    return plain.mapInArrow(clean, plain.drop("terms").schema).toDF(*columns)
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

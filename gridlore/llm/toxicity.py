@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.llm.common import materialize, release
+from gridlore.llm.common import column, free, materialize, release
 
 #: Labelled rows that the lexicon and the curve are fitted on, at most, by hash order. They bound the lexicon, too.
 SAMPLE = 20_000
@@ -135,7 +135,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], list[str], list[float]]:
     """The lexicon, the exceptions and the curve, from labelled rows that aren't held out. Statistics are distributed;
-    what comes to the driver is bounded by `sample`. No toxic or no clean row: an empty lexicon and a
+    what comes to the driver is bounded by `sample`. Rows without an id are held out. No toxic or no clean row: an empty lexicon and a
     constant score, the share of toxic rows (0 without any)."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -176,30 +176,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
         lex = Lexicon(kept, exceptions)
         for b in batches:
             f = [lex.features(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*(pa.array([float(r[i]) for r in f], pa.float64()) for i in range(3)), b.column("toxic")], ["a", "b", "c", "toxic"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([float(r[i]) for r in f], pa.float64()) for i in range(3)), b.column("toxic"), b.column("h")], ["a", "b", "c", "toxic", "h"])
 
-    seen = rows.mapInArrow(measure, "a double, b double, c double, toxic int").toArrow().to_pandas()
+    # ids that repeat have more rows than labels; the curve takes as many as the bound allows
+    seen = rows.withColumn("h", F.xxhash64("text")).mapInArrow(measure, "a double, b double, c double, toxic int, h long").orderBy("h", "toxic", "a", "b", "c").limit(sample).toArrow().to_pandas()
     x = np.column_stack([np.log1p(seen["a"]), np.log1p(seen["b"]), np.log1p(seen["c"])])
     return kept, exceptions, [float(v) for v in fit_curve(x, seen["toxic"].to_numpy(float))]
 
 
-def scored(docs: DataFrame, model, *keep: str) -> DataFrame:
-    """docs' columns keep, and tx_score. Null text counts as empty; repeated rows are rows of their own; an empty table
-    gives no rows."""
+def scored(docs: DataFrame, model, *keep: str, score: str = "tx_score") -> DataFrame:
+    """docs' columns keep, and the score, under a name that isn't among these. Null text counts as empty; repeated rows are
+    rows of their own; an empty table gives no rows. A text is held whole, at some 100 times its bytes while its words are
+    folded."""
     weights, exceptions, curve = model
-    fields = [f for f in docs.select(*keep).schema.fields]
-    schema = docs.select(*keep, F.lit(0.0).alias("tx_score")).schema
+    kept = [column(c).alias(f"c{i}") for i, c in enumerate(keep)]  # mapInArrow takes plain names only
+    schema = docs.select(*kept, F.lit(0.0).alias("score")).schema
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = Lexicon(weights, exceptions)
         for b in batches:
             out = []
-            for t in b.column("tx_text"):
+            for t in b.column(len(keep)):
                 f = [math.log1p(v) for v in lex.features(t.as_py() or "")]
                 out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, sum(v * c for v, c in zip(f, curve)) + curve[3])))))
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(out, pa.float64())], [*(f.name for f in fields), "tx_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(out, pa.float64())], schema.names)
 
-    return docs.select(*keep, F.col("text").alias("tx_text")).mapInArrow(score, schema)
+    return docs.select(*kept, F.col("text").alias("text")).mapInArrow(rate, schema).toDF(*keep, score)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -209,6 +211,7 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose score is below one half; the columns stay, rows with null ids or texts too."""
+    """The documents whose score is below one half; the columns stay, whatever their names, rows with null ids or texts too."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return scored(docs, train(docs, labels), *docs.columns).where("tx_score < 0.5").select(*docs.columns)
+    score = free(docs, "tx_score")
+    return scored(docs, train(docs, labels), *docs.columns, score=score).where(column(score) < 0.5).select(*map(column, docs.columns))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlore.llm.common import column, free, rejoin
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 #: Slices that a host's captures are dealt to.
 SALTS = 16
@@ -46,17 +48,19 @@ def filter_captures(captures: DataFrame, entries: DataFrame, url: str = "url", a
 
     Each distinct host and date is looked up once, each distinct pattern and date joined once, on pattern and time.
     """
-    rows = captures.withColumn("uf_key_host", host_of(url)).withColumn("uf_key_at", F.col(at)).withColumn("uf_salt", F.pmod(F.xxhash64(url, at, F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    key_host, key_at, salt, lists_of = (free(captures, f"uf_{c}") for c in ("key_host", "key_at", "salt", "found"))
+    rows = captures.withColumns({key_host: host_of(url), key_at: F.col(at), salt: F.pmod(F.xxhash64(url, at, F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")})
     asked = captures.select(host_of(url).alias("host"), F.col(at).alias("at")).where("host IS NOT NULL AND at IS NOT NULL").distinct()
     asked = asked.select("host", "at", F.explode(suffixes("host")).alias("pattern"))
-    spans = intervals(entries)
-    active = asked.select("pattern", "at").distinct().join(spans, "pattern").where("valid_from <= at AND (valid_to IS NULL OR at < valid_to)").select("pattern", "at", "list").distinct()
-    lists = asked.join(active, ["pattern", "at"]).groupBy("host", "at").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("uf_found"))
-    lists = lists.select(F.col("host").alias("uf_key_host"), F.col("at").alias("uf_key_at"), "uf_found", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("uf_salt"))
-    rows = rows.join(lists, ["uf_key_host", "uf_key_at", "uf_salt"], "left")
-    found = F.coalesce("uf_found", F.lit(""))
-    made = {"host": F.col("uf_key_host"), "lists": found, "blocked": found != ""}
-    return rows.select(*[F.col(f"`{c}`") for c in captures.columns], *[c.alias(n if n not in captures.columns else f"uf_{n}") for n, c in made.items()])
+    # a large domain's fetch times are dealt to several tasks, each with the domain's intervals
+    met = rejoin(asked.select("pattern", "at").distinct(), intervals(entries), ["pattern"], "at")
+    active = met.where("valid_from <= at AND (valid_to IS NULL OR at < valid_to)").select("pattern", "at", "list").distinct()
+    lists = asked.join(active, ["pattern", "at"]).groupBy("host", "at").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("found"))
+    lists = lists.select(F.col("host").alias(key_host), F.col("at").alias(key_at), F.col("found").alias(lists_of), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+    rows = rows.join(lists, [key_host, key_at, salt], "left")
+    found = F.coalesce(lists_of, F.lit(""))
+    made = {"host": F.col(key_host), "lists": found, "blocked": found != ""}
+    return rows.select(*map(column, captures.columns), *[c.alias(n if n not in captures.columns else free(captures, f"uf_{n}")) for n, c in made.items()])
 
 
 def dated_entries(pages: DataFrame) -> DataFrame:
