@@ -7,6 +7,7 @@ the plan runnable, not the same vectors a trained model gives), and without a sc
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -158,14 +159,22 @@ def prompt_context(evaluated: DataFrame, samples: DataFrame, keys: list[str], ca
     return out.join(packages(candidates, keys), keys, "left").withColumn("context", F.to_json(told)).drop("normalized_header", "candidates", "column_profile")
 
 
+#: What a model is told to keep to, beside each prompt.
+RULES = (
+    "You map one column of a property schedule to one of the given target fields, or to none. Use the evidence alone: the header's meaning, the candidates and the column's values. "
+    "Scores are not probabilities. Don't make up fields, change data or fill gaps. If the evidence leaves it open, say null with a low confidence, so that a person decides. Answer with the JSON object that is asked for and nothing else."
+)
+
+
 def prompt(context: Column) -> Column:
     """FN30."""
     return F.concat(F.lit("Choose the target field of a spreadsheet column, or null if none fits. Fields: " + ", ".join(TARGET_NAMES) + ". Evidence: "), context, F.lit('. Answer with JSON: {"target_field": ..., "confidence": 0 to 1, "reason": ...}.'))
 
 
-def ask(contexts: DataFrame, client: Callable[[], Callable[[str], str]] | None) -> DataFrame:
+def ask(contexts: DataFrame, client: Callable[[], Callable[..., str]] | None) -> DataFrame:
     """ML6: adds response, the client's JSON for each prompt, and error where the client fails for a prompt or can't be
-    made; null without a client. No evidence is lost by any of these."""
+    made; null without a client. No evidence is lost by any of these. What client() gives takes the prompt, or RULES and
+    the prompt."""
     rows = contexts.withColumn("prompt", prompt(F.col("context")))
     if client is None:
         return rows.withColumn("response", F.lit(None).cast("string")).withColumn("error", F.lit(None).cast("string"))
@@ -174,7 +183,8 @@ def ask(contexts: DataFrame, client: Callable[[], Callable[[str], str]] | None)
     def call(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         send, broken = None, None
         try:
-            send = client()
+            made = client()
+            send = made if len(inspect.signature(made).parameters) == 1 else lambda p: made(RULES, p)
         except Exception as e:  # told in the error column
             broken = f"{type(e).__name__}: {e}"
         for pdf in parts:
@@ -216,9 +226,21 @@ def decide(answered: DataFrame) -> DataFrame:
     return out.withColumn("human_review", needs_review(F.col("decided"), F.col("confidence"))).drop("ok")
 
 
-def semantic_pipeline(headers: DataFrame, keys: list[str], scorer=None, embed=trigram_embedding, top_k: int = TOP_K, embedder: Embedder | None = None) -> DataFrame:
-    """ML5: retrieve, rerank, evaluate; a failing scorer leaves the retrieval's order, a failing embedder ends in unresolved."""
-    return evaluate(rerank(retrieve(headers, keys, embed=embed, top_k=top_k, embedder=embedder), keys, scorer), keys, "rerank_score")
+def semantic_pipeline(headers: DataFrame, keys: list[str], scorer=None, embed=trigram_embedding, top_k: int = TOP_K, embedder: Embedder | None = None, value_evidence: DataFrame | None = None, assigned: DataFrame | None = None) -> DataFrame:
+    """ML5: retrieve with value evidence among the targets that aren't assigned, rerank, evaluate: a row for each header
+    (*keys, norm) with top, second, their scores, margin, summary, category, status and errors. A failing scorer leaves the
+    retrieval's order; where retrieval fails or finds nothing, nothing is evaluated and the status is unresolved."""
+    found = rerank(retrieve(headers, keys, value_evidence, embed, top_k, assigned, embedder), keys, scorer)
+    unranked = found.groupBy(*keys).agg(F.max("error").alias("rerank_error"))
+    judged = evaluate(found, keys, "rerank_score").withColumnRenamed("errors", "retrieval_error").join(unranked, keys)
+    out = headers.select(*keys, "norm").join(judged, keys, "left")
+    none = F.col("top").isNull()
+    errors = F.array_compact(F.array(
+        F.col("retrieval_error"), F.when(none & F.col("retrieval_error").isNull(), "No semantic candidates were retrieved."),
+        F.when(~none, F.concat(F.lit("Cross-encoder reranking failed: "), F.col("rerank_error"))),
+    ))
+    status = F.when(none | F.col("retrieval_error").isNotNull(), "unresolved").otherwise(F.col("category"))
+    return out.withColumn("status", status).withColumn("errors", errors).drop("retrieval_error", "rerank_error")
 
 
 def evidence(headers: DataFrame, keys: list[str], samples: DataFrame | None = None, value_evidence: DataFrame | None = None, scorer=None, client=None, embedder: Embedder | None = None, weigh: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -70,6 +70,13 @@ def _decision_sql(table: str, columns: list[str], order: str) -> str:
 query("by5_by6_decision_lineitem", _decision_sql("lineitem", LINEITEM, "l_orderkey"))(flagship)
 
 
+@query("cx3_ranking_lineitem", f"""WITH sc AS ({S.posterior_scores(S.cells("lineitem", LINEITEM, "l_orderkey"), posterior.EXPECTATIONS)}), po AS (SELECT *, exp(5 * score) / sum(exp(5 * score)) OVER (PARTITION BY col_pos) AS pr FROM sc)
+  SELECT col_pos, col, string_agg(field || '=' || printf('%.4f', round(pr, 4)), ';' ORDER BY score DESC, field_pos) AS ranking FROM po GROUP BY col_pos, col""")
+def _(spark, sf_dir):
+    decisions, _ = posterior.analyze(column_cells(spark, sf_dir, "lineitem", LINEITEM, "l_orderkey"))
+    return decisions.select("col_pos", "col", F.array_join(F.transform("ranking", lambda r: F.concat(r["field"], F.lit("="), F.format_string("%.4f", r["probability"]))), ";").alias("ranking"))
+
+
 @query("by5_by6_decision_customer", _decision_sql("customer", CUSTOMER, "c_custkey"))
 def _(spark, sf_dir):
     decisions, _ = posterior.analyze(column_cells(spark, sf_dir, "customer", CUSTOMER, "c_custkey"))
@@ -196,9 +203,11 @@ def _(spark, sf_dir):
     return rounded(retrieved(spark, sf_dir).select("header", "rank", "target", "embedding_score", "value_score", "combined_score"))
 
 
-@query("fn28_target_texts", _TARGET_TEXTS)
+# target texts beside the number of parts that the size deals to each
+@query("fn28_target_texts", f"SELECT t.target_pos, t.target, t.text, count(p_partkey) AS parts FROM ({_TARGET_TEXTS}) t LEFT JOIN part ON p_size % 17 = t.target_pos GROUP BY ALL")
 def _(spark, sf_dir):
-    return semantic.target_embeddings(spark).select("target_pos", "target", "text")
+    parts = read(spark, sf_dir, "part").groupBy((F.col("p_size") % 17).alias("target_pos")).agg(F.count("p_partkey").alias("parts"))
+    return semantic.target_embeddings(spark).join(parts, "target_pos", "left").select("target_pos", "target", "text", F.coalesce("parts", F.lit(0)).alias("parts"))
 
 
 _ALIASES = "(SELECT * FROM (VALUES " + values_sql(alias_rows()) + ") AS t(source, pos, alias, target))"
@@ -212,9 +221,13 @@ def headers(spark, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, _HEADERS, "part").withColumn("norm", T.mapping_header(F.col("header"), nfkc=False))
 
 
-@query("st1_vocabulary", f"SELECT * FROM {_VOCAB}")
+# the vocabulary's forms beside the number of texts of parts that have them
+@query("st1_vocabulary", f"SELECT v.norm, v.pos, v.target, count(t) AS texts FROM {_VOCAB} v LEFT JOIN (SELECT DISTINCT lower(concat(p_type, ' ', p_name)) AS t FROM part) ON contains(t, v.norm) GROUP BY ALL")
 def _(spark, sf_dir):
-    return matching.vocabulary(spark).select("norm", "pos", "target")
+    texts = read(spark, sf_dir, "part").select(F.lower(F.concat("p_type", F.lit(" "), "p_name")).alias("t")).distinct()
+    v = matching.vocabulary(spark)
+    found = texts.join(F.broadcast(v), F.contains("t", F.col("norm"))).groupBy("norm").agg(F.count("t").alias("texts"))
+    return v.join(found, "norm", "left").select("norm", "pos", "target", F.coalesce("texts", F.lit(0)).alias("texts"))
 
 
 @query("ag18_alias_conflicts", f"SELECT norm, count(DISTINCT target) AS n_targets FROM (SELECT {_KEY} AS norm, target FROM {_ALIASES} UNION ALL SELECT lower(r_name), n_name FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY norm HAVING count(DISTINCT target) > 1")
@@ -617,11 +630,77 @@ def _(spark, sf_dir):
 _ONE = """'{"target_field":"' || target || '","score":' || round(combined_score, 6) || ',"embedding_similarity":' || round(embedding_score, 6) || ',"value_evidence_score":' || value_score || ',"evidence_reasons":[' || CASE WHEN value_score > 0 THEN '"zip"' ELSE '' END || ']}'"""
 
 
-@query("cx5_fn30_contexts", f"""SELECT header, '{{"source_header":"' || header || '","normalized_header":"' || header || '","candidates":[' || string_agg({_ONE}, ',' ORDER BY rank) || '],"column_profile":{{"top_target_field":"' || max(CASE WHEN rank = 1 THEN target END)
-  || '","top_embedding_similarity":' || max(CASE WHEN rank = 1 THEN round(embedding_score, 6) END) || ',"top_value_evidence_score":' || max(CASE WHEN rank = 1 THEN value_score END) || '}},"sample_values":["' || header || '"]}}' AS context FROM {_RETRIEVED} GROUP BY header""")
+_PROMPT = ["'" + x.replace("'", "''") + "'" for x in ("Choose the target field of a spreadsheet column, or null if none fits. Fields: " + ", ".join(t[1] for t in TARGETS) + ". Evidence: ", '. Answer with JSON: {"target_field": ..., "confidence": 0 to 1, "reason": ...}.')]
+
+
+@query("cx5_fn30_contexts", f"""SELECT *, concat({_PROMPT[0]}, context, {_PROMPT[1]}) AS prompt FROM (SELECT header, '{{"source_header":"' || header || '","normalized_header":"' || header || '","candidates":[' || string_agg({_ONE}, ',' ORDER BY rank) || '],"column_profile":{{"top_target_field":"' || max(CASE WHEN rank = 1 THEN target END)
+  || '","top_embedding_similarity":' || max(CASE WHEN rank = 1 THEN round(embedding_score, 6) END) || ',"top_value_evidence_score":' || max(CASE WHEN rank = 1 THEN value_score END) || '}},"sample_values":["' || header || '"]}}' AS context FROM {_RETRIEVED} GROUP BY header)""")
 def _(spark, sf_dir):
     h, found = types(spark, sf_dir), retrieved(spark, sf_dir)
-    return semantic.prompt_context(semantic.evaluate(found, ["header"]), h.select("header", F.array("norm").alias("samples")), ["header"], found).select("header", "context")
+    return semantic.prompt_context(semantic.evaluate(found, ["header"]), h.select("header", F.array("norm").alias("samples")), ["header"], found).select("header", "context", semantic.prompt(F.col("context")).alias("prompt"))
+
+
+# the pipeline with value evidence where Address and City are taken, which is where most types would go
+_TAKEN = ("Address", "City")
+_LEFT = _RERANKED.replace(_RETRIEVED, _RETRIEVED.replace("FROM h, t)", f"FROM h, t WHERE target NOT IN ({quoted(_TAKEN)}))"))
+
+
+@query("ml5_semantic_pipeline", f"""WITH e AS (SELECT header, max(CASE WHEN new_rank = 1 THEN target END) AS top, max(CASE WHEN new_rank = 1 THEN rerank_score END) AS s1, max(CASE WHEN new_rank = 2 THEN target END) AS second, max(CASE WHEN new_rank = 2 THEN rerank_score END) AS s2 FROM {_LEFT} GROUP BY header),
+  m AS (SELECT *, round(greatest(0, s1 - coalesce(s2, 0)), 6) AS margin FROM e)
+  SELECT header, top, round(s1, 6) AS top_score, second, margin, CASE WHEN s1 < 0.5 THEN 'weak' WHEN s1 >= 0.7 AND margin >= 0.2 THEN 'strong' WHEN margin >= 0.15 THEN 'moderate' ELSE 'ambiguous' END AS status, '' AS errors FROM m""")
+def _(spark, sf_dir):
+    h = types(spark, sf_dir)
+    known = h.where(F.length("norm") % 3 == 0).select("header", F.lit("Zip").alias("target"), F.lit(0.9).alias("score"), F.array(F.lit("zip")).alias("reasons"))
+    taken = spark.createDataFrame([(t,) for t in _TAKEN], "target string")
+    out = semantic.semantic_pipeline(h, ["header"], _logits, letters, value_evidence=known, assigned=taken)
+    return rounded(out.select("header", "top", "top_score", "second", "margin", "status", F.array_join("errors", "; ").alias("errors")))
+
+
+def _no_model():
+    raise OSError("no weights")
+
+
+@query("ml5_retrieval_fails", f"SELECT norm AS header, NULL::VARCHAR AS top, 'unresolved' AS status, 'Semantic retrieval failed: OSError: no weights' AS errors FROM ({_TYPES})")
+def _(spark, sf_dir):
+    out = semantic.semantic_pipeline(types(spark, sf_dir), ["header"], _logits, embedder=_no_model)
+    return out.select("header", "top", "status", F.array_join("errors", "; ").alias("errors"))
+
+
+def _letter_model():
+    def vectors(texts):
+        counts = [[float(t.lower().count(ch)) for ch in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+        return [[x / sum(y * y for y in v) ** 0.5 for x in v] for v in counts]
+
+    return vectors
+
+
+# candidate rows of the semantic steps and of a model that fails for some, and the warnings of that
+_JUDGED = f"""(SELECT header, contains(header, 'steel') AS failed, CASE WHEN s1 < 0.5 THEN 'weak' WHEN s1 >= 0.7 AND margin >= 0.2 THEN 'strong' WHEN margin >= 0.15 THEN 'moderate' ELSE 'ambiguous' END AS category FROM (
+  SELECT header, max(CASE WHEN new_rank = 1 THEN rerank_score END) AS s1, round(greatest(0, max(CASE WHEN new_rank = 1 THEN rerank_score END) - coalesce(max(CASE WHEN new_rank = 2 THEN rerank_score END), 0)), 6) AS margin FROM {_RERANKED} GROUP BY header))"""
+
+
+def _silent():
+    def answer(prompt: str) -> str:
+        raise ValueError("no answer")
+
+    return answer
+
+
+def _evidence(spark, sf_dir, client=_answers):
+    h = types(spark, sf_dir).withColumn("col", F.col("header"))
+    known = h.where(F.length("norm") % 3 == 0).select("header", F.lit("Zip").alias("target"), F.lit(0.9).alias("score"), F.array(F.lit("zip")).alias("reasons"))
+    return semantic.evidence(h, ["header"], h.select("header", F.array("norm").alias("samples")), known, _logits, client, _letter_model)
+
+
+@query("op3_ml2_evidence", f"""SELECT header, target, 10 + new_rank AS seq, 'semantic' AS method, round(value_score, 6) AS value, CASE WHEN value_score > 0 THEN 'zip' ELSE '' END AS reasons FROM {_RERANKED}
+  UNION ALL SELECT header, 'Zip', 20, 'llm', NULL, 'fixed' FROM {_JUDGED} WHERE category NOT IN ('strong', 'moderate') AND NOT failed""")
+def _(spark, sf_dir):
+    return rounded(_evidence(spark, sf_dir)[0].select("header", "target", "seq", "method", "value", F.array_join("reasons", "; ").alias("reasons")))
+
+
+@query("op3_op6_warnings", f"SELECT header, 'Failed to process ' || chr(39) || header || chr(39) || ': ValueError: no answer' AS warning FROM {_JUDGED} WHERE category NOT IN ('strong', 'moderate')")
+def _(spark, sf_dir):
+    return _evidence(spark, sf_dir, _silent)[1]
 
 
 _ANSWERS = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN concat('{"target_field": "Zip", "confidence": 0.', CAST(event_id % 100 AS STRING), ', "reason": "r"}') WHEN 1 THEN '{"target_field": null, "confidence": 0.9, "reason": "r"}'
