@@ -96,7 +96,7 @@ def number_of(text: Column) -> Column:
 
 def parse_numeric(c: Column) -> Column:
     """FN9: currency signs and commas dropped, a last k, m or b multiplies; null if it isn't a finite number."""
-    return number_of(clean_string(c))
+    return number_of(strip(c.cast("string")))
 
 
 def is_numeric(c: Column) -> Column:

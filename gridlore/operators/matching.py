@@ -355,6 +355,12 @@ def normalized(headers: DataFrame) -> DataFrame:
 def map_columns(cells: DataFrame, extra: DataFrame | None = None, group: list[str] | None = None, scorers: dict[str, Scorer] | None = None) -> DataFrame:
     """OP6: from cells (*group, col_pos, col, row_idx, value; col is the header) to the mapping of every column. extra:
     candidate rows of a semantic step or a model, as semantic.evidence gives them."""
+    return map_with_warnings(cells, extra, group, scorers)[0]
+
+
+def map_with_warnings(cells: DataFrame, extra: DataFrame | None = None, group: list[str] | None = None, scorers: dict[str, Scorer] | None = None, detectors: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """OP6 with its diagnostics: (mapping, warnings). detectors: for profile_columns, beside its own; where a Guarded one
+    fails, the column has no value evidence and a warning (*group, col_pos, warning), and keeps its other evidence."""
     from gridlore.operators.profile import profile_columns
 
     group = group or []
@@ -364,7 +370,12 @@ def map_columns(cells: DataFrame, extra: DataFrame | None = None, group: list[st
         extra = extra.withColumn("workbook", F.lit("workbook"))
     keys = [*own, "col_pos"]
     headers = normalized(work.select(*keys, "col").distinct())
-    evidence = field_evidence(profile_columns(work, (*own, "col_pos", "col")), keys, scorers)
+    profiles = profile_columns(work, (*own, "col_pos", "col"), None if detectors is None else T.DETECTORS | detectors)
+    if "error" not in profiles.columns:
+        profiles = profiles.withColumn("error", F.lit(None).cast("string"))
+    evidence = field_evidence(profiles.where("error IS NULL"), keys, scorers)
+    failed = profiles.where("error IS NOT NULL").select(*keys, F.concat(F.lit("Failed to process '"), F.col("col"), F.lit("': "), F.col("error")).alias("warning"))
     merged = merge_candidates(column_candidates(headers.select(*keys, "norm"), evidence, keys, extra), keys)
     out = mapping_result(headers.select(*keys, "col"), merged, assign(merged, own), own).join(headers.select(*keys, "col"), keys)
-    return out.drop(*([] if group else ["workbook"]))
+    drop = [] if group else ["workbook"]
+    return out.drop(*drop), failed.drop(*drop)

@@ -84,14 +84,20 @@ def _part(sum_: str, of: str) -> Column:
 def profile_columns(cells: DataFrame, keys: tuple[str, ...] = ("col_pos", "col"), detectors: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """AG8, AG9, AG11: the mapping profile of every column. Missing are null and texts that stand for it; ratios are of
     the values that are not missing, 0 without any; quantiles interpolate; std is that of a sample, 0 of one value.
-    detectors: name -> test of a stripped text, each a ratio; by default those of functions.text."""
+    detectors: name -> test of a stripped text, each a ratio; by default those of functions.text. A test may be a Guarded
+    one (operators.registry): there is then a column error, what it says of the texts it fails for, or null."""
     keys, detectors = list(keys), T.DETECTORS if detectors is None else detectors
     s = F.col("s")
-    v = text_counts(cells, keys).select(*keys, "cnt", T.stands_for_missing(s).alias("missing"), T.number_of(s).alias("x"), *[f(s).alias(f"is_{n}") for n, f in detectors.items()])
+    guarded = {n: f.udf() for n, f in detectors.items() if hasattr(f, "udf")}
+    v = text_counts(cells, keys).select("*", *[f(s).alias(f"told_{n}") for n, f in guarded.items()])
+    flags = [(F.coalesce(F.col(f"told_{n}.flag"), F.lit(False)) if n in guarded else f(s)).alias(f"is_{n}") for n, f in detectors.items()]
+    v = v.select(*keys, "cnt", T.stands_for_missing(s).alias("missing"), T.number_of(s).alias("x"), *flags, *[F.col(f"told_{n}.error").alias(f"error_{n}") for n in guarded])
     here = ~F.col("missing")
+    none = F.lit(None).cast("string")
+    wrong = F.max(F.when(here, F.greatest(none, none, *[F.col(f"error_{n}") for n in guarded])))
     out = _summed(v, keys, {
         "total_count": F.sum("cnt"), "missing_count": _weighted(F.col("missing")), "unique_count": F.count_if(here), "present": _weighted(here),
-        **{f"is_{n}": _weighted(here & F.col(f"is_{n}")) for n in detectors},
+        **{f"is_{n}": _weighted(here & F.col(f"is_{n}")) for n in detectors}, **({"max_error": wrong} if guarded else {}),
     })
     std = F.when(F.col("numbers") == 1, 0.0).when(F.col("numbers") > 1, F.sqrt(F.col("m2") / (F.col("numbers") - 1)))
     present, (q1, median, q3) = F.col("present") > 0, _quartiles()
@@ -101,6 +107,7 @@ def profile_columns(cells: DataFrame, keys: tuple[str, ...] = ("col_pos", "col")
         F.when(present, F.col("unique_count") / F.col("present")).otherwise(0.0).alias("unique_ratio"), numeric.alias("numeric_ratio"),
         F.when(present, 1 - numeric).otherwise(0.0).alias("string_ratio"), "min", "max", "mean",
         median.alias("median"), std.alias("std"), q1.alias("q1"), q3.alias("q3"), *[_part(f"is_{n}", "present").alias(f"{n}_ratio") for n in detectors],
+        *([F.col("max_error").alias("error")] if guarded else []),
     )
 
 

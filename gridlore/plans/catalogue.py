@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridlore.functions import similarity
 from gridlore.functions import text as T
 from gridlore.functions.vocabulary import TARGETS, alias_rows, aliases, quoted, values_sql
-from gridlore.operators import matching, posterior, profile, semantic, sheets
+from gridlore.operators import matching, posterior, profile, registry, semantic, sheets
 from gridlore.plans import sqltext as S
 from gridlore.sources import workbooks
 
@@ -446,12 +446,23 @@ def _(spark, sf_dir):
     return rounded(matching.map_columns(books(spark, sf_dir), group=["workbook"]), 5)
 
 
-@query("mapping_report_op6_op8", f"""SELECT workbook, coalesce(string_agg(CASE WHEN target IS NULL THEN col END, '|' ORDER BY col_pos), '') AS unresolved, coalesce(string_agg(target, '|' ORDER BY col_pos), '') AS assigned,
-  coalesce(string_agg(CASE WHEN target IS NULL THEN 'odd ' || col END, '|' ORDER BY col_pos), '') AS warnings FROM {_result_sql(_BOOKS)} GROUP BY workbook""")
+def _whole(text: str) -> bool:
+    return int(text) >= 0
+
+
+# a caller's detector that fails for texts which are no whole numbers: these columns lose their value evidence and are warned of
+_BOOK_CELLS = "(" + " UNION ALL ".join(f"SELECT '{b}' AS workbook, * FROM ({c})" for b, c in _BOOKS.items()) + ")"
+_BROKEN = f"(SELECT workbook, col_pos, col, max('ValueError: invalid literal for int() with base 10: ' || chr(39) || trim(value) || chr(39)) AS error FROM {_BOOK_CELLS} WHERE NOT {S.missing('value')} AND NOT regexp_full_match(trim(value), '[+-]?[0-9]+') GROUP BY ALL)"
+_WHOLE_SQL = _mapped_sql(_BOOKS).replace("h AS (SELECT DISTINCT", f"bad AS {_BROKEN}, h AS (SELECT DISTINCT", 1).replace("NULL, score, reasons FROM ev)", "NULL, score, reasons FROM ev e WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.workbook = e.workbook AND bad.col_pos = e.col_pos))")
+assert "NOT EXISTS" in _WHOLE_SQL
+
+
+@query("mapping_report_op6_op8", f"""WITH x AS (SELECT h.workbook, h.col_pos, h.col, m.target FROM (SELECT DISTINCT workbook, col_pos, col FROM {_BOOK_CELLS}) h LEFT JOIN {_WHOLE_SQL} m ON m.workbook = h.workbook AND m.col_pos = h.col_pos AND m.score >= 0.5),
+  w AS (SELECT workbook, string_agg('Failed to process ' || chr(39) || col || chr(39) || ': ' || error, '|' ORDER BY col_pos) AS warnings FROM {_BROKEN} GROUP BY workbook)
+  SELECT workbook, coalesce(string_agg(CASE WHEN target IS NULL THEN col END, '|' ORDER BY col_pos), '') AS unresolved, coalesce(string_agg(target, '|' ORDER BY col_pos), '') AS assigned, coalesce(any_value(w.warnings), '') AS warnings FROM x LEFT JOIN w USING (workbook) GROUP BY workbook""")
 def _(spark, sf_dir):
-    m = matching.map_columns(books(spark, sf_dir), group=["workbook"])
-    odd = m.where("target IS NULL").select("workbook", "col_pos", F.concat(F.lit("odd "), "col").alias("warning"))
-    r = matching.mapping_report(m, ["workbook"], odd)
+    m, failed = matching.map_with_warnings(books(spark, sf_dir), group=["workbook"], detectors={"whole": registry.Guarded(_whole)})
+    r = matching.mapping_report(m, ["workbook"], failed)
     return r.select("workbook", F.array_join("unresolved_columns", "|").alias("unresolved"), F.array_join("assigned_targets", "|").alias("assigned"), F.array_join("warnings", "|").alias("warnings"))
 
 
@@ -767,3 +778,30 @@ def _(spark, sf_dir):
 @query("src4_src6_sheet_sizes", f"WITH r AS ({_DUCK_ROWS}) SELECT workbook, sheet, max(row_idx) + 1 AS rows, 5 AS columns, false AS is_empty FROM r GROUP BY workbook, sheet")
 def _(spark, sf_dir):
     return _order_books(spark, sf_dir)[1]
+
+
+# the extension points: detectors and scorers as functions of SQL, and the table function of a grid's cells
+_FLAGS = ", ".join(f"{f('v')} AS is_{n}" for n, f in S.DETECTORS.items())
+_SCORED_TARGETS = {"Zip": "zip", "Storeys": "storeys", "Building Value": "building_value"}
+
+
+@query("ext_sql_detectors", f"SELECT id, {S.missing('v')} AS missing, round({S.number('v')}, 6) AS number, {_FLAGS}, {S.header("coalesce(v, '')")} AS header FROM ({_TEXTS})")
+def _(spark, sf_dir):
+    registry.register(spark)
+    flags = ", ".join(f"grid_is_{n}(v) AS is_{n}" for n in S.DETECTORS)
+    return run_sql(spark, sf_dir, f"SELECT id, grid_is_missing(v) AS missing, round(grid_number(v), 6) AS number, {flags}, grid_mapping_header(v) AS header FROM ({_TEXTS})", "part")
+
+
+@query("ext_sql_scores", "SELECT col, " + ", ".join(f"round(max(CASE WHEN target = '{t}' THEN score END), 5) AS {n}" for t, n in _SCORED_TARGETS.items()) + f" FROM ({_evidence_sql(S.cells('customer', CUSTOMER, 'c_custkey'))}) GROUP BY col")
+def _(spark, sf_dir):
+    registry.register(spark)
+    profile.profile_columns(column_cells(spark, sf_dir, "customer", CUSTOMER, "c_custkey")).createOrReplaceTempView("column_profiles")
+    scores = ", ".join(f"round(grid_score_{n}({', '.join(registry.PROFILE)}), 5) AS {n}" for n in _SCORED_TARGETS.values())
+    return spark.sql(f"SELECT col, {scores} FROM column_profiles")
+
+
+@query("ext_udtf_grid_cells", """SELECT p_partkey, unnest([0, 0, 1, 1, 1]) AS row_idx, unnest([0, 1, 0, 1, 2]) AS col_idx, unnest(['str', 'int', 'str', 'null', 'float']) AS kind, unnest(['Size', p_size::VARCHAR, p_brand, NULL, p_size::VARCHAR || '.5']) AS value FROM part""")
+def _(spark, sf_dir):
+    registry.register(spark)
+    grids = "SELECT p_partkey, array(array('Size', CAST(p_size AS STRING)), array(p_brand, 'n/a', concat(CAST(p_size AS STRING), '.5'))) AS grid FROM part"
+    return run_sql(spark, sf_dir, f"SELECT p_partkey, c.* FROM ({grids}) g, LATERAL grid_cells(g.grid) c", "part")
