@@ -192,6 +192,7 @@ def sigmoid(c: Column) -> Column:
     return F.when(c >= 0, 1 / (1 + e)).otherwise(e / (1 + e))
 
 
+# The weights of the two scores.
 def rerank_score(ce: Column, embedding: Column, value: Column) -> Column:
     """FN21."""
     return F.round(clip(0.60 * ce + 0.25 * embedding + 0.15 * value), 6)

@@ -139,6 +139,7 @@ def sheet_roles(cells: DataFrame) -> DataFrame:
     role_score = T.count_terms(h, TERMS["primary"]) / F.greatest(F.size(texts), F.lit(1))
     special = any_of(F.col("name_text"), "secondary_name") | h.contains("business interruption") | (h.contains("bi value") & ~h.contains("building value")) | (h.contains("notes") & F.col("name_text").contains("deleted"))
     out = out.withColumn("header_role_score", role_score).withColumn("has_location_identity", any_of(h, "identity")).withColumn("has_property_attributes", T.count_terms(h, TERMS["attribute"]) >= 3)
+    # fixed values: the reasons
     reason = (
         F.when(any_of(F.col("name_text"), "deny_name"), "sheet_name_indicates_non_sov_content").when(F.col("header_row").isNull(), "no_plausible_header_detected")
         .when(special, "specialized_or_excluded_exposure_sheet").when(F.col("has_location_identity") & F.col("has_property_attributes") & (F.col("data_density") >= 0.15), "location_identity_and_property_attributes")
