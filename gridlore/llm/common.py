@@ -188,15 +188,14 @@ class Poly:
         """By lane: the powers of its base and of the base's inverse."""
         if self.powers.shape[2] <= n:
             size = max(n + 1, 1 << 16)
-            x = np.ones((2, 2, size), U64)
+            self.powers = np.ones((2, 2, size), np.uint32)
             for lane, base in enumerate(self.bases):
-                for k, b in enumerate((base, pow(base, -1, PRIME))):
-                    have, step = 1, b  # doubling: the second half is the first times b^have
+                for k, step in enumerate((base, pow(base, -1, PRIME))):
+                    x, have = self.powers[lane, k], 1  # doubling: the second half is the first times b^have
                     while have < size:
                         more = min(have, size - have)
-                        x[lane, k, have : have + more] = x[lane, k, :more] * U64(step) % U64(PRIME)
+                        x[have : have + more] = x[:more].astype(U64) * U64(step) % U64(PRIME)
                         have, step = have + more, step * step % PRIME
-            self.powers = x.astype(np.uint32)
         return self.powers
 
     def prefix(self, values: np.ndarray) -> np.ndarray:
@@ -205,9 +204,13 @@ class Poly:
         out, powers = np.zeros((2, n + 1), U64), self.upto(n)
         if values.dtype != np.uint8:
             values = mix(values ^ self.seed)
-        for lane in (0, 1):
-            x = self.table[lane][values] if values.dtype == np.uint8 else values >> U64(33) if lane else values & U64(PRIME)
-            np.cumsum(folded(x * powers[lane, 0, :n]), out=out[lane, 1:], dtype=U64)
+        for i in range(0, n, STRIDE):
+            v = values[i : i + STRIDE]
+            for lane in (0, 1):
+                x = self.table[lane][v] if v.dtype == np.uint8 else v >> U64(33) if lane else v & U64(PRIME)
+                own = out[lane, i + 1 : i + 1 + len(v)]
+                np.cumsum(folded(x * powers[lane, 0, i : i + len(v)]), out=own, dtype=U64)
+                own += out[lane, i]
         return out
 
     def between(self, low: np.ndarray, high: np.ndarray, inverse: np.ndarray) -> np.ndarray:

@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from gridlore.llm import bpe, common, cover, dialogue, jaccard, minhash, mixing, parsing, pii, ranked, toxicity, urlfilter
+from gridlore.llm import bpe, common, cover, dialogue, jaccard, minhash, mixing, parsing, pii, ranked, urlfilter
 
 NAMES = [
     "rid", "tx_text", "tx_score", "mix_copy", "mix_rid", "mix_size", "mix_taken", "pii_rid", "pii_terms", "row", "dd_rid", "uf_found", "uf_key_host", "uf_key_at", "uf_salt", "uf_host",
