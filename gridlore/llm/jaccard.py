@@ -22,8 +22,9 @@ from gridlore.llm import repeats as R
 from gridlore.llm.common import BLOCK_BYTES, SEGMENT, Poly, ascii_lower, column, corpus_size, discard, free, hashed_words, joined, keyed, materialize, mix, parted, rejoin, release, text_chunks
 from gridlore.llm.graph import components
 
-#: Slots of the frequency sketch (a byte each is broadcast, whatever the corpus' size); partial sums of a slice of it.
-SLOTS, SLICES, LEVELS = 1 << 20, 16, 64
+#: Slots of the frequency sketch, least and most (a byte each is broadcast); bytes of text for each slot, so that a shingle of
+#: some twenty texts stands out in a corpus of any size up to the most; partial sums of a slice of it.
+SLOTS, MOST_SLOTS, SLOT_BYTES, SLICES, LEVELS = 1 << 20, 1 << 24, 512, 16, 64
 #: Texts that share a prefix shingle: of up to FEW, the pairs that their pictures let through are candidates, of more, all.
 #: A family's blocks have about BLOCK texts.
 FEW, BLOCK = 24, 128
@@ -62,9 +63,17 @@ def set_id(h: np.ndarray) -> tuple[int, int]:
     return int(x[0]), int(x[1])
 
 
+def slots_for(n_bytes: int) -> int:
+    return min(MOST_SLOTS, max(SLOTS, 1 << (n_bytes // SLOT_BYTES).bit_length()))
+
+
+def slot(h: np.ndarray, slots: int) -> np.ndarray:
+    return (h >> U64(65 - slots.bit_length())).astype(np.int64)
+
+
 def ordered(h: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """The set in the global order, ascending: frequency level in the upper bits, then hash."""
-    return np.sort((sketch[(h >> U64(44)).astype(np.int64)].astype(U64) << U64(58)) | (h >> U64(6)))
+    return np.sort((sketch[slot(h, len(sketch))].astype(U64) << U64(58)) | (h >> U64(6)))
 
 
 def picture(h: np.ndarray) -> np.ndarray:
@@ -87,21 +96,21 @@ def needed(a: int, b: int, percent: int) -> int:
 FIRST = "rid string, doc_id long, n long, sid long, other long, bits array<long>, slice int, counts binary"
 
 
-def first_scan(docs: DataFrame, size: int) -> DataFrame:
+def first_scan(docs: DataFrame, size: int, slots: int = SLOTS) -> DataFrame:
     """Rows of documents (rid, doc_id, n, sid and other: the set's 128 bits), and of the task's part of the frequency
     sketch (slice, counts)."""
     names = [c.split()[0] for c in FIRST.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(slots, np.int32)
         for b in batches:
             n, sid, other, bits = [], [], [], []
             for h in shingles(b.column("text"), size):
-                np.add.at(total, (h >> U64(44)).astype(np.int64), 1)
+                np.add.at(total, slot(h, slots), 1)
                 x, y = set_id(h)
                 n.append(len(h)), sid.append(x), other.append(y), bits.append(picture(h))
             yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, sid, other)), pa.array(bits, pa.list_(pa.int64())), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
-        none, w = pa.nulls(SLICES, pa.int64()), SLOTS // SLICES
+        none, w = pa.nulls(SLICES, pa.int64()), slots // SLICES
         counts = [zstandard.compress(total[i * w : (i + 1) * w].astype("<i8").tobytes(), 1) for i in range(SLICES)]
         yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.string()), none, none, none, none, pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array(counts, pa.binary())], names)
         release()
@@ -110,19 +119,24 @@ def first_scan(docs: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(scan, FIRST)
 
 
-def sketch_of(first: DataFrame) -> np.ndarray:
-    """The slots' frequency levels: SLOTS bytes come to the driver. Sums go over two steps, so that no task meets all parts."""
+def sketch_of(first: DataFrame, slots: int = SLOTS) -> np.ndarray:
+    """The slots' frequency levels: a byte a slot comes to the driver. Sums go over two steps, so that no task meets all parts."""
 
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zstandard.decompress(d), "<i8") for d in t["counts"].to_pylist())
-        return pa.table({"slice": t["slice"].slice(0, 1), "counts": pa.array([zstandard.compress(np.asarray(total).tobytes(), 1)], pa.binary())})
+    def add(t: pa.Table, last: bool) -> pa.Table:
+        total = np.zeros(slots // SLICES, np.int64)
+        for d in t["counts"]:
+            total += np.frombuffer(zstandard.decompress(d.as_py()), "<i8")
+        out = np.minimum(LEVELS - 1, np.rint(3 * np.log2(1 + total))).astype(np.uint8) if last else total
+        return pa.table({"slice": t["slice"].slice(0, 1), "counts": pa.array([zstandard.compress(out.tobytes(), 1)], pa.binary())})
 
     parts = first.where("slice IS NOT NULL").select("slice", "counts", F.pmod(F.xxhash64("counts"), F.lit(32)).alias("part"))
     schema = "slice int, counts binary"
-    sums = parts.groupBy("slice", "part").applyInArrow(lambda t: add(t), schema).groupBy("slice").applyInArrow(lambda t: add(t), schema)
-    got = {r["slice"]: np.frombuffer(zstandard.decompress(r["counts"]), "<i8") for r in sums.collect()}
-    total = np.concatenate([got.get(i, np.zeros(SLOTS // SLICES, np.int64)) for i in range(SLICES)])
-    return np.minimum(LEVELS - 1, np.rint(3 * np.log2(1 + total))).astype(np.uint8)
+    sums = parts.groupBy("slice", "part").applyInArrow(lambda t: add(t, False), schema).groupBy("slice").applyInArrow(lambda t: add(t, True), schema)
+    out = np.zeros(slots, np.uint8)
+    for r in sums.collect():
+        own = np.frombuffer(zstandard.decompress(r["counts"]), np.uint8)
+        out[r["slice"] * len(own) : (r["slice"] + 1) * len(own)] = own
+    return out
 
 
 class Trie:
@@ -222,33 +236,43 @@ def meet(x: Block, y: Block | None, percent: int) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate([s[k][s[2] > 0] for s in sides]) for k in range(3))
 
 
-PAIRS = "kind int, a long, b long"  # kind 0: a pair of sids; 1: b is in a large run of which a is one
+PAIRS = "kind int, a long, b long, m long, least long"  # kind 0: a pair of sids that share m tokens here and must share `least`; 1: b is in a large run of which a is one
+
+
+def summed(rows: list[np.ndarray]) -> np.ndarray:
+    """Rows a, b, m, least; one a pair, with the sum of m."""
+    x = np.concatenate([np.zeros((0, 4), np.int64), *rows])
+    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+    first = np.flatnonzero(np.append(True, (x[1:, :2] != x[:-1, :2]).any(axis=1))) if len(x) else np.zeros(0, np.int64)
+    return np.column_stack([x[first, :2], np.add.reduceat(x[:, 2], first) if len(x) else x[:, 2], x[first, 3]])
 
 
 class Runs:
     """Runs of texts that share a prefix shingle, from rows sorted by token, n and sid: pairs of small ones, stars of large ones."""
 
-    def __init__(self, percent: int, few: int):
-        self.percent, self.few = percent, few
+    def __init__(self, percent: int, few: int, least: Callable[[np.ndarray, int], np.ndarray] | None = None):
+        self.percent, self.few, self.least = percent, few, least
         self.held: tuple[list, list] = ([], [])
         self.rest = [np.zeros(0, np.int64)] * 3
         self.star: tuple[int, int, int] | None = None  # token, first sid and last n of a large run that goes on
 
-    def keep(self, kind: int, a: np.ndarray, b: np.ndarray) -> None:
+    def keep(self, kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> None:
+        """n: the smaller size of each pair."""
         if len(a):
-            self.held[kind].append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+            least = np.ones(len(a), np.int64) if n is None or self.least is None else self.least(n, self.percent)
+            self.held[kind].append(np.stack([np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64), least], 1))
             if sum(map(len, self.held[kind])) > HELD_PAIRS:
-                self.held[kind][:] = [np.unique(np.concatenate(self.held[kind]), axis=0)]
+                self.held[kind][:] = [summed(self.held[kind])]
 
     def full(self) -> bool:
         return sum(len(x) for k in self.held for x in k) > HELD_PAIRS
 
     def batch(self) -> pa.RecordBatch:
-        p = [np.unique(np.concatenate([np.zeros((0, 2), np.int64), *x]), axis=0) for x in self.held]
+        p = [summed(x) for x in self.held]
         kind, p = np.repeat([0, 1], [len(x) for x in p]), np.concatenate(p)
         kind, p = kind[p[:, 0] != p[:, 1]], p[p[:, 0] != p[:, 1]]
         self.held = ([], [])
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(p[:, 0], pa.int64()), pa.array(p[:, 1], pa.int64())], ["kind", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), *(pa.array(p[:, k], pa.int64()) for k in range(4))], ["kind", "a", "b", "m", "least"])
 
     def add(self, token: np.ndarray, n: np.ndarray, sid: np.ndarray, last: bool = False) -> None:
         token, n, sid = (np.concatenate(x) for x in zip(self.rest, (token, n, sid)))
@@ -287,7 +311,7 @@ class Runs:
                     some = at[z : z + max(1, 1_000_000 // len(x))]
                     i, j = (some[:, None] + x).ravel(), (some[:, None] + y).ravel()
                     ok = 100 * n[i] >= self.percent * n[j]
-                    self.keep(0, sid[i[ok]], sid[j[ok]])
+                    self.keep(0, sid[i[ok]], sid[j[ok]], n[i[ok]])
             elif k > self.few:
                 for a in at.tolist():
                     self.keep(1, np.full(k, sid[a]), sid[a : a + k])
@@ -298,16 +322,23 @@ Tokens = Callable[[np.ndarray, int], Callable[[np.ndarray], np.ndarray]]
 
 
 def rarest(sketch: np.ndarray, percent: int) -> Callable[[np.ndarray], np.ndarray]:
-    """Tokens of a set: its rarest shingles, as many as must hold one of any set that is linked with it."""
-    return lambda h: mix(ordered(h, sketch)[: prefix_length(len(h), percent)])
+    """Tokens of a set: its rarest shingles, as many as must hold shared_tokens() of any set that is linked with it."""
+    return lambda h: mix(ordered(h, sketch)[: prefix_length(len(h), percent) - 1 + int(shared_tokens(len(h), percent))])
+
+
+def shared_tokens(n, percent: int):
+    """How many tokens of rarest() a set of n elements shares with any larger one that it is linked with, at least: each
+    element that a prefix is longer by must be met once more. It never falls as n grows, and is at most the overlap."""
+    return 1 + np.minimum((n - -(-percent * n // 100)) // 6, np.maximum(-(-percent * n // 100) - 1, 0))
 
 
 def candidates(docs: DataFrame, sketch: np.ndarray, n_bytes: int, size: int, percent: int, block_bytes: int = BLOCK_BYTES, tokens: Tokens = rarest) -> DataFrame:
-    """Pairs of set ids that share a token; those of large runs as stars, which stand for all pairs of the run.
+    """Pairs of set ids that share a token, and how many (m); those of large runs as stars, which stand for all pairs of the
+    run. Of pairs that share no token of a large run, m counts all shared ones; they can be linked if it sums up to least.
 
     A row is a token and a set id; equal sets send theirs once a task. Rows are dealt by token and sorted, and a run goes
     through its task as a stream."""
-    shared, few = docs.sparkSession.sparkContext.broadcast(sketch), FEW
+    shared, few, least = docs.sparkSession.sparkContext.broadcast(sketch), FEW, shared_tokens if tokens is rarest else None
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = tokens(shared.value, percent)
@@ -337,7 +368,7 @@ def candidates(docs: DataFrame, sketch: np.ndarray, n_bytes: int, size: int, per
         release()
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = Runs(percent, few)
+        runs = Runs(percent, few, least)
         for b in batches:
             runs.add(*(b.column(c).to_numpy() for c in ("token", "n", "sid")))
             if runs.full():
@@ -351,6 +382,12 @@ def candidates(docs: DataFrame, sketch: np.ndarray, n_bytes: int, size: int, per
     return rows.repartition(parts, "token").sortWithinPartitions("token", "n", "sid").mapInArrow(pairs, PAIRS)
 
 
+def enough(found: DataFrame) -> DataFrame:
+    """The pairs a, b (sids) of candidates() that share as many tokens as linked sets must."""
+    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("m").alias("m"), F.max("least").alias("least"))
+    return pairs.where("m >= least").select("a", "b")
+
+
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b (cids) of pairs (sids) that can be linked by their pictures: each bit that differs stands for an
     element of one set alone, so the overlap is at most half of what the sizes leave."""
@@ -425,9 +462,10 @@ def sets_of(docs: DataFrame, needs: DataFrame, sketch: np.ndarray, size: int) ->
     slot = F.pmod(F.xxhash64("rid"), F.lit(slots)).cast("int")
     wanted = None
     if many <= MAPPED:
-        wanted = np.zeros(slots, bool)
-        wanted[needs.select(slot.alias("slot")).toArrow()["slot"].to_numpy()] = True
-        wanted = np.packbits(wanted)
+        wanted = np.zeros(slots >> 6, np.int64)
+        words = needs.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits"))
+        words = words.toArrow()  # one of 64 slots each, in at most slots / 64 rows
+        wanted[words["at"].to_numpy()] = words["bits"].to_numpy()
     else:
         rows = rows.join(needs.select("rid"), "rid", "left_semi")
     shared = spark.sparkContext.broadcast((sketch, wanted))
@@ -437,7 +475,7 @@ def sets_of(docs: DataFrame, needs: DataFrame, sketch: np.ndarray, size: int) ->
         for b in batches:
             if bits is not None:
                 at = b.column("slot").to_numpy()
-                b = b.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+                b = b.filter(pa.array((bits[at >> 6] >> (at & 63) & 1).astype(bool)))
             sets = [np.sort(~ordered(h, levels)).astype("<u8").tobytes() for h in shingles(b.column("text"), size)]
             yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(sets, pa.binary())], ["rid", "set"])
         release()
@@ -456,14 +494,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, block_byt
     held whole by one task, at some 15 times its bytes.
     """
     docs = keyed(docs.select("doc_id", "text"), "rid") if key is None else docs.select(F.col(key).alias("rid"), "doc_id", "text")
-    first = materialize(first_scan(docs, size), "jaccard-sets")
+    _, n_bytes = corpus_size(docs)
+    slots = slots_for(n_bytes)
+    first = materialize(first_scan(docs, size, slots), "jaccard-sets")
     known = first.where("slice IS NULL").select("rid", "doc_id", "n", "sid", "other", "bits")
-    sketch = sketch_of(first)
+    sketch = sketch_of(first, slots)
     classes = known.where("n > 0").groupBy("sid", "other", "n").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.min("bits").alias("bits"), F.count(F.lit(1)).alias("weight"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
-    _, n_bytes = corpus_size(docs)
     found = materialize(candidates(docs.select("text"), sketch, n_bytes, size, percent, block_bytes, tokens), "jaccard-candidates")
-    pairs = possible(found.where("kind = 0").select("a", "b").distinct(), classes, percent)
+    pairs = possible(enough(found), classes, percent)
     side = lambda s: classes.select(F.col("sid").alias(s), F.col("cid").alias(f"{s}_cid"))
     stars = found.where("kind = 1").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a_cid", "b_cid")
     needs = families(pairs.union(stars), classes)

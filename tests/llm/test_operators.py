@@ -171,6 +171,24 @@ def test_jaccard_odd_rows(docs):
     assert kept.columns == docs.columns and kept.count() == len({(r["component_id"], r["rid"] if not r["n_shingles"] else -1) for r in got})
 
 
+def test_jaccard_pairs_of_one_phrase_go_no_further(spark):
+    """Texts that have one phrase in common are no candidates; texts that are similar enough are."""
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [text(200) + p for p in (text(7) for _ in range(20)) for _ in range(2)]
+    near = text(200)
+    rows += [near, near[:150] + ["other"] + near[151:]]
+    d = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    found = jaccard.candidates(d.select("text"), np.zeros(1 << 20, np.uint8), 1 << 20, 5, 80)  # a sketch that tells nothing
+    assert found.where("kind = 0").select("a", "b").distinct().count() > 2 and jaccard.enough(found).count() == 1
+    assert {r["component_id"] for r in jaccard.near_duplicates(d).where("n_links > 0").collect()} == {40}
+
+
+def test_jaccard_sketch_grows_with_the_corpus():
+    assert [jaccard.slots_for(n) for n in (0, 1 << 20, 1 << 32, 1 << 40)] == [1 << 20, 1 << 20, 1 << 24, 1 << 24]
+    assert all(jaccard.shared_tokens(n, 80) <= -(-80 * n // 100) for n in range(1, 2000))
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40), (7, 7)], "a long, b long")
     assert {r["node"]: r["root"] for r in graph.components(chain).collect()} == {**{i: 0 for i in range(21)}, 40: 40, 50: 40}
