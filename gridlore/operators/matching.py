@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridlore.functions import similarity
 from gridlore.functions import text as T
 from gridlore.functions.vocabulary import TARGET_NAMES, aliases, targets
+from gridlore.sources.tables import written
 
 FUZZY, ELIGIBLE = 0.75, 0.50
 # Methods by priority.
@@ -103,28 +107,50 @@ def fuzzy_match(headers: DataFrame, threshold: float = FUZZY, vocab: DataFrame |
 def fuzzy_one_to_one(headers: DataFrame, keys: list[str], threshold: float = FUZZY) -> DataFrame:
     """WN7: headers in order take the best form that is left; a target that is taken leaves the vocabulary. Below the
     threshold the form is told, its target is null and stays free. Distinct headers are scored once, in the JVM, and keep
-    each target's best form; the order of choice matters, so these short lists (17 a header, a few hundred headers a
-    workbook) are walked in one group."""
+    each target's best form. Only rows that take a target change what is left: those are among a header's first rows (as many
+    as there are targets; once a header gets none it never will), which are walked in order as a stream, and a workbook has
+    at most one for each target. All rows then choose by themselves among what is left to them."""
     own = _compared(headers, vocabulary(headers.sparkSession))
     wanted = F.array(*map(F.lit, TARGET_NAMES))
     ranked = F.transform(wanted, lambda t: F.struct(similarity.best_form(F.col("norm"), F.col("own"), F.filter("forms", lambda f: f["target"] == t)).alias("b"), t.alias("t")))
     first = lambda text: F.filter("forms", lambda f: f["norm"] == text)[0]["pos"]
     near = F.transform(F.filter(ranked, lambda r: r["b"]["text"].isNotNull()), lambda r: F.struct((-r["b"]["similarity"]).alias("minus"), first(r["b"]["text"]).alias("pos"), r["b"]["text"].alias("text"), r["t"].alias("target")))
-    near = own.select("norm", F.array_sort(near).alias("near"))
-    kinds = dict(headers.dtypes)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for r in pdf.sort_values("col_pos").to_dict("records"):
-            hit = next((v for v in (r["near"] if r["near"] is not None else ()) if v["target"] not in taken), None)
-            fits = hit is not None and -hit["minus"] >= threshold
-            if fits:
-                taken.add(hit["target"])
-            out.append((*(r[k] for k in keys), r["col_pos"], r["norm"], *((hit["text"], hit["target"] if fits else None, -hit["minus"]) if hit is not None else (None, None, None))))
-        return pd.DataFrame(out, columns=[*keys, "col_pos", "norm", "matched_text", "target", "similarity"])
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "col_pos", "norm"]) + ", matched_text string, target string, similarity double"
-    return headers.select(*keys, "col_pos", "norm").join(near, "norm", "left").groupBy(*keys).applyInPandas(walk, schema)
+    near = written(own.select("norm", F.array_sort(near).alias("near")), "fuzzy-near")
+    names, kinds = [f"k{i}" for i in range(len(keys))], dict(headers.dtypes)
+    rows = headers.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "col_pos", "norm")
+    place = Window.partitionBy(*names, "norm").orderBy("col_pos")
+    fits = F.transform(F.filter("near", lambda v: -v["minus"] >= threshold), lambda v: v["target"])
+    able = near.select("norm", fits.alias("fits")).where(F.size("fits") > 0)
+    early = rows.withColumn("place", F.row_number().over(place)).where(F.col("place") <= len(TARGET_NAMES)).join(able, "norm")
+
+    def walk(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, taken = None, set()
+        for b in parts:
+            at, got = [], []
+            for i, (*key, fits) in enumerate(zip(*(b.column(c).to_pylist() for c in [*names, "fits"]))):
+                if key != book:
+                    book, taken = key, set()
+                hit = next((t for t in fits if t not in taken), None)
+                if hit is not None:
+                    taken.add(hit)
+                    at.append(i), got.append(hit)
+            some = b.select([*names, "col_pos", "norm", "place"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(got, pa.string())], [*names, "col_pos", "norm", "place", "target"])
+
+    schema = ", ".join(f"{n} {kinds[k]}" for k, n in zip(keys, names)) + f", col_pos {kinds['col_pos']}, norm string, place int, target string"
+    took = early.repartition(*names).sortWithinPartitions(*names, "col_pos", "norm", "place").mapInArrow(walk, schema)
+    took = took.groupBy(*names).agg(F.collect_list(F.struct("col_pos", "norm", "place", "target")).alias("took"))
+    took = written(took.select(*[F.col(n).alias(f"{n}_of") for n in names], "took"), "fuzzy-taken")
+    out = rows.withColumn("place", F.row_number().over(place)).join(near, "norm", "left")
+    same = [F.col(n).eqNullSafe(F.col(f"{n}_of")) for n in names]
+    out = out.join(took, reduce(lambda x, y: x & y, same, F.lit(True)), "left")
+    me = F.struct("col_pos", "norm", "place")
+    gone = F.transform(F.filter("took", lambda t: F.struct(t["col_pos"].alias("col_pos"), t["norm"].alias("norm"), t["place"].alias("place")) < me), lambda t: t["target"])
+    out = out.withColumn("gone", F.coalesce(gone, F.array().cast("array<string>")))
+    hit = F.filter("near", lambda v: ~F.array_contains("gone", v["target"]))
+    out = out.withColumn("hit", F.get(hit, F.lit(0)))
+    sim = -F.col("hit.minus")
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "col_pos", "norm", F.col("hit.text").alias("matched_text"), F.when(sim >= threshold, F.col("hit.target")).alias("target"), sim.alias("similarity"))
 
 
 # What is said for a piece of evidence.

@@ -284,3 +284,28 @@ def test_every_lineitem_column(spark, name):
         order = [c for c in ("col_pos", "col", "target_pos", "target") if c in got]
         got, want = (x[sorted(got.columns)].sort_values(order).reset_index(drop=True) for x in (got, want))
         pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-4, atol=2e-5)
+
+
+def test_fuzzy_walk_holds_no_workbook(spark):
+    """As a walk over each workbook's rows, one by one; headers repeat, are null and empty."""
+    import random
+
+    rng = random.Random(3)
+    words = ["zip", "zip code", "city", "citty", "yr built", "year bult", "country", "county", "", None, "building value", "xyz"]
+    rows = [(w, i, rng.choice(words)) for w in ("a", "b", None) for i in range(60)]
+    out = matching.fuzzy_one_to_one(spark.createDataFrame(rows, "workbook string, col_pos int, norm string"), ["workbook"], 0.6)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().analyzed().toString()
+    forms = [(r["norm"], r["pos"], r["target"]) for r in matching.vocabulary(spark).collect()]
+    near = {n: {(f, t): s for f, _, t, s in spark.createDataFrame([(n, *f) for f in forms], "n string, f string, pos long, t string").select("f", "pos", "t", similarity.indel_ratio(F.col("n"), F.col("f"))).collect()} for n in {r[2] for r in rows} if n}
+    pos, want = {f: p for f, p, _ in forms}, set()
+    for book in ("a", "b", None):
+        taken = set()
+        for w, i, n in rows:
+            if w == book:
+                free = sorted((-s, pos[f], f, t) for (f, t), s in near.get(n, {}).items() if t not in taken)
+                hit = free[0] if free else (None, None, None, None)
+                fits = bool(free) and -hit[0] >= 0.6
+                if fits:
+                    taken.add(hit[3])
+                want.add((w, i, n, hit[2], hit[3] if fits else None, None if hit[0] is None else round(-hit[0], 9)))
+    assert {(*r[:5], None if r[5] is None else round(r[5], 9)) for r in out.collect()} == want and out.count() == len(rows)
