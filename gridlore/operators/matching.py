@@ -395,10 +395,11 @@ def map_with_warnings(cells: DataFrame, extra: DataFrame | None = None, group: l
     if extra is not None and not group:
         extra = extra.withColumn("workbook", F.lit("workbook"))
     keys = [*own, "col_pos"]
-    headers = normalized(work.select(*keys, "col").distinct())
     profiles = profile_columns(work, (*own, "col_pos", "col"), None if detectors is None else T.DETECTORS | detectors)
     if "error" not in profiles.columns:
         profiles = profiles.withColumn("error", F.lit(None).cast("string"))
+    profiles = written(profiles, "profiles")  # a row a column; the steps below read it, not the cells
+    headers = written(normalized(profiles.select(*keys, "col")), "headers")
     evidence = field_evidence(profiles.where("error IS NULL"), keys, scorers)
     failed = profiles.where("error IS NOT NULL").select(*keys, F.concat(F.lit("Failed to process '"), F.col("col"), F.lit("': "), F.col("error")).alias("warning"))
     merged = merge_candidates(column_candidates(headers.select(*keys, "norm"), evidence, keys, extra), keys)

@@ -286,6 +286,14 @@ def test_every_lineitem_column(spark, name):
         pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-4, atol=2e-5)
 
 
+def test_mapping_scans_cells_for_the_profile_alone(spark, tmp_path):
+    path = str(tmp_path / "cells")
+    spark.createDataFrame([("b", i, c, r, str(1900 + r)) for i, c in enumerate(("Year Built", "Zip")) for r in range(5)], "workbook string, col_pos int, col string, row_idx long, value string").write.parquet(path)
+    out = matching.map_columns(spark.read.parquet(path), group=["workbook"])
+    assert not [f for f in out.inputFiles() if path in f]
+    assert {r["col"]: r["target"] for r in out.collect()} == {"Year Built": "Year Built", "Zip": "Zip"}
+
+
 def test_fuzzy_walk_holds_no_workbook(spark):
     """As a walk over each workbook's rows, one by one; headers repeat, are null and empty."""
     import random
