@@ -1,14 +1,16 @@
 """Workbooks as cells: CSV, XLSX and XLS without a header assumed, and workbooks written from cells.
 
 Cells are (workbook, sheet, row_idx, col_idx, kind, value): kind is null, bool, int, float, ts (a date, as text with its
-time) or str. Worksheets and byte ranges of CSV files are read by tasks of their own, as streams; the full grid with its
-empty cells is made of the sheets' sizes by Spark.
+time) or str. Worksheets are cut between their rows and byte ranges of CSV files read by tasks of their own; the full grid
+with its empty cells is made of the sheets' sizes by Spark. Workbooks are written in pieces of some rows, which are put
+behind each other at last.
 """
 
 from __future__ import annotations
 
 import io
 import json
+import uuid
 from collections.abc import Iterator
 from datetime import datetime
 from pathlib import PurePosixPath
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlore.sources import delimited, ooxml
-from gridlore.sources.datasource import CELLS, READ, batches, can_open, ending, opened, register, reported, sheet_cells, sheet_names
+from gridlore.sources.datasource import CELLS, PIECES, READ, Sheet, WorkbookReader, batches, can_open, clear, ending, opened, pieces_written, register, reported, sheet_batch, sheet_cells, sheet_names, working
 from gridlore.sources.tables import scratch, written
 
 __all__ = ["CELLS", "SAMPLE", "FileValidationError", "create_sample", "failures", "filled", "load_workbooks", "read_cells", "save_workbooks", "scratch", "setting", "show_summary", "validate_file", "xlsx_bytes"]
@@ -26,6 +28,8 @@ __all__ = ["CELLS", "SAMPLE", "FileValidationError", "create_sample", "failures"
 SUPPORTED = (".xlsx", ".xls", ".csv")
 #: Bytes of a range of a CSV file.
 RANGE_BYTES = 64 << 20
+#: Rows of a sheet that are written as one piece, and of a grid that a task makes at once.
+PIECE_ROWS, GRID_ROWS = 2048, 1 << 16
 
 
 class FileValidationError(ValueError):
@@ -105,6 +109,63 @@ def _by_range(spark: SparkSession, files: list[tuple[str, int]], range_bytes: in
     return written(entered, "csv-ranges").repartition(n, "path", "part").mapInArrow(read, READ)
 
 
+def _parts(spark: SparkSession) -> int:
+    """Partitions of steps whose work Spark can't tell from their bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+
+
+def _by_rows(spark: SparkSession, sheets: list[Sheet]) -> DataFrame:
+    """READ of worksheets: a task a sheet unpacks it and cuts it between rows; what it cuts off is parsed by all tasks."""
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"number": pa.int64(), "deal": pa.int64(), "before": pa.int64(), "xml": pa.binary(), "error": pa.string()}
+        batch = lambda number, deal, before=None, xml=None, error=None: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((number, deal, before, xml, error), kinds.values())], list(kinds))
+        for b in parts:
+            for i in b.column("id").to_pylist():
+                s, n = sheets[i], 0
+                try:
+                    if s.error:
+                        raise ValueError(s.error)
+                    with opened(s.path) as f:
+                        # who parses a part reads the workbook's shared strings: the more of them, the more parts go together
+                        together = 1 + ooxml.shared_bytes(f) // ooxml.CUT
+                        for xml, before in ooxml.cuts(f, s.number):
+                            yield batch(i, n // together, before, xml)
+                            n += 1
+                except Exception as e:  # noqa: BLE001  whatever a damaged file leads to
+                    yield batch(i, -1, error=f"{type(e).__name__}: {e}"[:1000])
+                    n += 1
+                yield batch(i, 0, n)  # names the sheet; parses it, if there are no parts
+
+    def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, known = None, None
+        for b in parts:
+            for i, before, xml, error in zip(*(b.column(c).to_pylist() for c in ("number", "before", "xml", "error"))):
+                s = sheets[i]
+                book, cells = PurePosixPath(s.path).name, []
+                if error is None and xml is None:
+                    with opened(s.path) as f:
+                        yield from batches(reported(s.path, s.name, lambda s=s, f=f, before=before: sheet_cells(s.path, f, s.number) if before == 0 else iter(())))
+                    continue
+                try:
+                    if error is None:
+                        if path != s.path:
+                            with opened(s.path) as f:
+                                path, known = s.path, ooxml.meaning(f)
+                        cells.extend(ooxml.cut_cells(xml, before, *known))
+                except Exception as e:  # noqa: BLE001
+                    error = f"{type(e).__name__}: {e}"[:1000]
+                if cells:
+                    yield sheet_batch(book, s.name, cells)
+                if error is not None:
+                    yield from batches(iter([(book, s.name, None, None, None, None, error)]))
+
+    # a task a sheet; of an RDD's size Spark guesses nothing, so it doesn't take cells for few
+    ids = spark.createDataFrame(spark.sparkContext.parallelize([(i,) for i in range(len(sheets))], len(sheets)), "id long")
+    found = ids.mapInArrow(cut, "number long, deal long, before long, xml binary, error string")
+    return found.repartition(_parts(spark), "number", "deal").mapInArrow(parse, READ)
+
+
 def read_cells(spark: SparkSession, *paths: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """SRC2, SRC3: READ of the files. Only cells that aren't empty have rows; each sheet has a row without a cell; what can't
     be read has a row with an error, and what was read before it stays."""
@@ -113,7 +174,10 @@ def read_cells(spark: SparkSession, *paths: str, range_bytes: int = RANGE_BYTES)
     near = [x for x in found if can_open(x[0])]
     long = [x for x in near if ending(x[0]) == ".csv" and x[1] > range_bytes]
     far = [p for p, n in found if (p, n) not in near]
-    parts = [spark.read.format("workbook").option("paths", json.dumps([p for p, n in near if (p, n) not in long])).load()] if len(near) > len(long) else []
+    sheets = WorkbookReader([p for p, _ in near if ending(p) == ".xlsx"]).partitions()
+    whole = [p for p, n in near if (p, n) not in long and ending(p) != ".xlsx"]
+    parts = [_by_rows(spark, sheets)] if sheets else []
+    parts += [spark.read.format("workbook").option("paths", json.dumps(whole)).load()] if whole else []
     parts += [_by_range(spark, long, range_bytes)] if long else []
     parts += [_by_content(spark, far)] if far else []
     out = parts[0]
@@ -135,9 +199,11 @@ def sizes(read: DataFrame) -> DataFrame:
 
 def filled(cells: DataFrame, sheets: DataFrame) -> DataFrame:
     """The sheets' full grids: the cells, and empty ones (kind null) elsewhere."""
-    grid = sheets.where("rows > 0 AND columns > 0").select("workbook", "sheet", "columns", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row_idx"))
+    grid = sheets.where("rows > 0 AND columns > 0").select("workbook", "sheet", "rows", "columns", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(GRID_ROWS).cast("long"))).alias("low"))
+    grid = grid.repartition(_parts(sheets.sparkSession), "workbook", "sheet", "low")  # a large sheet's rows aren't one task's
+    grid = grid.select("workbook", "sheet", "columns", F.explode(F.sequence("low", F.least(F.col("rows"), F.col("low") + GRID_ROWS) - 1)).alias("row_idx"))
     grid = grid.select("workbook", "sheet", "row_idx", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("col_idx"))
-    out = grid.join(cells, ["workbook", "sheet", "row_idx", "col_idx"], "left")
+    out = grid.join(cells.hint("merge"), ["workbook", "sheet", "row_idx", "col_idx"], "left")  # never broadcast, however few they seem
     return out.select("workbook", "sheet", "row_idx", "col_idx", F.coalesce("kind", F.lit("null")).alias("kind"), "value")
 
 
@@ -153,10 +219,19 @@ def load_workbooks(spark: SparkSession, *paths: str, sparse: bool = False, range
 
 def save_workbooks(cells: DataFrame, path: str, mode: str = "append") -> None:
     """Cells (workbook, sheet, row_idx, col_idx, kind, value) as .xlsx files in a folder, one a workbook, written by tasks;
-    workbook is the file's name. A workbook's cells pass through one task as a stream."""
-    register(cells.sparkSession)
-    rows = cells.where("value IS NOT NULL AND kind <> 'null'").select("workbook", "sheet", "row_idx", "col_idx", "kind", "value")
-    rows.repartition("workbook").sortWithinPartitions("workbook", "sheet", "row_idx", "col_idx").write.format("workbook").mode(mode).save(path)
+    workbook is the file's name. Pieces of PIECE_ROWS rows are made and compressed by all tasks; one task a workbook copies
+    them into its file, as one stream is all that a file takes."""
+    spark, job = cells.sparkSession, uuid.uuid4().hex
+    register(spark)
+    rows = cells.where("value IS NOT NULL AND kind <> 'null'").select("workbook", "sheet", F.col("row_idx").cast("long").alias("row_idx"), "col_idx", "kind", "value")
+    dealt = rows.repartition(_parts(spark), "workbook", "sheet", F.floor(F.col("row_idx") / PIECE_ROWS)).sortWithinPartitions("workbook", "sheet", "row_idx", "col_idx")
+    folder = working(path, job)
+    pieces = dealt.mapInArrow(lambda b: pieces_written(b, folder, PIECE_ROWS), PIECES)
+    try:
+        pieces.repartition("workbook").sortWithinPartitions("workbook", "sheet", "block").write.format("workbook").option("job", job).mode(mode).save(path)
+    except Exception:
+        clear(path, job)  # pieces are written before the sink knows of them
+        raise
 
 
 def show_summary(sheets: DataFrame) -> None:

@@ -5,6 +5,8 @@ import datetime
 import io
 import random
 import struct
+import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +163,47 @@ def test_written_by_tasks(spark, tmp_path):
     with pytest.raises(Exception, match="isoformat"):  # a failing task leaves nothing behind
         workbooks.save_workbooks(df.withColumn("value", F.when(F.col("kind") == "ts", F.lit("no date")).otherwise(F.col("value"))), path)
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["w1.xlsx"]
+
+
+def test_sheets_are_cut_between_rows(spark, tmp_path):
+    inner = '<x:row r="3"><x:c r="B3" t="s"><x:v>1</x:v></x:c><x:c><x:v>2.50</x:v></x:c></x:row><!-- <x:row r="9"> --><x:row><x:c t="inlineStr"><x:is><x:r><x:t>a</x:t></x:r><x:r><x:t> &lt;row r="7"&gt;</x:t></x:r></x:is></x:c></x:row><x:row r=\'6\' spans="1:2"/>' + "".join(f'<x:row><x:c r="A{i}"><x:v>{i}</x:v></x:c></x:row>' for i in range(7, 60))
+    files = {
+        "xl/workbook.xml": f'<workbook xmlns="{ooxml._MAIN}" xmlns:r="{ooxml._REL}"><sheets><sheet name="S" sheetId="1" r:id="r1"/><sheet name="N" sheetId="2" r:id="r2"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/><Relationship Id="r2" Target="worksheets/n.xml"/></Relationships>',
+        "xl/sharedStrings.xml": "<sst><si><t>no</t></si><si><t>yes</t></si></sst>",
+        "xl/worksheets/s.xml": f'<?xml version="1.0" encoding="UTF-8"?>\n<x:worksheet xmlns:x="{ooxml._MAIN}"><x:cols/><x:sheetData>{inner}</x:sheetData><x:mergeCells/></x:worksheet>',
+        "xl/worksheets/n.xml": f'<worksheet xmlns="{ooxml._MAIN}"><sheetData/></worksheet>',
+    }
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+    want = [(2, 1, "str", "yes"), (2, 2, "float", "2.50"), (3, 0, "str", 'a <row r="7">'), *((i - 1, 0, "int", str(i)) for i in range(7, 60))]
+    with open(tmp_path / "w.xlsx", "rb") as f:
+        assert list(ooxml.sheet_cells(f, 0)) == want and not list(ooxml.cuts(f, 1))
+        for size in (1, 90, 1 << 20):
+            parts = list(ooxml.cuts(f, 0, size))
+            assert [c for xml, before in parts for c in ooxml.cut_cells(xml, before, *ooxml.meaning(f))] == want
+    cells, sheets = workbooks.load_workbooks(spark, str(tmp_path / "w.xlsx"))
+    assert rows_of(cells.where("kind <> 'null'").select("row_idx", "col_idx", "kind", "value")) == sorted(want, key=repr)
+    assert rows_of(sheets.select("sheet", "rows", "columns")) == [("N", 0, 0), ("S", 59, 3)] and cells.count() == 59 * 3
+    assert "BroadcastHashJoin" not in cells._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "t.xlsx").write_bytes((tmp_path / "w.xlsx").read_bytes())
+    with zipfile.ZipFile(tmp_path / "u.xlsx", "w") as z:
+        for name, text in files.items():
+            z.writestr(name, text.replace("</x:row><!--", "</x:wrong><!--") if name.endswith("s.xml") else text)
+    read = workbooks.read_cells(spark, str(tmp_path / "u.xlsx"))
+    assert [(r["sheet"], "mismatched" in r["error"]) for r in workbooks.failures(read).collect()] == [("S", True)]
+    assert read.where("value IN ('yes', '2.50')").count() == 2  # what stands before the fault
+
+
+def test_a_sheet_is_written_and_parsed_by_many_tasks(spark, tmp_path):
+    rows = [("w.xlsx", "s", i, j, k, v) for i in range(9000) for j, (k, v) in enumerate([("int", str(i)), ("ts", WHEN.isoformat(" ")), ("str", f"a<b>& é{i}"), ("bool", str(i % 2 == 0)), ("float", f"{i}.5")]) if (i + j) % 7]
+    df = spark.createDataFrame(rows, workbooks.CELLS).repartition(3)
+    workbooks.save_workbooks(df, str(tmp_path / "o"))
+    with zipfile.ZipFile(tmp_path / "o" / "w.xlsx") as z:
+        assert z.testzip() is None
+    back, _ = workbooks.load_workbooks(spark, str(tmp_path / "o" / "w.xlsx"), sparse=True)
+    assert rows_of(back) == sorted(rows, key=repr)
+    assert back.select(F.spark_partition_id()).distinct().count() > 2
+    a, b = bytes(range(200)), b"x" * 70_001
+    assert ooxml.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
