@@ -48,6 +48,11 @@ def opened(path: str) -> BinaryIO:
     return fs.open_input_file(own)
 
 
+def created(path: str) -> BinaryIO:
+    fs, own = _located(path)
+    return fs.open_output_stream(own)
+
+
 def can_open(path: str) -> bool:
     """Whether Python's file systems reach the file."""
     try:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlore.sources import delimited, ooxml
-from gridlore.sources.datasource import CELLS, PIECES, READ, Sheet, WorkbookReader, batches, can_open, clear, ending, opened, pieces_written, register, reported, sheet_batch, sheet_cells, sheet_names, working
+from gridlore.sources.datasource import CELLS, PIECES, READ, Sheet, WorkbookReader, batches, can_open, clear, created, ending, opened, pieces_written, register, reported, sheet_batch, sheet_cells, sheet_names, working
 from gridlore.sources.tables import scratch, written
 
 __all__ = ["CELLS", "SAMPLE", "FileValidationError", "create_sample", "failures", "filled", "load_workbooks", "read_cells", "save_workbooks", "scratch", "setting", "show_summary", "validate_file", "xlsx_bytes"]
@@ -73,7 +73,7 @@ def _by_content(spark: SparkSession, paths: list[str]) -> DataFrame:
 def _by_range(spark: SparkSession, files: list[tuple[str, int]], range_bytes: int) -> DataFrame:
     """READ of CSV files cut into ranges: the ranges' effects, by tasks; in order, their states; then their cells."""
     cut = spark.createDataFrame([(p, i, a, min(n, a + range_bytes)) for p, n in files for i, a in enumerate(range(0, max(n, 1), range_bytes))], "path string, part long, low long, high long")
-    n = cut.count()
+    n = min(cut.count(), _parts(spark))  # a task takes several ranges, one after the other
 
     def look(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -234,6 +234,22 @@ def save_workbooks(cells: DataFrame, path: str, mode: str = "append") -> None:
         raise
 
 
+def joined(spark: SparkSession, files: list[str], path: str) -> str:
+    """One file of the files' bytes in that order, copied by a task as a stream."""
+
+    def copy(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            with created(path) as out:
+                for name in files:
+                    with opened(name) as f:
+                        while more := f.read(1 << 20):
+                            out.write(more)
+            yield b
+
+    spark.range(0, 1, 1, 1).mapInArrow(copy, "id long").collect()
+    return path
+
+
 def show_summary(sheets: DataFrame) -> None:
     """SRC6."""
     sheets.orderBy("workbook", "sheet").show(truncate=False)

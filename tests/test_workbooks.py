@@ -207,3 +207,14 @@ def test_a_sheet_is_written_and_parsed_by_many_tasks(spark, tmp_path):
     assert back.select(F.spark_partition_id()).distinct().count() > 2
     a, b = bytes(range(200)), b"x" * 70_001
     assert ooxml.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_joined_parts_are_one_csv_file(spark, tmp_path):
+    df = spark.range(3000).select(F.col("id"), F.concat(F.lit('a, "b"\n'), "id").alias("t")).repartition(3).orderBy("id")
+    df.write.option("escape", '"').csv(str(tmp_path / "parts"))
+    files = sorted(str(p) for p in (tmp_path / "parts").glob("*.csv"))
+    path = workbooks.joined(spark, files, str(tmp_path / "whole.csv"))
+    assert (tmp_path / "whole.csv").read_bytes() == b"".join(open(f, "rb").read() for f in files)
+    cells, sheets = workbooks.load_workbooks(spark, path, range_bytes=1000)
+    assert "BroadcastHashJoin" not in cells._jdf.queryExecution().executedPlan().toString()  # of cells, however few ranges they come from
+    assert cells.where("col_idx = 0 AND value = string(row_idx)").count() == 3000 and cells.where("col_idx = 1 AND value = concat('a, \"b\"\n', row_idx)").count() == 3000
