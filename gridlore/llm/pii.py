@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ ALPHA, MIN_CONTEXTS = 0.9, 3
 WORDS = 500_000
 #: Most slots of the bit map that terms are looked up in before the exact join; it has 16 a flagged term up to these.
 SLOTS = 1 << 24
+#: Flagged terms that every task knows one by one, so that it sends no others; beyond, the bit map lets some through.
+EXACT = 1 << 20
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -178,17 +181,25 @@ def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame | None:
     flagged = flagged_terms(scanned)
     if flagged is None:
         return None
-    size = min(SLOTS, 1 << max(16, (16 * flagged.count()).bit_length()))
+    n = flagged.count()
+    if n <= EXACT:  # 8 MB at most
+        known = np.sort(flagged.select("t").toArrow()["t"].to_numpy())
+        return _places(docs, flagged, docs.sparkSession.sparkContext.broadcast(known.tobytes()), None) if n else None
+    size = min(SLOTS, 1 << (16 * n).bit_length())
     slots = flagged.select(F.pmod("t", F.lit(size)).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()  # SLOTS at most
-    if not len(slots):
-        return None
     bits = np.zeros(size, bool)
     bits[slots] = True
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+    return _places(docs, flagged, docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes()), size)
+
+
+def _places(docs: DataFrame, flagged: DataFrame, packed: Broadcast, size: int | None) -> DataFrame:
+    """Of disclosing(). packed: a bit map of `size` slots in which flagged terms have a bit, or without a size, the terms
+    themselves, so that no row of another term is made."""
     arrow = pa.list_(pa.int32())
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = packed.value
+        terms = frozenset(np.frombuffer(own, np.int64).tolist()) if size is None else frozenset()
         known: dict[str, int | None] = {}
         for b in batches:
             rid, term, spots = [], [], []
@@ -197,8 +208,8 @@ def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame | None:
                 for w in set(_TERM.findall(text)):
                     if w not in known:
                         h = _hash(w.lower())
-                        at = h % size
-                        known[w] = h if own[at >> 3] >> (7 - (at & 7)) & 1 else None
+                        at = 0 if size is None else h % size
+                        known[w] = h if (h in terms if size is None else own[at >> 3] >> (7 - (at & 7)) & 1) else None
                     if known[w] is not None:
                         found[w] = known[w]
                 if len(known) > WORDS:
