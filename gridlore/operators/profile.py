@@ -10,6 +10,7 @@ column without a second look; quantiles are found by rank selection over the sam
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +22,15 @@ from gridlore.sources.tables import written
 
 def to_cells(df: DataFrame, row: Column, columns: list[str] | None = None) -> DataFrame:
     """CX6: a table's columns as long cells, nulls kept; row orders the rows."""
-    columns = columns or df.columns
-    cells = F.array(*[F.struct(F.lit(i).alias("col_pos"), F.lit(c).alias("col"), F.col("`" + c.replace("`", "``") + "`").cast("string").alias("value")) for i, c in enumerate(columns)])
+    return _long(df, row, list(enumerate(columns or df.columns)))
+
+
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _long(df: DataFrame, row: Column, columns: list[tuple[int, str]]) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(i).alias("col_pos"), F.lit(c).alias("col"), _column(c).cast("string").alias("value")) for i, c in columns])
     return df.select(row.cast("long").alias("row_idx"), F.explode(cells).alias("c")).select("c.col_pos", "c.col", "row_idx", "c.value")
 
 
@@ -126,13 +134,75 @@ def as_map(top: DataFrame, keys: tuple[str, ...] = ("col_pos", "col")) -> DataFr
 
 # AG13, the posterior profile's patterns.
 POSTERIOR_PATTERNS = {
-    "zip_5_digit": lambda s: s.rlike(r"\A\d{5}\z"),
-    "year_4_digit": lambda s: s.rlike(r"\A\d{4}\z"),
-    "state_code": lambda s: s.rlike(r"\A[A-Za-z]{2}\z"),
+    "zip_5_digit": lambda s: (F.octet_length(s) == 5) & s.rlike(r"\A\d{5}\z"),
+    "year_4_digit": lambda s: (F.octet_length(s) == 4) & s.rlike(r"\A\d{4}\z"),
+    "state_code": lambda s: (F.octet_length(s) == 2) & s.rlike(r"\A[A-Za-z]{2}\z"),
     "yes_no": lambda s: F.lower(s).isin("yes", "no", "y", "n"),
     "currency": lambda s: s.rlike(r"(?i)[$€£]|^\d+(\.\d+)?[KMB]$"),
     "decimal": lambda s: s.rlike(r"\A\d+\.\d+\z"),
 }
+_OF_NUMBERS = ("zip_5_digit", "year_4_digit", "decimal")  # what plain numbers can match; the others need no look at them
+
+
+def _plain_number(s: Column) -> Column:
+    return F.when(s.rlike(T._FLOAT), s.try_cast("double"))
+
+
+def _told(s: Column, x: Column, patterns: list[str]) -> list[Column]:
+    """The posterior's patterns of a stripped text s, of which x is the plain number."""
+    tests = {n: F.coalesce(POSTERIOR_PATTERNS[n](s), F.lit(False)) for n in patterns}
+    return [(t if n in _OF_NUMBERS else x.isNull() & t).alias(f"p_{n}") for n, t in tests.items()]
+
+
+def _shares(sums: DataFrame, keys: list[str], patterns: list[str]) -> DataFrame:
+    return sums.select(*keys, _part("numbers", "present").alias("numeric_ratio"), "min", "max", *[_part(f"p_{n}", "present").alias(f"p_{n}") for n in patterns])
+
+
+def posterior_shares(cells: DataFrame, keys: tuple[str, ...] = ("col_pos", "col"), patterns: tuple[str, ...] = tuple(POSTERIOR_PATTERNS)) -> DataFrame:
+    """Of posterior_profile(): numeric_ratio, min, max and the patterns' shares. None of them needs distinct texts or an order,
+    so cells are summed where they are read, by what is told of them; a task sends a few rows a column."""
+    keys, patterns, s, x = list(keys), list(patterns), F.col("s"), F.col("x")
+    v = cells.select(*keys, T.clean_string(F.col("value")).alias("s")).select("*", _plain_number(s).alias("x"))
+    bits = [F.when(t, 1 << i).otherwise(0) for i, t in enumerate([s.isNotNull(), *_told(s, x, patterns)])]
+    v = v.select(*keys, "x", reduce(Column.bitwiseOR, bits).alias("told")).groupBy(*keys, "told").agg(F.count(F.lit(1)).alias("n"), F.count("x").alias("numbers"), F.min(x + 0.0).alias("min"), F.max(x + 0.0).alias("max"))
+    with_bit = [F.sum(F.when(F.col("told").bitwiseAND(1 << i) != 0, F.col("n")).otherwise(0)).alias(n) for i, n in enumerate(["present", *[f"p_{n}" for n in patterns]])]
+    return _shares(v.groupBy(*keys).agg(F.sum("numbers").alias("numbers"), F.min("min").alias("min"), F.max("max").alias("max"), *with_bit), keys, patterns)
+
+
+#: Types whose values as text are plain numbers (so are finite doubles, which have a point), and those whose values as text
+#: are no numbers and match no pattern.
+_WHOLE, _NEVER = ("tinyint", "smallint", "int", "bigint"), ("boolean", "date", "timestamp", "timestamp_ntz")
+#: What whole numbers have which a pattern of _OF_NUMBERS matches; no other pattern matches numbers.
+_WHOLE_RANGES = {"zip_5_digit": (10_000, 99_999), "year_4_digit": (1000, 9999)}
+
+
+def table_shares(df: DataFrame, columns: list[str] | None = None, patterns: tuple[str, ...] = tuple(POSTERIOR_PATTERNS)) -> DataFrame:
+    """posterior_shares() of to_cells() of a table. Numbers and times are summed as they are, in one row and not as cells of
+    text: what their text would match is known from their type and size. Strings and all other types are cells."""
+    columns, patterns, types = list(columns or df.columns), [*patterns], dict(df.dtypes)
+    typed = [(i, c) for i, c in enumerate(columns) if types[c] in (*_WHOLE, "double", *_NEVER)]
+    texts = [(i, c) for i, c in enumerate(columns) if (i, c) not in typed]
+    keys, out = ["col_pos", "col"], None
+    if typed:
+        sums, rows = [F.count(F.lit(1)).alias("rows")], []
+        for i, c in typed:
+            v, own = _column(c), {"present": F.count(_column(c))}
+            if types[c] not in _NEVER:
+                x = F.when(F.abs(v) < F.lit(float("inf")), v + 0.0) if types[c] == "double" else v  # NaN is above all numbers
+                own |= {"numbers": F.count(x), "min": F.min(x), "max": F.max(x)}
+            if types[c] in _WHOLE:
+                own |= {f"p_{n}": F.count_if(v.between(*_WHOLE_RANGES[n])) for n in patterns if n in _WHOLE_RANGES}
+            elif types[c] == "double" and "decimal" in patterns:  # some doubles are written with a sign or an exponent
+                own["p_decimal"] = F.count_if(POSTERIOR_PATTERNS["decimal"](v.cast("string")))
+            sums += [k.alias(f"{n}_{i}") for n, k in own.items()]
+            got = {n: F.col(f"{n}_{i}") if n in own else F.lit(None if n in ("min", "max") else 0) for n in ("present", "numbers", "min", "max", *[f"p_{n}" for n in patterns])}
+            rows.append(F.struct(F.lit(i).alias("col_pos"), F.lit(c).alias("col"), *[k.cast("double" if n in ("min", "max") else "long").alias(n) for n, k in got.items()]))
+        one = df.agg(*sums).where("rows > 0").select(F.explode(F.array(*rows)).alias("c")).select("c.*")
+        out = _shares(one, keys, patterns)
+    if texts:
+        found = posterior_shares(_long(df, F.lit(0), texts), keys, patterns)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def posterior_profile(cells: DataFrame, keys: tuple[str, ...] = ("col_pos", "col")) -> DataFrame:
@@ -141,8 +211,8 @@ def posterior_profile(cells: DataFrame, keys: tuple[str, ...] = ("col_pos", "col
     int64 (whole numbers, none missing), float64 (numbers), else object."""
     keys = list(keys)
     s = F.col("s")
-    number = F.when(s.rlike(T._FLOAT), s.try_cast("double"))
-    v = form_counts(cells, keys).select(*keys, "cnt", "forms", F.length(s).alias("chars"), number.alias("x"), s.rlike(r"^[+-]?\d+$").alias("whole"), *[F.coalesce(f(s), F.lit(False)).alias(f"p_{n}") for n, f in POSTERIOR_PATTERNS.items()])
+    v = form_counts(cells, keys).select("*", _plain_number(s).alias("x"))
+    v = v.select(*keys, "cnt", "forms", F.length(s).alias("chars"), "x", s.rlike(r"^[+-]?\d+$").alias("whole"), *_told(s, F.col("x"), list(POSTERIOR_PATTERNS)))
     there, x = F.col("chars").isNotNull(), F.col("x")
     out = _summed(v, keys, {
         "total_count": F.sum("cnt"), "present": _weighted(there), "unique_count": F.sum("forms"), "distinct_values": F.count("chars"), "zeros": _weighted(x == 0), "negatives": _weighted(x < 0), "whole": _weighted(F.col("whole")),
