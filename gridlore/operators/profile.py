@@ -20,6 +20,11 @@ from gridlore.operators import quantiles as Q
 from gridlore.sources.tables import written
 
 
+#: Types whose values as text are plain numbers (so are finite doubles, which have a point), and those whose values as text
+#: are no numbers and match no pattern.
+_WHOLE, _NEVER = ("tinyint", "smallint", "int", "bigint"), ("boolean", "date", "timestamp", "timestamp_ntz")
+
+
 def to_cells(df: DataFrame, row: Column, columns: list[str] | None = None) -> DataFrame:
     """CX6: a table's columns as long cells, nulls kept; row orders the rows."""
     return _long(df, row, list(enumerate(columns or df.columns)))
@@ -34,6 +39,31 @@ def _long(df: DataFrame, row: Column, columns: list[tuple[int, str]]) -> DataFra
     return df.select(row.cast("long").alias("row_idx"), F.explode(cells).alias("c")).select("c.col_pos", "c.col", "row_idx", "c.value")
 
 
+def table_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """col_pos, col, value, cnt: value_counts() of to_cells() of a table. Whole numbers, doubles and times are counted in
+    their own type; only distinct ones become text. Zeros are counted as text, as 0.0 and -0.0 are two."""
+    columns, types = list(columns or df.columns), dict(df.dtypes)
+    none = {k: F.lit(None).cast(k) for k in ("long", "double", "string")}
+
+    def cell(i: int, c: str) -> Column:
+        v, own = _column(c), dict(none)
+        if types[c] in _WHOLE:
+            own["long"] = v.cast("long")
+        elif types[c] == "timestamp":
+            own["long"] = F.unix_micros(v)
+        elif types[c] == "double":
+            own |= {"double": F.when(v != 0, v), "string": F.when(v == 0, v.cast("string"))}
+        else:
+            own["string"] = v.cast("string")
+        return F.struct(F.lit(i).alias("col_pos"), *[k.alias(n) for n, k in own.items()])
+
+    counts = df.select(F.explode(F.array(*[cell(i, c) for i, c in enumerate(columns)])).alias("c")).select("c.*").groupBy("col_pos", *none).agg(F.count(F.lit(1)).alias("cnt"))
+    times = [i for i, c in enumerate(columns) if types[c] == "timestamp"]
+    whole = F.when(F.col("col_pos").isin(*times), F.timestamp_micros("long").cast("string")).otherwise(F.col("long").cast("string")) if times else F.col("long").cast("string")
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("col_pos") + 1)
+    return counts.select("col_pos", name.alias("col"), F.coalesce(whole, F.col("double").cast("string"), F.col("string")).alias("value"), "cnt")
+
+
 def _weighted(flag: Column) -> Column:
     return F.sum(F.when(flag, F.col("cnt")).otherwise(0))
 
@@ -47,9 +77,9 @@ def text_counts(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys, T.clean_string(F.col("value")).alias("s")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def form_counts(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """text_counts() with forms, the distinct values of a text before it was stripped."""
-    v = cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
+def form_counts(cells: DataFrame, keys: list[str], counted: bool = False) -> DataFrame:
+    """text_counts() with forms, the distinct values of a text before it was stripped. counted: cells are table_counts()."""
+    v = cells if counted else cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
     return v.groupBy(*keys, T.clean_string(F.col("value")).alias("s")).agg(F.sum("cnt").alias("cnt"), F.count("value").alias("forms"))
 
 
@@ -169,9 +199,6 @@ def posterior_shares(cells: DataFrame, keys: tuple[str, ...] = ("col_pos", "col"
     return _shares(v.groupBy(*keys).agg(F.sum("numbers").alias("numbers"), F.min("min").alias("min"), F.max("max").alias("max"), *with_bit), keys, patterns)
 
 
-#: Types whose values as text are plain numbers (so are finite doubles, which have a point), and those whose values as text
-#: are no numbers and match no pattern.
-_WHOLE, _NEVER = ("tinyint", "smallint", "int", "bigint"), ("boolean", "date", "timestamp", "timestamp_ntz")
 #: What whole numbers have which a pattern of _OF_NUMBERS matches; no other pattern matches numbers.
 _WHOLE_RANGES = {"zip_5_digit": (10_000, 99_999), "year_4_digit": (1000, 9999)}
 
@@ -205,13 +232,13 @@ def table_shares(df: DataFrame, columns: list[str] | None = None, patterns: tupl
     return out
 
 
-def posterior_profile(cells: DataFrame, keys: tuple[str, ...] = ("col_pos", "col")) -> DataFrame:
+def posterior_profile(cells: DataFrame, keys: tuple[str, ...] = ("col_pos", "col"), counted: bool = False) -> DataFrame:
     """AG12, AG13, AG14: the profile for the softmax mapping. Only nulls are missing, ratios are of all others, numbers
     are plain ones; std needs two numbers, skewness (bias-adjusted) three. dtype is what the values would be read as:
-    int64 (whole numbers, none missing), float64 (numbers), else object."""
+    int64 (whole numbers, none missing), float64 (numbers), else object. counted: cells are table_counts()."""
     keys = list(keys)
     s = F.col("s")
-    v = form_counts(cells, keys).select("*", _plain_number(s).alias("x"))
+    v = form_counts(cells, keys, counted).select("*", _plain_number(s).alias("x"))
     v = v.select(*keys, "cnt", "forms", F.length(s).alias("chars"), "x", s.rlike(r"^[+-]?\d+$").alias("whole"), *_told(s, F.col("x"), list(POSTERIOR_PATTERNS)))
     there, x = F.col("chars").isNotNull(), F.col("x")
     out = _summed(v, keys, {

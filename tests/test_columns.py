@@ -339,6 +339,11 @@ def test_shares_are_the_profile_s(spark):
     columns = df.columns
     flat = lambda f: sorted(map(str, f.collect()))
     assert flat(posterior.decisions(df, columns)) == flat(posterior.analyze(cells)[0])
+    counts = lambda f: sorted(map(str, f.collect()))
+    assert counts(profile.table_counts(df)) == counts(cells.groupBy("col_pos", "col", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    zeros = spark.createDataFrame([(0.0,), (-0.0,), (-0.0,), (7.0,)], "z double")  # two texts, one value
+    assert sorted((r["value"], r["cnt"]) for r in profile.table_counts(zeros).collect()) == [("-0.0", 2), ("0.0", 1), ("7.0", 1)]
+    assert profile.posterior_profile(profile.table_counts(zeros), counted=True).collect() == profile.posterior_profile(profile.to_cells(zeros, F.lit(0))).collect()
 
 
 def test_rankings_write_no_tables(spark, tmp_path, monkeypatch):
